@@ -8,12 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rewardlake.plans import training
+from rewardlake.functions import rewards as rw
+from rewardlake.functions import text as tx
+from rewardlake.functions import tokens as tk
+from rewardlake.operators import diversity as dv
+from rewardlake.operators import episodes as ep
+from rewardlake.operators import evaluation as ev
+from rewardlake.operators import execution as ex
+from rewardlake.operators import groups as gr
+from rewardlake.operators import metrics as mt
+from rewardlake.operators import objective as ob
+from rewardlake.operators import process as pr
+from rewardlake.operators import splits as sp
+from rewardlake.operators import verdicts as vd
+from rewardlake.operators.joins import join_dim
+from rewardlake.plans import toy, training
 from rewardlake.sources import fixtures as fx
+from rewardlake.sources import tasks as tl
 from rewardlake.sources.config import run_config
+from rewardlake.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +53,372 @@ def w01_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     traj = training.scored_trajectories(fx.rollouts(spark, sf_dir), run_config(spark))
     return traj.select("run_id", "step", "g", "n_turns", r6("final_reward"), r6("best_reward"),
                        "solved", r6("reward"), r6("advantage"))
+
+
+@query("w08_episodes")
+def w08_episodes(spark, sf_dir):
+    """W-08 episode trim with the done flag, F-07 live flag."""
+    cfg = run_config(spark).select("run_id", "max_turns")
+    t = ep.trim_episodes(ep.by_group(join_dim(fx.rollouts(spark, sf_dir), cfg, "run_id")))
+    return t.select("run_id", "step", "g", "turn", "done", (~F.col("done")).alias("active"))
+
+
+@query("a16_step_metrics")
+def a16_step_metrics(spark, sf_dir):
+    """A-07, A-08, A-09, A-16, M-15, J-04, J-09 per (run, step)."""
+    m = training.step_metrics(fx.rollouts(spark, sf_dir), run_config(spark))
+    return m.select("run_id", "step", r6("reward_mean"), r6("reward_std"), r6("solve_rate"),
+                    r6("mean_turns"), r6("pg_loss"), r6("temperature"))
+
+
+def _verdict_frame(spark, sf_dir):
+    return vd.verdicts(fx.completions_from_orders(spark, sf_dir), fx.test_results(spark, sf_dir))
+
+
+@query("a01_verdicts")
+def a01_verdicts(spark, sf_dir):
+    """A-01 with P-15 syntax rule, R-01/R-02 and rubric rewards R-04..R-06, F-05."""
+    v = _verdict_frame(spark, sf_dir)
+    v = vd.score(v, rw.default_components(), "reward_default")
+    v = vd.score(v, rw.dense_components(has_fence_col="has_fence"), "reward_dense")
+    return v.select("completion_id", "syntax_ok", "n_passed", "n_total", r6("fraction_passed"),
+                    "all_passed", r6("reward_default"), r6("reward_dense"))
+
+
+@query("f05_solved")
+def f05_solved(spark, sf_dir):
+    """F-05 solved filter over verdicts."""
+    return ev.solved(_verdict_frame(spark, sf_dir), "all_passed").select("completion_id", "n_total")
+
+
+def _tasks(spark, sf_dir):
+    return fx.tasks(spark, sf_dir)
+
+
+@query("s01_tasks")
+def s01_tasks(spark, sf_dir):
+    """S-01, S-02, S-04, P-04, P-05, P-07, P-12, P-13 (four program styles)."""
+    raw = _tasks(spark, sf_dir)
+    t = tl.mbpp_sanitized(raw)
+    he = tl.humaneval(raw.select(F.col("task_id").cast("string").alias("task_id"), "prompt",
+                                 F.col("test_list")[0].alias("test"),
+                                 tx.entry_from_asserts("test_list").alias("entry_point")))
+    t = t.join(he.select(F.regexp_replace("task_id", "^", "mbpp/").alias("task_id"),
+                         F.col("tests")[0].alias("he_test")), "task_id")
+    first = F.col("tests")[0]
+    return t.select(
+        "task_id", "entry_point",
+        tx.function_name("tests").alias("function_name"),
+        F.size("tests").alias("n_tests"),
+        F.md5(tx.first_turn_prompt("entry_point", "prompt")).alias("prompt_md5"),
+        F.md5(tx.turn_messages(tx.first_turn_prompt("entry_point", "prompt"))[1]["content"])
+        .alias("user_md5"),
+        F.md5(tx.test_program("env", F.lit("pass"), first)).alias("prog_env_md5"),
+        F.md5(tx.test_program("setup", F.lit("pass"), first, setup=F.lit(None))).alias("prog_setup_md5"),
+        F.md5(tx.test_program("check", F.lit("pass"), F.col("he_test"), entry_point="entry_point"))
+        .alias("prog_check_md5"),
+        F.md5(tx.test_program("prompt_check", F.lit("pass"), F.col("he_test"),
+                              entry_point="entry_point", prompt="prompt")).alias("prog_prompt_md5"),
+        "source")
+
+
+@query("p09_messages")
+def p09_messages(spark, sf_dir):
+    """S-03, S-04, P-09, P-10, P-11 chat message assembly."""
+    raw = _tasks(spark, sf_dir).select("task_id", F.col("prompt").alias("text"), "test_list")
+    full = tl.mbpp_full(raw)
+    v1 = tx.v1_messages("text", "function_name")
+    body = tx.benchmark_messages("text", "function_name", "body")
+    named = tx.benchmark_messages("text", "function_name", "named")
+    return full.select(
+        "task_id", "function_name", "test_setup",
+        F.md5(F.col("prompt")[0]["content"]).alias("rft_system_md5"),
+        F.md5(F.col("prompt")[1]["content"]).alias("rft_user_md5"),
+        F.md5(v1[0]["content"]).alias("v1_system_md5"),
+        F.md5(v1[1]["content"]).alias("v1_user_md5"),
+        F.md5(body[1]["content"]).alias("body_user_md5"),
+        F.md5(named[1]["content"]).alias("named_user_md5"))
+
+
+@query("p01_fences")
+def p01_fences(spark, sf_dir):
+    """P-01 strip all fences, P-02 first closed fence body, R-03 format,
+    over English documents wrapped in fences of several shapes."""
+    d = (read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+         .filter(F.col("lang") == "en"))
+    k = F.col("doc_id") % 4
+    wrapped = (F.when(k == 0, F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nDone.")))
+               .when(k == 1, F.concat(F.lit("```\n"), "text"))
+               .when(k == 2, F.concat(F.lit("```python\na = 1\n```\n"), "text",
+                                      F.lit("\n```python\nb = 2\n```")))
+               .otherwise(F.concat(F.lit("\n\t"), "text", F.lit(" \n"))))
+    c = d.select("doc_id", wrapped.alias("completion"))
+    return c.select("doc_id", F.md5(tx.strip_fences("completion")).alias("stripped_md5"),
+                    F.md5(tx.extract_code("completion")).alias("extracted_md5"),
+                    rw.clean_format("completion").alias("format_reward"))
+
+
+def _logprob_terms(spark, sf_dir, eps_low, eps_high):
+    lp = fx.logprobs(spark, sf_dir)
+    return ob.sequence_terms(lp, "adv", eps_low, eps_high)
+
+
+@query("m07_objective")
+def m07_objective(spark, sf_dir):
+    """M-06, M-07, M-09, M-10, M-12, M-13 per completion, both clip settings."""
+    base = _logprob_terms(spark, sf_dir, 0.2, 0.2)
+    var = _logprob_terms(spark, sf_dir, 0.2, 0.5).select(
+        "vec_id", F.col("clipped_ratio").alias("clip_variant"), F.col("surrogate").alias("surr_variant"))
+    j = base.join(var, "vec_id")
+    return j.select("vec_id", r6("mean_lp"), r6("mean_old_lp"), r6("ratio"),
+                    r6("clipped_ratio", "clip_base"), r6("clip_variant"),
+                    r6("surrogate", "surr_base"), r6("surr_variant"), r6("kl"), r6("entropy"))
+
+
+@query("a09_objective")
+def a09_objective(spark, sf_dir):
+    """J-03, F-08, A-09, A-11, A-12, A-14, M-17 per group of log-prob rows."""
+    lp = fx.logprobs(spark, sf_dir)
+    pol = lp.select("vec_id", "grp", "adv", "lp")
+    old = lp.select("vec_id", "old_lp")
+    ref = lp.select("vec_id", "ref_lp")
+    j = ob.join_logprobs(pol, old, ref, ["vec_id"])
+    j = j.withColumn("run_id", F.when(F.col("grp") % 2 == 0, "base").otherwise("variant"))
+    cfg = run_config(spark).select("run_id", "microcoder", "kl_coeff", "epsilon_low",
+                                   "epsilon_high", "group_size")
+    j = join_dim(j, cfg, "run_id")
+    terms = ob.sequence_terms(j, "adv", "epsilon_low", "epsilon_high", ob.kl_gate())
+    out = ob.step_objective(terms, ["run_id", "grp"], "kl_coeff", "group_size")
+    return out.select("run_id", "grp", r6("pg_loss"), r6("kl"), r6("entropy"),
+                      r6("kl_sum_per_g"), r6("loss"))
+
+
+@query("m08_token_loss")
+def m08_token_loss(spark, sf_dir):
+    """M-08, M-11, J-11, A-13, A-15: toy per-token losses per group."""
+    lp = fx.logprobs(spark, sf_dir).withColumnRenamed("adv", "delta")
+    out = ob.token_means(ob.token_terms(lp, "delta", 0.01), ["grp"])
+    return out.select("grp", r6("loss_naive"), r6("loss_unclipped"), r6("loss_clipped"),
+                      r6("kl_penalty"))
+
+
+@query("m14_logsoftmax")
+def m14_logsoftmax(spark, sf_dir):
+    """M-14 log-softmax gather over logged logits; M-16 snapshot epoch."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    logits = F.transform("embedding", lambda x: x.cast("double") * 10.0)
+    idx = (F.col("vec_id") % 64).cast("int")
+    return e.select("vec_id", r6(tk.log_softmax_at(logits, idx), "logp"),
+                    tk.snapshot_epoch("vec_id", 10).alias("snapshot"))
+
+
+@query("m01_tokens")
+def m01_tokens(spark, sf_dir):
+    """M-01, M-02, M-03, M-04 on token sequences (EOS 'the', budget 256, m 4)."""
+    t = fx.tokens(spark, sf_dir)
+    return t.select(
+        "doc_id", F.size(tk.cut_at_eos("ids", "the")).alias("cut_len"),
+        tk.truncated_no_eos("ids", "the", 256).alias("truncated"),
+        tk.truncated_len("ids", 256).alias("trunc_len"),
+        tk.truncated_exact("ids", 256).alias("trunc_exact"),
+        F.size(tk.cap_prompt("ids", 64)).alias("capped_len"),
+        tk.is_repetitive("ids", 4).alias("repetitive"))
+
+
+@query("f03_mask")
+def f03_mask(spark, sf_dir):
+    """F-03/F-04 conditional truncation mask, F-11 unconditional drop."""
+    t = fx.tokens(spark, sf_dir).select(
+        "doc_id", F.col("ids").alias("comp_ids"),
+        tk.truncated_len("ids", 256).alias("truncated"),
+        ((F.col("doc_id") % 5 - 2) / 2.0).alias("advantage"))
+    m = gr.truncation_mask(t, enabled=True, m=4, rho=0.3, draw_keys=("doc_id",))
+    kept = gr.drop_truncated(m, True).select("doc_id", F.lit(True).alias("kept"))
+    m = m.join(kept, "doc_id", "left")
+    return m.select("doc_id", "truncated", "masked", r6("masked_advantage"),
+                    F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("a10_diversity")
+def a10_diversity(spark, sf_dir):
+    """M-05 + A-10 4-gram diversity per group of texts."""
+    d = dv.ngram_diversity(fx.texts(spark, sf_dir))
+    return d.select("grp", "n_total", "n_distinct", r6("diversity"))
+
+
+@query("r13_process")
+def r13_process(spark, sf_dir):
+    """X-06/P-06 syntax job, W-04..W-06, R-13..R-16 process rewards."""
+    c = ex.syntax_check(fx.commits(spark, sf_dir), "code")
+    r = pr.step_rewards(c)
+    return r.select("traj_id", "pos", "syntax_ok", "diff_ok", F.size("new_tests").alias("n_new"),
+                    "is_final", r6("reward"))
+
+
+def _hourly(spark, sf_dir):
+    return fx.step_log(spark, sf_dir).groupBy("run_id", "step").agg(F.avg("value").alias("reward"))
+
+
+@query("w09_smooth")
+def w09_smooth(spark, sf_dir):
+    """W-09 trailing 15-point mean, valid mode, runs with > 15 points."""
+    s = mt.smooth(_hourly(spark, sf_dir), "reward")
+    return s.select("run_id", "step", r6("reward"), r6("reward_smooth"))
+
+
+@query("j07_eval_series")
+def j07_eval_series(spark, sf_dir):
+    """S-10 series, F-06 cadence, J-07 dense + sparse eval points + base point."""
+    ev_ = read_table(spark, sf_dir, "events", "ts", "event_type")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    hit = (F.col("event_type") == "purchase").cast("double")
+    pts = (ev_.select(hour.alias("step"), hit.alias("hit")).filter(mt.cadence(F.col("step"), 24))
+           .groupBy("step").agg(F.avg("hit").alias("eval_acc"))
+           .select(F.lit("events").alias("run_id"), "step", "eval_acc"))
+    base = ev_.agg(F.avg(hit).alias("eval_acc")).select(
+        F.lit("events").alias("run_id"), F.lit(0).cast("long").alias("step"), "eval_acc")
+    dense = _hourly(spark, sf_dir).filter(F.col("run_id") == "events")
+    out = mt.with_eval_points(dense, pts, base)
+    return out.select("run_id", "step", r6("reward"), r6("eval_acc"))
+
+
+def _evals(spark, sf_dir):
+    return fx.eval_results(spark, sf_dir)
+
+
+@query("a17_pass1")
+def a17_pass1(spark, sf_dir):
+    """A-17 pass@1 per model and axis, A-20 summary with P-17 delta text."""
+    s = ev.summary(ev.pass_at_1(_evals(spark, sf_dir)))
+    return s.select("label", "axis", r6("pass_at_1"), "n", "n_passed", r6("delta"), "delta_text",
+                    "solved_text")
+
+
+@query("a19_two_axis")
+def a19_two_axis(spark, sf_dir):
+    """A-19 model x axis table."""
+    t = ev.two_axis(_evals(spark, sf_dir))
+    return t.select("label", r6("in_dist"), r6("transfer"))
+
+
+@query("a21_run_delta")
+def a21_run_delta(spark, sf_dir):
+    """A-21 pass@1 delta between two runs per axis."""
+    d = ev.run_delta(ev.pass_at_1(_evals(spark, sf_dir)), "A", "B")
+    return d.select("axis", r6("delta"))
+
+
+@query("u02_classes")
+def u02_classes(spark, sf_dir):
+    """U-02..U-05 class of every task."""
+    p = ev.paired(_evals(spark, sf_dir), "A", "B")
+    return p.filter(F.col("cls").isNotNull()).select("axis", "task_id", "cls")
+
+
+@query("u06_breakdown")
+def u06_breakdown(spark, sf_dir):
+    """U-06 class counts."""
+    return ev.breakdown(ev.paired(_evals(spark, sf_dir), "A", "B"))
+
+
+@query("u07_examples")
+def u07_examples(spark, sf_dir):
+    """U-07 example per class, J-08 look-up of its problem, P-16 preview."""
+    ex_ = ev.example_per_class(ev.paired(_evals(spark, sf_dir), "A", "B"))
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.concat(F.lit("task/"), F.col("doc_id").cast("string")).alias("task_id"), "text")
+    j = ex_.join(docs, "task_id")
+    return j.select("cls", "task_id", F.md5(tx.preview("text", 200)).alias("preview_md5"))
+
+
+@query("j10_membership")
+def j10_membership(spark, sf_dir):
+    """J-10 semi / anti membership of A's solved set in B's."""
+    e = _evals(spark, sf_dir)
+    semi = ev.members(e, "A", "B", True).withColumn("kind", F.lit("both"))
+    anti = ev.members(e, "A", "B", False).withColumn("kind", F.lit("a_not_b"))
+    return semi.unionByName(anti)
+
+
+@query("t02_split")
+def t02_split(spark, sf_dir):
+    """T-01 seeded shuffle, T-02 range split, F-01 named-only filter after it."""
+    raw = _tasks(spark, sf_dir).select("task_id", F.col("prompt").alias("text"), "test_list")
+    rows = sp.shuffled_row_numbers(tl.mbpp_full(raw), "task_id", seed=0)
+    s = sp.named_only(sp.range_split(rows, 20, 10))
+    return s.select("task_id", "row_idx", "split")
+
+
+@query("a22_split_sizes")
+def a22_split_sizes(spark, sf_dir):
+    """A-22 split sizes (T-01, T-02, F-01 upstream)."""
+    return t02_split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t03_capped_split")
+def t03_capped_split(spark, sf_dir):
+    """T-03 source-order split with the train cap, U-01 concatenation, T-04 limit."""
+    raw = _tasks(spark, sf_dir)
+    rows = sp.source_row_numbers(raw, "task_id")
+    n = raw.count()
+    s = sp.capped_split(rows, n, 150, 10)
+    parts = [(name, s.filter(F.col("split") == name).drop("split")) for name in ("train", "eval")]
+    u = sp.concat_splits(*parts)
+    first = sp.take(u, 5).select("task_id", F.lit(True).alias("in_first5"))
+    return (u.join(first, "task_id", "left")
+            .select("task_id", "row_idx", "split", F.coalesce("in_first5", F.lit(False)).alias("in_first5")))
+
+
+@query("f10_draw")
+def f10_draw(spark, sf_dir):
+    """F-10 one task per step, J-01 turn rows joined to their task, P-07 prompt."""
+    raw = _tasks(spark, sf_dir)
+    tasks = tl.mbpp_sanitized(raw)
+    rows = sp.source_row_numbers(raw.select("task_id"), "task_id").select(
+        F.concat(F.lit("mbpp/"), F.col("task_id").cast("string")).alias("task_id"), "row_idx")
+    tasks = tasks.join(rows, "task_id")
+    n = tasks.count()
+    steps = fx.rollouts(spark, sf_dir).select("run_id", "step").distinct()
+    drawn = sp.draw_per_step(steps, tasks.select("row_idx", "task_id"), n, seed=42)
+    turns = fx.rollouts(spark, sf_dir).select("run_id", "step", "g", "turn")
+    j = turns.join(drawn.select("run_id", "step", "task_id"), ["run_id", "step"])
+    j = join_dim(j, tasks.select("task_id", "entry_point", "prompt"), "task_id")
+    return j.select("run_id", "step", "g", "turn", "task_id",
+                    F.md5(tx.first_turn_prompt("entry_point", "prompt")).alias("prompt_md5"))
+
+
+@query("w07_revision")
+def w07_revision(spark, sf_dir):
+    """W-10 turn index, W-07 previous attempt + feedback, P-08 revision prompt:
+    assistant messages are attempts, the user message after one is its feedback."""
+    cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    w = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    att = (cv.withColumn("next_text", w).filter(F.col("role") == "assistant")
+           .select(F.col("conv_id").alias("run_id"), F.lit(0).cast("long").alias("step"),
+                   F.lit(0).alias("g"), F.col("turn").alias("seq"),
+                   F.col("text").alias("action"),
+                   F.coalesce("next_text", F.lit("")).alias("feedback")))
+    att = ep.turn_index(att, "seq")
+    att = ep.previous_attempt(att)
+    prompt = tx.revision_prompt(F.lit("f"), F.lit("Return x doubled."), "prev_action", "prev_feedback")
+    return att.select(F.col("run_id").alias("conv_id"), "turn", F.length(prompt).alias("prompt_len"),
+                      F.md5(prompt).alias("prompt_md5"))
+
+
+@query("r12_sort_rewards")
+def r12_sort_rewards(spark, sf_dir):
+    """R-10, R-11, R-12, J-06, W-02: sort rewards of trials against their
+    prompt and the four delta modes."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    ints = lambda a: F.transform(a, lambda x: F.floor(F.abs(x) * 10).cast("int"))
+    prompts = e.groupBy(F.col("label").alias("prompt_id")).agg(
+        F.min_by(ints(F.slice("embedding", 1, 4)), "vec_id").alias("prompt"))
+    trials = e.select(F.col("label").alias("prompt_id"), "vec_id",
+                      ints(F.slice("embedding", 5, 4)).alias("response"))
+    a = toy.reward_matrix(prompts, trials, rw.sort_distance).withColumnRenamed("reward", "r_dist")
+    b = toy.reward_matrix(prompts, trials, rw.sort_inclusion_ordering).select("vec_id", "reward")
+    j = a.join(b, "vec_id")
+    d = toy.all_deltas(j, "prompt_id")
+    return d.select("prompt_id", "vec_id", r6("r_dist"), r6("reward", "r_incl"),
+                    r6("d_rewards"), r6("d_centered_rewards"), r6("d_normalized_rewards"),
+                    r6("d_max_rewards"))

@@ -23,3 +23,30 @@ def scored_trajectories(turns: DataFrame, run_config: DataFrame) -> DataFrame:
     traj = ep.trajectories(t, keys=(*ep.TRAJ_KEYS, "group_size", "reward_mode", "scale_rewards"))
     traj = traj.withColumn("reward", ep.credit("reward_mode"))
     return gr.advantage(traj, scale="scale_rewards")
+
+
+def step_metrics(turns: DataFrame, run_config: DataFrame) -> DataFrame:
+    """A-16 from turn rows: reward mean / sample std (A-07), solve rate and
+    mean turns over the configured G (A-08), temperature (M-15), and the
+    surrogate averaged over *turns* (A-09). Logged log-probs are absent
+    here, so old = current (the trainer's own detached copy, H-15): the
+    ratio is 1 and each turn's surrogate is -advantage (J-04 carries the
+    trajectory advantage to its turns)."""
+    from rewardlake.functions import tokens as tk
+
+    cfg = run_config.select(*CONFIG_COLS, "microcoder", "temperature", "temp_stage1",
+                            "temp_stage2", "temp_switch_step", "epsilon_low", "epsilon_high")
+    t = ep.by_group(join_dim(turns, cfg, "run_id"))
+    t = ep.trim_episodes(t)
+    keys = (*ep.TRAJ_KEYS, "group_size", "reward_mode", "scale_rewards")
+    traj = ep.trajectories(t, keys=keys).withColumn("reward", ep.credit("reward_mode"))
+    traj = gr.advantage(traj, scale="scale_rewards")
+    per_turn = t.join(traj.select(*ep.TRAJ_KEYS, "advantage"), list(ep.TRAJ_KEYS))   # J-04
+    per_turn = per_turn.withColumn(
+        "surrogate", tk.surrogate(F.lit(1.0), "advantage", "epsilon_low", "epsilon_high"))
+    loss = per_turn.groupBy(*ep.GROUP_KEYS).agg(
+        F.avg("surrogate").alias("pg_loss"),
+        F.first(tk.temperature("step", "microcoder", "temperature", "temp_stage1",
+                               "temp_stage2", "temp_switch_step")).alias("temperature"))
+    stats = gr.group_stats(traj)
+    return stats.join(loss, list(ep.GROUP_KEYS))
