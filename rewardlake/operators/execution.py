@@ -119,36 +119,67 @@ def run_programs(df: DataFrame, program: str = "program", timeout: float = 5.0,
     return keyed.join(ran, "program_id", "left")
 
 
-def verify(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
-           completion: str = "completion", style: str = "env", fence: str = "strip",
-           timeout: float = 5.0, allow_exec: bool = False) -> DataFrame:
-    """R-07 / R-08 / R-09 test-execution path: clean the completion (P-01
-    or P-02), check syntax (X-06), fan out one program per test (P-13),
-    run (X-07), and return per-test rows ``key + test_idx, test, passed,
-    error`` plus ``syntax_ok`` per completion.
-
-    ``completions`` carries ``task_id``; ``tasks`` carries ``task_id,
-    tests`` (and ``test_setup`` for style 'setup'). With ``style='env'``
-    code that does not parse is not run (every test fails with
-    'SyntaxError'); the setup style runs it anyway (R-08)."""
-    clean = tx.strip_fences(completion) if fence == "strip" else tx.extract_code(completion)
-    c = completions.withColumn("code", clean)
-    c = syntax_check(c, "code")
+def prepare(completions: DataFrame, completion: str = "completion", fence: str = "strip",
+            messages: bool = False) -> DataFrame:
+    """Clean the completion into ``code`` (P-03 for message lists, then
+    P-01 ``strip`` or P-02 ``extract``) and check its syntax once (X-06)."""
+    text = tx.messages_to_text(completion) if messages else F.col(completion)
+    clean = tx.strip_fences(text) if fence == "strip" else tx.extract_code(text)
+    return syntax_check(completions.withColumn("code", clean), "code")
+
+
+def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), style: str = "env",
+              timeout: float = 5.0, allow_exec: bool = False) -> DataFrame:
+    """Fan out one program per (completion, test) (P-13), run it (X-07),
+    and return ``key + test_idx, test, passed, error``.
+
+    ``style='env'``: ``code + '\\n\\n' + test``, code that does not parse is
+    not run and every test fails with 'SyntaxError'. ``style='setup'``:
+    ``setup + code + test``, run regardless of syntax (R-08)."""
     tcols = ["task_id", "tests"] + (["test_setup"] if "test_setup" in tasks.columns else [])
-    j = join_dim(c, tasks.select(*tcols), "task_id", "left")
-    per = j.select(*key, "code", "syntax_ok", *(["test_setup"] if "test_setup" in tcols else []),
-                   F.posexplode("tests").alias("test_idx", "test"))
+    j = join_dim(checked.select(*key, "task_id", "code", "syntax_ok"), tasks.select(*tcols),
+                 "task_id", "left")
+    extra = ["test_setup"] if "test_setup" in tcols else []
+    per = j.select(*key, "code", "syntax_ok", *extra, F.posexplode("tests").alias("test_idx", "test"))
     if style == "env":
         prog = tx.test_program("env", "code", "test")
         to_run = per.filter(F.col("syntax_ok"))
+        syntax = "syntax_ok"
     elif style == "setup":
-        prog = tx.test_program("setup", "code", "test", setup="test_setup")
+        prog = tx.test_program("setup", "code", "test", setup=tx.setup_or_empty("test_setup")
+                               if extra else F.lit(""))
         to_run = per
+        syntax = None
     else:
         raise ValueError(f"unknown style {style!r}")
     ran = run_programs(to_run.withColumn("program", prog), "program", timeout, allow_exec)
     ran = ran.select(*key, "test_idx", "ok", "stderr")
     out = per.join(ran, [*key, "test_idx"], "left")
     passed = F.coalesce(F.col("ok"), F.lit(False))
-    return out.select(*key, "syntax_ok", "test_idx", "test", passed.alias("passed"),
-                      tx.test_error(passed, "stderr", "syntax_ok").alias("error"))
+    return out.select(*key, "test_idx", "test", passed.alias("passed"),
+                      tx.test_error(passed, "stderr", syntax).alias("error"))
+
+
+def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
+                       completion: str = "completion", style: str = "env", fence: str = "strip",
+                       timeout: float = 5.0, allow_exec: bool = False,
+                       messages: bool = False) -> DataFrame:
+    """R-07 (env style, fences stripped) / R-08 (setup style, first fence
+    extracted): verdict per completion with feedback (A-01, P-14). A
+    completion whose task has no tests keeps its row with 0 of 0."""
+    from rewardlake.operators.verdicts import verdicts, with_feedback
+    checked = prepare(completions, completion, fence, messages)
+    per = test_rows(checked, tasks, key, style, timeout, allow_exec)
+    v = verdicts(checked, per, key, "syntax_ok" if style == "env" else None)
+    return with_feedback(v)
+
+
+def execution_reward(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
+                     completion: str = "completion", timeout: float = 10.0,
+                     allow_exec: bool = False, messages: bool = False,
+                     name: str = "execution_reward") -> DataFrame:
+    """R-09 / X-05: the batch reward of the RFT variant (P-03, P-02, setup
+    style, 10 s); the output column is named after the reward."""
+    v = execution_verdicts(completions, tasks, key, completion, "setup", "extract", timeout,
+                           allow_exec, messages)
+    return v.withColumnRenamed("fraction_passed", name)
