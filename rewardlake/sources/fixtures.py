@@ -32,7 +32,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``run_id`` by user parity, twelve consecutive events of a user form one
     GRPO group (4 trajectories x 3 turns), reward from ``value``.
     """
-    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "value", "ts")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     ev = ev.withColumn("rn", rn)
     reward = F.least(F.floor(F.col("value") / 50), F.lit(3)).cast("double") / 3.0
@@ -44,6 +44,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         reward.alias("reward"),
         (reward >= 1.0).alias("solved"),
         F.col("event_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 

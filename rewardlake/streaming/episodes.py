@@ -28,11 +28,16 @@ from rewardlake.functions import text as tx
 
 STEP_OUT = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
             "done boolean, next_prompt string")
-STEP_STATE = "next_turn int, done boolean, held string"
+STEP_STATE = "next_turn int, done boolean, held string, last_ms long"
 
 GROUP_OUT = ("run_id string, step long, g int, reward double, advantage double, "
              "complete boolean")
-GROUP_STATE = "rewards string"
+GROUP_STATE = "rewards string, last_ms long"
+
+# Held turns and unfinished groups expire once the event-time watermark
+# has passed them by this much.
+STATE_TIMEOUT_MS = 3_600_000
+WATERMARK = "1 hour"
 
 # The prompt texts (same as the batch prompt columns).
 _FIRST = "Solve this Python task. The function must be named `{e}`.\n\n{p}"
@@ -50,21 +55,35 @@ def _next_prompt(row, done: bool) -> str:
     return text
 
 
+def _max_ms(pdf: pd.DataFrame, last_ms: int) -> int:
+    if len(pdf) == 0:
+        return last_ms
+    return max(last_ms, int(pd.to_datetime(pdf["ts"]).max().value // 1_000_000))
+
+
+def _set_timeout(state, last_ms: int) -> None:
+    """Expire the state once the watermark is past the group's latest event
+    time by ``STATE_TIMEOUT_MS``."""
+    state.setTimeoutTimestamp(max(last_ms + STATE_TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
+
+
 def _episode_step(key, batches, state):
     run_id, step, g = key
     if state.hasTimedOut:
         state.remove()
         return
     if state.exists:
-        next_turn, done, held = state.get
+        next_turn, done, held, last_ms = state.get
         held = json.loads(held)
     else:
-        next_turn, done, held = 0, False, {}
+        next_turn, done, held, last_ms = 0, False, {}, 0
     for pdf in batches:
+        last_ms = _max_ms(pdf, last_ms)
         for rec in pdf.to_dict("records"):
             t = int(rec["turn"])
             if not done and t >= next_turn and str(t) not in held:
-                held[str(t)] = {k: (v.item() if hasattr(v, "item") else v) for k, v in rec.items()}
+                held[str(t)] = {k: (v.item() if hasattr(v, "item") else v) for k, v in rec.items()
+                                if k != "ts"}
     out = []
     while not done and str(next_turn) in held:
         rec = held.pop(str(next_turn))
@@ -75,21 +94,26 @@ def _episode_step(key, batches, state):
         done = d
     if done:
         held = {}
-    state.update((next_turn, done, json.dumps(held)))
-    state.setTimeoutDuration("1 hour")
+    state.update((next_turn, done, json.dumps(held), last_ms))
+    _set_timeout(state, last_ms)
     if out:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_OUT.split(", ")])
 
 
-def episode_stream(turns: DataFrame) -> DataFrame:
-    """X-01 over a (streaming or batch) DataFrame of scored turns with
-    ``run_id, step, g, turn, reward, solved, action, feedback, max_turns,
-    entry_point, prompt``."""
+def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    # withWatermark rejects TIMESTAMP_NTZ (H-17): use a session-zone timestamp.
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """X-01 over a streaming DataFrame of scored turns with ``run_id,
+    step, g, turn, reward, solved, action, feedback, max_turns,
+    entry_point, prompt`` and an event time ``ts``."""
     cols = ["run_id", "step", "g", "turn", "reward", "solved", "action", "feedback", "max_turns",
-            "entry_point", "prompt"]
-    return (turns.select(*cols).groupBy("run_id", "step", "g")
+            "entry_point", "prompt", ts]
+    return (_watermarked(turns, ts, delay).select(*cols).groupBy("run_id", "step", "g")
             .applyInPandasWithState(_episode_step, STEP_OUT, STEP_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+                                    GroupStateTimeout.EventTimeTimeout))
 
 
 def episode_batch_twin(turns: DataFrame) -> DataFrame:
@@ -114,9 +138,9 @@ def _advantages(rows):
 def _group_barrier(key, batches, state):
     run_id, step, group_size = key
     if state.exists:
-        seen = json.loads(state.get[0])
+        seen, last_ms = json.loads(state.get[0]), state.get[1]
     else:
-        seen = {}
+        seen, last_ms = {}, 0
     if state.hasTimedOut:
         state.remove()
         if seen:
@@ -125,6 +149,7 @@ def _group_barrier(key, batches, state):
                                columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
         return
     for pdf in batches:
+        last_ms = _max_ms(pdf, last_ms)
         for g, rew in zip(pdf["g"], pdf["reward"]):
             seen[str(int(g))] = float(rew)
     if len(seen) >= int(group_size):
@@ -133,14 +158,16 @@ def _group_barrier(key, batches, state):
         yield pd.DataFrame([(run_id, int(step), g, x, a, True) for g, x, a in _advantages(rows)],
                            columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
     else:
-        state.update((json.dumps(seen),))
-        state.setTimeoutDuration("1 hour")
+        state.update((json.dumps(seen), last_ms))
+        _set_timeout(state, last_ms)
 
 
-def group_barrier(finished: DataFrame) -> DataFrame:
+def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
     """X-02 over finished trajectories ``run_id, step, g, reward,
-    group_size``: advantages once all G trajectories of a group finished."""
-    return (finished.select("run_id", "step", "g", "reward", "group_size")
+    group_size, ts``: advantages once all G trajectories of a group
+    finished; a group still open when the watermark passes it by the
+    timeout is flushed with ``complete = false``."""
+    return (_watermarked(finished, ts, delay).select("run_id", "step", "g", "reward", "group_size", ts)
             .groupBy("run_id", "step", "group_size")
             .applyInPandasWithState(_group_barrier, GROUP_OUT, GROUP_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+                                    GroupStateTimeout.EventTimeTimeout))
