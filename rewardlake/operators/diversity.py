@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from rewardlake.functions.text import py_split
 from rewardlake.functions.tokens import ngrams
+from rewardlake.operators.layout import spread
 
 
 def ngram_diversity(texts: DataFrame, group: str = "grp", text: str = "text", n: int = 4
                     ) -> DataFrame:
-    words = texts.select(group, py_split(text).alias("w"))
+    words = spread(texts).select(group, py_split(text).alias("w"))
     total = words.groupBy(group).agg(
         F.sum(F.greatest(F.size("w") - (n - 1), F.lit(0))).cast("long").alias("n_total"))
     grams = words.select(group, F.explode(ngrams("w", n)).alias("gram"))

@@ -25,6 +25,7 @@ from rewardlake.operators import process as pr
 from rewardlake.operators import splits as sp
 from rewardlake.operators import verdicts as vd
 from rewardlake.operators.joins import join_dim
+from rewardlake.operators.layout import spread
 from rewardlake.plans import toy, training
 from rewardlake.sources import fixtures as fx
 from rewardlake.sources import tasks as tl
@@ -144,8 +145,8 @@ def p09_messages(spark, sf_dir):
 def p01_fences(spark, sf_dir):
     """P-01 strip all fences, P-02 first closed fence body, R-03 format,
     over English documents wrapped in fences of several shapes."""
-    d = (read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-         .filter(F.col("lang") == "en"))
+    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+               .filter(F.col("lang") == "en"))
     k = F.col("doc_id") % 4
     wrapped = (F.when(k == 0, F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nDone.")))
                .when(k == 1, F.concat(F.lit("```\n"), "text"))
@@ -215,7 +216,7 @@ def m14_logsoftmax(spark, sf_dir):
 @query("m01_tokens")
 def m01_tokens(spark, sf_dir):
     """M-01, M-02, M-03, M-04 on token sequences (EOS 'the', budget 256, m 4)."""
-    t = fx.tokens(spark, sf_dir)
+    t = fx.tokens(spread(read_table(spark, sf_dir, "documents", "doc_id", "text")))
     return t.select(
         "doc_id", F.size(tk.cut_at_eos("ids", "the")).alias("cut_len"),
         tk.truncated_no_eos("ids", "the", 256).alias("truncated"),
@@ -228,7 +229,7 @@ def m01_tokens(spark, sf_dir):
 @query("f03_mask")
 def f03_mask(spark, sf_dir):
     """F-03/F-04 conditional truncation mask, F-11 unconditional drop."""
-    t = fx.tokens(spark, sf_dir).select(
+    t = fx.tokens(spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))).select(
         "doc_id", F.col("ids").alias("comp_ids"),
         tk.truncated_len("ids", 256).alias("truncated"),
         ((F.col("doc_id") % 5 - 2) / 2.0).alias("advantage"))

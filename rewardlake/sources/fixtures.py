@@ -83,9 +83,10 @@ def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("vec_id", "grp", "adv", "lp", "old_lp", "ref_lp"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sequences: the whitespace words of each document."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+def tokens(docs: DataFrame) -> DataFrame:
+    """Token sequences: the whitespace words of each document
+    (``documents(doc_id, text)``)."""
+    d = docs
     return d.select("doc_id", F.split(F.col("text"), r"\s+").alias("raw")).select(
         "doc_id", F.filter("raw", lambda x: x != "").alias("ids"))
 
