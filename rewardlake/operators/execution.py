@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from rewardlake.functions import text as tx
 from rewardlake.operators.joins import join_dim
-from rewardlake.session import cut_lineage
+from rewardlake.session import cut_lineage, ship_package
 
 EXEC_SCHEMA = T.StructType([
     T.StructField("program_id", T.StringType()),
@@ -55,6 +55,7 @@ def parses(code: pd.Series) -> pd.Series:
 def syntax_check(df: DataFrame, code: str = "code", name: str = "syntax_ok",
                  max_broadcast_rows: int = 200_000) -> DataFrame:
     """X-06: parse each distinct code once, materialise, join back."""
+    ship_package(df.sparkSession)
     keyed = df.withColumn("_cid", F.sha2(F.col(code), 256))
     distinct = keyed.select("_cid", code).dropDuplicates(["_cid"])
     checked = cut_lineage(distinct.select("_cid", parses(F.col(code)).alias(name)))
@@ -110,10 +111,14 @@ def run_programs(df: DataFrame, program: str = "program", timeout: float = 5.0,
     stdout / stderr / timed_out. Exit code 0 is a pass (H-12)."""
     if not allow_exec:
         raise PermissionError("test execution is opt-in: pass allow_exec=True")
+    ship_package(df.sparkSession)
     keyed = df.withColumn("program_id", F.sha2(F.col(program), 256))
     distinct = keyed.select("program_id", program).dropDuplicates(["program_id"])
-    n = spread or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = distinct.repartition(n, "program_id")
+    # Round-robin after the dedupe: AQE may coalesce the (small) dedupe
+    # shuffle into one partition, which would run every program in a
+    # single task; a by-number repartition is kept as asked.
+    n = spread or 4 * df.sparkSession.sparkContext.defaultParallelism
+    distinct = distinct.repartition(n)
     ran = distinct.mapInPandas(lambda it: _run_batch(it, timeout, mem_mb), EXEC_SCHEMA)
     ran = cut_lineage(ran)
     return keyed.join(ran, "program_id", "left")

@@ -423,3 +423,17 @@ def r12_sort_rewards(spark, sf_dir):
     return d.select("prompt_id", "vec_id", r6("r_dist"), r6("reward", "r_incl"),
                     r6("d_rewards"), r6("d_centered_rewards"), r6("d_normalized_rewards"),
                     r6("d_max_rewards"))
+
+
+@query("x07_verify")
+def x07_verify(spark, sf_dir):
+    """X-06 + X-07 + A-01 + P-14: run each benchmark task's asserts against
+    three completions per task (fixed templates, generated here, so the
+    executed code is ours); each distinct program runs once."""
+    raw = _tasks(spark, sf_dir)
+    tasks = raw.select(F.concat(F.lit("bench/"), F.col("task_id").cast("string")).alias("task_id"),
+                       F.col("test_list").alias("tests"))
+    comps = fx.completions_for_tasks(raw)
+    v = ex.execution_verdicts(comps, tasks, timeout=10.0, allow_exec=True)
+    return v.select("completion_id", "kind", "syntax_ok", "n_passed", "n_total", "all_passed",
+                    r6("fraction_passed"), (F.length("feedback") > 0).alias("has_feedback"))

@@ -519,3 +519,13 @@ SELECT prompt_id, vec_id, {R('r_dist')}, {R('r', 'r_incl')}, {R('r', 'd_rewards'
        {R('(r - avg(r) OVER w) / (stddev_samp(r) OVER w + 1e-5)', 'd_normalized_rewards')},
        {R('CASE WHEN r = max(r) OVER w THEN r ELSE 0.0 END', 'd_max_rewards')}
 FROM s WINDOW w AS (PARTITION BY prompt_id)"""
+
+ORACLE["x07_verify"] = with_views("""
+, c AS (SELECT task_id, k.kind FROM tasks, (VALUES ('right'), ('wrong'), ('syntax')) k(kind))
+SELECT 'bench/' || CAST(task_id AS VARCHAR) || '/' || kind AS completion_id, kind,
+       kind <> 'syntax' AS syntax_ok,
+       CAST(CASE WHEN kind = 'right' THEN 2 ELSE 0 END AS BIGINT) AS n_passed,
+       CAST(2 AS BIGINT) AS n_total, kind = 'right' AS all_passed,
+       CAST(CASE WHEN kind = 'right' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS fraction_passed,
+       kind <> 'right' AS has_feedback
+FROM c""".replace("\n, c AS", ", c AS", 1), "tasks")

@@ -147,3 +147,31 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("assert "), name, F.lit("(1) == 1")),
                 F.concat(F.lit("assert "), name, F.lit("(2) == 2"))).alias("test_list"),
         F.when(F.col("item_id") % 2 == 0, "mbpp").otherwise("humaneval").alias("source"))
+
+
+# Completion templates for the execution check (name = the
+# function the task's asserts call): right but fenced, wrong, unparsable.
+COMPLETION_TEMPLATES = (
+    ("right", "```python\ndef {name}(x):\n    return x\n```"),
+    ("wrong", "def {name}(x):\n    return x + 1"),
+    ("syntax", "def {name}(x) return x"),
+)
+
+
+def completions_for_tasks(tasks_df: DataFrame) -> DataFrame:
+    """Three completions per task from ``COMPLETION_TEMPLATES``."""
+    name = F.concat(F.lit("f"), F.col("task_id").cast("string"))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"),
+                              F.concat(*[part if i % 2 else F.lit(part)
+                                         for i, part in enumerate(_split_name(t, name))]).alias("completion"))
+                     for k, t in COMPLETION_TEMPLATES])
+    return tasks_df.select(F.col("task_id"), F.inline(rows)).select(
+        F.concat(F.lit("bench/"), F.col("task_id").cast("string"), F.lit("/"), F.col("kind"))
+        .alias("completion_id"),
+        F.concat(F.lit("bench/"), F.col("task_id").cast("string")).alias("task_id"),
+        "kind", "completion")
+
+
+def _split_name(template: str, name):
+    head, tail = template.split("{name}")
+    return [head, name, tail]

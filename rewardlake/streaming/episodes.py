@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rewardlake.functions import text as tx
+from rewardlake.session import ship_package
 
 STEP_OUT = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
             "done boolean, next_prompt string")
@@ -109,6 +110,7 @@ def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK) ->
     """X-01 over a streaming DataFrame of scored turns with ``run_id,
     step, g, turn, reward, solved, action, feedback, max_turns,
     entry_point, prompt`` and an event time ``ts``."""
+    ship_package(turns.sparkSession)
     cols = ["run_id", "step", "g", "turn", "reward", "solved", "action", "feedback", "max_turns",
             "entry_point", "prompt", ts]
     return (_watermarked(turns, ts, delay).select(*cols).groupBy("run_id", "step", "g")
@@ -167,6 +169,7 @@ def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK) -
     group_size, ts``: advantages once all G trajectories of a group
     finished; a group still open when the watermark passes it by the
     timeout is flushed with ``complete = false``."""
+    ship_package(finished.sparkSession)
     return (_watermarked(finished, ts, delay).select("run_id", "step", "g", "reward", "group_size", ts)
             .groupBy("run_id", "step", "group_size")
             .applyInPandasWithState(_group_barrier, GROUP_OUT, GROUP_STATE, "append",
