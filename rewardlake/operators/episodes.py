@@ -71,3 +71,15 @@ def credit(reward_mode="reward_mode") -> Column:
     """A-06: the trajectory reward the advantage is computed from."""
     mode = F.col(reward_mode) if isinstance(reward_mode, str) else F.lit(reward_mode)
     return F.when(mode == "best", F.col("best_reward")).otherwise(F.col("final_reward"))
+
+
+def copies(df: DataFrame, group_size, name: str = "g") -> DataFrame:
+    """J-05: G copies of each row (one per trajectory of the group)."""
+    n = F.col(group_size) if isinstance(group_size, str) else F.lit(group_size)
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+
+
+def join_turn_tokens(turns: DataFrame, tokens: DataFrame, keys=(*TRAJ_KEYS, "turn")) -> DataFrame:
+    """J-02: each turn row with its token record (prompt / completion ids,
+    truncation flag) by position ``(run_id, step, g, turn)``."""
+    return turns.join(tokens, list(keys), "inner")

@@ -70,3 +70,14 @@ def fmt_array(x) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     return F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: F.format_string("%.3f", v)),
                                              ", "), F.lit("]"))
+
+
+def records(df: DataFrame, steps_per_epoch: int, epoch: str = "epoch", step: str = "step") -> DataFrame:
+    """S-12: record rows with the global step ``epoch * steps_per_epoch + step``."""
+    return df.select(epoch, (F.col(epoch) * steps_per_epoch + F.col(step)).alias("step"),
+                     "loss", "mean_reward")
+
+
+def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """S-13: skip the work when the output already exists (``ignore`` mode)."""
+    df.write.mode("ignore").format(fmt).save(path)

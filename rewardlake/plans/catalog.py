@@ -372,7 +372,8 @@ def t03_capped_split(spark, sf_dir):
 
 @query("f10_draw")
 def f10_draw(spark, sf_dir):
-    """F-10 one task per step, J-01 turn rows joined to their task, P-07 prompt."""
+    """F-10 one task per step, J-05 G copies, J-01 turn rows joined to their
+    task, P-07 prompt."""
     raw = _tasks(spark, sf_dir)
     tasks = tl.mbpp_sanitized(raw)
     rows = sp.source_row_numbers(raw.select("task_id"), "task_id").select(
@@ -381,8 +382,11 @@ def f10_draw(spark, sf_dir):
     n = tasks.count()
     steps = fx.rollouts(spark, sf_dir).select("run_id", "step").distinct()
     drawn = sp.draw_per_step(steps, tasks.select("row_idx", "task_id"), n, seed=42)
+    cfg = run_config(spark).select("run_id", "group_size")
+    per_traj = ep.copies(join_dim(drawn.select("run_id", "step", "task_id"), cfg, "run_id"),
+                         "group_size")                                              # J-05
     turns = fx.rollouts(spark, sf_dir).select("run_id", "step", "g", "turn")
-    j = turns.join(drawn.select("run_id", "step", "task_id"), ["run_id", "step"])
+    j = turns.join(per_traj.select("run_id", "step", "g", "task_id"), ["run_id", "step", "g"])
     j = join_dim(j, tasks.select("task_id", "entry_point", "prompt"), "task_id")
     return j.select("run_id", "step", "g", "turn", "task_id",
                     F.md5(tx.first_turn_prompt("entry_point", "prompt")).alias("prompt_md5"))
