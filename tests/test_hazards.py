@@ -92,6 +92,8 @@ def test_m_math(spark):
     assert one(spark, tk.temperature(F.lit(150), F.lit(True), F.lit(0.8), F.lit(0.7), F.lit(1.0), F.lit(100))) == 1.0
     assert one(spark, tk.temperature(F.lit(150), F.lit(False), F.lit(0.8), F.lit(0.7), F.lit(1.0), F.lit(100))) == 0.8
     assert one(spark, tk.snapshot_epoch(F.lit(27), 10)) == 20
+    assert one(spark, tk.truncated_reason(F.lit("length"))) is True
+    assert one(spark, tk.truncated_reason(F.lit("stop"))) is False
 
 
 def test_filter_not_pushed_below_row_number(spark):
