@@ -2,8 +2,11 @@
 R-13 .. R-16).
 
 The reference walks the list keeping two carried values; both depend
-only on the last commit that parsed, so one window per trajectory
-ordered by position replaces the loop (one shuffle).
+only on the last commit that parsed. That is a segmented scan: commits
+are cut into ``(trajectory, pos div width)`` buckets, each bucket finds
+its own previous valid commit with a window, and the carry-in from
+earlier buckets comes from the small per-bucket table. No task ever holds
+more than ``width`` commits of one trajectory, however long it is.
 """
 from __future__ import annotations
 
@@ -16,21 +19,37 @@ from rewardlake.functions import rewards as rw
 BAD_SYNTAX, VALID, DIFF, NEW_TESTS, FINAL = -0.1, 0.1, 0.2, 0.5, 1.0
 
 
+def previous_valid(commits: DataFrame, keys, pos: str, valid: str, value: str,
+                   width: int = 100_000, name: str = "prev_code") -> DataFrame:
+    """W-04: ``value`` of the last earlier row with ``valid`` true (null if
+    none), plus ``is_final`` (W-06), by a bucketed segmented scan."""
+    keys = list(keys)
+    b = commits.withColumn("_b", F.floor(F.col(pos) / width))
+    per_bucket = b.groupBy(*keys, "_b").agg(
+        F.max_by(F.col(value), F.when(F.col(valid), F.col(pos))).alias("_blast"),
+        F.max(pos).alias("_bmax"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = (per_bucket
+                  .withColumn("_carry", F.last("_blast", ignorenulls=True).over(earlier))
+                  .withColumn("_kmax", F.max("_bmax").over(Window.partitionBy(*keys)))
+                  .select(*keys, "_b", "_carry", "_kmax"))
+    local = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    out = b.join(per_bucket, [*keys, "_b"])
+    out = out.withColumn(name, F.coalesce(
+        F.last(F.when(F.col(valid), F.col(value)), ignorenulls=True).over(local), F.col("_carry")))
+    return out.withColumn("is_final", F.col(pos) == F.col("_kmax")).drop("_b", "_carry", "_kmax")
+
+
 def step_rewards(commits: DataFrame, keys=("traj_id",), pos: str = "pos",
-                 syntax_ok: str = "syntax_ok") -> DataFrame:
+                 syntax_ok: str = "syntax_ok", width: int = 100_000) -> DataFrame:
     """R-13 per commit. ``syntax_ok`` comes from the syntax job (X-06)."""
-    order = Window.partitionBy(*keys).orderBy(pos)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     valid = F.col(syntax_ok)
-    prev_code = F.last(F.when(valid, F.col("code")), ignorenulls=True).over(before)   # W-04
-    out = (commits.withColumn("prev_code", prev_code)
+    out = (previous_valid(commits, keys, pos, syntax_ok, "code", width)                 # W-04, W-06
            .withColumn("tests", rw.pattern_tests("code"))                               # R-14
            .withColumn("prev_tests", F.when(F.col("prev_code").isNotNull(),
                                             rw.pattern_tests("prev_code"))
                        .otherwise(F.array().cast("array<string>")))
            .withColumn("new_tests", F.array_except("tests", "prev_tests"))             # W-05
-           .withColumn("is_final", F.col(pos) == F.max(pos).over(whole))               # W-06
            .withColumn("diff_ok", rw.diff_applies("code", "prev_code")))               # R-16
     reward = (F.lit(VALID)
               + F.when(F.col("diff_ok"), DIFF).otherwise(0.0)

@@ -28,6 +28,23 @@ def row_numbers(df: DataFrame, bucket: Column, order: list, name: str = "row_idx
             .drop("_b", "_off"))
 
 
+def keyed_row_numbers(df: DataFrame, keys: list[str], order: str, width: int = 100_000,
+                      name: str = "rn") -> DataFrame:
+    """0-based row number within each key, in ``order`` (a unique integer
+    column), without sending a hot key to one task: rows are numbered
+    inside ``(key, order div width)`` buckets, and each bucket's offset is
+    the running count of the key's earlier buckets, computed on the small
+    bucket table (one row per bucket)."""
+    b = df.withColumn("_b", F.floor(F.col(order) / width))
+    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    return (b.join(offs.select(*keys, "_b", "_off"), [*keys, "_b"])
+            .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_b", "_off"))
+
+
 def seeded_order(key: str, seed: int) -> Column:
     """T-01: a seeded shuffle key (uniform in [0, 1), H-5)."""
     return uniform(F.lit(str(seed)), F.col(key))

@@ -32,9 +32,10 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``run_id`` by user parity, twelve consecutive events of a user form one
     GRPO group (4 trajectories x 3 turns), reward from ``value``.
     """
+    from rewardlake.operators.splits import keyed_row_numbers
+
     ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "value", "ts")
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    ev = ev.withColumn("rn", rn)
+    ev = keyed_row_numbers(ev, ["user_id"], "event_id")
     reward = F.least(F.floor(F.col("value") / 50), F.lit(3)).cast("double") / 3.0
     return ev.select(
         F.when(F.col("user_id") % 2 == 0, "base").otherwise("variant").alias("run_id"),

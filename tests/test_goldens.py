@@ -77,3 +77,26 @@ def test_rubric_duplicate_names(spark):
     assert r.b == {"tests": 0.0}           # the last one wins in the breakdown (H-6)
     zero = [rw.Component("x", lambda: F.lit(1.0), 0.0)]
     assert spark.range(1).select(rw.rubric_reward(zero).alias("r")).first().r == 0.0
+
+
+def test_bucketed_scans_equal_plain_windows(spark):
+    """The hot-key-safe forms give what a single window per key gives."""
+    import random
+    from pyspark.sql import Window
+    from rewardlake.operators.process import previous_valid
+    from rewardlake.operators.splits import keyed_row_numbers
+    random.seed(1)
+    rows = [(t, p, random.random() < 0.6, f"c{t}_{p}") for t in range(5) for p in range(random.randint(1, 40))]
+    df = spark.createDataFrame(rows, "traj_id long, pos int, ok boolean, code string")
+    a = previous_valid(df, ["traj_id"], "pos", "ok", "code", width=3).select("traj_id", "pos", "prev_code", "is_final")
+    w = Window.partitionBy("traj_id").orderBy("pos")
+    b = df.select("traj_id", "pos",
+                  F.last(F.when(F.col("ok"), F.col("code")), True).over(
+                      w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_code"),
+                  (F.col("pos") == F.max("pos").over(Window.partitionBy("traj_id"))).alias("is_final"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    ev = spark.createDataFrame([(i % 3, i) for i in range(300)], "user_id long, event_id long")
+    x = keyed_row_numbers(ev, ["user_id"], "event_id", width=7).select("user_id", "event_id", "rn")
+    y = ev.select("user_id", "event_id",
+                  (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("rn"))
+    assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
