@@ -18,7 +18,9 @@ from rewardlake.operators.layout import spread
 
 def ngram_diversity(texts: DataFrame, group: str = "grp", text: str = "text", n: int = 4
                     ) -> DataFrame:
-    words = spread(texts).select(group, py_split(text).alias("w"))
+    # n-grams are ~4x the text: one round-robin of the text first keeps
+    # the explosion evenly spread whatever the input file layout.
+    words = spread(texts, force=True).select(group, py_split(text).alias("w"))
     total = words.groupBy(group).agg(
         F.sum(F.greatest(F.size("w") - (n - 1), F.lit(0))).cast("long").alias("n_total"))
     grams = words.select(group, F.explode(ngrams("w", n)).alias("gram"))

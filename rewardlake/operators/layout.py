@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, force: bool = False) -> DataFrame:
     """Round-robin the rows over at least ``min_partitions`` partitions
     (default: the cluster's parallelism) when the input has fewer.
 
@@ -12,7 +12,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     partition; a table stored in one parquet row group scans as one
     partition and would keep a single core busy. Inputs that already have
     enough partitions (many files / row groups) are returned unchanged,
-    so at scale this adds no shuffle."""
+    so at scale this adds no shuffle.
+
+    A partition count can hide skew (a union of byte splits where one
+    split holds every row group); ``force=True`` always round-robins, for
+    work whose output dwarfs its input (n-gram explosion), where one extra
+    shuffle of the input buys evenly loaded tasks."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if force:
+        return df.repartition(want)
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df
