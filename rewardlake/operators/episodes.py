@@ -67,6 +67,19 @@ def trajectories(turns: DataFrame, keys=TRAJ_KEYS, extra_aggs=()) -> DataFrame:
         *extra_aggs)
 
 
+def with_trajectory(turns: DataFrame, keys=TRAJ_KEYS) -> DataFrame:
+    """A-02 .. A-05 attached to every turn row by window aggregates over the
+    trajectory (J-04 without a join: the turn rows stay where
+    ``by_group`` put them). ``is_head`` marks one row per trajectory."""
+    w = Window.partitionBy(*keys)
+    return (turns
+            .withColumn("final_reward", F.coalesce(F.max_by("reward", "turn").over(w), F.lit(0.0)))
+            .withColumn("best_reward", F.coalesce(F.max("reward").over(w), F.lit(0.0)))
+            .withColumn("traj_solved", F.coalesce(F.bool_or("solved").over(w), F.lit(False)))
+            .withColumn("n_turns", F.count(F.lit(1)).over(w))
+            .withColumn("is_head", F.col("turn") == F.min("turn").over(w)))
+
+
 def credit(reward_mode="reward_mode") -> Column:
     """A-06: the trajectory reward the advantage is computed from."""
     mode = F.col(reward_mode) if isinstance(reward_mode, str) else F.lit(reward_mode)

@@ -24,14 +24,17 @@ def varied(std: Column) -> Column:
 
 
 def advantage(df: DataFrame, reward: str = "reward", keys=("run_id", "step"),
-              scale=None, name: str = "advantage") -> DataFrame:
+              scale=None, name: str = "advantage", only: str | None = None) -> DataFrame:
     """W-01 / W-03: ``(r - mean) / (std + 1e-8)`` when the group varies,
     else 0; with ``scale`` false, only ``r - mean`` (no std scaling).
-    ``scale`` is a column name, a bool, or None (= always scale)."""
+    ``scale`` is a column name, a bool, or None (= always scale). With
+    ``only``, the group statistics use just the rows where that column is
+    true (one row per trajectory when rows are turns)."""
     w = Window.partitionBy(*keys)
     r = F.col(reward)
-    mean = F.avg(r).over(w)
-    std = F.stddev_samp(r).over(w)
+    sample = F.when(F.col(only), r) if only else r
+    mean = F.avg(sample).over(w)
+    std = F.stddev_samp(sample).over(w)
     scaled = F.when(varied(std), (r - mean) / (std + ADV_EPS)).otherwise(F.lit(0.0))
     if scale is None or scale is True:
         adv = scaled

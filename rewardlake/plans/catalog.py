@@ -159,31 +159,28 @@ def p01_fences(spark, sf_dir):
                     rw.clean_format("completion").alias("format_reward"))
 
 
-def _logprob_terms(spark, sf_dir, eps_low, eps_high):
-    lp = fx.logprobs(spark, sf_dir)
-    return ob.sequence_terms(lp, "adv", eps_low, eps_high)
+def _logprobs(spark, sf_dir):
+    """J-03 over the three logged tables."""
+    policy, old, ref = fx.logprob_tables(spark, sf_dir)
+    return ob.join_logprobs(policy, old, ref, ["vec_id"])
 
 
 @query("m07_objective")
 def m07_objective(spark, sf_dir):
-    """M-06, M-07, M-09, M-10, M-12, M-13 per completion, both clip settings."""
-    base = _logprob_terms(spark, sf_dir, 0.2, 0.2)
-    var = _logprob_terms(spark, sf_dir, 0.2, 0.5).select(
-        "vec_id", F.col("clipped_ratio").alias("clip_variant"), F.col("surrogate").alias("surr_variant"))
-    j = base.join(var, "vec_id")
-    return j.select("vec_id", r6("mean_lp"), r6("mean_old_lp"), r6("ratio"),
+    """J-03, M-06, M-07, M-09, M-10, M-12, M-13 per completion; both clip
+    settings (baseline 0.2/0.2, variant 0.2/0.5) from one pass."""
+    t = ob.sequence_terms(_logprobs(spark, sf_dir), "adv", 0.2, 0.2)
+    t = (t.withColumn("clip_variant", tk.clip("ratio", 0.2, 0.5))
+         .withColumn("surr_variant", tk.surrogate("ratio", "adv", 0.2, 0.5)))
+    return t.select("vec_id", r6("mean_lp"), r6("mean_old_lp"), r6("ratio"),
                     r6("clipped_ratio", "clip_base"), r6("clip_variant"),
                     r6("surrogate", "surr_base"), r6("surr_variant"), r6("kl"), r6("entropy"))
 
 
 @query("a09_objective")
 def a09_objective(spark, sf_dir):
-    """J-03, F-08, A-09, A-11, A-12, A-14, M-17 per group of log-prob rows."""
-    lp = fx.logprobs(spark, sf_dir)
-    pol = lp.select("vec_id", "grp", "adv", "lp")
-    old = lp.select("vec_id", "old_lp")
-    ref = lp.select("vec_id", "ref_lp")
-    j = ob.join_logprobs(pol, old, ref, ["vec_id"])
+    """J-03, J-09, F-08, A-09, A-11, A-12, A-14, M-17 per run and group."""
+    j = _logprobs(spark, sf_dir)
     j = j.withColumn("run_id", F.when(F.col("grp") % 2 == 0, "base").otherwise("variant"))
     cfg = run_config(spark).select("run_id", "microcoder", "kl_coeff", "epsilon_low",
                                    "epsilon_high", "group_size")
@@ -197,7 +194,7 @@ def a09_objective(spark, sf_dir):
 @query("m08_token_loss")
 def m08_token_loss(spark, sf_dir):
     """M-08, M-11, J-11, A-13, A-15: toy per-token losses per group."""
-    lp = fx.logprobs(spark, sf_dir).withColumnRenamed("adv", "delta")
+    lp = _logprobs(spark, sf_dir).withColumnRenamed("adv", "delta")
     out = ob.token_means(ob.token_terms(lp, "delta", 0.01), ["grp"])
     return out.select("grp", r6("loss_naive"), r6("loss_unclipped"), r6("loss_clipped"),
                       r6("kl_penalty"))

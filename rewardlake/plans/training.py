@@ -26,27 +26,34 @@ def scored_trajectories(turns: DataFrame, run_config: DataFrame) -> DataFrame:
 
 
 def step_metrics(turns: DataFrame, run_config: DataFrame) -> DataFrame:
-    """A-16 from turn rows: reward mean / sample std (A-07), solve rate and
-    mean turns over the configured G (A-08), temperature (M-15), and the
-    surrogate averaged over *turns* (A-09). Logged log-probs are absent
-    here, so old = current (the trainer's own detached copy, H-15): the
-    ratio is 1 and each turn's surrogate is -advantage (J-04 carries the
-    trajectory advantage to its turns)."""
+    """A-16 from turn rows: reward mean / sample std over trajectories
+    (A-07), solve rate and mean turns over the configured G (A-08),
+    temperature (M-15), and the surrogate averaged over *turns* (A-09).
+    Logged log-probs are absent here, so old = current (the trainer's own
+    detached copy, H-15): the ratio is 1 and each turn's surrogate is
+    -advantage of its trajectory (J-04).
+
+    Everything after ``by_group`` is keyed by ``(run_id, step)`` or finer:
+    trajectory values reach their turns through window aggregates, group
+    statistics take one value per trajectory (``is_head``), so the plan
+    holds a single hash exchange after the input."""
     from rewardlake.functions import tokens as tk
 
     cfg = run_config.select(*CONFIG_COLS, "microcoder", "temperature", "temp_stage1",
                             "temp_stage2", "temp_switch_step", "epsilon_low", "epsilon_high")
     t = ep.by_group(join_dim(turns, cfg, "run_id"))
-    t = ep.trim_episodes(t)
-    keys = (*ep.TRAJ_KEYS, "group_size", "reward_mode", "scale_rewards")
-    traj = ep.trajectories(t, keys=keys).withColumn("reward", ep.credit("reward_mode"))
-    traj = gr.advantage(traj, scale="scale_rewards")
-    per_turn = t.join(traj.select(*ep.TRAJ_KEYS, "advantage"), list(ep.TRAJ_KEYS))   # J-04
-    per_turn = per_turn.withColumn(
-        "surrogate", tk.surrogate(F.lit(1.0), "advantage", "epsilon_low", "epsilon_high"))
-    loss = per_turn.groupBy(*ep.GROUP_KEYS).agg(
+    t = ep.with_trajectory(ep.trim_episodes(t))
+    t = t.withColumn("traj_reward", ep.credit("reward_mode"))
+    t = gr.advantage(t, "traj_reward", scale="scale_rewards", only="is_head")
+    t = t.withColumn("surrogate",
+                     tk.surrogate(F.lit(1.0), "advantage", "epsilon_low", "epsilon_high"))
+    head = F.col("is_head")
+    temp = tk.temperature("step", "microcoder", "temperature", "temp_stage1", "temp_stage2",
+                          "temp_switch_step")
+    return t.groupBy(*ep.GROUP_KEYS).agg(
+        F.avg(F.when(head, F.col("traj_reward"))).alias("reward_mean"),
+        F.stddev_samp(F.when(head, F.col("traj_reward"))).alias("reward_std"),
+        (F.sum(F.when(head, F.col("traj_solved").cast("int"))) / F.first("group_size")).alias("solve_rate"),
+        (F.sum(F.when(head, F.col("n_turns"))) / F.first("group_size")).alias("mean_turns"),
         F.avg("surrogate").alias("pg_loss"),
-        F.first(tk.temperature("step", "microcoder", "temperature", "temp_stage1",
-                               "temp_stage2", "temp_switch_step")).alias("temperature"))
-    stats = gr.group_stats(traj)
-    return stats.join(loss, list(ep.GROUP_KEYS))
+        F.first(temp).alias("temperature"))

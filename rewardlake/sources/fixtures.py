@@ -66,22 +66,20 @@ def completions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("o_orderpriority") == "1-URGENT").alias("has_fence"))
 
 
-def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-token log-probs: lp from the row's embedding, old / reference
-    from the rows one and two ids further on (modulo the row count)."""
+def logprob_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three logged per-token log-prob tables keyed by ``vec_id``: policy
+    (``grp, adv, lp``), old (``old_lp``) and reference (``ref_lp``). The
+    policy row of ``vec_id`` is the row's own embedding; old and reference
+    are the embeddings one and two ids further on (modulo the row count),
+    i.e. each table is the same scan with its key shifted."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    lp = emb.select("vec_id", "label",
-                    F.transform("embedding", lambda x: -30.0 * F.abs(x.cast("double"))).alias("lp"))
+    lp = F.transform("embedding", lambda x: -30.0 * F.abs(x.cast("double")))
     n = emb.select(F.count("*")).scalar()
-    base = lp.select(
-        "vec_id", F.col("label").alias("grp"), "lp",
-        ((F.col("vec_id") % 5 - 2) / 2.0).alias("adv"),
-        ((F.col("vec_id") + 1) % n).alias("old_id"),
-        ((F.col("vec_id") + 2) % n).alias("ref_id"))
-    old = lp.select(F.col("vec_id").alias("old_id"), F.col("lp").alias("old_lp"))
-    ref = lp.select(F.col("vec_id").alias("ref_id"), F.col("lp").alias("ref_lp"))
-    return (base.join(old, "old_id").join(ref, "ref_id")
-            .select("vec_id", "grp", "adv", "lp", "old_lp", "ref_lp"))
+    policy = emb.select("vec_id", F.col("label").alias("grp"),
+                        ((F.col("vec_id") % 5 - 2) / 2.0).alias("adv"), lp.alias("lp"))
+    old = emb.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), lp.alias("old_lp"))
+    ref = emb.select(F.pmod(F.col("vec_id") - 2, n).alias("vec_id"), lp.alias("ref_lp"))
+    return policy, old, ref
 
 
 def tokens(docs: DataFrame) -> DataFrame:
