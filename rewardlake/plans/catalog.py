@@ -438,3 +438,35 @@ def x07_verify(spark, sf_dir):
     v = ex.execution_verdicts(comps, tasks, timeout=10.0, allow_exec=True)
     return v.select("completion_id", "kind", "syntax_ok", "n_passed", "n_total", "all_passed",
                     r6("fraction_passed"), (F.length("feedback") > 0).alias("has_feedback"))
+
+
+@query("a18_eval_accuracy")
+def a18_eval_accuracy(spark, sf_dir):
+    """A-18 accuracy per (run, eval step) with the F-06 cadence: every event
+    of an evaluation hour is one held-out task, passed when value > 250."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "value")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    rows = (e.select(F.lit("events").alias("run_id"), hour.alias("step"),
+                     F.col("event_id").cast("string").alias("task_id"),
+                     (F.col("value") > 250).alias("passed"))
+            .filter(mt.cadence(F.col("step"), 24)))
+    p = ev.pass_at_1(rows, ("run_id", "step"))
+    return p.select("run_id", "step", r6("pass_at_1"), "n", "n_passed")
+
+
+@query("s11_long_metrics")
+def s11_long_metrics(spark, sf_dir):
+    """S-11 wide -> long form of the step metrics (one row per metric)."""
+    m = a16_step_metrics(spark, sf_dir)
+    vals = ["reward_mean", "reward_std", "solve_rate", "mean_turns", "pg_loss", "temperature"]
+    return mt.long_form(m, ["run_id", "step"], vals)
+
+
+@query("x01_episode_twin")
+def x01_episode_twin(spark, sf_dir):
+    """X-01 in batch form (equal to the keyed stream, see tests): W-08 trim,
+    done flag and the next prompt (P-07 / P-08) after every kept turn."""
+    from rewardlake.streaming.episodes import episode_batch_twin
+    t = episode_batch_twin(ep.by_group(fx.scored_turns(spark, sf_dir, run_config(spark))))
+    return t.select("run_id", "step", "g", "turn", r6("reward"), "solved", "done",
+                    F.md5("next_prompt").alias("next_prompt_md5"))

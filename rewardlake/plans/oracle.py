@@ -219,8 +219,8 @@ FROM adv""", "trajs")
 ORACLE["w08_episodes"] = with_views("""
 SELECT run_id, step, g, turn, done, NOT done AS active FROM kept""", "trajs")
 
-ORACLE["a16_step_metrics"] = with_views(f"""
-, st AS (
+VIEWS["a16"] = f"""
+st AS (
   SELECT run_id, step, avg(reward) AS reward_mean, stddev_samp(reward) AS reward_std,
          sum(CAST(solved AS INTEGER)) / any_value(group_size) AS solve_rate,
          sum(n_turns) / any_value(group_size) AS mean_turns
@@ -231,10 +231,13 @@ lo AS (
                      CASE WHEN k.step >= c.temp_switch_step THEN c.temp_stage2 ELSE c.temp_stage1 END
                    ELSE c.temperature END) AS temperature
   FROM kept k JOIN adv a USING (run_id, step, g) JOIN run_config c USING (run_id)
-  GROUP BY k.run_id, k.step)
+  GROUP BY k.run_id, k.step),
+a16 AS (
 SELECT run_id, step, {R('reward_mean')}, {R('reward_std')}, {R('solve_rate')}, {R('mean_turns')},
        {R('pg_loss')}, {R('temperature')}
-FROM st JOIN lo USING (run_id, step)""".replace("\n, st AS", ", st AS", 1), "trajs")
+FROM st JOIN lo USING (run_id, step))"""
+VIEW_DEPS["a16"] = ("trajs",)
+ORACLE["a16_step_metrics"] = with_views("SELECT * FROM a16", "a16")
 
 ORACLE["a01_verdicts"] = with_views(f"""
 SELECT completion_id, syntax_ok, n_passed, n_total, {R('fraction_passed')}, all_passed,
@@ -529,3 +532,27 @@ SELECT 'bench/' || CAST(task_id AS VARCHAR) || '/' || kind AS completion_id, kin
        CAST(CASE WHEN kind = 'right' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS fraction_passed,
        kind <> 'right' AS has_feedback
 FROM c""".replace("\n, c AS", ", c AS", 1), "tasks")
+
+ORACLE["a18_eval_accuracy"] = f"""
+WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, value > 250 AS passed FROM events)
+SELECT 'events' AS run_id, step, {R('avg(CAST(passed AS DOUBLE))', 'pass_at_1')}, count(*) AS n,
+       CAST(sum(CAST(passed AS BIGINT)) AS BIGINT) AS n_passed
+FROM e WHERE (step + 1) % 24 = 0 GROUP BY step"""
+
+ORACLE["s11_long_metrics"] = with_views("""
+SELECT run_id, step, metric, value
+FROM a16 UNPIVOT INCLUDE NULLS (value FOR metric IN
+  (reward_mean, reward_std, solve_rate, mean_turns, pg_loss, temperature))""", "a16")
+
+_P = "'Solve this Python task. The function must be named `f`.' || chr(10) || chr(10) || 'Return x doubled.'"
+_FB = "'Your code failed this test:' || chr(10) || 'assert f(1) == 1'"
+ORACLE["x01_episode_twin"] = with_views(f"""
+, k AS (SELECT *, 'def f(x):' || chr(10) || '    return ' || CAST(event_id AS VARCHAR) AS action,
+               CASE WHEN solved THEN '' ELSE {_FB} END AS feedback FROM kept)
+SELECT run_id, step, g, turn, {R('reward')}, solved, done,
+       md5(CASE WHEN done THEN ''
+                WHEN length(feedback) > 0 THEN {_P} || chr(10) || chr(10)
+                  || 'Your previous attempt was incorrect:' || chr(10) || chr(10) || action || chr(10) || chr(10)
+                  || feedback || chr(10) || chr(10) || 'Return a corrected, complete function.'
+                ELSE {_P} END) AS next_prompt_md5
+FROM k""".replace("\n, k AS", ", k AS", 1), "trajs")

@@ -174,3 +174,21 @@ def completions_for_tasks(tasks_df: DataFrame) -> DataFrame:
 def _split_name(template: str, name):
     head, tail = template.split("{name}")
     return [head, name, tail]
+
+
+# Attempt text and feedback of the stand-in scored turns.
+ATTEMPT_PREFIX = "def f(x):\n    return "
+FAILED_FEEDBACK = "Your code failed this test:\nassert f(1) == 1"
+
+
+def scored_turns(spark: SparkSession, sf_dir: str, run_config: DataFrame) -> DataFrame:
+    """Scored turns as the episode operator receives them: the rollout
+    turns plus an attempt text, its feedback ('' when solved), the run's
+    ``max_turns`` and the task's name and prompt."""
+    r = rollouts(spark, sf_dir)
+    cfg = run_config.select("run_id", "max_turns")
+    return r.join(F.broadcast(cfg), "run_id").select(
+        "run_id", "step", "g", "turn", "reward", "solved",
+        F.concat(F.lit(ATTEMPT_PREFIX), F.col("event_id").cast("string")).alias("action"),
+        F.when(F.col("solved"), F.lit("")).otherwise(F.lit(FAILED_FEEDBACK)).alias("feedback"),
+        "max_turns", F.lit("f").alias("entry_point"), F.lit("Return x doubled.").alias("prompt"), "ts")

@@ -16,14 +16,7 @@ SCHEMA = ("run_id string, step long, g int, turn int, reward double, solved bool
 
 
 def scored_turns(spark):
-    r = fx.rollouts(spark, SF_SMALL)
-    cfg = run_config(spark).select("run_id", "max_turns")
-    return r.join(cfg, "run_id").select(
-        "run_id", "step", "g", "turn", "reward", "solved",
-        F.concat(F.lit("def f(x):\n    return "), F.col("event_id").cast("string")).alias("action"),
-        F.when(F.col("solved"), F.lit("")).otherwise(F.lit("Your code failed this test:\nassert f(1) == 1"))
-        .alias("feedback"),
-        "max_turns", F.lit("f").alias("entry_point"), F.lit("Return x doubled.").alias("prompt"), "ts")
+    return fx.scored_turns(spark, SF_SMALL, run_config(spark))
 
 
 # Turns of the fixture spread over a month of event time and arrive out of
