@@ -470,3 +470,15 @@ def x01_episode_twin(spark, sf_dir):
     t = episode_batch_twin(ep.by_group(fx.scored_turns(spark, sf_dir, run_config(spark))))
     return t.select("run_id", "step", "g", "turn", r6("reward"), "solved", "done",
                     F.md5("next_prompt").alias("next_prompt_md5"))
+
+
+@query("x02_group_twin")
+def x02_group_twin(spark, sf_dir):
+    """X-02 in batch form over the finished trajectories of the rollouts."""
+    from rewardlake.streaming.episodes import group_barrier_twin
+    cfg = run_config(spark).select("run_id", "group_size", "max_turns", "reward_mode")
+    t = ep.trim_episodes(ep.by_group(join_dim(fx.rollouts(spark, sf_dir), cfg, "run_id")))
+    traj = ep.trajectories(t, keys=(*ep.TRAJ_KEYS, "group_size", "reward_mode"))
+    traj = traj.withColumn("reward", ep.credit("reward_mode"))
+    out = group_barrier_twin(traj)
+    return out.select("run_id", "step", "g", r6("reward"), r6("advantage"), "complete")

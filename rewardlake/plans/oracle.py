@@ -556,3 +556,13 @@ SELECT run_id, step, g, turn, {R('reward')}, solved, done,
                   || feedback || chr(10) || chr(10) || 'Return a corrected, complete function.'
                 ELSE {_P} END) AS next_prompt_md5
 FROM k""".replace("\n, k AS", ", k AS", 1), "trajs")
+
+ORACLE["x02_group_twin"] = with_views(f"""
+, b AS (
+  SELECT run_id, step, g, reward, group_size,
+         avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n
+  FROM trajs WINDOW w AS (PARTITION BY run_id, step))
+SELECT run_id, step, g, {R('reward')},
+       {R('CASE WHEN sd > 1e-6 THEN (reward - m) / (sd + 1e-8) ELSE 0.0 END', 'advantage')},
+       n >= group_size AS complete
+FROM b""".replace("\n, b AS", ", b AS", 1), "trajs")

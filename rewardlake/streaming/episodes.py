@@ -174,3 +174,16 @@ def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK) -
             .groupBy("run_id", "step", "group_size")
             .applyInPandasWithState(_group_barrier, GROUP_OUT, GROUP_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+def group_barrier_twin(finished: DataFrame) -> DataFrame:
+    """X-02 in batch form: every finished trajectory with its group's
+    advantage (W-01 over the trajectories present) and whether all G had
+    finished (``complete``); the stream emits complete groups at once and
+    the rest when the watermark times them out."""
+    from pyspark.sql import Window
+
+    from rewardlake.operators.groups import advantage
+    w = Window.partitionBy("run_id", "step")
+    out = advantage(finished, "reward", scale=True)
+    return out.withColumn("complete", F.count(F.lit(1)).over(w) >= F.col("group_size"))

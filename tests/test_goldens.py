@@ -100,3 +100,16 @@ def test_bucketed_scans_equal_plain_windows(spark):
     y = ev.select("user_id", "event_id",
                   (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("rn"))
     assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+
+
+def test_bounded_broadcast_and_spread(spark):
+    from rewardlake.operators.joins import bounded_broadcast
+    from rewardlake.operators.layout import spread
+    small = spark.range(5)
+    assert bounded_broadcast(small, max_rows=1) is small            # over the bound: no hint
+    hinted = bounded_broadcast(small, max_rows=10)
+    assert hinted is not small and "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+    one = spark.range(100).coalesce(1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(100).repartition(6)
+    assert spread(many, 4) is many

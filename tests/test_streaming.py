@@ -95,3 +95,23 @@ def test_group_barrier(spark):
     got = {(r.step, r.g): r for r in spark.sql("SELECT * FROM barrier_out").collect()}
     assert set(got) == {(1, 0), (1, 1)}               # step 2 is still waiting for its second trajectory
     assert abs(got[(1, 0)].advantage + 0.70710678) < 1e-7 and got[(1, 0)].complete
+
+
+def test_group_barrier_equals_twin_on_complete_groups(spark):
+    """The stream emits exactly the twin's complete groups (others wait)."""
+    base = tempfile.mkdtemp(prefix="rl-barrier2-")
+    src = os.path.join(base, "src")
+    rows = [("r", s, g, float((s * 7 + g * 3) % 4) / 3, 4, 1_700_000_000 + s) for s in range(6)
+            for g in range(4 if s % 3 else 2)]
+    fin = spark.createDataFrame(rows, "run_id string, step long, g int, reward double, group_size int, sec long").select(
+        "run_id", "step", "g", "reward", "group_size", F.timestamp_seconds("sec").alias("ts"))
+    fin.write.parquet(src)
+    df = spark.readStream.schema(fin.schema).parquet(src)
+    q = (st.group_barrier(df).writeStream.format("memory").queryName("barrier_out2")
+         .option("checkpointLocation", os.path.join(base, "chk")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = sorted((r.step, r.g, round(r.advantage, 9)) for r in spark.sql("SELECT * FROM barrier_out2").collect())
+    twin = st.group_barrier_twin(fin).filter("complete")
+    want = sorted((r.step, r.g, round(r.advantage, 9)) for r in twin.collect())
+    assert got == want and len(got) == 16
