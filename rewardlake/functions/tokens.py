@@ -134,10 +134,10 @@ def log_softmax_at(logits, idx) -> Column:
     return F.get(x, _c(idx)) - lse
 
 
-def temperature(step, microcoder, t_fixed, t1, t2, switch) -> Column:
+def temperature(step, variant_fixes, t_fixed, t1, t2, switch) -> Column:
     """M-15: two-stage schedule for the variant, fixed otherwise."""
     staged = F.when(_c(step) >= _c(switch), _c(t2)).otherwise(_c(t1))
-    return F.when(_c(microcoder), staged).otherwise(_c(t_fixed))
+    return F.when(_c(variant_fixes), staged).otherwise(_c(t_fixed))
 
 
 def snapshot_epoch(epoch, period: int) -> Column:

@@ -70,7 +70,7 @@ def mask_draw(*key_cols: str) -> Column:
 
 def truncation_mask(df: DataFrame, adv: str = "advantage", truncated: str = "truncated",
                     ids: str = "comp_ids", m="repeat_check_len", rho="mask_prob",
-                    enabled="microcoder", draw_keys=("run_id", "step", "g", "turn"),
+                    enabled="variant_fixes", draw_keys=("run_id", "step", "g", "turn"),
                     name: str = "masked_advantage") -> DataFrame:
     """F-03 (per turn) / F-04 (per completion, with ``draw_keys`` without
     ``turn``): zero the advantage of truncated, non-repetitive rows when

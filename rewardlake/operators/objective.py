@@ -38,9 +38,9 @@ def sequence_terms(df: DataFrame, adv: str = "adv", eps_low="epsilon_low",
     return out.withColumn("kl", F.when(gate, tk.array_mean(tk.k3_kl("lp", "ref_lp"))))
 
 
-def kl_gate(microcoder="microcoder", kl_coeff="kl_coeff"):
+def kl_gate(variant_fixes="variant_fixes", kl_coeff="kl_coeff"):
     """F-08: baseline run, reference present, coefficient above zero."""
-    return ~F.col(microcoder) & (F.col(kl_coeff) > 0)
+    return ~F.col(variant_fixes) & (F.col(kl_coeff) > 0)
 
 
 def step_objective(terms: DataFrame, keys, kl_coeff="kl_coeff", group_size=None) -> DataFrame:

@@ -182,7 +182,7 @@ def a09_objective(spark, sf_dir):
     """J-03, J-09, F-08, A-09, A-11, A-12, A-14, M-17 per run and group."""
     j = _logprobs(spark, sf_dir)
     j = j.withColumn("run_id", F.when(F.col("grp") % 2 == 0, "base").otherwise("variant"))
-    cfg = run_config(spark).select("run_id", "microcoder", "kl_coeff", "epsilon_low",
+    cfg = run_config(spark).select("run_id", "variant_fixes", "kl_coeff", "epsilon_low",
                                    "epsilon_high", "group_size")
     j = join_dim(j, cfg, "run_id")
     terms = ob.sequence_terms(j, "adv", "epsilon_low", "epsilon_high", ob.kl_gate())

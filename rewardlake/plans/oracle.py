@@ -20,7 +20,7 @@ rollouts AS (
         FROM events))""",
     "run_config": """
 run_config AS (
-  SELECT run_id, microcoder, group_size, max_turns,
+  SELECT run_id, variant_fixes, group_size, max_turns,
          CAST(epsilon_low AS DOUBLE) AS epsilon_low, CAST(epsilon_high AS DOUBLE) AS epsilon_high,
          CAST(kl_coeff AS DOUBLE) AS kl_coeff, CAST(temperature AS DOUBLE) AS temperature,
          CAST(temp_stage1 AS DOUBLE) AS temp_stage1, CAST(temp_stage2 AS DOUBLE) AS temp_stage2,
@@ -29,7 +29,7 @@ run_config AS (
   FROM (VALUES
     ('base', false, 4, 3, 0.2, 0.2, 0.01, 0.8, 0.7, 1.0, 100, 0.3, 128, 'final', true, 50),
     ('variant', true, 4, 3, 0.2, 0.5, 0.0, 0.8, 0.7, 1.0, 100, 0.3, 128, 'best', false, 50))
-  AS t(run_id, microcoder, group_size, max_turns, epsilon_low, epsilon_high, kl_coeff, temperature,
+  AS t(run_id, variant_fixes, group_size, max_turns, epsilon_low, epsilon_high, kl_coeff, temperature,
        temp_stage1, temp_stage2, temp_switch_step, mask_prob, repeat_check_len, reward_mode,
        scale_rewards, eval_every))""",
 }
@@ -37,7 +37,7 @@ run_config AS (
 # Trajectory summary shared by several oracle statements.
 VIEWS["trajs"] = """
 turns_cfg AS (
-  SELECT r.*, c.group_size, c.max_turns, c.reward_mode, c.scale_rewards, c.microcoder
+  SELECT r.*, c.group_size, c.max_turns, c.reward_mode, c.scale_rewards, c.variant_fixes
   FROM rollouts r JOIN run_config c USING (run_id)),
 marked AS (
   SELECT *, (solved OR turn + 1 >= max_turns) AS done,
@@ -227,7 +227,7 @@ st AS (
   FROM adv GROUP BY run_id, step),
 lo AS (
   SELECT k.run_id, k.step, avg(-a.advantage) AS pg_loss,
-         any_value(CASE WHEN c.microcoder THEN
+         any_value(CASE WHEN c.variant_fixes THEN
                      CASE WHEN k.step >= c.temp_switch_step THEN c.temp_stage2 ELSE c.temp_stage1 END
                    ELSE c.temperature END) AS temperature
   FROM kept k JOIN adv a USING (run_id, step, g) JOIN run_config c USING (run_id)
@@ -319,7 +319,7 @@ ORACLE["a09_objective"] = with_views(f"""
 , t AS (
   SELECT s.*, c.*, CASE WHEN grp % 2 = 0 THEN 'base' ELSE 'variant' END AS rid,
          -least(ratio * adv, least(greatest(ratio, 1 - c.epsilon_low), 1 + c.epsilon_high) * adv) AS surrogate,
-         CASE WHEN ref_lp IS NOT NULL AND NOT c.microcoder AND c.kl_coeff > 0 THEN kl_all END AS kl,
+         CASE WHEN ref_lp IS NOT NULL AND NOT c.variant_fixes AND c.kl_coeff > 0 THEN kl_all END AS kl,
          -mean_lp AS entropy
   FROM seq_terms s JOIN run_config c ON c.run_id = CASE WHEN s.grp % 2 = 0 THEN 'base' ELSE 'variant' END),
 g AS (

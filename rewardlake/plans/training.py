@@ -39,7 +39,7 @@ def step_metrics(turns: DataFrame, run_config: DataFrame) -> DataFrame:
     holds a single hash exchange after the input."""
     from rewardlake.functions import tokens as tk
 
-    cfg = run_config.select(*CONFIG_COLS, "microcoder", "temperature", "temp_stage1",
+    cfg = run_config.select(*CONFIG_COLS, "variant_fixes", "temperature", "temp_stage1",
                             "temp_stage2", "temp_switch_step", "epsilon_low", "epsilon_high")
     t = ep.by_group(join_dim(turns, cfg, "run_id"))
     t = ep.with_trajectory(ep.trim_episodes(t))
@@ -48,7 +48,7 @@ def step_metrics(turns: DataFrame, run_config: DataFrame) -> DataFrame:
     t = t.withColumn("surrogate",
                      tk.surrogate(F.lit(1.0), "advantage", "epsilon_low", "epsilon_high"))
     head = F.col("is_head")
-    temp = tk.temperature("step", "microcoder", "temperature", "temp_stage1", "temp_stage2",
+    temp = tk.temperature("step", "variant_fixes", "temperature", "temp_stage1", "temp_stage2",
                           "temp_switch_step")
     return t.groupBy(*ep.GROUP_KEYS).agg(
         F.avg(F.when(head, F.col("traj_reward"))).alias("reward_mean"),

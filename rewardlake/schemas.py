@@ -37,7 +37,7 @@ MESSAGE = T.StructType([
 
 RUN_CONFIG = T.StructType([
     T.StructField("run_id", T.StringType()),
-    T.StructField("microcoder", T.BooleanType()),
+    T.StructField("variant_fixes", T.BooleanType()),
     T.StructField("group_size", T.IntegerType()),
     T.StructField("max_turns", T.IntegerType()),
     T.StructField("epsilon_low", T.DoubleType()),

@@ -12,7 +12,7 @@ from rewardlake.schemas import RUN_CONFIG
 
 # The trainer's defaults (GRPO baseline).
 DEFAULTS = {
-    "microcoder": False, "group_size": 4, "max_turns": 3,
+    "variant_fixes": False, "group_size": 4, "max_turns": 3,
     "epsilon_low": 0.2, "epsilon_high": 0.2, "kl_coeff": 0.01, "temperature": 0.8,
     "temp_stage1": 0.7, "temp_stage2": 1.0, "temp_switch_step": 100,
     "mask_prob": 0.3, "repeat_check_len": 128, "reward_mode": "final",
@@ -25,7 +25,7 @@ DEFAULTS = {
 # reward modes are exercised.
 BASELINE = {"run_id": "base", "kl_coeff": 0.01, "epsilon_low": 0.2, "epsilon_high": 0.2,
             "temperature": 0.8}
-VARIANT = {"run_id": "variant", "microcoder": True, "kl_coeff": 0.0, "epsilon_low": 0.2,
+VARIANT = {"run_id": "variant", "variant_fixes": True, "kl_coeff": 0.0, "epsilon_low": 0.2,
            "epsilon_high": 0.5, "temp_stage1": 0.7, "temp_stage2": 1.0,
            "temp_switch_step": 100, "mask_prob": 0.3, "repeat_check_len": 128,
            "scale_rewards": False, "reward_mode": "best"}
