@@ -144,9 +144,8 @@ def p09_messages(spark, sf_dir):
 @query("p01_fences")
 def p01_fences(spark, sf_dir):
     """P-01 strip all fences, P-02 first closed fence body, R-03 format,
-    over English documents wrapped in fences of several shapes."""
-    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-               .filter(F.col("lang") == "en"))
+    over every document wrapped in fences of several shapes."""
+    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     k = F.col("doc_id") % 4
     wrapped = (F.when(k == 0, F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nDone.")))
                .when(k == 1, F.concat(F.lit("```\n"), "text"))

@@ -290,7 +290,7 @@ WITH w AS (
     WHEN 2 THEN '```python' || chr(10) || 'a = 1' || chr(10) || '```' || chr(10) || text || chr(10)
                 || '```python' || chr(10) || 'b = 2' || chr(10) || '```'
     ELSE chr(10) || chr(9) || text || ' ' || chr(10) END AS c
-  FROM documents WHERE lang = 'en')
+  FROM documents)
 SELECT doc_id,
        md5({STRIP.format(x=f"regexp_replace(c, {_FENCE}, '', 'g')")}) AS stripped_md5,
        md5({STRIP.format(x=f"CASE WHEN regexp_matches(c, {_BODY}) THEN regexp_extract(c, {_BODY}, 1) ELSE c END")}) AS extracted_md5,
