@@ -62,6 +62,27 @@ def syntax_check(df: DataFrame, code: str = "code", name: str = "syntax_ok",
     return join_dim(keyed, checked, "_cid", "left", max_broadcast_rows).drop("_cid")
 
 
+# Runs prog.py as if given with ``-c``: compiled under the name "<string>",
+# in a fresh __main__ namespace, with the bootstrap's own frame left out of
+# tracebacks, so error text does not depend on the scratch folder's name.
+_BOOTSTRAP = (
+    "import linecache, sys, traceback\n"
+    "def _hook(t, v, tb):\n"
+    "    traceback.print_exception(t, v, tb.tb_next if tb is not None else None)\n"
+    "sys.excepthook = _hook\n"
+    "with open('prog.py') as _f:\n"
+    "    _src = _f.read()\n"
+    "linecache.cache['<string>'] = (len(_src), None, _src.splitlines(True), '<string>')\n"
+    "try:\n"
+    "    _code = compile(_src, '<string>', 'exec')\n"
+    "except SyntaxError as _e:\n"
+    "    traceback.print_exception(type(_e), _e, None)\n"
+    "    sys.exit(1)\n"
+    "del _f, _hook\n"
+    "exec(_code, {'__name__': '__main__', '__builtins__': __builtins__})\n"
+)
+
+
 def _run_batch(batches, timeout: float, mem_mb: int):
     import os
     import resource
@@ -86,7 +107,7 @@ def _run_batch(batches, timeout: float, mem_mb: int):
             with open(path, "w") as fh:
                 fh.write(prog)
             try:
-                p = subprocess.Popen([sys.executable, "-I", path], cwd=work, env={},
+                p = subprocess.Popen([sys.executable, "-I", "-c", _BOOTSTRAP], cwd=work, env={},
                                      stdout=subprocess.PIPE, stderr=subprocess.PIPE,
                                      preexec_fn=limits)
                 try:

@@ -108,3 +108,15 @@ def test_syntax_udf(spark):
     df = spark.createDataFrame([("def f(:",), ("x = 1",), (None,)], "code string")
     got = [r.syntax_ok for r in ex.syntax_check(df, "code").orderBy(F.col("code").asc_nulls_first()).collect()]
     assert got == [None, False, True]
+
+
+def test_error_text_matches_dash_c(spark):
+    """Programs run from a file but report errors exactly as ``python -c``
+    would (no scratch-folder path in the feedback)."""
+    import subprocess
+    import sys
+    progs = ["def f(x):\n    return x + 2\n\nassert f(3) == 6", "raise ValueError('boom')"]
+    df = spark.createDataFrame([(p,) for p in progs], "program string")
+    got = {r.program: r.stderr for r in ex.run_programs(df, allow_exec=True).collect()}
+    for p in progs:
+        assert got[p] == subprocess.run([sys.executable, "-c", p], capture_output=True, text=True).stderr
