@@ -161,11 +161,14 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
 
     ``style='env'``: ``code + '\\n\\n' + test``, code that does not parse is
     not run and every test fails with 'SyntaxError'. ``style='setup'``:
-    ``setup + code + test``, run regardless of syntax (R-08)."""
-    tcols = ["task_id", "tests"] + (["test_setup"] if "test_setup" in tasks.columns else [])
+    ``setup + code + test``, run regardless of syntax (R-08). ``'check'`` /
+    ``'prompt_check'``: benchmark harness ``code + test + check(entry)``,
+    the second with the prompt in front (P-13 forms 3 and 4)."""
+    opt = [c for c in ("test_setup", "entry_point", "prompt") if c in tasks.columns]
+    tcols = ["task_id", "tests"] + opt
     j = join_dim(checked.select(*key, "task_id", "code", "syntax_ok"), tasks.select(*tcols),
                  "task_id", "left")
-    extra = ["test_setup"] if "test_setup" in tcols else []
+    extra = opt
     per = j.select(*key, "code", "syntax_ok", *extra, F.posexplode("tests").alias("test_idx", "test"))
     if style == "env":
         prog = tx.test_program("env", "code", "test")
@@ -173,7 +176,13 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
         syntax = "syntax_ok"
     elif style == "setup":
         prog = tx.test_program("setup", "code", "test", setup=tx.setup_or_empty("test_setup")
-                               if extra else F.lit(""))
+                               if "test_setup" in extra else F.lit(""))
+        to_run = per
+        syntax = None
+    elif style in ("check", "prompt_check"):
+        # benchmark harness: the test defines check(); the program calls it
+        prog = tx.test_program(style, "code", "test", entry_point="entry_point",
+                               prompt="prompt" if style == "prompt_check" else None)
         to_run = per
         syntax = None
     else:
@@ -200,6 +209,7 @@ def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completio
     return with_feedback(v)
 
 
+
 def execution_reward(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
                      completion: str = "completion", timeout: float = 10.0,
                      allow_exec: bool = False, messages: bool = False,

@@ -120,3 +120,27 @@ def test_error_text_matches_dash_c(spark):
     got = {r.program: r.stderr for r in ex.run_programs(df, allow_exec=True).collect()}
     for p in progs:
         assert got[p] == subprocess.run([sys.executable, "-c", p], capture_output=True, text=True).stderr
+
+
+def test_evaluation_plan_two_models(spark):
+    """§3.2: two models, a held-out (setup harness) and a transfer task
+    (check harness), scored in one job, then reported."""
+    from rewardlake.plans.evaluation import eval_results, reports
+    tasks = spark.createDataFrame(
+        [("he/0", "def add(a, b):\n", ["def check(c):\n    assert c(1, 2) == 3"], "add")],
+        "task_id string, prompt string, tests array<string>, entry_point string")
+    good = "```python\ndef add(a, b):\n    return a + b\n```"
+    bad = "def add(a, b):\n    return a - b"
+    comps = spark.createDataFrame([("base", "transfer", "he/0", bad), ("tuned", "transfer", "he/0", good)],
+                                  "label string, axis string, task_id string, completion string")
+    res = eval_results(comps, tasks, style="check", fence="extract", allow_exec=True)
+    got = {r.label: r.passed for r in res.collect()}
+    assert got == {"base": False, "tuned": True}
+    rep = reports(res, "tuned", "base")
+    s = {r.label: r for r in rep["summary"].collect()}
+    assert s["tuned"].delta_text == "+1.000" and s["base"].delta_text == "—"
+    # older harness: prompt + body completion + test + check(entry)
+    body = spark.createDataFrame([("v1", "transfer", "he/0", "    return a + b")],
+                                 "label string, axis string, task_id string, completion string")
+    # stripping the cleaned body also strips its indentation, as the older harness did
+    assert eval_results(body, tasks, style="prompt_check", fence="strip", allow_exec=True).first().passed is False
