@@ -187,7 +187,9 @@ def scored_turns(spark: SparkSession, sf_dir: str, run_config: DataFrame) -> Dat
     ``max_turns`` and the task's name and prompt."""
     r = rollouts(spark, sf_dir)
     cfg = run_config.select("run_id", "max_turns")
-    return r.join(F.broadcast(cfg), "run_id").select(
+    from rewardlake.operators.joins import join_dim
+
+    return join_dim(r, cfg, "run_id").select(
         "run_id", "step", "g", "turn", "reward", "solved",
         F.concat(F.lit(ATTEMPT_PREFIX), F.col("event_id").cast("string")).alias("action"),
         F.when(F.col("solved"), F.lit("")).otherwise(F.lit(FAILED_FEEDBACK)).alias("feedback"),
