@@ -1,6 +1,8 @@
 """Semantic hazards H-1 .. H-18."""
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from rewardlake.functions import text as tx
@@ -103,3 +105,29 @@ def test_filter_not_pushed_below_row_number(spark):
     rows = sp.source_row_numbers(df, "k")
     out = sp.named_only(sp.range_split(rows, 4, 2)).collect()
     assert sorted(r.k for r in out) == [0, 2, 4]
+
+
+def test_prompt_and_program_texts(spark):
+    """Exact texts of the prompt and program builders (P-07 .. P-13)."""
+    row = spark.range(1).select(
+        tx.first_turn_prompt(F.lit("f"), F.lit("Do.")).alias("p07"),
+        tx.revision_prompt(F.lit("f"), F.lit("Do."), F.lit("A"), F.lit("FB")).alias("p08"),
+        tx.rft_messages(F.lit("  Do. "), F.lit("f")).alias("p09"),
+        tx.v1_messages(F.lit("Do."), F.lit("")).alias("p10"),
+        tx.benchmark_messages(F.lit("def g():"), F.lit("g"), "named").alias("p11"),
+        tx.turn_messages(F.lit("X")).alias("p12"),
+        tx.test_program("env", F.lit("C"), F.lit("T")).alias("env"),
+        tx.test_program("setup", F.lit("C"), F.lit("T"), setup=F.lit("S")).alias("setup"),
+        tx.test_program("check", F.lit("C"), F.lit("T"), entry_point=F.lit("e")).alias("check"),
+        tx.test_program("prompt_check", F.lit("C"), F.lit("T"), entry_point=F.lit("e"),
+                        prompt=F.lit("P")).alias("pc")).first()
+    assert row.p07 == "Solve this Python task. The function must be named `f`.\n\nDo."
+    assert row.p08 == (row.p07 + "\n\nYour previous attempt was incorrect:\n\nA\n\nFB\n\n"
+                       "Return a corrected, complete function.")
+    assert row.p09[0]["role"] == "system" and row.p09[1]["content"] == "Do.\n\nThe function must be named `f`."
+    assert row.p10[0]["content"] == tx.V1_SYSTEM_PROMPT and row.p10[1]["content"] == "Solve this Python task:\n\nDo."
+    assert row.p11[1]["content"] == "def g():\n\nThe function must be named `g`."
+    assert row.p12[0]["content"] == tx.ENV_SYSTEM_PROMPT and row.p12[1]["content"] == "X"
+    assert (row.env, row.setup, row.check, row.pc) == ("C\n\nT", "S\nC\nT\n", "C\nT\ncheck(e)\n", "P\nC\n\nT\n\ncheck(e)")
+    with pytest.raises(ValueError):
+        tx.test_program("bogus", F.lit("C"), F.lit("T"))

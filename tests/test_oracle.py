@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import digest
+from schema_check import DUCK, SPARK
 from rewardlake.sources.tables import TABLES
 
 NAMES = sorted(E.queries())
@@ -39,3 +40,6 @@ def test_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(res.columns)
     assert len(srows) == len(orows)
     assert digest(df.columns, srows)[0] == digest(res.columns, orows)[0]
+    spark_types = {f.name: SPARK.get(type(f.dataType).__name__) for f in df.schema.fields}
+    duck_types = {c: DUCK.get(str(t)) for c, t in zip(res.columns, res.types)}
+    assert spark_types == duck_types

@@ -121,3 +121,20 @@ def test_copies_and_turn_tokens(spark):
                                  "run_id string, step long, g int, turn int, comp_ids array<int>, truncated boolean")
     j = ep.join_turn_tokens(turns, toks).collect()                              # J-02
     assert len(j) == 1 and j[0].comp_ids == [5, 6]
+
+
+def test_log_readers(spark):
+    from rewardlake.sources.logs import read_commits, read_completions, read_tasks
+    d = scratch()
+    with open(os.path.join(d, "c.json"), "w") as fh:
+        fh.write(json.dumps({"run_id": "r", "step": 1, "g": 0, "turn": 0, "task_id": "t",
+                             "completion": "def f(x): return x", "comp_ids": [1, 2], "finish_reason": "stop"}) + "\n")
+    c = read_completions(spark, d, "json").first()
+    assert (c.run_id, c.step, c.comp_ids, c.finish_reason) == ("r", 1, [1, 2], "stop")
+    spark.createDataFrame([(1, 0, "import os")], "traj_id long, pos int, code string").write.parquet(os.path.join(d, "cm"))
+    assert read_commits(spark, os.path.join(d, "cm")).first().code == "import os"
+    spark.createDataFrame([("t", ["assert f(1) == 1"])], "task_id string, tests array<string>").write.parquet(os.path.join(d, "tk"))
+    t = read_tasks(spark, os.path.join(d, "tk")).first()
+    assert t.tests == ["assert f(1) == 1"] and t.entry_point is None
+    with pytest.raises(ValueError):
+        read_tasks(spark, d, "csv")
