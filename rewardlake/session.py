@@ -92,3 +92,38 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+# Settings for a large cluster (~1000 executors, ~100 TB input). Applied by
+# ``apply_cluster_defaults`` only where the session does not set them.
+CLUSTER_DEFAULTS = {
+    # 128 MB splits keep a scan task's decoded batch well inside executor memory.
+    "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    # Start wide; AQE coalesces to ~256 MB per reducer and splits skewed ones.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # Broadcasts are decided by checked row bounds in the library; keep the
+    # automatic size-based one modest.
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def apply_cluster_defaults(spark: SparkSession) -> dict:
+    """Set each ``CLUSTER_DEFAULTS`` entry the session leaves unset (runtime
+    SQL settings only); returns what was applied."""
+    applied = {}
+    for k, v in CLUSTER_DEFAULTS.items():
+        if k.startswith("spark.sql.streaming.stateStore"):
+            continue   # static: must be given when the session is built
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied

@@ -115,3 +115,23 @@ def test_group_barrier_equals_twin_on_complete_groups(spark):
     twin = st.group_barrier_twin(fin).filter("complete")
     want = sorted((r.step, r.g, round(r.advantage, 9)) for r in twin.collect())
     assert got == want and len(got) == 16
+
+
+def test_stream_runner(spark, turns):
+    from rewardlake.streaming.run import start_episode_stream
+    base = tempfile.mkdtemp(prefix="rl-runner-")
+    src, out = os.path.join(base, "src"), os.path.join(base, "out")
+    turns.write.parquet(src)
+    q = start_episode_stream(spark, src, out, name="episodes_test", delay=WIDE)
+    q.awaitTermination(300)
+    assert rows(spark.read.parquet(out)) == rows(st.episode_batch_twin(turns))
+
+
+def test_cluster_defaults_fill_only_unset(spark):
+    from rewardlake.session import apply_cluster_defaults
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = apply_cluster_defaults(spark)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert "spark.sql.shuffle.partitions" not in applied
+    for k in applied:
+        spark.conf.unset(k)
