@@ -144,3 +144,17 @@ def test_evaluation_plan_two_models(spark):
                                  "label string, axis string, task_id string, completion string")
     # stripping the cleaned body also strips its indentation, as the older harness did
     assert eval_results(body, tasks, style="prompt_check", fence="strip", allow_exec=True).first().passed is False
+
+
+def test_h7_program_runs_exactly_once_across_reuse(spark):
+    """H-7: results are materialised once; reusing them (two actions, a
+    join back) never re-runs the program."""
+    import tempfile
+    import os
+    marker = os.path.join(tempfile.mkdtemp(prefix="rl-h7-"), "runs")
+    prog = f"with open({marker!r}, 'a') as fh:\n    fh.write('x')"
+    df = spark.createDataFrame([(prog,), (prog,), (prog,)], "program string")
+    out = ex.run_programs(df, allow_exec=True)
+    assert out.count() == 3 and out.filter("ok").count() == 3
+    assert out.join(out.select("program_id").distinct(), "program_id").count() == 3
+    assert open(marker).read() == "x"

@@ -131,3 +131,8 @@ def test_prompt_and_program_texts(spark):
     assert (row.env, row.setup, row.check, row.pc) == ("C\n\nT", "S\nC\nT\n", "C\nT\ncheck(e)\n", "P\nC\n\nT\n\ncheck(e)")
     with pytest.raises(ValueError):
         tx.test_program("bogus", F.lit("C"), F.lit("T"))
+
+
+def test_h11_length_counts_code_points(spark):
+    s = "a\U0001F600é"
+    assert one(spark, F.length(F.lit(s))) == len(s) == 3
