@@ -3,7 +3,6 @@ import math
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from rewardlake.functions import tokens as tk
 from rewardlake.operators import evaluation as ev
