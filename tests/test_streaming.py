@@ -122,7 +122,10 @@ def test_stream_runner(spark, turns):
     base = tempfile.mkdtemp(prefix="rl-runner-")
     src, out = os.path.join(base, "src"), os.path.join(base, "out")
     turns.write.parquet(src)
-    q = start_episode_stream(spark, src, out, name="episodes_test", delay=WIDE)
+    # a fixed name resumes from <spark.checkpoint.dir>/streams/<name>; a test
+    # run must not resume an earlier one, so it names its own location
+    q = start_episode_stream(spark, src, out, name="episodes_test", delay=WIDE,
+                             checkpoint=os.path.join(base, "chk"))
     q.awaitTermination(300)
     assert rows(spark.read.parquet(out)) == rows(st.episode_batch_twin(turns))
 
