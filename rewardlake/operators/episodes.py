@@ -21,8 +21,17 @@ def by_group(df: DataFrame, keys=GROUP_KEYS) -> DataFrame:
     return df.repartition(*keys)
 
 
-def turn_index(df: DataFrame, order_col: str, keys=TRAJ_KEYS, name: str = "turn") -> DataFrame:
-    """W-10: 0-based turn number within an episode, by arrival order."""
+def turn_index(df: DataFrame, order_col: str, keys=TRAJ_KEYS, name: str = "turn",
+               width: int | None = None) -> DataFrame:
+    """W-10: 0-based turn number within an episode, by arrival order.
+
+    Episodes of at most ``max_turns`` turns use one window per episode; for
+    unbounded ones pass ``width`` (integer, unique ``order_col``) to number
+    rows in hot-key-safe buckets (``splits.keyed_row_numbers``)."""
+    if width is not None:
+        from rewardlake.operators.splits import keyed_row_numbers
+        out = keyed_row_numbers(df, list(keys), order_col, width, "_tn")
+        return out.withColumn(name, F.col("_tn").cast("int")).drop("_tn")
     w = Window.partitionBy(*keys).orderBy(order_col)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 
@@ -49,8 +58,12 @@ def still_active(turns: DataFrame) -> DataFrame:
     return turns.filter(~F.col("done"))
 
 
-def previous_attempt(turns: DataFrame, keys=TRAJ_KEYS) -> DataFrame:
-    """W-07: the last attempt and its feedback, as seen by the next turn."""
+def previous_attempt(turns: DataFrame, keys=TRAJ_KEYS, width: int | None = None) -> DataFrame:
+    """W-07: the last attempt and its feedback, as seen by the next turn.
+    With ``width``, the bucketed form for unbounded episodes."""
+    if width is not None:
+        from rewardlake.operators.splits import keyed_lag
+        return keyed_lag(turns, list(keys), "turn", ["action", "feedback"], width)
     w = Window.partitionBy(*keys).orderBy("turn")
     return (turns.withColumn("prev_action", F.lag("action").over(w))
             .withColumn("prev_feedback", F.lag("feedback").over(w)))

@@ -50,6 +50,30 @@ def keyed_row_numbers(df: DataFrame, keys: list[str], order: str, width: int = 1
             .drop("_b", "_off", "_lrn"))
 
 
+def keyed_lag(df: DataFrame, keys: list[str], order: str, cols: list[str], width: int = 100_000,
+              prefix: str = "prev_") -> DataFrame:
+    """``lag(col)`` within each key in ``order`` (an integer column) for
+    every ``col``, without a single window over a hot key: lag inside
+    ``(key, order div width)`` buckets, and the first row of a bucket takes
+    the last row of the key's nearest earlier non-empty bucket, found on
+    the small per-bucket table."""
+    b = df.withColumn("_b", F.floor(F.col(order) / width))
+    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    for c in cols:
+        b = b.withColumn(f"_l_{c}", F.lag(c).over(w))
+    b = b.withColumn("_first", F.row_number().over(w) == 1)
+    last = b.groupBy(*keys, "_b").agg(
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.col(order)).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).select(
+        *keys, "_b", "_carry")
+    out = b.join(carry, [*keys, "_b"])
+    for c in cols:
+        out = out.withColumn(f"{prefix}{c}", F.when(F.col("_first"), F.col("_carry").getField(c))
+                             .otherwise(F.col(f"_l_{c}")))
+    return out.drop("_b", "_first", "_carry", *[f"_l_{c}" for c in cols])
+
+
 def seeded_order(key: str, seed: int) -> Column:
     """T-01: a seeded shuffle key (uniform in [0, 1), H-5)."""
     return uniform(F.lit(str(seed)), F.col(key))

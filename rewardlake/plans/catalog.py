@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardlake.functions import rewards as rw
@@ -393,14 +393,17 @@ def w07_revision(spark, sf_dir):
     """W-10 turn index, W-07 previous attempt + feedback, P-08 revision prompt:
     assistant messages are attempts, the user message after one is its feedback."""
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    w = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    att = (cv.withColumn("next_text", w).filter(F.col("role") == "assistant")
+    # conversations are not bounded by max_turns: bucketed scans throughout;
+    # the next message is the previous one in reverse turn order
+    cv = sp.keyed_lag(cv.withColumn("neg_turn", -F.col("turn")), ["conv_id"], "neg_turn", ["text"],
+                      prefix="next_")
+    att = (cv.filter(F.col("role") == "assistant")
            .select(F.col("conv_id").alias("run_id"), F.lit(0).cast("long").alias("step"),
                    F.lit(0).alias("g"), F.col("turn").alias("seq"),
                    F.col("text").alias("action"),
                    F.coalesce("next_text", F.lit("")).alias("feedback")))
-    att = ep.turn_index(att, "seq")
-    att = ep.previous_attempt(att)
+    att = ep.turn_index(att, "seq", width=100_000)
+    att = ep.previous_attempt(att, width=100_000)
     prompt = tx.revision_prompt(F.lit("f"), F.lit("Return x doubled."), "prev_action", "prev_feedback")
     return att.select(F.col("run_id").alias("conv_id"), "turn", F.length(prompt).alias("prompt_len"),
                       F.md5(prompt).alias("prompt_md5"))

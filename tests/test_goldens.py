@@ -113,3 +113,16 @@ def test_bounded_broadcast_and_spread(spark):
     assert spread(one, 4).rdd.getNumPartitions() == 4
     many = spark.range(100).repartition(6)
     assert spread(many, 4) is many
+
+
+def test_bucketed_turn_index_and_lag_equal_windows(spark):
+    import random
+    from rewardlake.operators import episodes as ep
+    random.seed(3)
+    rows = [("r", 0, c, t * 3 + random.randint(0, 2), f"a{c}_{t}", f"f{c}_{t}")
+            for c in range(4) for t in range(random.randint(1, 30))]
+    df = spark.createDataFrame(rows, "run_id string, step long, g int, arrival long, action string, feedback string")
+    plain = ep.previous_attempt(ep.turn_index(df, "arrival"))
+    bucketed = ep.previous_attempt(ep.turn_index(df, "arrival", width=4), width=3)
+    cols = ["g", "arrival", "turn", "prev_action", "prev_feedback"]
+    assert sorted(map(tuple, plain.select(*cols).collect())) == sorted(map(tuple, bucketed.select(*cols).collect()))
