@@ -82,7 +82,8 @@ def _episode_step(key, batches, state):
         last_ms = _max_ms(pdf, last_ms)
         for rec in pdf.to_dict("records"):
             t = int(rec["turn"])
-            if not done and t >= next_turn and str(t) not in held:
+            # only turns that can still be stepped are held: state <= max_turns
+            if not done and next_turn <= t < int(rec["max_turns"]) and str(t) not in held:
                 held[str(t)] = {k: (v.item() if hasattr(v, "item") else v) for k, v in rec.items()
                                 if k != "ts"}
     out = []

@@ -138,3 +138,15 @@ def test_cluster_defaults_fill_only_unset(spark):
     assert "spark.sql.shuffle.partitions" not in applied
     for k in applied:
         spark.conf.unset(k)
+
+
+def test_episode_stream_ignores_turns_past_the_limit(spark):
+    base = tempfile.mkdtemp(prefix="rl-limit-")
+    src, out = os.path.join(base, "src"), os.path.join(base, "out")
+    data = [("r", 0, 0, t, 0.0, False, "a", "fb", 2, "f", "p", 1_700_000_000 + t) for t in (5, 0, 1, 2)]
+    df = spark.createDataFrame(data, SCHEMA.replace("ts timestamp", "sec long")).select(
+        *[c.split()[0] for c in SCHEMA.split(", ")[:-1]], F.timestamp_seconds("sec").alias("ts"))
+    df.write.parquet(src)
+    got = run_stream(spark, src, os.path.join(base, "chk"), out, st.episode_stream)
+    assert sorted(r.turn for r in got.collect()) == [0, 1]
+    assert rows(got) == rows(st.episode_batch_twin(df))
