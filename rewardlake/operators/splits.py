@@ -35,19 +35,17 @@ def keyed_row_numbers(df: DataFrame, keys: list[str], order: str, width: int = 1
     inside ``(key, order div width)`` buckets, and each bucket's offset is
     the running count of the key's earlier buckets, computed on the small
     bucket table (one row per bucket)."""
-    # The rows are shuffled once, by (key, bucket): the local numbering,
-    # the bucket sizes and the join back all reuse that partitioning; only
-    # the one-row-per-bucket table moves again (AQE broadcasts it when its
-    # measured size is small).
+    # The rows themselves are shuffled once (for the in-bucket window); the
+    # bucket sizes come from partial counts and the offsets table has one
+    # row per bucket (AQE broadcasts it when its measured size is small).
     b = df.withColumn("_b", F.floor(F.col(order) / width))
-    w = Window.partitionBy(*keys, "_b").orderBy(order)
-    local = b.withColumn("_lrn", F.row_number().over(w) - 1)
-    sizes = local.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offs.select(*keys, "_b", "_off"), [*keys, "_b"])
-            .withColumn(name, (F.col("_off") + F.col("_lrn")).cast("long"))
-            .drop("_b", "_off", "_lrn"))
+    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    return (b.join(offs.select(*keys, "_b", "_off"), [*keys, "_b"])
+            .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_b", "_off"))
 
 
 def keyed_lag(df: DataFrame, keys: list[str], order: str, cols: list[str], width: int = 100_000,
