@@ -7,8 +7,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import bpe, packing
-from rewardlake.llm.common import load
+from rewardlake.llm import ann, bpe, packing, topk
+from rewardlake.llm.common import F, load
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all others: 10 greatest integer inner products."""
+    found = topk.exact_top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), 10,
+                             F.pmod("vec_id", F.lit(100)) == 0, scale=1024.0)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+def op4_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all others: 20 nearest found by the tree."""
+    return ann.neighbours(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), 20,
+                          F.pmod("vec_id", F.lit(20)) == 0)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +36,19 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_bpe_prefix_dp)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_kmeans_tree_ann, op3_best_fit_packing, op9_bpe_prefix_dp)}
+ORACLE: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+            FROM embeddings),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))
+                        AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+                           AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
