@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, topk
+from rewardlake.llm import ann, bpe, packing, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -18,6 +18,12 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "fingerprint", "component_id")
+
+
 def op4_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector against all others: 20 nearest found by the tree."""
     return ann.neighbours(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), 20,
@@ -36,7 +42,7 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_kmeans_tree_ann, op3_best_fit_packing, op9_bpe_prefix_dp)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing, op9_bpe_prefix_dp)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
