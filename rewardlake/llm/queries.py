@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, simhash, topk
+from rewardlake.llm import ann, bpe, packing, sharding, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -36,13 +36,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of nearly equal bytes."""
+    placed = sharding.shard_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of ids and decoded text."""
     return bpe.digests(load(spark, sf_dir, "documents", "doc_id", "text"),
                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing, op9_bpe_prefix_dp)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
+                                  op8_kd_tree_sharding, op9_bpe_prefix_dp)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
