@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, sharding, simhash, topk
+from rewardlake.llm import ann, bpe, packing, secret_scan, sharding, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -36,6 +36,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; sources are the owners and documents the repositories."""
+    found = secret_scan.scan(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans",
+                        "n_live", "n_copied")
+
+
 def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards of nearly equal bytes."""
     placed = sharding.shard_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
@@ -50,7 +58,8 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
-                                  op8_kd_tree_sharding, op9_bpe_prefix_dp)}
+                                  op6_secret_ownership, op8_kd_tree_sharding,
+                                  op9_bpe_prefix_dp)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
