@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, secret_scan, sharding, simhash, topk
+from rewardlake.llm import ann, bpe, packing, pii, secret_scan, sharding, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -57,9 +57,18 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"), "n_added")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
                                   op6_secret_ownership, op8_kd_tree_sharding,
-                                  op9_bpe_prefix_dp)}
+                                  op9_bpe_prefix_dp,
+                                  op10_pii_weak_supervision)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
