@@ -261,7 +261,7 @@ def fit(cands: DataFrame, train_spans: int = TRAIN_SPANS) -> Model:
     """Label model over all candidates, span classifier on a bounded sample of them."""
     each = cands.select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*")
     patterns = each.groupBy("kind", "votes").count().collect()      # kinds * 3**5 at most
-    labels = LabelModel(5).fit([list(r["votes"]) for r in patterns] or np.zeros((0, 5)),
+    labels = LabelModel(5).fit([list(r["votes"]) for r in patterns],
                                [r["count"] for r in patterns], [r["kind"] for r in patterns])
     sample = (each.orderBy(F.xxhash64("doc_id", "start", "kind"), "start", "end")
               .limit(train_spans).select("kind", "votes", "features").collect())

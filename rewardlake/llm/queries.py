@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, pii, secret_scan, sharding, simhash, topk
+from rewardlake.llm import ann, bpe, packing, pii, quality, secret_scan, sharding, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -44,6 +44,12 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_live", "n_copied")
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict of every document."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.scored(docs, quality.fit(docs))
+
+
 def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards of nearly equal bytes."""
     placed = sharding.shard_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
@@ -66,8 +72,8 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
-                                  op6_secret_ownership, op8_kd_tree_sharding,
-                                  op9_bpe_prefix_dp,
+                                  op6_secret_ownership, op7_weak_label_quality,
+                                  op8_kd_tree_sharding, op9_bpe_prefix_dp,
                                   op10_pii_weak_supervision)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """

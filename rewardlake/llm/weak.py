@@ -10,43 +10,46 @@ import numpy as np
 class LabelModel:
     """Accuracies of overlapping labellers without true labels.
 
-    Each labeller votes -1, 0 (abstains) or 1. Given the class, votes are independent;
-    ``theta[j, y, v + 1]`` is the probability of labeller j's vote v under class y. Patterns come
-    as counts, so the work depends on the number of different patterns, not of rows. Pseudo-counts
-    favour a vote in the direction of the class, which also fixes which class is which."""
+    Each labeller votes -1, 1 or 0 (abstains, which says nothing). ``accuracy[j]`` is the
+    probability that a vote of labeller j names the true class; given the class, votes are
+    independent. Expectation: posterior classes from accuracies and the class prior of the
+    pattern's group. Maximisation: accuracies and priors from the posteriors. Patterns come as
+    counts, so the work depends on the number of different patterns, not of rows. Accuracies start
+    well above one half and are held by pseudo-counts, which fixes which class is which."""
 
-    def __init__(self, n_labellers: int, prior: float = 0.5, strength: float = 5.0):
-        self.theta = np.tile(np.array([[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]]), (n_labellers, 1, 1))
-        self.pseudo = self.theta * strength
-        self.prior = {}
+    def __init__(self, n_labellers: int, prior: float = 0.5, accuracy: float = 0.9,
+                 strength: float = 10.0):
+        self.accuracy = np.full(n_labellers, accuracy)
+        self.at_first, self.strength = accuracy, strength
+        self.prior: dict = {}
         self.start = prior
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, groups, rounds: int = 40) -> LabelModel:
         """``votes`` (patterns x labellers), their ``counts`` and a group (own class prior) each."""
         votes, counts = np.asarray(votes, int), np.asarray(counts, float)
         groups = list(groups)
+        if not len(counts):
+            return self
         for _ in range(rounds):
             p = self.posterior(votes, groups)
-            weight = np.stack([(1 - p) * counts, p * counts], axis=1)
-            for j in range(votes.shape[1]):
-                hot = (votes[:, j, None] + 1 == np.arange(3)).astype(float)
-                self.theta[j] = weight.T @ hot + self.pseudo[j]
-            self.theta /= self.theta.sum(axis=2, keepdims=True)
+            right = (votes == 1) * p[:, None] + (votes == -1) * (1 - p[:, None])
+            cast = (votes != 0) * counts[:, None]
+            self.accuracy = np.clip(
+                ((right * counts[:, None]).sum(axis=0) + self.at_first * self.strength)
+                / (cast.sum(axis=0) + self.strength), 0.55, 0.995)
             for g in set(groups):
                 own = np.array([x == g for x in groups])
-                total = counts[own].sum()
                 self.prior[g] = float(np.clip(
-                    ((p * counts)[own].sum() + 2 * self.start) / (total + 2), 0.01, 0.99))
+                    ((p * counts)[own].sum() + self.strength * self.start)
+                    / (counts[own].sum() + self.strength), 0.02, 0.98))
         return self
 
     def posterior(self, votes: np.ndarray, groups) -> np.ndarray:
         """Probability of class 1 for each pattern."""
-        votes = np.asarray(votes, int)
-        logit = np.array([np.log(q / (1 - q)) for q in
-                          (self.prior.get(g, self.start) for g in groups)], dtype=float)
-        ratio = np.log(self.theta[:, 1] / self.theta[:, 0])
-        for j in range(votes.shape[1]):
-            logit = logit + ratio[j, votes[:, j] + 1]
+        votes = np.asarray(votes, int).reshape(len(list(groups)), -1)
+        prior = np.array([self.prior.get(g, self.start) for g in groups], dtype=float)
+        weight = np.log(self.accuracy / (1 - self.accuracy))
+        logit = np.log(prior / (1 - prior)) + votes @ weight if len(prior) else prior
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
