@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, packing, pii, quality, secret_scan, sharding, simhash, topk
+from rewardlake.llm import ann, bpe, langid, packing, pii, quality, secret_scan, sharding, simhash, topk
 from rewardlake.llm.common import F, load
 
 
@@ -36,6 +36,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and verdict of every document: text, declared language and source."""
+    rows = langid.document_evidence(load(spark, sf_dir, "documents", "doc_id", "text", "lang",
+                                         "source"))
+    return langid.identify(rows, "doc_id", langid.Fusion(rows))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and verdict of every page: text, html declaration, address suffix and host."""
+    rows = langid.page_evidence(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return langid.identify(rows, "page_id", langid.Fusion(rows))
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; sources are the owners and documents the repositories."""
     found = secret_scan.scan(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -72,9 +85,9 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
-                                  op6_secret_ownership, op7_weak_label_quality,
+                                  op5_language_evidence, op6_secret_ownership, op7_weak_label_quality,
                                   op8_kd_tree_sharding, op9_bpe_prefix_dp,
-                                  op10_pii_weak_supervision)}
+                                  op10_pii_weak_supervision, page_language)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (

@@ -243,16 +243,42 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    radius: int = RADIUS, words_per: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fingerprint, component_id, fp, root`` per document; ``root`` names the component
-    by its smallest fingerprint."""
-    prints = written(fingerprints(docs, id_col, text_col, words_per))
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, root, component_id`` for every fingerprint of ``prints`` (``doc_id, fp``)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    table = named.join(ids, "root").select("fp", "root", "component_id")
-    return prints.join(table, "fp").select(
+    return named.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    radius: int = RADIUS, words_per: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, fingerprint, component_id, root`` per document; ``root`` names the component by
+    its smallest fingerprint."""
+    prints = written(fingerprints(docs, id_col, text_col, words_per))
+    return prints.join(groups(prints, radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        "fp", "root")
+        "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                radius: int = RADIUS, words_per: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the smallest id (rows with
+    null ids last), and of rows that repeat it, one. All columns are kept."""
+    fp, row = "__simhash_fp", "__simhash_row"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+        fps = np.array([fingerprint(t or "", words_per) for t in texts], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))],
+                                          [*b.schema.names, fp])
+
+    marked = written(run_arrow(docs, rows, f"{schema}, {fp} long")
+                     .withColumn(row, F.monotonically_increasing_id()))
+    prints = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), row)
+    kept = (prints.join(groups(prints, radius).select("fp", "root"), "fp").groupBy("root")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", row)).alias("k"))
+            .select(F.col(f"k.{row}").alias(row)))
+    return marked.join(kept, row, "left_semi").select(*docs.columns)
