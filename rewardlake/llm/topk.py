@@ -105,17 +105,36 @@ def block_kernel(rot: np.ndarray, k: int):
 
 
 def norm_blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """``vectors`` with ``norm`` and ``block``, block 0 with the greatest lengths; written."""
+    """``vectors`` with ``norm`` and ``block``; blocks follow descending length, written.
+
+    Lengths are cut at quantiles. Where many vectors share a length (copies of one vector) a block
+    would be too large; it is dealt into several by the hash of the id. The blocks depend on the
+    data alone, not on how many partitions hold it."""
     def lengths(b: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(b.column("v").to_pylist())
         return pa.RecordBatch.from_arrays(
             [b.column("vec_id"), b.column("v"), pa.array(np.sqrt((x * x).sum(axis=1)))],
             ["vec_id", "v", "norm"])
 
-    sized = run_arrow(vectors.select("vec_id", "v"), lengths, "vec_id long, v binary, norm double")
+    schema = "vec_id long, v binary, norm double"
+    sized = run_arrow(vectors.select("vec_id", "v"), lengths, schema)
     blocks = n_groups(rows, CANDIDATES_PER_BLOCK)
-    return written(sized.repartitionByRange(blocks, F.desc("norm"), F.asc("vec_id"))
-                   .withColumn("block", F.spark_partition_id()))
+    cuts = np.unique(sized.select("norm").approxQuantile(
+        "norm", [i / blocks for i in range(1, blocks)], 0.2 / blocks)) if blocks > 1 else []
+
+    def ranged(b: pa.RecordBatch) -> pa.RecordBatch:
+        # longest first: block 0 lies above the last cut
+        at = len(cuts) - np.searchsorted(cuts, b.column("norm").to_numpy(), side="right")
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))],
+                                          [*b.schema.names, "range"])
+
+    placed = run_arrow(sized, ranged, schema + ", range int")
+    counts = {r["range"]: r["count"] for r in placed.groupBy("range").count().collect()}
+    parts = [n_groups(counts.get(i, 0), 2 * CANDIDATES_PER_BLOCK) for i in range(len(cuts) + 1)]
+    first = [sum(parts[:i]) for i in range(len(parts))]
+    at = (F.col("range") + 1).cast("int")
+    return written(placed.withColumn("block", F.element_at(F.lit(first), at) + F.pmod(
+        F.xxhash64("vec_id"), F.element_at(F.lit(parts), at)).cast("int")).drop("range"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
