@@ -27,7 +27,7 @@ SHARDS = 24
 OVERHEAD = 8                # bytes counted for a document besides its text
 INTERVALS = 256
 TOLERANCE = 0.0005          # share of a shard's target bytes
-GROUP_TOLERANCE = 0.005     # the same for a group of equal texts, which is kept whole up to it
+GROUP_TOLERANCE = 0.02     # the same for a group of equal texts, which is kept whole up to it
 ROWS_PER_SLOT_GROUP = 100_000
 
 

@@ -46,7 +46,7 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray, groups) -> np.ndarray:
         """Probability of class 1 for each pattern."""
-        votes = np.asarray(votes, int).reshape(len(list(groups)), -1)
+        votes = np.asarray(votes, int).reshape(-1, len(self.accuracy))
         prior = np.array([self.prior.get(g, self.start) for g in groups], dtype=float)
         weight = np.log(self.accuracy / (1 - self.accuracy))
         logit = np.log(prior / (1 - prior)) + votes @ weight if len(prior) else prior
