@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from rewardlake.llm.common import F, run_arrow, text_of, written
 from rewardlake.llm.weak import LabelModel, fit_logistic, hashed
 
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 4_000
 BUCKETS = 2048
 REJECT_BELOW = 0.2            # clean documents should stay
 
@@ -108,23 +108,28 @@ class Scorer:
 
 def vote_table(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``votes, h, x``: the votes on every document, a hash of its text, and the features of about
-    four times ``sample_docs`` documents of the smallest hashes; written."""
+    four times ``sample_docs`` documents of the smallest hashes, once per text and task; written."""
     n = docs.count()
     below = int(2 ** 63 * min(1.0, 4 * sample_docs / max(1, n)))
     src = docs.select(text_of(text_col).alias("text")).where(F.col("text") != "")
     src = src.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
 
-    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        vs, xs = [], []
-        for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
-            m = measures(t)
-            vs.append(votes(m, len(t.split())))
-            xs.append(features(t, m).tobytes() if h < below else None)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(vs, pa.list_(pa.int32())), b.column("h"), pa.array(xs, pa.binary())],
-            ["votes", "h", "x"])
+    def batches(it):
+        seen: set[int] = set()          # sampled texts of this task: copies need no features
+        for b in it:
+            vs, xs = [], []
+            for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
+                m = measures(t)
+                vs.append(votes(m, len(t.split())))
+                new = h < below and h not in seen
+                if new:
+                    seen.add(h)
+                xs.append(features(t, m).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(vs, pa.list_(pa.int32())), b.column("h"), pa.array(xs, pa.binary())],
+                ["votes", "h", "x"])
 
-    return written(run_arrow(src, rows, "votes array<int>, h long, x binary"))
+    return written(src.mapInArrow(batches, "votes array<int>, h long, x binary"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Scorer:
@@ -136,16 +141,23 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
     labels = LabelModel(len(MEASURES), prior=0.85).fit(pat, counts, [""] * len(pat))
     good = labels.posterior(pat, [""] * len(pat))
     x, y = [], []
+    sample = table.where(F.col("x").isNotNull())
     for side in (good >= 0.5, good < 0.5):
         chosen = [list(map(int, p)) for p in pat[side]]
         if not chosen:
             continue
         known = table.sparkSession.createDataFrame(
             [(v, float(g)) for v, g in zip(chosen, good[side])], "votes array<int>, good double")
-        rows = (table.where(F.col("x").isNotNull()).join(F.broadcast(known), "votes")
-                .orderBy("h").limit(sample_docs // 2).select("x", "good").collect())
+        own = sample.join(F.broadcast(known), "votes")
+        # hashes first (longs only), so that no more features than wanted reach the driver
+        hashes = np.sort([r["h"] for r in own.select("h").distinct().collect()])
+        if not len(hashes):
+            continue
+        last = int(hashes[min(len(hashes), sample_docs // 2) - 1])
+        rows = own.where(F.col("h") <= last).dropDuplicates(["h"]).select("x", "good").collect()
         x += [np.frombuffer(r["x"], np.float32) for r in rows]
         y += [r["good"] for r in rows]
+        del rows
     weights, bias = fit_logistic(np.array(x, np.float32).reshape(-1, BUCKETS), np.array(y))
     return Scorer(weights.astype(np.float32), bias, labels)
 

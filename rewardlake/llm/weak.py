@@ -68,9 +68,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float =
     weight = y * (len(y) / (2 * pos)) + (1 - y) * (len(y) / (2 * neg))
     seen, seen_b = np.full(x.shape[1], 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -50, 50)))
         err = weight * (p - y) / len(y)
-        g, gb = x.T @ err + decay * w, float(err.sum())
+        g, gb = err.astype(x.dtype) @ x + decay * w, float(err.sum())
         seen, seen_b = seen + g * g, seen_b + gb * gb
         w, b = w - rate * 0.1 * g / np.sqrt(seen), b - rate * 0.1 * gb / np.sqrt(seen_b)
     return w, b
