@@ -32,6 +32,10 @@ V1_SYSTEM_PROMPT = ("You are an expert Python programmer. Write ONLY the Python
                     "No markdown, no code fences, no explanations.")
 V1_BODY_SYSTEM_PROMPT = ("Complete the Python function. Write ONLY the function body. "
                          "No markdown, no code fences.")
+# P-07 and P-08: the parts of the turn prompts around entry point, prompt, attempt and feedback.
+FIRST_TURN = ("Solve this Python task. The function must be named `", "`.\n\n")
+REVISION = ("\n\nYour previous attempt was incorrect:\n\n", "\n\n",
+            "\n\nReturn a corrected, complete function.")
 SYNTAX_FEEDBACK = ("Your code failed to parse (SyntaxError). "
                    "Return a syntactically valid function.")
 
@@ -63,10 +67,10 @@ def extract_code(x) -> Column:
 
 def messages_to_text(messages) -> Column:
     """P-03 for a message-list column: content of the last message
-    (null content -> ''), empty list -> '[]'."""
+    (null content -> ''), empty list -> '[]', null -> its string form."""
     m = _c(messages)
     last = F.try_element_at(m, F.lit(-1))
-    return (F.when(m.isNull(), F.lit(None))
+    return (F.when(m.isNull(), F.lit("None"))
             .when(F.size(m) == 0, F.lit("[]"))
             .otherwise(F.coalesce(last.getField("content"), F.lit(""))))
 
@@ -88,8 +92,7 @@ def function_name(tests) -> Column:
 
 def first_turn_prompt(entry_point, prompt) -> Column:
     """P-07."""
-    return F.concat(F.lit("Solve this Python task. The function must be named `"),
-                    _c(entry_point), F.lit("`.\n\n"), _c(prompt))
+    return F.concat(F.lit(FIRST_TURN[0]), _c(entry_point), F.lit(FIRST_TURN[1]), _c(prompt))
 
 
 def revision_prompt(entry_point, prompt, last_action, feedback) -> Column:
@@ -97,11 +100,19 @@ def revision_prompt(entry_point, prompt, last_action, feedback) -> Column:
     feedback is non-empty."""
     fb = _c(feedback)
     base = first_turn_prompt(entry_point, prompt)
-    extra = F.concat(F.lit("\n\nYour previous attempt was incorrect:\n\n"), _c(last_action),
-                     F.lit("\n\n"), fb, F.lit("\n\nReturn a corrected, complete function."))
+    extra = F.concat(F.lit(REVISION[0]), _c(last_action), F.lit(REVISION[1]), fb,
+                     F.lit(REVISION[2]))
     return F.when(F.coalesce(F.length(fb), F.lit(0)) > 0, F.concat(base, extra)).otherwise(base)
 
 
+def revision_text(entry_point: str, prompt: str, last_action: str, feedback: str | None) -> str:
+    """P-08 for one row of plain strings (the streaming state machine)."""
+    text = FIRST_TURN[0] + entry_point + FIRST_TURN[1] + prompt
+    if feedback:
+        text += REVISION[0] + last_action + REVISION[1] + feedback + REVISION[2]
+    return text
+
+
 def _msg(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 

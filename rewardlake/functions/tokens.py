@@ -113,8 +113,10 @@ def k3_kl(lp, ref_lp) -> Column:
 
 
 def array_mean(x) -> Column:
+    """Mean of an array; 0 for an empty one (an empty completion has KL 0)."""
     a = _c(x)
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(
+        F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a))
 
 
 def array_sum(x) -> Column:

@@ -1,10 +1,10 @@
 """Word 4-gram diversity per group (M-05, A-10).
 
 distinct / total over all texts of a group, 1.0 when a group has no
-n-gram. Distinct n-grams are counted by a two-level aggregation:
-``(group, ngram)`` first (partial aggregation removes local repeats and
-spreads a hot group over many keys), then per group. Totals come from
-array sizes without exploding.
+n-gram. N-grams are counted per ``(group, ngram)`` first (partial
+aggregation removes local repeats and spreads a hot group over many
+keys); the sum and the number of those counts give both figures, so the
+text is scanned and split once. A null group is a group.
 """
 from __future__ import annotations
 
@@ -18,16 +18,10 @@ from rewardlake.operators.layout import spread
 
 def ngram_diversity(texts: DataFrame, group: str = "grp", text: str = "text", n: int = 4
                     ) -> DataFrame:
-    # n-grams are ~4x the text: one round-robin of the text first keeps
-    # the explosion evenly spread whatever the input file layout.
-    words = spread(texts, force=True).select(group, py_split(text).alias("w"))
-    total = words.groupBy(group).agg(
-        F.sum(F.greatest(F.size("w") - (n - 1), F.lit(0))).cast("long").alias("n_total"))
-    grams = words.select(group, F.explode(ngrams("w", n)).alias("gram"))
-    distinct = (grams.distinct()
-                .groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct")))
-    out = total.join(distinct, group, "left").withColumn(
-        "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
+    words = spread(texts).select(group, py_split(text).alias("w"))
+    grams = words.select(group, F.explode_outer(ngrams("w", n)).alias("gram"))
+    counts = grams.groupBy(group, "gram").agg(F.count("gram").alias("n"))
+    out = counts.groupBy(group).agg(F.sum("n").alias("n_total"), F.count("gram").alias("n_distinct"))
     return out.withColumn("diversity", F.when(F.col("n_total") > 0,
                                               F.col("n_distinct") / F.col("n_total"))
                           .otherwise(F.lit(1.0)))

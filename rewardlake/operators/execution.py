@@ -8,14 +8,14 @@ plan never runs code twice, H-7) and joined back.
 
 X-07 runs stored code on executors. It is opt-in (``allow_exec=True``);
 each program runs in its own isolated interpreter with an empty
-environment, a throw-away working directory, CPU / memory / file-size
-limits and a wall-clock limit that kills the whole process group. This
-is not a security boundary.
+environment, a throw-away working directory and a wall-clock limit; its
+process group is killed in any case. CPU, memory and file-size limits are
+optional. This is not a security boundary.
 """
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,63 +27,80 @@ EXEC_SCHEMA = T.StructType([
     T.StructField("program_id", T.StringType()),
     T.StructField("ok", T.BooleanType()),
     T.StructField("returncode", T.IntegerType()),
-    T.StructField("stdout", T.StringType()),
     T.StructField("stderr", T.StringType()),
     T.StructField("timed_out", T.BooleanType()),
+    T.StructField("limit_hit", T.StringType()),
 ])
 
+# Characters kept of a program's error output (its end); feedback uses the last 400.
+KEEP_ERROR_CHARS = 65_536
 
-@F.pandas_udf(T.BooleanType())
-def parses(code: pd.Series) -> pd.Series:
-    """P-06: True when the code parses as Python."""
+
+@F.pandas_udf(T.StringType())
+def parse_problem(code: pd.Series) -> pd.Series:
+    """P-06: '' when the code parses as Python, else the name of what the
+    parser raised (too deep code raises RecursionError or MemoryError)."""
     import ast
     import warnings
 
-    def ok(s):
+    def problem(s):
         if s is None:
             return None
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(s)
-            return True
-        except (SyntaxError, ValueError):
-            return False
-    return code.map(ok)
+            return ""
+        except Exception as e:  # any failure of the parser is a result
+            return type(e).__name__
+    return code.map(problem)
+
+
+def parses(code) -> Column:
+    """P-06: True when the code parses as Python, null for null."""
+    return parse_problem(code) == ""
 
 
 def syntax_check(df: DataFrame, code: str = "code", name: str = "syntax_ok",
-                 max_broadcast_rows: int = 200_000) -> DataFrame:
-    """X-06: parse each distinct code once, materialise, join back."""
+                 reason: str | None = None) -> DataFrame:
+    """X-06: parse each distinct code once, materialise, join back.
+    ``reason`` names a column for what the parser raised ('' if nothing)."""
     ship_package(df.sparkSession)
     keyed = df.withColumn("_cid", F.sha2(F.col(code), 256))
     distinct = keyed.select("_cid", code).dropDuplicates(["_cid"])
-    checked = cut_lineage(distinct.select("_cid", parses(F.col(code)).alias(name)))
-    return join_dim(keyed, checked, "_cid", "left", max_broadcast_rows).drop("_cid")
+    checked = cut_lineage(distinct.select("_cid", parse_problem(F.col(code)).alias("_problem")))
+    out = join_dim(keyed, checked, "_cid", "left").withColumn(name, F.col("_problem") == "")
+    if reason:
+        out = out.withColumn(reason, F.col("_problem"))
+    return out.drop("_cid", "_problem")
 
 
-# Runs prog.py as if given with ``-c``: compiled under the name "<string>",
-# in a fresh __main__ namespace, with the bootstrap's own frame left out of
-# tracebacks, so error text does not depend on the scratch folder's name.
+# Runs prog.py as if given with ``-c``: compiled under the name "<string>" and
+# executed in the real ``__main__``, with the bootstrap's own names and frame
+# left out, so that pickling, unittest.main() and error texts work as usual.
 _BOOTSTRAP = (
-    "import linecache, sys, traceback\n"
-    "def _hook(t, v, tb):\n"
-    "    traceback.print_exception(t, v, tb.tb_next if tb is not None else None)\n"
-    "sys.excepthook = _hook\n"
-    "with open('prog.py') as _f:\n"
-    "    _src = _f.read()\n"
-    "linecache.cache['<string>'] = (len(_src), None, _src.splitlines(True), '<string>')\n"
-    "try:\n"
-    "    _code = compile(_src, '<string>', 'exec')\n"
-    "except SyntaxError as _e:\n"
-    "    traceback.print_exception(type(_e), _e, None)\n"
-    "    sys.exit(1)\n"
-    "del _f, _hook\n"
-    "exec(_code, {'__name__': '__main__', '__builtins__': __builtins__})\n"
+    "def _boot():\n"
+    "    import linecache, sys, traceback\n"
+    "    del globals()['_boot']\n"
+    "    def hook(t, v, tb):\n"
+    "        traceback.print_exception(t, v, tb.tb_next if tb is not None else None)\n"
+    "    sys.excepthook = hook\n"
+    "    with open('prog.py', encoding='utf-8') as f:\n"
+    "        src = f.read()\n"
+    "    linecache.cache['<string>'] = (len(src), None, src.splitlines(True), '<string>')\n"
+    "    try:\n"
+    "        return compile(src, '<string>', 'exec')\n"
+    "    except SyntaxError as e:\n"
+    "        traceback.print_exception(type(e), e, None)\n"
+    "        sys.exit(1)\n"
+    "exec(_boot(), globals())\n"
 )
 
 
-def _run_batch(batches, timeout: float, mem_mb: int):
+def _run_one(prog: str, timeout: float, cpu_s: int | None, mem_mb: int | None,
+             file_mb: int | None) -> tuple:
+    """(ok, returncode, stderr, timed_out, limit_hit) of one program; never raises."""
+    import codecs
     import os
     import resource
     import shutil
@@ -91,56 +108,112 @@ def _run_batch(batches, timeout: float, mem_mb: int):
     import subprocess
     import sys
     import tempfile
+    import threading
+    import time
 
     def limits():
-        os.setsid()
-        cpu = int(timeout) + 1
-        resource.setrlimit(resource.RLIMIT_CPU, (cpu, cpu))
-        resource.setrlimit(resource.RLIMIT_AS, (mem_mb << 20, mem_mb << 20))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (16 << 20, 16 << 20))
+        for kind, value in ((resource.RLIMIT_CPU, cpu_s),
+                            (resource.RLIMIT_AS, mem_mb and mem_mb << 20),
+                            (resource.RLIMIT_FSIZE, file_mb and file_mb << 20)):
+            if value:
+                resource.setrlimit(kind, (value, value))
 
-    for pdf in batches:
-        out = []
-        for pid, prog in zip(pdf["program_id"], pdf["program"]):
-            work = tempfile.mkdtemp(prefix="rl-exec-")
-            path = os.path.join(work, "prog.py")
-            with open(path, "w") as fh:
-                fh.write(prog)
+    def drain(pipe, keep: int, into: dict):
+        # strict decoding as the reference does; only the end of the text is kept
+        dec, text = codecs.getincrementaldecoder("utf-8")(), ""
+        try:
+            while chunk := pipe.read1(1 << 16):
+                if "bad" not in into:
+                    try:
+                        text = (text + dec.decode(chunk))[-keep:] if keep else dec.decode(chunk)[:0]
+                    except UnicodeDecodeError as e:
+                        into["bad"] = repr(e)
+            if "bad" not in into:
+                dec.decode(b"", True)
+        except UnicodeDecodeError as e:
+            into["bad"] = repr(e)
+        except (OSError, ValueError):
+            pass
+        into["text"] = text
+
+    work, p = None, None
+    try:
+        work = tempfile.mkdtemp(prefix="rl-exec-")
+        with open(os.path.join(work, "prog.py"), "w", encoding="utf-8", newline="") as fh:
+            fh.write(prog)
+        p = subprocess.Popen([sys.executable, "-I", "-c", _BOOTSTRAP], cwd=work, env={},
+                             stdin=subprocess.DEVNULL, stdout=subprocess.PIPE,
+                             stderr=subprocess.PIPE, start_new_session=True,
+                             preexec_fn=limits if cpu_s or mem_mb or file_mb else None)
+        out, err = {}, {}
+        readers = [threading.Thread(target=drain, args=a, daemon=True)
+                   for a in ((p.stdout, 0, out), (p.stderr, KEEP_ERROR_CHARS, err))]
+        for r in readers:
+            r.start()
+        end = time.monotonic() + timeout
+        try:
+            rc = p.wait(timeout)
+            for r in readers:                    # a child may still hold the pipes
+                r.join(max(0.0, end - time.monotonic()))
+            late = any(r.is_alive() for r in readers)
+        except subprocess.TimeoutExpired:
+            late = True
+        if late:
+            return False, -1, f"TimeoutExpired after {timeout}s", True, None
+        bad = out.get("bad") or err.get("bad")
+        if bad:
+            return False, -1, bad, False, None
+        hit = ("cpu" if cpu_s and rc == -signal.SIGXCPU
+               else "file" if file_mb and (rc == -signal.SIGXFSZ or "Errno 27" in err["text"])
+               else "memory" if mem_mb and "MemoryError" in err["text"] else None)
+        return rc == 0, rc, err["text"], False, hit
+    except Exception as e:  # a failure is a result
+        return False, -1, repr(e), False, None
+    finally:
+        if p is not None:
+            try:                                 # what the program left running
+                os.killpg(p.pid, signal.SIGKILL)
+            except (ProcessLookupError, PermissionError):
+                pass
             try:
-                p = subprocess.Popen([sys.executable, "-I", "-c", _BOOTSTRAP], cwd=work, env={},
-                                     stdout=subprocess.PIPE, stderr=subprocess.PIPE,
-                                     preexec_fn=limits)
-                try:
-                    so, se = p.communicate(timeout=timeout)
-                    rc = p.returncode
-                    out.append((pid, rc == 0, rc, so.decode("utf-8", "replace"),
-                                se.decode("utf-8", "replace"), False))
-                except subprocess.TimeoutExpired:
-                    os.killpg(p.pid, signal.SIGKILL)
-                    p.communicate()
-                    out.append((pid, False, -1, "", f"TimeoutExpired after {timeout}s", True))
-            except Exception as e:  # never raises: a failure is a result
-                out.append((pid, False, -1, "", repr(e), False))
-            finally:
-                shutil.rmtree(work, ignore_errors=True)
+                p.wait(10)
+            except subprocess.TimeoutExpired:
+                pass
+        if work:
+            shutil.rmtree(work, ignore_errors=True)
+
+
+def _run_batch(batches, timeout: float, limits: dict):
+    for pdf in batches:
+        out = [(pid, *_run_one(prog, timeout, limits.get("cpu_s"), limits.get("mem_mb"),
+                               limits.get("file_mb")))
+               for pid, prog in zip(pdf["program_id"], pdf["program"])]
         yield pd.DataFrame(out, columns=[f.name for f in EXEC_SCHEMA.fields])
 
 
 def run_programs(df: DataFrame, program: str = "program", timeout: float = 5.0,
-                 allow_exec: bool = False, mem_mb: int = 1024, spread: int | None = None) -> DataFrame:
+                 allow_exec: bool = False, limits: dict | None = None,
+                 spread: int | None = None) -> DataFrame:
     """X-07: run every distinct program once and attach ok / returncode /
-    stdout / stderr / timed_out. Exit code 0 is a pass (H-12)."""
+    stderr / timed_out / limit_hit. Exit code 0 is a pass (H-12); output
+    that is no UTF-8 is a failure. A null program is not run.
+
+    ``limits`` may hold ``cpu_s``, ``mem_mb`` and ``file_mb``. They are off
+    by default, as they can change verdicts; ``limit_hit`` names the one
+    that ended a program ('cpu', 'memory', 'file')."""
     if not allow_exec:
         raise PermissionError("test execution is opt-in: pass allow_exec=True")
     ship_package(df.sparkSession)
     keyed = df.withColumn("program_id", F.sha2(F.col(program), 256))
-    distinct = keyed.select("program_id", program).dropDuplicates(["program_id"])
+    distinct = (keyed.select("program_id", F.col(program).alias("program"))
+                .where(F.col("program").isNotNull()).dropDuplicates(["program_id"]))
     # Round-robin after the dedupe: AQE may coalesce the (small) dedupe
     # shuffle into one partition, which would run every program in a
     # single task; a by-number repartition is kept as asked.
     n = spread or 4 * df.sparkSession.sparkContext.defaultParallelism
     distinct = distinct.repartition(n)
-    ran = distinct.mapInPandas(lambda it: _run_batch(it, timeout, mem_mb), EXEC_SCHEMA)
+    given = dict(limits or {})
+    ran = distinct.mapInPandas(lambda it: _run_batch(it, timeout, given), EXEC_SCHEMA)
     ran = cut_lineage(ran)
     return keyed.join(ran, "program_id", "left")
 
@@ -155,7 +228,8 @@ def prepare(completions: DataFrame, completion: str = "completion", fence: str =
 
 
 def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), style: str = "env",
-              timeout: float = 5.0, allow_exec: bool = False) -> DataFrame:
+              timeout: float = 5.0, allow_exec: bool = False,
+              limits: dict | None = None) -> DataFrame:
     """Fan out one program per (completion, test) (P-13), run it (X-07),
     and return ``key + test_idx, test, passed, error``.
 
@@ -187,7 +261,7 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
         syntax = None
     else:
         raise ValueError(f"unknown style {style!r}")
-    ran = run_programs(to_run.withColumn("program", prog), "program", timeout, allow_exec)
+    ran = run_programs(to_run.withColumn("program", prog), "program", timeout, allow_exec, limits)
     ran = ran.select(*key, "test_idx", "ok", "stderr")
     out = per.join(ran, [*key, "test_idx"], "left")
     passed = F.coalesce(F.col("ok"), F.lit(False))
@@ -198,13 +272,13 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
 def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
                        completion: str = "completion", style: str = "env", fence: str = "strip",
                        timeout: float = 5.0, allow_exec: bool = False,
-                       messages: bool = False) -> DataFrame:
+                       messages: bool = False, limits: dict | None = None) -> DataFrame:
     """R-07 (env style, fences stripped) / R-08 (setup style, first fence
     extracted): verdict per completion with feedback (A-01, P-14). A
     completion whose task has no tests keeps its row with 0 of 0."""
     from rewardlake.operators.verdicts import verdicts, with_feedback
     checked = prepare(completions, completion, fence, messages)
-    per = test_rows(checked, tasks, key, style, timeout, allow_exec)
+    per = test_rows(checked, tasks, key, style, timeout, allow_exec, limits)
     v = verdicts(checked, per, key, "syntax_ok" if style == "env" else None)
     return with_feedback(v)
 
@@ -213,9 +287,9 @@ def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completio
 def execution_reward(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
                      completion: str = "completion", timeout: float = 10.0,
                      allow_exec: bool = False, messages: bool = False,
-                     name: str = "execution_reward") -> DataFrame:
+                     name: str = "execution_reward", limits: dict | None = None) -> DataFrame:
     """R-09 / X-05: the batch reward of the RFT variant (P-03, P-02, setup
     style, 10 s); the output column is named after the reward."""
     v = execution_verdicts(completions, tasks, key, completion, "setup", "extract", timeout,
-                           allow_exec, messages)
+                           allow_exec, messages, limits)
     return v.withColumnRenamed("fraction_passed", name)

@@ -1,5 +1,4 @@
-"""Group-relative advantages and masks (W-01 .. W-03, F-02 .. F-04, F-11,
-A-07, A-08).
+"""Group-relative advantages and masks (W-01 .. W-03, F-02 .. F-04, F-11).
 
 A group is bounded by ``G`` trajectories, so its statistics are window
 aggregates over a partition that ``episodes.by_group`` already laid out.
@@ -19,8 +18,9 @@ DELTA_EPS = 1e-5       # fixed value: epsilon of the toy 'normalized_rewards' mo
 
 def varied(std: Column) -> Column:
     """F-02: the group has spread. A single sample has a NULL std in Spark
-    (NaN in the reference); both fail the test (H-2)."""
-    return F.coalesce(std > STD_THRESHOLD, F.lit(False))
+    (NaN in the reference) and a NaN reward a NaN one; all fail the test
+    (H-2), although Spark orders NaN above every number."""
+    return F.coalesce((std > STD_THRESHOLD) & ~F.isnan(std), F.lit(False))
 
 
 def advantage(df: DataFrame, reward: str = "reward", keys=("run_id", "step"),
@@ -86,14 +86,3 @@ def drop_truncated(df: DataFrame, flag="mask_truncated", truncated: str = "trunc
     """F-11: with the flag set, truncated completions leave the loss."""
     f = F.col(flag) if isinstance(flag, str) else F.lit(flag)
     return df.filter(~(f & F.col(truncated)))
-
-
-def group_stats(traj: DataFrame, reward: str = "reward", g_conf: str = "group_size",
-                keys=("run_id", "step")) -> DataFrame:
-    """A-07 / A-08: mean reward, sample std, solve rate and mean turns per
-    group; the last two divide by the configured G, not the row count."""
-    return traj.groupBy(*keys).agg(
-        F.avg(reward).alias("reward_mean"),
-        F.stddev_samp(reward).alias("reward_std"),
-        (F.sum(F.col("solved").cast("int")) / F.first(g_conf)).alias("solve_rate"),
-        (F.sum("n_turns") / F.first(g_conf)).alias("mean_turns"))

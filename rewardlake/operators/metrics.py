@@ -34,9 +34,13 @@ def smooth(series: DataFrame, value: str, key: str = "run_id", order: str = "ste
 def with_eval_points(dense: DataFrame, points: DataFrame, base: DataFrame,
                      keys=("run_id", "step")) -> DataFrame:
     """J-07: the dense series left-joined to sparse eval points, with the
-    base point prepended at step 0."""
-    pts = points.unionByName(base)
-    return dense.join(pts, list(keys), "full")
+    base point at step 0, prepended as a row of its own where the series
+    has none. An evaluation after ``step`` is logged at ``step + 1``."""
+    keys = list(keys)
+    run, step = keys
+    pts = points.withColumn(step, F.col(step) + 1).unionByName(base)
+    alone = base.join(dense.select(*keys).distinct(), keys, "left_anti")
+    return dense.join(pts, keys, "left").unionByName(alone, allowMissingColumns=True)
 
 
 def rows_from_columnar(log: DataFrame, dense: list[str], key: str = "run_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardlake.functions import rewards as rw
+from rewardlake.operators.joins import null_safe_join
 
 # Step reward parts.
 BAD_SYNTAX, VALID, DIFF, NEW_TESTS, FINAL = -0.1, 0.1, 0.2, 0.5, 1.0
@@ -34,7 +35,7 @@ def previous_valid(commits: DataFrame, keys, pos: str, valid: str, value: str,
                   .withColumn("_kmax", F.max("_bmax").over(Window.partitionBy(*keys)))
                   .select(*keys, "_b", "_carry", "_kmax"))
     local = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(per_bucket, [*keys, "_b"])
+    out = null_safe_join(b, per_bucket, [*keys, "_b"])
     out = out.withColumn(name, F.coalesce(
         F.last(F.when(F.col(valid), F.col(value)), ignorenulls=True).over(local), F.col("_carry")))
     return out.withColumn("is_final", F.col(pos) == F.col("_kmax")).drop("_b", "_carry", "_kmax")

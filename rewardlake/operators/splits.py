@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardlake.functions.hashing import uniform
+from rewardlake.operators.joins import null_safe_join
 
 
 def row_numbers(df: DataFrame, bucket: Column, order: list, name: str = "row_idx") -> DataFrame:
@@ -23,7 +24,7 @@ def row_numbers(df: DataFrame, bucket: Column, order: list, name: str = "row_idx
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_b").orderBy(*order)
-    return (b.join(F.broadcast(offs.select("_b", "_off")), "_b")
+    return (null_safe_join(b, offs.select("_b", "_off"), ["_b"])
             .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
             .drop("_b", "_off"))
 
@@ -43,7 +44,7 @@ def keyed_row_numbers(df: DataFrame, keys: list[str], order: str, width: int = 1
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy(*keys, "_b").orderBy(order)
-    return (b.join(offs.select(*keys, "_b", "_off"), [*keys, "_b"])
+    return (null_safe_join(b, offs.select(*keys, "_b", "_off"), [*keys, "_b"])
             .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
             .drop("_b", "_off"))
 
@@ -65,7 +66,7 @@ def keyed_lag(df: DataFrame, keys: list[str], order: str, cols: list[str], width
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).select(
         *keys, "_b", "_carry")
-    out = b.join(carry, [*keys, "_b"])
+    out = null_safe_join(b, carry, [*keys, "_b"])
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.when(F.col("_first"), F.col("_carry").getField(c))
                              .otherwise(F.col(f"_l_{c}")))
@@ -111,12 +112,13 @@ def capped_split(df: DataFrame, n_total: int, want_train: int, n_eval: int,
 
 
 def take(df: DataFrame, limit: int | None, idx: str = "row_idx") -> DataFrame:
-    """T-04: first ``limit`` rows; None and 0 mean no limit."""
+    """T-04: first ``limit`` rows of a gapless 0-based row number; None and 0 mean no limit.
+    A filter, so nothing is gathered in one task."""
     if limit is None or limit == 0:
         return df
     if limit < 0:
         raise ValueError("limit must be >= 0")
-    return df.orderBy(idx).limit(limit)
+    return df.filter(F.col(idx) < limit)
 
 
 def named_only(df: DataFrame, name: str = "function_name") -> DataFrame:

@@ -419,10 +419,14 @@ SELECT run_id, step, {R('reward')}, {R('sm', 'reward_smooth')} FROM s WHERE n >
 ORACLE["j07_eval_series"] = with_views(f"""
 , e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step,
                CAST(event_type = 'purchase' AS DOUBLE) AS hit FROM events),
-pts AS (SELECT 'events' AS run_id, step, avg(hit) AS eval_acc FROM e WHERE (step + 1) % 24 = 0 GROUP BY step
+pts AS (SELECT 'events' AS run_id, step + 1 AS step, avg(hit) AS eval_acc FROM e
+        WHERE (step + 1) % 24 = 0 GROUP BY step
         UNION ALL SELECT 'events', CAST(0 AS BIGINT), avg(hit) FROM e),
 d AS (SELECT * FROM hourly WHERE run_id = 'events')
-SELECT run_id, step, {R('reward')}, {R('eval_acc')} FROM d FULL JOIN pts USING (run_id, step)
+SELECT run_id, step, {R('reward')}, {R('eval_acc')} FROM d LEFT JOIN pts USING (run_id, step)
+UNION ALL
+SELECT run_id, step, NULL AS reward, {R('eval_acc')} FROM pts
+WHERE step = 0 AND NOT EXISTS (SELECT 1 FROM d WHERE d.step = 0)
 """.replace("\n, e AS", ", e AS", 1), "hourly")
 
 ORACLE["a17_pass1"] = with_views(f"""

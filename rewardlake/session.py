@@ -41,10 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read here.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only when it is unset and the master is local (tests) is a scratch folder
+    made: on a cluster, executors and driver would not see each other's.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         cur = tempfile.mkdtemp(prefix="rewardlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)

@@ -52,5 +52,6 @@ def run_config(spark: SparkSession, rows: list[dict] | None = None) -> DataFrame
 
 
 def read_run_config(spark: SparkSession, path: str) -> DataFrame:
-    """Overrides stored as JSON lines (one object per run)."""
-    return with_defaults(spark.read.schema(RUN_CONFIG).json(path))
+    """Overrides stored as JSON lines (one object per run). Keys are taken from the file, so
+    unknown ones pass through; the known ones are cast to their declared types."""
+    return with_defaults(spark.read.json(path))

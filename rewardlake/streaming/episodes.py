@@ -4,12 +4,18 @@ X-01 keeps one small state per trajectory ``(run_id, step, g)``: the next
 expected turn, whether the episode is done, and any turns that arrived
 ahead of their predecessor. A scored turn goes in; reward, done and the
 next prompt come out, in turn order. Turns after ``done`` are dropped
-(H-13), held turns expire by a processing-time timeout.
+(H-13). When the watermark has passed an episode by the expiry, turns still
+held for a missing predecessor are emitted with ``expired = true``.
 
 X-02 keeps, per GRPO group ``(run_id, step)``, the credited reward of
 each finished trajectory (at most ``G`` values) and emits the group's
 advantages once all ``G`` have finished. A timeout flushes a group that
-never completes, flagged ``complete = false`` (our policy).
+never completes, flagged ``complete = false`` (our policy). A complete group
+leaves a mark until the same expiry, so a redelivered trajectory does not
+open it again.
+
+Event times reach the state as epoch milliseconds taken in Spark, so results
+do not depend on the session's time zone.
 
 Both states are bounded by configuration (``max_turns`` turns, ``G``
 rewards), so no key can accumulate an unbounded state.
@@ -28,94 +34,95 @@ from rewardlake.functions import text as tx
 from rewardlake.session import ship_package
 
 STEP_OUT = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
-            "done boolean, next_prompt string")
+            "done boolean, next_prompt string, expired boolean")
+HELD_FIELDS = ("reward", "solved", "action", "feedback", "max_turns", "entry_point", "prompt")
 STEP_STATE = "next_turn int, done boolean, held string, last_ms long"
 
 GROUP_OUT = ("run_id string, step long, g int, reward double, advantage double, "
              "complete boolean")
 GROUP_STATE = "rewards string, last_ms long"
 
-# Held turns and unfinished groups expire once the event-time watermark
-# has passed them by this much.
+# Held turns, unfinished groups and marks of complete groups expire once the
+# event-time watermark has passed them by this much (default).
 STATE_TIMEOUT_MS = 3_600_000
 WATERMARK = "1 hour"
 
-# The prompt texts (same as the batch prompt columns).
-_FIRST = "Solve this Python task. The function must be named `{e}`.\n\n{p}"
-_REVISE = ("\n\nYour previous attempt was incorrect:\n\n{a}\n\n{f}\n\n"
-           "Return a corrected, complete function.")
-
-
 def _next_prompt(row, done: bool) -> str:
     if done:
         return ""
-    text = _FIRST.format(e=row["entry_point"], p=row["prompt"])
-    fb = row["feedback"] or ""
-    if fb:
-        text += _REVISE.format(a=row["action"], f=fb)
-    return text
+    return tx.revision_text(row["entry_point"], row["prompt"], row["action"], row["feedback"])
 
 
 def _max_ms(pdf: pd.DataFrame, last_ms: int) -> int:
-    if len(pdf) == 0:
-        return last_ms
-    return max(last_ms, int(pd.to_datetime(pdf["ts"]).max().value // 1_000_000))
+    return max(last_ms, int(pdf["event_ms"].max())) if len(pdf) else last_ms
 
 
-def _set_timeout(state, last_ms: int) -> None:
+def _set_timeout(state, last_ms: int, expire_ms: int) -> None:
     """Expire the state once the watermark is past the group's latest event
-    time by ``STATE_TIMEOUT_MS``."""
-    state.setTimeoutTimestamp(max(last_ms + STATE_TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
-
-
-def _episode_step(key, batches, state):
-    run_id, step, g = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        next_turn, done, held, last_ms = state.get
-        held = json.loads(held)
-    else:
-        next_turn, done, held, last_ms = 0, False, {}, 0
-    for pdf in batches:
-        last_ms = _max_ms(pdf, last_ms)
-        for rec in pdf.to_dict("records"):
-            t = int(rec["turn"])
-            # only turns that can still be stepped are held: state <= max_turns
-            if not done and next_turn <= t < int(rec["max_turns"]) and str(t) not in held:
-                held[str(t)] = {k: (v.item() if hasattr(v, "item") else v) for k, v in rec.items()
-                                if k != "ts"}
-    out = []
-    while not done and str(next_turn) in held:
-        rec = held.pop(str(next_turn))
-        d = bool(rec["solved"]) or (next_turn + 1) >= int(rec["max_turns"])
-        out.append((run_id, int(step), int(g), next_turn, float(rec["reward"]), bool(rec["solved"]),
-                    d, _next_prompt(rec, d)))
-        next_turn += 1
-        done = d
-    if done:
-        held = {}
-    state.update((next_turn, done, json.dumps(held), last_ms))
-    _set_timeout(state, last_ms)
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_OUT.split(", ")])
+    time by ``expire_ms``."""
+    state.setTimeoutTimestamp(max(last_ms + expire_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _frame(rows, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _episode_step(expire_ms: int):
+    def step_episode(key, batches, state):
+        run_id, step, g = key
+        if state.exists:
+            next_turn, done, held, last_ms = state.get
+            held = json.loads(held)
+        else:
+            next_turn, done, held, last_ms = 0, False, {}, 0
+        if state.hasTimedOut:
+            state.remove()
+            if held:                    # quarantine: a predecessor never came
+                yield _frame([(run_id, int(step), int(g), int(t), float(r["reward"]),
+                               bool(r["solved"]), False, "", True)
+                              for t, r in sorted(held.items(), key=lambda x: int(x[0]))], STEP_OUT)
+            return
+        for pdf in batches:
+            last_ms = _max_ms(pdf, last_ms)
+            for rec in pdf.to_dict("records"):
+                t = int(rec["turn"])
+                # only turns that can still be stepped are held: state <= max_turns
+                if not done and next_turn <= t < int(rec["max_turns"]) and str(t) not in held:
+                    held[str(t)] = {k: (rec[k].item() if hasattr(rec[k], "item") else rec[k])
+                                    for k in HELD_FIELDS}
+        out = []
+        while not done and str(next_turn) in held:
+            rec = held.pop(str(next_turn))
+            d = bool(rec["solved"]) or (next_turn + 1) >= int(rec["max_turns"])
+            out.append((run_id, int(step), int(g), next_turn, float(rec["reward"]),
+                        bool(rec["solved"]), d, _next_prompt(rec, d), False))
+            next_turn += 1
+            done = d
+        if done:
+            held = {}
+        state.update((next_turn, done, json.dumps(held), last_ms))
+        _set_timeout(state, last_ms, expire_ms)
+        if out:
+            yield _frame(out, STEP_OUT)
+    return step_episode
 
 
 def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
     # withWatermark rejects TIMESTAMP_NTZ (H-17): use a session-zone timestamp.
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return (df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+            .withColumn("event_ms", F.unix_millis(ts)))
 
 
-def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
+                   expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
     """X-01 over a streaming DataFrame of scored turns with ``run_id,
     step, g, turn, reward, solved, action, feedback, max_turns,
     entry_point, prompt`` and an event time ``ts``."""
     ship_package(turns.sparkSession)
     cols = ["run_id", "step", "g", "turn", "reward", "solved", "action", "feedback", "max_turns",
-            "entry_point", "prompt", ts]
+            "entry_point", "prompt", "event_ms", ts]
     return (_watermarked(turns, ts, delay).select(*cols).groupBy("run_id", "step", "g")
-            .applyInPandasWithState(_episode_step, STEP_OUT, STEP_STATE, "append",
+            .applyInPandasWithState(_episode_step(expire_ms), STEP_OUT, STEP_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
@@ -126,7 +133,7 @@ def episode_batch_twin(turns: DataFrame) -> DataFrame:
     nxt = F.when(F.col("done"), F.lit("")).otherwise(
         tx.revision_prompt("entry_point", "prompt", "action", "feedback"))
     return t.select("run_id", "step", "g", "turn", "reward", "solved", "done",
-                    nxt.alias("next_prompt"))
+                    nxt.alias("next_prompt"), F.lit(False).alias("expired"))
 
 
 def _advantages(rows):
@@ -138,42 +145,42 @@ def _advantages(rows):
     return [(g, x, ((x - mean) / (std + 1e-8)) if ok else 0.0) for g, x in rows]
 
 
-def _group_barrier(key, batches, state):
-    run_id, step, group_size = key
-    if state.exists:
-        seen, last_ms = json.loads(state.get[0]), state.get[1]
-    else:
-        seen, last_ms = {}, 0
-    if state.hasTimedOut:
-        state.remove()
-        if seen:
-            rows = sorted((int(k), v) for k, v in seen.items())
-            yield pd.DataFrame([(run_id, int(step), g, x, a, False) for g, x, a in _advantages(rows)],
-                               columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
-        return
-    for pdf in batches:
-        last_ms = _max_ms(pdf, last_ms)
-        for g, rew in zip(pdf["g"], pdf["reward"]):
-            seen[str(int(g))] = float(rew)
-    if len(seen) >= int(group_size):
-        state.remove()
-        rows = sorted((int(k), v) for k, v in seen.items())
-        yield pd.DataFrame([(run_id, int(step), g, x, a, True) for g, x, a in _advantages(rows)],
-                           columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
-    else:
-        state.update((json.dumps(seen), last_ms))
-        _set_timeout(state, last_ms)
-
-
-def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+def _group_barrier(expire_ms: int):
+    def barrier(key, batches, state):
+        run_id, step, group_size = key
+        seen, last_ms = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if seen:                    # null marks a group already emitted
+                yield _frame([(run_id, int(step), g, x, a, False) for g, x, a in
+                              _advantages(sorted((int(k), v) for k, v in seen.items()))], GROUP_OUT)
+            return
+        emitted = seen is None
+        for pdf in batches:
+            last_ms = _max_ms(pdf, last_ms)
+            if not emitted:
+                for g, rew in zip(pdf["g"], pdf["reward"]):
+                    seen.setdefault(str(int(g)), float(rew))    # the first delivery counts
+        full = not emitted and len(seen) >= int(group_size)
+        state.update((json.dumps(None if full else seen), last_ms))
+        _set_timeout(state, last_ms, expire_ms)
+        if full:
+            yield _frame([(run_id, int(step), g, x, a, True) for g, x, a in
+                          _advantages(sorted((int(k), v) for k, v in seen.items()))], GROUP_OUT)
+    return barrier
+
+
+def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK,
+                  expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
     """X-02 over finished trajectories ``run_id, step, g, reward,
     group_size, ts``: advantages once all G trajectories of a group
-    finished; a group still open when the watermark passes it by the
-    timeout is flushed with ``complete = false``."""
+    finished; a group still open when the watermark passes it by
+    ``expire_ms`` is flushed with ``complete = false``."""
     ship_package(finished.sparkSession)
-    return (_watermarked(finished, ts, delay).select("run_id", "step", "g", "reward", "group_size", ts)
+    return (_watermarked(finished, ts, delay)
+            .select("run_id", "step", "g", "reward", "group_size", "event_ms", ts)
             .groupBy("run_id", "step", "group_size")
-            .applyInPandasWithState(_group_barrier, GROUP_OUT, GROUP_STATE, "append",
+            .applyInPandasWithState(_group_barrier(expire_ms), GROUP_OUT, GROUP_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 

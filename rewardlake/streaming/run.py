@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rewardlake.session import ensure_checkpoint_dir
-from rewardlake.streaming.episodes import WATERMARK, episode_stream, group_barrier
+from rewardlake.streaming.episodes import STATE_TIMEOUT_MS, WATERMARK, episode_stream, group_barrier
 
 TURN_SCHEMA = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
                "action string, feedback string, max_turns int, entry_point string, prompt string, "
@@ -30,15 +30,17 @@ def _start(spark, df, out_path, name, checkpoint, trigger):
 
 def start_episode_stream(spark: SparkSession, src: str, out_path: str, name: str = "episodes",
                          checkpoint: str | None = None, trigger: str = "available_now",
-                         delay: str = WATERMARK, max_files: int = 100) -> StreamingQuery:
+                         delay: str = WATERMARK, max_files: int = 100,
+                         expire_ms: int = STATE_TIMEOUT_MS) -> StreamingQuery:
     """X-01 from a folder of scored-turn parquet files."""
     df = spark.readStream.schema(TURN_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
-    return _start(spark, episode_stream(df, delay=delay), out_path, name, checkpoint, trigger)
+    return _start(spark, episode_stream(df, delay=delay, expire_ms=expire_ms), out_path, name, checkpoint, trigger)
 
 
 def start_group_barrier(spark: SparkSession, src: str, out_path: str, name: str = "groups",
                         checkpoint: str | None = None, trigger: str = "available_now",
-                        delay: str = WATERMARK, max_files: int = 100) -> StreamingQuery:
+                        delay: str = WATERMARK, max_files: int = 100,
+                        expire_ms: int = STATE_TIMEOUT_MS) -> StreamingQuery:
     """X-02 from a folder of finished-trajectory parquet files."""
     df = spark.readStream.schema(FINISHED_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
-    return _start(spark, group_barrier(df, delay=delay), out_path, name, checkpoint, trigger)
+    return _start(spark, group_barrier(df, delay=delay, expire_ms=expire_ms), out_path, name, checkpoint, trigger)

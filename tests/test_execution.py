@@ -1,10 +1,13 @@
-"""The reference's verifier and rubric tests, re-expressed on DataFrames.
+"""P-06, X-06, X-07 and the rewards on them (R-07 .. R-09, X-05).
 
 They run stored code on the executors, so they pass ``allow_exec=True``."""
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from rewardlake.functions import rewards as rw
+from rewardlake.functions.text import SYNTAX_FEEDBACK
 from rewardlake.operators import execution as ex
 from rewardlake.operators.verdicts import score
 
@@ -31,64 +34,112 @@ def verdicts(spark):
     return {r.completion_id: r for r in v.collect()}
 
 
-def test_all_pass(verdicts):
-    r = verdicts["all_pass"]
-    assert r.syntax_ok and r.all_passed and r.fraction_passed == 1.0 and r.feedback == ""
+EXPECTED = {  # completion: (parses, tests passed, tests in all)
+    "all_pass": (True, 3, 3), "partial": (True, 1, 3), "syntax": (False, 0, 3),
+    "fenced": (True, 3, 3), "exits_early": (True, 3, 3), "unicode": (True, 3, 3),
+    "empty": (True, 0, 3), "no_tests": (True, 0, 0),
+}
 
 
-def test_partial_credit(verdicts):
-    r = verdicts["partial"]
-    assert r.n_passed == 1 and abs(r.fraction_passed - 1 / 3) < 1e-9 and not r.all_passed
+@pytest.mark.parametrize("cid", EXPECTED)
+def test_a01_counts(verdicts, cid):
+    r = verdicts[cid]
+    ok, passed, total = EXPECTED[cid]
+    assert (r.syntax_ok, r.n_passed, r.n_total) == (ok, passed, total)
+    assert r.all_passed == (total > 0 and passed == total)
+    assert abs(r.fraction_passed - (passed / total if total else 0.0)) < 1e-9
 
 
-def test_syntax_error_scores_zero(verdicts):
-    r = verdicts["syntax"]
-    assert not r.syntax_ok and r.fraction_passed == 0.0 and r.n_total == 3
-    assert "SyntaxError" in r.feedback or "parse" in r.feedback
+def test_p14_texts(verdicts):
+    assert [verdicts[c].feedback for c in ("all_pass", "no_tests")] == ["", ""]
+    assert verdicts["syntax"].feedback == SYNTAX_FEEDBACK
+    lines = verdicts["partial"].feedback.split("\n")
+    assert lines[:3] == ["Your code failed this test:", DOUBLE_TESTS[1], "Error:"]
+    assert lines[-1] == "AssertionError"
 
 
-def test_fences_are_stripped(verdicts):
-    assert verdicts["fenced"].all_passed
+def test_r06_dense_value(verdicts):
+    assert verdicts["fenced"].dense == pytest.approx(0.9)
 
 
-def test_feedback_points_at_failure(verdicts):
-    fb = verdicts["partial"].feedback
-    assert "failed this test" in fb.lower() and "assert f(3) == 6" in fb and "AssertionError" in fb
+def test_x07_wall_clock(spark):
+    tasks = spark.createDataFrame([("t", ["assert f(1) == 1"])], "task_id string, tests array<string>")
+    comps = spark.createDataFrame([("c", "t", "def f(x):\n    while True:\n        pass")],
+                                  "completion_id string, task_id string, completion string")
+    r = ex.execution_verdicts(comps, tasks, timeout=2, allow_exec=True).first()
+    assert r.n_passed == 0 and r.feedback.endswith("TimeoutExpired after 2s")
 
 
-def test_dense_rubric_blends_components(verdicts):
-    assert abs(verdicts["fenced"].dense - 0.9) < 1e-9
+def test_execution_is_opt_in(spark):
+    df = spark.createDataFrame([("print(1)",)], "program string")
+    with pytest.raises(PermissionError):
+        ex.run_programs(df)
 
 
-def test_exit_zero_counts_as_pass(verdicts):
-    assert verdicts["exits_early"].all_passed        # H-12
+def run(spark, programs, **kw):
+    df = spark.createDataFrame([(p,) for p in programs], "program string")
+    return {r.program: r for r in ex.run_programs(df, allow_exec=True, **kw).collect()}
 
 
-def test_zero_tests_and_empty(verdicts):
-    r = verdicts["no_tests"]
-    assert r.n_total == 0 and r.fraction_passed == 0.0 and not r.all_passed and r.feedback == ""
-    assert verdicts["empty"].syntax_ok and verdicts["empty"].n_passed == 0
-    assert verdicts["unicode"].all_passed
+PICKLE = ("import pickle\nclass A:\n    x = 1\n"
+          "assert pickle.loads(pickle.dumps(A())).x == 1")
+UNITTEST = ("import unittest\nclass T(unittest.TestCase):\n    def test_a(self):\n"
+            "        self.assertEqual(1, 1)\nunittest.main()")
+MAIN = "import __main__\nv = 3\nassert __main__.v == 3 and not hasattr(__main__, '_boot')"
+BIG = "x = bytearray(1_200_000_000); x[-1] = 1"
+FLOOD = "import sys\nfor _ in range(400):\n    sys.stdout.write('x' * 100_000)"
+FILE = "open('f', 'wb').write(b'0' * (17 << 20))"
+UNDECODABLE = "import sys\nsys.stdout.buffer.write(b'\\xff')"
+SURROGATE = "s = 'gr\u00f6\u00dfe \u4e2d'\nassert len(s) == 7"
 
 
-def test_timeout_does_not_hang(spark):
-    tasks = spark.createDataFrame([("t/loop", ["assert f(1) == 1"])], "task_id string, tests array<string>")
-    comps = spark.createDataFrame([("loop", "t/loop", "def f(x):\n    while True:\n        pass")],
-                                  "completion_id string, task_id string, completion string")
-    r = ex.execution_verdicts(comps, tasks, timeout=2, allow_exec=True).first()
-    assert not r.all_passed and "Timeout" in r.feedback
+def test_x07_real_main_and_no_default_limits(spark):
+    got = run(spark, [PICKLE, UNITTEST, MAIN, BIG, FLOOD, FILE, SURROGATE], timeout=60)
+    assert [p[:40] for p, r in got.items() if not r.ok] == []
+    assert {r.limit_hit for r in got.values()} == {None}
 
 
-def test_execution_is_opt_in(spark):
-    df = spark.createDataFrame([("print(1)",)], "program string")
-    with pytest.raises(PermissionError):
-        ex.run_programs(df)
+def test_x07_undecodable_output_and_null(spark):
+    got = run(spark, [UNDECODABLE, None, "raise SystemExit(3)"])
+    assert got[UNDECODABLE].ok is False and "UnicodeDecodeError" in got[UNDECODABLE].stderr
+    assert got[None].ok is None and got["raise SystemExit(3)"].returncode == 3
+
+
+def test_x07_limits_on_request(spark):
+    got = run(spark, [BIG, FILE], limits={"mem_mb": 512, "file_mb": 16}, timeout=30)
+    assert (got[BIG].limit_hit, got[FILE].limit_hit) == ("memory", "file")
+
 
+def test_x07_leaves_no_process(spark, tmp_path):
+    mark = tmp_path / "alive"
+    child = f"import time; time.sleep(3); open({str(mark)!r}, 'w').write('x')"
+    prog = ("import subprocess, sys\nsubprocess.Popen([sys.executable, '-c', %r], "
+            "stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)" % child)
+    assert run(spark, [prog])[prog].ok
+    time.sleep(5)
+    assert not mark.exists()
 
-def test_each_program_runs_once(spark):
-    df = spark.createDataFrame([("import os; print(os.getpid())",)] * 5, "program string")
-    out = ex.run_programs(df, allow_exec=True).select("stdout").distinct().collect()
-    assert len(out) == 1
+
+def test_x06_any_parser_failure_is_a_result(spark):
+    deep = "x = " + "+".join(["1"] * 50_000)
+    unary = "x = " + "-" * 100_000 + "1"
+    df = spark.createDataFrame([(deep,), (unary,), ("a\x00b",), ("x = 1",)], "code string")
+    got = {r.code[:12]: r for r in ex.syntax_check(df, reason="why").collect()}
+    assert got["x = 1"].syntax_ok and got["x = 1"].why == ""
+    for c in (deep, unary, "a\x00b"):
+        assert got[c[:12]].syntax_ok is False and got[c[:12]].why
+
+
+def test_r08_null_completion_is_scored(spark):
+    tasks = spark.createDataFrame([("m", ["assert g(1) == 1"], None)],
+                                  "task_id string, tests array<string>, test_setup string")
+    comps = spark.createDataFrame([("a", "m", None)], "completion_id string, task_id string, "
+                                  "completion array<struct<role:string,content:string>>")
+    r = ex.execution_reward(comps, tasks, allow_exec=True, messages=True).first()
+    assert r.execution_reward == 0.0 and r.n_total == 1
+    plain = spark.createDataFrame([("a", "m", None)],
+                                  "completion_id string, task_id string, completion string")
+    assert ex.execution_reward(plain, tasks, allow_exec=True).first().execution_reward == 0.0
 
 
 def test_setup_style_reward(spark):

@@ -106,8 +106,8 @@ def test_bounded_broadcast_and_spread(spark):
     from rewardlake.operators.joins import bounded_broadcast
     from rewardlake.operators.layout import spread
     small = spark.range(5)
-    assert bounded_broadcast(small, max_rows=1) is small            # over the bound: no hint
-    hinted = bounded_broadcast(small, max_rows=10)
+    assert bounded_broadcast(small, max_bytes=1) is small           # over the bound: no hint
+    hinted = bounded_broadcast(small, max_bytes=1 << 20)
     assert hinted is not small and "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
     one = spark.range(100).coalesce(1)
     assert spread(one, 4).rdd.getNumPartitions() == 4

@@ -150,3 +150,67 @@ def test_episode_stream_ignores_turns_past_the_limit(spark):
     got = run_stream(spark, src, os.path.join(base, "chk"), out, st.episode_stream)
     assert sorted(r.turn for r in got.collect()) == [0, 1]
     assert rows(got) == rows(st.episode_batch_twin(df))
+
+
+def stream_rows(spark, frames, op, schema, base, zone="UTC", **kw):
+    """Each frame arrives as one file, in order; the collected output of ``op``."""
+    src = os.path.join(base, "src")
+    os.makedirs(src)
+    for i, f in enumerate(frames):
+        d = os.path.join(base, f"f{i}")
+        f.coalesce(1).write.parquet(d)
+        name = next(n for n in os.listdir(d) if n.endswith(".parquet"))
+        os.link(os.path.join(d, name), os.path.join(src, f"{i:03d}.parquet"))
+        os.utime(os.path.join(src, f"{i:03d}.parquet"), (1_700_000_000 + i,) * 2)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (op(df, **kw).writeStream.format("parquet").option("path", os.path.join(base, "out"))
+             .option("checkpointLocation", os.path.join(base, "chk")).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        return spark.read.parquet(os.path.join(base, "out")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+FINISHED = "run_id string, step long, g int, reward double, group_size int, ts timestamp"
+
+
+def finished(spark, rows):
+    return spark.createDataFrame(rows, FINISHED.replace("ts timestamp", "sec long")).select(
+        "run_id", "step", "g", "reward", "group_size", F.timestamp_seconds("sec").alias("ts"))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_x02_zone_and_redelivery(spark, zone, tmp_path):
+    """Rewards of one group within the limits give one complete group in any zone, and a
+    redelivered trajectory does not open it again."""
+    t0 = 1_700_000_000
+    frames = [finished(spark, [("r", 1, 0, 0.2, 2, t0)]),
+              finished(spark, [("x", 9, 0, 0.0, 2, t0 + 1800)]),
+              finished(spark, [("r", 1, 1, 0.4, 2, t0 + 1900)]),
+              finished(spark, [("r", 1, 1, 0.4, 2, t0 + 1950)]),
+              finished(spark, [("x", 8, 0, 0.0, 2, t0 + 2000)])]
+    got = stream_rows(spark, frames, st.group_barrier, FINISHED, str(tmp_path), zone)
+    group = sorted((r.g, round(r.advantage, 3), r.complete) for r in got if r.step == 1)
+    assert group == [(0, -0.707, True), (1, 0.707, True)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_x01_held_turns_are_not_lost(spark, zone, tmp_path):
+    """Turns whose predecessor never comes are emitted as expired, also after an expiry."""
+    t0 = 1_700_000_000
+
+    def turn(t, g, sec):
+        return ("r", 0, g, t, 0.0, False, "a", "fb", 3, "f", "p", sec)
+    names = [c.split()[0] for c in SCHEMA.split(", ")[:-1]]
+    frames = [spark.createDataFrame(r, SCHEMA.replace("ts timestamp", "sec long")).select(
+        *names, F.timestamp_seconds("sec").alias("ts"))
+        for r in ([turn(1, 0, t0), turn(0, 1, t0)], [turn(0, 7, t0 + 900)],
+                  [turn(0, 8, t0 + 1800)], [turn(0, 9, t0 + 2700)])]
+    got = stream_rows(spark, frames, st.episode_stream, SCHEMA, str(tmp_path), zone,
+                      delay="1 minute", expire_ms=60_000)
+    seen = {(r.g, r.turn, r.expired) for r in got}
+    assert (0, 1, True) in seen and (1, 0, False) in seen and (0, 0, False) not in seen
