@@ -72,6 +72,16 @@ def a16_step_metrics(spark, sf_dir):
                     r6("mean_turns"), r6("pg_loss"), r6("temperature"))
 
 
+@query("a16_full_step")
+def a16_full_step(spark, sf_dir):
+    """The composed training step: J-02 inputs, W-08, A-02..A-06, W-01, F-03,
+    M-06..M-13, F-08, M-15, M-17 and all ten fields of A-16."""
+    m = training.full_step_metrics(fx.turn_logs(spark, sf_dir), run_config(spark))
+    return m.select("run_id", "step", *[r6(c) for c in (
+        "reward_mean", "reward_std", "solve_rate", "mean_turns", "pg_loss", "kl", "entropy",
+        "loss", "temperature", "grad_norm")])
+
+
 def _verdict_frame(spark, sf_dir):
     return vd.verdicts(fx.completions_from_orders(spark, sf_dir), fx.test_results(spark, sf_dir))
 

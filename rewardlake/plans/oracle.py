@@ -306,6 +306,48 @@ seq_terms AS (
          list_sum({_K3}) / len(lp) AS kl_all
   FROM logprobs)"""
 VIEW_DEPS["seq_terms"] = ("logprobs",)
+VIEWS["turn_terms"] = f"""
+e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+tl AS (
+  SELECT k.run_id, k.step, k.g, k.turn, k.event_id, a.advantage, c.*,
+         CASE WHEN event_id % 11 = 0 THEN [] ELSE list_transform(e.v, lambda v: -30.0 * abs(v)) END AS lp,
+         CASE WHEN event_id % 11 = 0 THEN [] ELSE list_transform(e.v, lambda v: -29.5 * abs(v)) END AS old_lp,
+         CASE WHEN event_id % 11 = 0 THEN [] ELSE list_transform(e.v, lambda v: -31.0 * abs(v)) END AS ref_lp,
+         ('0x' || substr(md5(k.run_id || '|' || CAST(k.step AS VARCHAR) || '|' || CAST(k.g AS VARCHAR)
+           || '|' || CAST(k.turn AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM kept k JOIN adv a USING (run_id, step, g)
+  JOIN (SELECT run_id AS rid, variant_fixes AS vf, epsilon_low, epsilon_high, kl_coeff, temperature,
+               temp_stage1, temp_stage2, temp_switch_step, mask_prob FROM run_config) c ON c.rid = k.run_id
+  JOIN e ON e.vec_id = k.event_id % (SELECT count(*) FROM embeddings)),
+tm AS (
+  SELECT *, CASE WHEN vf AND event_id % 3 = 0 AND u < mask_prob THEN 0.0 ELSE advantage END AS ma,
+         CASE WHEN len(lp) = 0 THEN -10.0 ELSE list_sum(lp) / len(lp) END AS m,
+         CASE WHEN len(lp) = 0 THEN -10.0 ELSE list_sum(old_lp) / len(lp) END AS mo,
+         CASE WHEN len(lp) = 0 THEN 0.0 ELSE list_sum({_K3}) / len(lp) END AS kl_all
+  FROM tl),
+turn_terms AS (
+  SELECT *, -least(exp(m - mo) * ma, least(greatest(exp(m - mo), 1 - epsilon_low), 1 + epsilon_high) * ma)
+              AS surrogate,
+         CASE WHEN NOT vf AND kl_coeff > 0 THEN kl_all END AS kl, -m AS entropy
+  FROM tm)"""
+VIEW_DEPS["turn_terms"] = ("trajs",)
+ORACLE["a16_full_step"] = with_views(f"""
+, st AS (
+  SELECT run_id, step, avg(reward) AS reward_mean, stddev_samp(reward) AS reward_std,
+         sum(CAST(solved AS INTEGER)) / any_value(group_size) AS solve_rate,
+         sum(n_turns) / any_value(group_size) AS mean_turns
+  FROM adv GROUP BY run_id, step),
+ob AS (
+  SELECT run_id, step, avg(surrogate) AS pg_loss, coalesce(avg(kl), 0.0) AS kl, avg(entropy) AS entropy,
+         any_value(kl_coeff) AS kc,
+         any_value(CASE WHEN vf THEN CASE WHEN step >= temp_switch_step THEN temp_stage2 ELSE temp_stage1 END
+                   ELSE temperature END) AS temperature
+  FROM turn_terms GROUP BY run_id, step)
+SELECT run_id, step, {R('reward_mean')}, {R('reward_std')}, {R('solve_rate')}, {R('mean_turns')},
+       {R('pg_loss')}, {R('kl')}, {R('entropy')}, {R('pg_loss + kc * kl', 'loss')}, {R('temperature')},
+       {R('(step % 7) / 7.0', 'grad_norm')}
+FROM st JOIN ob USING (run_id, step)""".replace("\n, st AS", ", st AS", 1), "turn_terms")
+
 ORACLE["m07_objective"] = with_views(f"""
 SELECT vec_id, {R('mean_lp')}, {R('mean_old_lp')}, {R('ratio')},
        {R('least(greatest(ratio, 1 - 0.2), 1 + 0.2)', 'clip_base')},

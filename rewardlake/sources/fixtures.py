@@ -194,3 +194,22 @@ def scored_turns(spark: SparkSession, sf_dir: str, run_config: DataFrame) -> Dat
         F.concat(F.lit(ATTEMPT_PREFIX), F.col("event_id").cast("string")).alias("action"),
         F.when(F.col("solved"), F.lit("")).otherwise(F.lit(FAILED_FEEDBACK)).alias("feedback"),
         "max_turns", F.lit("f").alias("entry_point"), F.lit("Return x doubled.").alias("prompt"), "ts")
+
+
+def turn_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout turns with logged tokens and log-probs: those of the embedding
+    whose number is the event's modulo their count, none (an empty
+    completion) for every eleventh event."""
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    n = emb.select(F.count("*")).scalar()
+    r = rollouts(spark, sf_dir).withColumn("vec_id", F.pmod("event_id", n))
+    x = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<double>")).otherwise(
+        F.col("embedding").cast("array<double>"))
+    return r.join(emb, "vec_id").select(
+        "run_id", "step", "g", "turn", "reward", "solved",
+        F.transform(x, lambda v: F.floor(F.abs(v) * 30).cast("int")).alias("comp_ids"),
+        (F.col("event_id") % 3 == 0).alias("truncated"),
+        F.transform(x, lambda v: -30.0 * F.abs(v)).alias("lp"),
+        F.transform(x, lambda v: -29.5 * F.abs(v)).alias("old_lp"),
+        F.transform(x, lambda v: -31.0 * F.abs(v)).alias("ref_lp"),
+        ((F.col("step") % 7) / 7.0).alias("grad_norm"))
