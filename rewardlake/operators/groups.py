@@ -45,22 +45,27 @@ def advantage(df: DataFrame, reward: str = "reward", keys=("run_id", "step"),
     return df.withColumn(name, adv)
 
 
+def delta(mode: str, r: Column, mean: Column, std: Column, top: Column) -> Column:
+    """W-02: one of the toy's four delta modes from a prompt's statistics."""
+    if mode == "rewards":
+        return r
+    if mode == "centered_rewards":
+        return r - mean
+    if mode == "normalized_rewards":
+        return (r - mean) / (std + DELTA_EPS)
+    if mode == "max_rewards":
+        return F.when(r == top, r).otherwise(F.lit(0.0))
+    raise ValueError(f"Unknown mode: {mode}")
+
+
 def deltas(df: DataFrame, mode: str, reward: str = "reward", keys=("prompt_id",),
            name: str = "delta") -> DataFrame:
-    """W-02: the toy's four delta modes over the trials of one prompt."""
+    """W-02 over the trials of one prompt, as windows: for prompts with few
+    trials. :func:`rewardlake.plans.toy.all_deltas` is for any number."""
     w = Window.partitionBy(*keys)
     r = F.col(reward)
-    if mode == "rewards":
-        d = r
-    elif mode == "centered_rewards":
-        d = r - F.avg(r).over(w)
-    elif mode == "normalized_rewards":
-        d = (r - F.avg(r).over(w)) / (F.stddev_samp(r).over(w) + DELTA_EPS)
-    elif mode == "max_rewards":
-        d = F.when(r == F.max(r).over(w), r).otherwise(F.lit(0.0))
-    else:
-        raise ValueError(f"Unknown mode: {mode}")
-    return df.withColumn(name, d)
+    return df.withColumn(name, delta(mode, r, F.avg(r).over(w), F.stddev_samp(r).over(w),
+                                     F.max(r).over(w)))
 
 
 def mask_draw(*key_cols: str) -> Column:

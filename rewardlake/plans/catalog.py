@@ -102,6 +102,29 @@ def f05_solved(spark, sf_dir):
     return ev.solved(_verdict_frame(spark, sf_dir), "all_passed").select("completion_id", "n_total")
 
 
+@query("p14_feedback")
+def p14_feedback(spark, sf_dir):
+    """P-14, P-15, T-05: error of each test and the feedback of each
+    completion, from logged test rows with their error output."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+                    "l_partkey")
+    comps = fx.completions_from_orders(spark, sf_dir)
+    rows = li.select(F.col("l_orderkey").alias("completion_id"),
+                     (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("test_idx"),
+                     F.concat(F.lit("assert f("), F.col("l_linenumber").cast("string"), F.lit(")"))
+                     .alias("test"), (F.col("l_quantity") > 25).alias("passed"),
+                     F.when(F.col("l_quantity") % 3 != 0, F.concat(
+                         F.lit("  AssertionError: part "), F.col("l_partkey").cast("string"),
+                         F.lit("\n"))).alias("stderr"))
+    per = rows.join(comps.select("completion_id", "syntax_ok"), "completion_id")
+    per = per.select("completion_id", "test_idx", "test", "passed",
+                     tx.test_error("passed", "stderr", "syntax_ok").alias("error"))
+    v = vd.with_feedback(vd.verdicts(comps, per))
+    return v.select("completion_id", "n_passed", "n_total",
+                    F.col("first_fail.test").alias("first_test"),
+                    F.col("first_fail.error").alias("first_error"), "feedback")
+
+
 def _tasks(spark, sf_dir):
     return fx.tasks(spark, sf_dir)
 
@@ -425,13 +448,13 @@ def r12_sort_rewards(spark, sf_dir):
     prompt and the four delta modes."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     ints = lambda a: F.transform(a, lambda x: F.floor(F.abs(x) * 10).cast("int"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
     prompts = e.groupBy(F.col("label").alias("prompt_id")).agg(
-        F.min_by(ints(F.slice("embedding", 1, 4)), "vec_id").alias("prompt"))
+        F.min_by(ints(F.slice("embedding", F.lit(1), half)), "vec_id").alias("prompt"))
     trials = e.select(F.col("label").alias("prompt_id"), "vec_id",
-                      ints(F.slice("embedding", 5, 4)).alias("response"))
-    a = toy.reward_matrix(prompts, trials, rw.sort_distance).withColumnRenamed("reward", "r_dist")
-    b = toy.reward_matrix(prompts, trials, rw.sort_inclusion_ordering).select("vec_id", "reward")
-    j = a.join(b, "vec_id")
+                      ints(F.slice("embedding", half + 1, half)).alias("response"))
+    j = toy.reward_matrix(prompts, trials, rw.sort_inclusion_ordering).withColumn(
+        "r_dist", F.when(F.col("equal_len"), rw.sort_distance("prompt", "response")))
     d = toy.all_deltas(j, "prompt_id")
     return d.select("prompt_id", "vec_id", r6("r_dist"), r6("reward", "r_incl"),
                     r6("d_rewards"), r6("d_centered_rewards"), r6("d_normalized_rewards"),

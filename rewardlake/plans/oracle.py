@@ -249,6 +249,25 @@ FROM verdicts""", "verdicts")
 ORACLE["f05_solved"] = with_views("""
 SELECT completion_id, n_total FROM verdicts WHERE all_passed""", "verdicts")
 
+ORACLE["p14_feedback"] = f"""
+WITH o AS (SELECT o_orderkey AS completion_id, o_orderstatus <> 'P' AS ok FROM orders),
+t AS (SELECT l_orderkey AS completion_id, l_linenumber * 10000000 + l_partkey AS i, 'assert f(' || l_linenumber || ')' AS test,
+             l_quantity > 25 AS passed, CASE WHEN l_quantity % 3 <> 0 THEN '  AssertionError: part ' || l_partkey || chr(10) END AS stderr
+      FROM lineitem),
+e AS (SELECT t.*, ok, CASE WHEN NOT ok THEN 'SyntaxError' WHEN passed THEN ''
+                      WHEN coalesce(stderr, '') = '' THEN 'non-zero exit' ELSE stderr END AS error
+      FROM t JOIN o USING (completion_id)),
+c AS (SELECT completion_id, count(*) AS n, sum(CAST(passed AS BIGINT)) AS p,
+             arg_min(test, i) FILTER (WHERE NOT passed) AS ft,
+             arg_min(error, i) FILTER (WHERE NOT passed) AS fe FROM e GROUP BY completion_id)
+SELECT completion_id, CAST(CASE WHEN ok THEN coalesce(p, 0) ELSE 0 END AS BIGINT) AS n_passed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_total, ft AS first_test, fe AS first_error,
+       CASE WHEN NOT ok THEN 'Your code failed to parse (SyntaxError). Return a syntactically valid function.'
+            WHEN ft IS NOT NULL THEN 'Your code failed this test:' || chr(10) || ft || chr(10) || 'Error:'
+              || chr(10) || CASE WHEN trim(fe) = '' THEN 'assertion failed' ELSE right(regexp_replace(fe, '^\\s+|\\s+$', '', 'g'), 400) END
+            ELSE '' END AS feedback
+FROM o LEFT JOIN c USING (completion_id)"""
+
 _E = ENTRY_LOOSE.format(t="test_list")
 _HE = f"(test_list[1] || chr(10) || chr(10) || 'check(' || {_E} || ')')"
 ORACLE["s01_tasks"] = with_views(f"""
@@ -554,9 +573,9 @@ SELECT conv_id, turn, CAST(length(prompt) AS INTEGER) AS prompt_len, md5(prompt)
 
 _INTS = "list_transform({s}, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 10) AS INTEGER))"
 ORACLE["r12_sort_rewards"] = f"""
-WITH pr AS (SELECT label AS prompt_id, arg_min({_INTS.format(s="embedding[1:4]")}, vec_id) AS prompt
+WITH pr AS (SELECT label AS prompt_id, arg_min({_INTS.format(s="embedding[1:len(embedding) // 2]")}, vec_id) AS prompt
             FROM embeddings GROUP BY label),
-tr AS (SELECT label AS prompt_id, vec_id, {_INTS.format(s="embedding[5:8]")} AS response FROM embeddings),
+tr AS (SELECT label AS prompt_id, vec_id, {_INTS.format(s="embedding[len(embedding) // 2 + 1:2 * (len(embedding) // 2)]")} AS response FROM embeddings),
 j AS (SELECT tr.*, pr.prompt, list_sort(pr.prompt) AS sp FROM tr JOIN pr USING (prompt_id)),
 s AS (SELECT prompt_id, vec_id,
              CAST(len(list_filter(range(1, len(response) + 1), lambda i: response[i] = sp[i])) AS DOUBLE) AS r_dist,

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardlake.functions import rewards as rw
-from rewardlake.operators.groups import deltas
+from rewardlake.operators.groups import delta
+from rewardlake.operators.joins import null_safe_join
 
 
 def reward_matrix(prompts: DataFrame, trials: DataFrame, reward_fn, key: str = "prompt_id"
@@ -20,11 +21,17 @@ def reward_matrix(prompts: DataFrame, trials: DataFrame, reward_fn, key: str = "
 
 
 def all_deltas(scored: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """W-02: the four delta modes side by side."""
-    out = scored
+    """W-02: the four delta modes side by side. Statistics per prompt are
+    partial aggregates joined back, so a prompt with most of the trials
+    never gathers in one task."""
+    stats = scored.groupBy(key).agg(F.avg("reward").alias("_mean"),
+                                    F.stddev_samp("reward").alias("_std"),
+                                    F.max("reward").alias("_top"))
+    out = null_safe_join(scored, stats, [key])
     for mode in ("rewards", "centered_rewards", "normalized_rewards", "max_rewards"):
-        out = deltas(out, mode, keys=(key,), name=f"d_{mode}")
-    return out
+        out = out.withColumn(f"d_{mode}", delta(mode, F.col("reward"), F.col("_mean"),
+                                                F.col("_std"), F.col("_top")))
+    return out.drop("_mean", "_std", "_top")
 
 
 REWARD_FNS = {"sort_distance": rw.sort_distance, "sort_inclusion_ordering": rw.sort_inclusion_ordering}
