@@ -18,7 +18,8 @@ from rewardlake.operators.layout import spread
 
 def ngram_diversity(texts: DataFrame, group: str = "grp", text: str = "text", n: int = 4
                     ) -> DataFrame:
-    words = spread(texts).select(group, py_split(text).alias("w"))
+    # n-grams are ~4x the text: an even spread first, whatever the input file layout
+    words = spread(texts, force=True).select(group, py_split(text).alias("w"))
     grams = words.select(group, F.explode_outer(ngrams("w", n)).alias("gram"))
     counts = grams.groupBy(group, "gram").agg(F.count("gram").alias("n"))
     out = counts.groupBy(group).agg(F.sum("n").alias("n_total"), F.count("gram").alias("n_distinct"))
