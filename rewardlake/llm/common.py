@@ -16,16 +16,29 @@ __all__ = ["F", "DataFrame", "SparkSession", "pa", "np", "spread", "written", "l
            "run_arrow", "text_of", "n_groups"]
 
 
+# Spark's default of rows in an Arrow batch, and what whole texts allow for in bounded memory.
+ARROW_DEFAULT, ARROW_ROWS = 10_000, 1_000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Ships the package and, where the session has Spark's default, lowers the rows of an Arrow
+    batch: texts may be long, and a Python worker holds a batch several times over."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == ARROW_DEFAULT:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Pruned reader; tables with too few partitions are dealt over the cores."""
-    ship_package(spark)
+    prepared(spark)
     return spread(read_table(spark, sf_dir, name, *cols))
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back: the work behind it
     runs once, and a lost executor costs only the tasks it held."""
-    ship_package(df.sparkSession)
+    prepared(df.sparkSession)
     return cut_lineage(df)
 
 
@@ -42,6 +55,8 @@ def n_groups(rows: int, per_group: int) -> int:
 def run_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: str) -> DataFrame:
     """``rows`` over each Arrow batch, one output batch per input batch."""
+    prepared(df.sparkSession)
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:

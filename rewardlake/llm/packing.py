@@ -29,7 +29,7 @@ from rewardlake.llm.common import F, n_groups, run_arrow, text_of, written
 SEQUENCE_TOKENS = 2048
 PIECES_PER_GROUP = 16_384
 # Word-cache entries of a worker and characters tokenised at once (bound memory, not results).
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 600_000
 CHARS_AT_ONCE = 4_000_000
 
 MARKS = ".,!?;:*$#&%|"
