@@ -475,6 +475,22 @@ def x07_verify(spark, sf_dir):
                     r6("fraction_passed"), (F.length("feedback") > 0).alias("has_feedback"))
 
 
+@query("r08_setup_reward")
+def r08_setup_reward(spark, sf_dir):
+    """P-03, P-02, S-03 setup code, R-08, R-09, X-05: the batch reward of
+    message-list completions, null ones too, for every benchmark task."""
+    raw = _tasks(spark, sf_dir)
+    tasks = raw.select(F.concat(F.lit("setup/"), F.col("task_id").cast("string")).alias("task_id"),
+                       F.col("test_list").alias("tests"),
+                       F.concat(F.lit("K = "), (F.col("task_id") % 7 + 1).cast("string"))
+                       .alias("test_setup"))
+    named = raw.select(F.col("task_id").cast("string").alias("task_id"))
+    comps = fx.setup_completions(named).withColumn(
+        "task_id", F.concat(F.lit("setup/"), F.col("task_id")))
+    v = ex.execution_reward(comps, tasks, allow_exec=True, messages=True, name="setup_reward")
+    return v.select("completion_id", "kind", "n_passed", "n_total", r6("setup_reward"))
+
+
 @query("a18_eval_accuracy")
 def a18_eval_accuracy(spark, sf_dir):
     """A-18 accuracy per (run, eval step) with the F-06 cadence: every event

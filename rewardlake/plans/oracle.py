@@ -598,6 +598,14 @@ SELECT 'bench/' || CAST(task_id AS VARCHAR) || '/' || kind AS completion_id, kin
        kind <> 'right' AS has_feedback
 FROM c""".replace("\n, c AS", ", c AS", 1), "tasks")
 
+ORACLE["r08_setup_reward"] = with_views("""
+, c AS (SELECT task_id, k.kind FROM tasks, (VALUES ('right'), ('wrong'), ('null')) k(kind))
+SELECT CAST(task_id AS VARCHAR) || '/' || kind AS completion_id, kind,
+       CAST(CASE WHEN kind = 'right' THEN 2 ELSE 0 END AS BIGINT) AS n_passed,
+       CAST(2 AS BIGINT) AS n_total,
+       CAST(CASE WHEN kind = 'right' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS setup_reward
+FROM c""".replace("\n, c AS", ", c AS", 1), "tasks")
+
 ORACLE["a18_eval_accuracy"] = f"""
 WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, value > 250 AS passed FROM events)
 SELECT 'events' AS run_id, step, {R('avg(CAST(passed AS DOUBLE))', 'pass_at_1')}, count(*) AS n,

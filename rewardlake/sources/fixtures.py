@@ -176,6 +176,25 @@ def _split_name(template: str, name):
     return [head, name, tail]
 
 
+def setup_completions(tasks_df: DataFrame) -> DataFrame:
+    """Message-list completions for tasks with setup code: one that uses the
+    setup's constant, one that is wrong, one that is null."""
+    name = F.concat(F.lit("f"), F.col("task_id").cast("string"))
+    kind = "array<struct<role:string,content:string>>"
+    said = lambda *parts: F.array(F.struct(F.lit("assistant").alias("role"),       # noqa: E731
+                                           F.concat(*parts).alias("content"))).cast(kind)
+    rows = F.array(
+        F.struct(F.lit("right").alias("kind"), said(
+            F.lit("Here:\n```python\ndef "), name, F.lit("(x):\n    return x + K - K\n```"))
+            .alias("completion")),
+        F.struct(F.lit("wrong").alias("kind"), said(
+            F.lit("def "), name, F.lit("(x):\n    return x + K")).alias("completion")),
+        F.struct(F.lit("null").alias("kind"), F.lit(None).cast(kind).alias("completion")))
+    return tasks_df.select("task_id", F.inline(rows)).select(
+        F.concat(F.col("task_id"), F.lit("/"), F.col("kind")).alias("completion_id"),
+        "task_id", "kind", "completion")
+
+
 # Attempt text and feedback of the stand-in scored turns.
 ATTEMPT_PREFIX = "def f(x):\n    return "
 FAILED_FEEDBACK = "Your code failed this test:\nassert f(1) == 1"
