@@ -1,8 +1,10 @@
 """Operator 5: language identification by Bayesian fusion of evidence.
 
 Four sources are combined per document: the text (byte-trigram likelihoods), the declared markup
-language, the address suffix, and a prior of the host. Likelihoods of the text come from a bounded
-sample (``SAMPLE_DOCS`` by hash) of documents with a declared language; everything else comes from
+language, the address suffix, and a prior of the host. A declared value is a language if at least
+``MIN_TEXTS`` distinct texts declare it, whatever its share of the rows, and these hold ``MIN_TRIGRAMS``
+trigrams. Likelihoods of the text come from a sample by hash of the texts of each language: its part
+of ``SAMPLE_DOCS``, but ``LEAST_SAMPLE`` or all it has at least; everything else comes from
 grouped aggregation over all documents: soft counts of text-only posteriors by declared language, by
 suffix and by host. Host priors are smoothed hierarchically, host to suffix to all: each level's
 counts get ``KAPPA`` pseudo-rows spread as the level above says. As host and suffix are nested, the
@@ -10,7 +12,10 @@ suffix speaks through the host prior and is not counted twice.
 
 Text evidence is tempered (``TEMPER`` effective trigrams at most), as trigrams are not independent.
 A document is rejected if it has no letters, if its best language is none of the known ones
-(an even distribution over trigrams stands for "other"), or if no language reaches ``MIN_PROB``.
+(an even distribution over trigrams stands for "other"), or if no language reaches ``MIN_PROB``;
+languages of one primary subtag (en, en-us) reach it together. A document with letters that would be
+rejected stays, with its declared value as language and the probability of "other", if that value is
+a well-formed language tag with too few texts for a model.
 
 Null text, declaration, suffix or host: that evidence says nothing. Repeated rows get equal results.
 An empty table gives an empty result. The hosts' table grows with the data and is broadcast only up
@@ -18,6 +23,8 @@ to ``BROADCAST_HOSTS`` rows, else joined by shuffle with skew splitting.
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,13 +32,17 @@ from pyspark.sql import Column, DataFrame
 from rewardlake.llm.common import F, run_arrow, written
 
 SAMPLE_DOCS = 8_000
+LEAST_SAMPLE = 500          # texts of a rare language that are sampled, if it has so many
 BINS = 1 << 14
 TEMPER = 40.0
 KAPPA = 20.0
 MIN_PROB = 0.5
-MIN_SHARE = 0.005           # a declared value rarer than this is no language of the corpus
+MIN_TEXTS = 5               # distinct texts and their trigrams that make a declared value a language
+MIN_TRIGRAMS = 500
 BROADCAST_HOSTS = 100_000
 OTHER = "und"
+NO_LANGUAGE = (OTHER, "mul", "mis", "zxx")      # tags that name no single language
+_TAG = re.compile(r"[a-z]{2,8}(?:[-_][a-z0-9]{1,8})*")
 
 # All bytes but letters become blanks; bytes of multi-byte characters stay.
 _LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -67,39 +78,55 @@ class TextModel:
         return total * min(1.0, TEMPER / len(bins))
 
 
-def languages_of(declared: DataFrame) -> list[str]:
-    """Declared values (of column ``declared``) common enough to be languages; at most 50."""
-    counts = (declared.where(F.col("declared").isNotNull() & (F.col("declared") != ""))
-              .groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(50).collect())
-    total = sum(r["count"] for r in counts)
-    return sorted(r["declared"] for r in counts if r["count"] >= MIN_SHARE * total)
+def text_hash() -> Column:
+    """Non-negative hash of column ``text``."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def well_formed(declared: str | None) -> bool:
+    """Whether a declared value can name a language."""
+    return bool(declared) and declared not in NO_LANGUAGE and bool(_TAG.fullmatch(declared))
+
 
+def languages_of(rows: DataFrame) -> dict[str, int]:
+    """Declared values with at least ``MIN_TEXTS`` distinct texts, and how many they have."""
+    counts = (rows.where((F.col("declared") != "") & ~F.col("declared").isin(*NO_LANGUAGE)
+                         & (F.trim("text") != ""))
+              .select("declared", text_hash().alias("h")).distinct()
+              .groupBy("declared").count().where(F.col("count") >= MIN_TEXTS).collect())
+    return dict(sorted((r["declared"], r["count"]) for r in counts))
 
-def train_text(rows: DataFrame, languages: list[str], sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """Trigram counts per declared language, summed in Spark over a sample by hash."""
-    n = rows.count()
-    share = min(1.0, sample_docs / max(1, n))
-    chosen = rows.where(F.col("declared").isin(languages) & (
-        F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    code = {c: i for i, c in enumerate(languages)}
+
+def train_text(rows: DataFrame, languages: dict[str, int],
+               sample_docs: int = SAMPLE_DOCS) -> TextModel:
+    """Trigram counts per declared language, summed in Spark over a sample by hash; languages with
+    too few trigrams get no model."""
+    total = sum(languages.values())
+    bounds = rows.sparkSession.createDataFrame(
+        [(c, i, min((1 << 63) - 1, int(2.0 ** 63 * min(
+            1.0, max(sample_docs / total, LEAST_SAMPLE / n)))))
+         for i, (c, n) in enumerate(languages.items())], "declared string, lang int, below long")
+    chosen = (rows.select("text", "declared", text_hash().alias("h"))
+              .join(F.broadcast(bounds), "declared").where(F.col("h") <= F.col("below")))
 
     def partial(it):
         counts = np.zeros((len(languages), BINS), np.int64)
         for b in it:
-            for t, c in zip(b.column("text").to_pylist(), b.column("declared").to_pylist()):
-                counts[code[c]] += np.bincount(trigram_bins(t), minlength=BINS)
+            for t, c in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                counts[c] += np.bincount(trigram_bins(t), minlength=BINS)
         lang, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.int32()), pa.array(at, pa.int32()),
              pa.array(counts[lang, at], pa.int64())], ["lang", "bin", "n"])
 
-    sums = (chosen.select("text", "declared")
+    sums = (chosen.select("text", "lang")
             .mapInArrow(partial, "lang int, bin int, n long")
             .groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect())   # languages * BINS
     counts = np.zeros((len(languages), BINS))
     for r in sums:
         counts[r["lang"], r["bin"]] = r["n"]
-    return TextModel(languages, counts)
+    enough = counts.sum(axis=1) >= MIN_TRIGRAMS
+    return TextModel([c for c, e in zip(languages, enough) if e], counts[enough])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -132,9 +159,9 @@ def host_priors(posteriors: DataFrame, n_lang: int) -> tuple[DataFrame, np.ndarr
     above = F.array(*[F.lit(float(x)) for x in overall])
 
     def smoothed(prefix: str, parent: Column) -> Column:
-        total = sum((F.col(f"{prefix}{i}") for i in range(1, n_lang)), F.col(f"{prefix}0"))
-        return F.array(*[(F.col(f"{prefix}{i}") + KAPPA * parent[i]) / (total + KAPPA)
-                         for i in range(n_lang)])
+        own = F.array(*[F.col(f"{prefix}{i}") for i in range(n_lang)])
+        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, parent, lambda x, up: (x + KAPPA * up) / (total + KAPPA))
 
     by_suffix = hosts.groupBy("suffix").agg(*again).select(
         F.col("suffix").alias("_suffix"), F.when(F.col("suffix").isNull(), above).otherwise(smoothed("s", above))
@@ -148,6 +175,8 @@ def host_priors(posteriors: DataFrame, n_lang: int) -> tuple[DataFrame, np.ndarr
 def identify_batches(model: TextModel, overall: np.ndarray, says: dict[str, np.ndarray]):
     """Function from (text, declared, prior) to (language, probability, accepted)."""
     names = [*model.languages, OTHER]
+    primary = [re.split("[-_]", c)[0] for c in names]
+    family = np.array([primary.index(c) for c in primary])
 
     def one(text, declared, prior) -> tuple[str, float, bool]:
         text_like = model.log_likelihood(text)
@@ -156,10 +185,14 @@ def identify_batches(model: TextModel, overall: np.ndarray, says: dict[str, np.n
         if declared in says:
             z = z + says[declared]
         post = _softmax(z)
-        best = int(np.argmax(post))
+        top = np.bincount(family, post)
+        best = int(np.argmax(np.where(family == np.argmax(top), post, -1.0)))
+        prob = float(top[family[best]])
         letters = bool(text) and any(c.isalpha() for c in text)
-        return names[best], float(post[best]), bool(
-            letters and names[best] != OTHER and post[best] >= MIN_PROB)
+        if letters and (names[best] == OTHER or prob < MIN_PROB) and (
+                declared not in says and well_formed(declared)):
+            return declared, float(post[-1]), True
+        return names[best], prob, bool(letters and names[best] != OTHER and prob >= MIN_PROB)
     return one
 
 
@@ -169,10 +202,12 @@ class Fusion:
     def __init__(self, rows: DataFrame, sample_docs: int = SAMPLE_DOCS):
         """``rows`` has text, declared, suffix and host."""
         languages = languages_of(rows)
-        self.languages = languages
         if not languages:
             raise ValueError("no declared language to learn from")
         self.text = train_text(rows, languages, sample_docs)
+        self.languages = languages = self.text.languages
+        if not languages:
+            raise ValueError("no declared language to learn from")
         post = text_posteriors(rows, self.text)
         n = len(languages)
         self.priors, self.overall, vec = host_priors(post, n)

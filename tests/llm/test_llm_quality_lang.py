@@ -1,4 +1,6 @@
 """Operators 5 and 7: held-out accuracy on the given labels and odd inputs."""
+import random
+
 from pyspark.sql import functions as F
 
 from llm_data import frame, odd_docs, prose
@@ -102,3 +104,38 @@ def test_suffix_prior_reaches_unseen_hosts(spark):
 def test_language_of_empty_tables(spark):
     assert langid.accepted(frame(spark, [])).count() == 0
     assert langid.accepted(frame(spark, [(1, "abc def", None, None, 7)])).count() == 1
+
+
+def texts_of(letters, n, words=60, first=0):
+    """Distinct texts of made-up words over ``letters``."""
+    out = []
+    for i in range(first, first + n):
+        rng = random.Random(f"{letters} {i}")
+        out.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+                            for _ in range(words)))
+    return out
+
+
+def test_rare_languages_stay(spark):
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts_of("etaoin", 1500))]
+    rows += [(5000 + i, rows[0][1], "en", "b", 0) for i in range(1000)]             # copies
+    rows += [(7000 + i, t, "it", "a", 0) for i, t in enumerate(texts_of("bcdfgh", 8))]
+    rows += [(8000 + i, t, "pt-br", "a", 0) for i, t in enumerate(texts_of("jklmpq", 2))]
+    rows += [(9000 + i, t, "?!", "a", 0) for i, t in enumerate(texts_of("rsuvwx", 2))]
+    rows += [(9100, "12 34", "pt-br", "a", 0)]
+    docs = frame(spark, rows)
+    ev = langid.document_evidence(docs)
+    got = {r.doc_id: r for r in langid.identify(ev, "doc_id", langid.Fusion(ev)).collect()}
+    lang = {r.doc_id: r.lang for r in langid.accepted(docs).collect()}
+    for d, _, declared, _, _ in rows:
+        assert got[d].accepted == (d < 9000) == (d in lang), d
+        assert d >= 9000 or got[d].lang == lang[d] == declared
+
+
+def test_more_than_fifty_languages(spark):
+    rows = [(100 * i + j, f"{i} text {j}", f"l{chr(97 + i // 26)}{chr(97 + i % 26)}", "a", 0)
+            for i in range(60) for j in range(5)]
+    rows += [(9000 + i, "one text", "xx", "a", 0) for i in range(50)]
+    rows += [(9100 + i, f"text {i}", "und", "a", 0) for i in range(50)]
+    got = langid.languages_of(langid.document_evidence(frame(spark, rows)))
+    assert got == {r[2]: 5 for r in rows[:300]}
