@@ -4,7 +4,8 @@ Four sources are combined per document: the text (byte-trigram likelihoods), the
 language, the address suffix, and a prior of the host. A declared value is a language if at least
 ``MIN_TEXTS`` distinct texts declare it, whatever its share of the rows, and these hold ``MIN_TRIGRAMS``
 trigrams. Likelihoods of the text come from a sample by hash of the texts of each language: its part
-of ``SAMPLE_DOCS``, but ``LEAST_SAMPLE`` or all it has at least; everything else comes from
+of ``SAMPLE_DOCS``, but ``LEAST_SAMPLE`` or all it has at least. Copies count once and a text of more
+than ``TEXT_TRIGRAMS`` trigrams weighs as much as these; everything else comes from
 grouped aggregation over all documents: soft counts of text-only posteriors by declared language, by
 suffix and by host. Host priors are smoothed hierarchically, host to suffix to all: each level's
 counts get ``KAPPA`` pseudo-rows spread as the level above says. As host and suffix are nested, the
@@ -33,6 +34,7 @@ from rewardlake.llm.common import F, run_arrow, written
 
 SAMPLE_DOCS = 8_000
 LEAST_SAMPLE = 500          # texts of a rare language that are sampled, if it has so many
+TEXT_TRIGRAMS = 1_000       # a longer text is weighed down to so many
 BINS = 1 << 14
 TEMPER = 40.0
 KAPPA = 20.0
@@ -40,6 +42,7 @@ MIN_PROB = 0.5
 MIN_TEXTS = 5               # distinct texts and their trigrams that make a declared value a language
 MIN_TRIGRAMS = 500
 BROADCAST_HOSTS = 100_000
+UNIT = 1_000                # weighed counts are summed as whole thousandths, in any order alike
 OTHER = "und"
 NO_LANGUAGE = (OTHER, "mul", "mis", "zxx")      # tags that name no single language
 _TAG = re.compile(r"[a-z]{2,8}(?:[-_][a-z0-9]{1,8})*")
@@ -99,8 +102,8 @@ def languages_of(rows: DataFrame) -> dict[str, int]:
 
 def train_text(rows: DataFrame, languages: dict[str, int],
                sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """Trigram counts per declared language, summed in Spark over a sample by hash; languages with
-    too few trigrams get no model."""
+    """Weighed trigram counts per declared language, summed in Spark over a sample by hash of
+    distinct texts; languages with too few trigrams get no model."""
     total = sum(languages.values())
     bounds = rows.sparkSession.createDataFrame(
         [(c, i, min((1 << 63) - 1, int(2.0 ** 63 * min(
@@ -109,22 +112,34 @@ def train_text(rows: DataFrame, languages: dict[str, int],
     chosen = (rows.select("text", "declared", text_hash().alias("h"))
               .join(F.broadcast(bounds), "declared").where(F.col("h") <= F.col("below")))
 
+    def once(it):                       # copies within a task go before texts are shuffled
+        seen: set[tuple[int, int]] = set()
+        for b in it:
+            keep = []
+            for key in zip(b.column("h").to_pylist(), b.column("lang").to_pylist()):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
     def partial(it):
         counts = np.zeros((len(languages), BINS), np.int64)
         for b in it:
             for t, c in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                counts[c] += np.bincount(trigram_bins(t), minlength=BINS)
+                own = np.bincount(trigram_bins(t), minlength=BINS)
+                weight = UNIT * min(1.0, TEXT_TRIGRAMS / max(1, own.sum()))
+                counts[c] += np.rint(own * weight).astype(np.int64)
         lang, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.int32()), pa.array(at, pa.int32()),
              pa.array(counts[lang, at], pa.int64())], ["lang", "bin", "n"])
 
-    sums = (chosen.select("text", "lang")
+    sums = (chosen.select("h", "lang", "text").mapInArrow(once, "h long, lang int, text string")
+            .dropDuplicates(["h", "lang"]).select("text", "lang")
             .mapInArrow(partial, "lang int, bin int, n long")
             .groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect())   # languages * BINS
     counts = np.zeros((len(languages), BINS))
     for r in sums:
-        counts[r["lang"], r["bin"]] = r["n"]
+        counts[r["lang"], r["bin"]] = r["n"] / UNIT
     enough = counts.sum(axis=1) >= MIN_TRIGRAMS
     return TextModel([c for c, e in zip(languages, enough) if e], counts[enough])
 

@@ -139,3 +139,21 @@ def test_more_than_fifty_languages(spark):
     rows += [(9100 + i, f"text {i}", "und", "a", 0) for i in range(50)]
     got = langid.languages_of(langid.document_evidence(frame(spark, rows)))
     assert got == {r[2]: 5 for r in rows[:300]}
+
+
+def test_copies_and_long_texts_own_no_model(spark):
+    en, it = texts_of("etaoin", 300), texts_of("bcdfgh", 300)
+    hot = " ".join(["jklmpq"] * 12_000)
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(en)]
+    rows += [(1000 + i, t, "it", "a", 0) for i, t in enumerate(it)]
+    plain = langid.document_evidence(frame(spark, rows))
+    copied = langid.document_evidence(frame(spark, rows + [(5000 + i, it[0], "it", "b", 0)
+                                                           for i in range(600)]))
+    long = langid.document_evidence(frame(spark, rows + [(5000, hot, "it", "b", 0)]))
+    model = lambda ev: langid.train_text(ev, langid.languages_of(ev))              # noqa: E731
+    base = model(plain)
+    assert (model(copied).log == base.log).all()
+    with_long = model(long)
+    for t in it[:20]:
+        a, b = base.log_likelihood(t), with_long.log_likelihood(t)
+        assert abs(a[1] - b[1]) < 2 and b.argmax() == 1
