@@ -19,7 +19,9 @@ rejected stays, with its declared value as language and the probability of "othe
 a well-formed language tag with too few texts for a model.
 
 Null text, declaration, suffix or host: that evidence says nothing. Repeated rows get equal results.
-An empty table gives an empty result. The hosts' table grows with the data and is broadcast only up
+An empty table gives an empty result. Where no declared value is a language there is nothing to reject
+by: documents with letters stay, with their declared value if well formed, else "und", and probability
+0. The hosts' table grows with the data and is broadcast only up
 to ``BROADCAST_HOSTS`` rows, else joined by shuffle with skew splitting.
 """
 from __future__ import annotations
@@ -104,6 +106,8 @@ def train_text(rows: DataFrame, languages: dict[str, int],
                sample_docs: int = SAMPLE_DOCS) -> TextModel:
     """Weighed trigram counts per declared language, summed in Spark over a sample by hash of
     distinct texts; languages with too few trigrams get no model."""
+    if not languages:
+        return TextModel([], np.zeros((0, BINS)))
     total = sum(languages.values())
     bounds = rows.sparkSession.createDataFrame(
         [(c, i, min((1 << 63) - 1, int(2.0 ** 63 * min(
@@ -194,6 +198,9 @@ def identify_batches(model: TextModel, overall: np.ndarray, says: dict[str, np.n
     family = np.array([primary.index(c) for c in primary])
 
     def one(text, declared, prior) -> tuple[str, float, bool]:
+        letters = bool(text) and any(c.isalpha() for c in text)
+        if not model.languages:
+            return declared if letters and well_formed(declared) else OTHER, 0.0, letters
         text_like = model.log_likelihood(text)
         p = np.array(prior if prior is not None else overall, dtype=float)
         z = text_like + np.log(np.append(p * 0.99, 0.01))
@@ -203,7 +210,6 @@ def identify_batches(model: TextModel, overall: np.ndarray, says: dict[str, np.n
         top = np.bincount(family, post)
         best = int(np.argmax(np.where(family == np.argmax(top), post, -1.0)))
         prob = float(top[family[best]])
-        letters = bool(text) and any(c.isalpha() for c in text)
         if letters and (names[best] == OTHER or prob < MIN_PROB) and (
                 declared not in says and well_formed(declared)):
             return declared, float(post[-1]), True
@@ -216,13 +222,13 @@ class Fusion:
 
     def __init__(self, rows: DataFrame, sample_docs: int = SAMPLE_DOCS):
         """``rows`` has text, declared, suffix and host."""
-        languages = languages_of(rows)
-        if not languages:
-            raise ValueError("no declared language to learn from")
-        self.text = train_text(rows, languages, sample_docs)
+        self.text = train_text(rows, languages_of(rows), sample_docs)
         self.languages = languages = self.text.languages
         if not languages:
-            raise ValueError("no declared language to learn from")
+            self.priors = rows.sparkSession.createDataFrame(
+                [], "host string, suffix string, prior array<double>")
+            self.overall, self.says = np.zeros(0), {}
+            return
         post = text_posteriors(rows, self.text)
         n = len(languages)
         self.priors, self.overall, vec = host_priors(post, n)
@@ -293,8 +299,6 @@ def accepted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     the language found."""
     rows = evidence(docs.select(F.col("text").alias("_t"), "lang", "source"), F.col("_t"),
                     F.col("lang"), None, F.col("source")).drop("_t", "lang", "source")
-    if not languages_of(rows):
-        return docs                     # nothing to learn from, so nothing to reject by
     fusion = Fusion(rows, sample_docs)
     one = identify_batches(fusion.text, fusion.overall, fusion.says)
     schema = docs.schema

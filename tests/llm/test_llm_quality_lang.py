@@ -157,3 +157,20 @@ def test_copies_and_long_texts_own_no_model(spark):
     for t in it[:20]:
         a, b = base.log_likelihood(t), with_long.log_likelihood(t)
         assert abs(a[1] - b[1]) < 2 and b.argmax() == 1
+
+
+def test_queries_without_languages(spark, tmp_path):
+    texts = ["abc def", None, "12 34", ""]
+    for name, rows in (("empty", []), ("none", texts)):
+        frame(spark, [(i, t, None, "a", 0) for i, t in enumerate(rows)]).write.parquet(
+            str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(i, "http://a.de/", t) for i, t in enumerate(rows)],
+                              "page_id long, url string, html string").write.parquet(
+            str(tmp_path / name / "pages.parquet"))
+        want = [(i, "und", 0.0, i == 0) for i in range(len(rows))]
+        for query in (queries.op5_language_evidence, queries.page_language):
+            assert sorted(map(tuple, query(spark, str(tmp_path / name)).collect())) == want
+        kept = langid.accepted(spark.read.parquet(str(tmp_path / name / "documents.parquet")))
+        assert [r.doc_id for r in kept.collect()] == ([0] if rows else [])
+    few = frame(spark, [(1, "abc def", "de", "a", 0), (2, "12", "de", "a", 0)])
+    assert [(r.doc_id, r.lang) for r in langid.accepted(few).collect()] == [(1, "de")]
