@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from rewardlake.llm.common import F, n_groups, run_arrow, written
+from rewardlake.llm.common import F, least_hashed, n_groups, run_arrow, written
 from rewardlake.llm.topk import top_k
 from rewardlake.llm.vectors import (CANDIDATES_PER_BLOCK, best_of, matrix, packed, search_blocks)
 
@@ -102,7 +102,9 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Tree | None:
     """The tree of a bounded sample; None for an empty table."""
-    rows = (vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect())
+    h = F.xxhash64("vec_id")
+    few = least_hashed(vectors, h, sample, vectors.count())
+    rows = few.orderBy(h, "vec_id").limit(sample).select("v").collect()
     return Tree(matrix(r["v"] for r in rows)) if rows else None
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardlake.operators.layout import spread
@@ -13,7 +13,7 @@ from rewardlake.session import cut_lineage, ship_package
 from rewardlake.sources.tables import read_table
 
 __all__ = ["F", "DataFrame", "SparkSession", "pa", "np", "spread", "written", "load",
-           "run_arrow", "text_of", "n_groups"]
+           "run_arrow", "text_of", "n_groups", "least_hashed"]
 
 
 # Spark's default of rows in an Arrow batch, and what whole texts allow for in bounded memory.
@@ -52,6 +52,19 @@ def n_groups(rows: int, per_group: int) -> int:
     return max(1, -(-int(rows) // int(per_group)))
 
 
+def least_hashed(df: DataFrame, h: Column, n: int, total: int) -> DataFrame:
+    """Those of the ``total`` rows of ``df`` whose hash ``h`` is under a bound: all of the ``n``
+    smallest and about as many more, so that ordering and collecting stay small on any number of
+    partitions."""
+    share = 2.0 * n / max(1, total)
+    while share < 1:
+        few = df.where(h < F.lit(int(share * 2 ** 64) - 2 ** 63))
+        if few.count() >= n:
+            return few
+        share *= 4
+    return df
+
+
 def run_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: str) -> DataFrame:
     """``rows`` over each Arrow batch, one output batch per input batch."""

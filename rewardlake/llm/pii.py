@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rewardlake.llm.common import F, run_arrow, text_of, written
+from rewardlake.llm.common import F, least_hashed, run_arrow, text_of, written
 from rewardlake.llm.weak import LabelModel, fit_logistic, hashed
 
 # The base kinds in their order.
@@ -263,7 +263,9 @@ def fit(cands: DataFrame, train_spans: int = TRAIN_SPANS) -> Model:
     patterns = each.groupBy("kind", "votes").count().collect()      # kinds * 3**5 at most
     labels = LabelModel(5).fit([list(r["votes"]) for r in patterns],
                                [r["count"] for r in patterns], [r["kind"] for r in patterns])
-    sample = (each.orderBy(F.xxhash64("doc_id", "start", "kind"), "start", "end")
+    h = F.xxhash64("doc_id", "start", "kind")
+    few = least_hashed(each, h, train_spans, sum(r["count"] for r in patterns))
+    sample = (few.orderBy(h, "start", "end")
               .limit(train_spans).select("kind", "votes", "features").collect())
     x = np.zeros((len(sample), BUCKETS), np.float32)
     for i, r in enumerate(sample):

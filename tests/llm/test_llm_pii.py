@@ -4,8 +4,10 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from llm_data import frame, odd_docs
-from rewardlake.llm import pii, queries
+from rewardlake.llm import common, pii, queries
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -95,3 +97,14 @@ def test_query(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(s) for s in ref.values()]
         assert r.base_sha256 == hashlib.sha256(joined(text[r.doc_id]).encode()).hexdigest()
         assert set(joined(text[r.doc_id]).split(",")) <= set(r.spans.split(","))
+
+
+def test_samples_are_cut_before_they_are_ordered(spark):
+    table = spark.range(0, 50_000, 1, 16).withColumn("h", F.xxhash64("id"))
+    few = common.least_hashed(table, F.col("h"), 500, 50_000)
+    assert 500 <= few.count() < 2_000
+    first = lambda df: [r.id for r in df.orderBy("h").limit(500).collect()]        # noqa: E731
+    assert first(few) == first(table)
+    assert common.least_hashed(table, F.col("h"), 50_000, 50_000).count() == 50_000
+    tied = table.withColumn("h", F.lit(2 ** 62))
+    assert common.least_hashed(tied, F.col("h"), 500, 50_000).count() == 50_000
