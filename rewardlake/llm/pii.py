@@ -264,7 +264,8 @@ def fit(cands: DataFrame, train_spans: int = TRAIN_SPANS) -> Model:
     labels = LabelModel(5).fit([list(r["votes"]) for r in patterns],
                                [r["count"] for r in patterns], [r["kind"] for r in patterns])
     h = F.xxhash64("doc_id", "start", "kind")
-    few = least_hashed(each, h, train_spans, sum(r["count"] for r in patterns))
+    # one row per candidate: copies of a text, with one id in redact(), tie in their hashes
+    few = least_hashed(each.distinct(), h, train_spans, sum(r["count"] for r in patterns))
     sample = (few.orderBy(h, "start", "end")
               .limit(train_spans).select("kind", "votes", "features").collect())
     x = np.zeros((len(sample), BUCKETS), np.float32)

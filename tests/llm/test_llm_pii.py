@@ -108,3 +108,13 @@ def test_samples_are_cut_before_they_are_ordered(spark):
     assert common.least_hashed(table, F.col("h"), 50_000, 50_000).count() == 50_000
     tied = table.withColumn("h", F.lit(2 ** 62))
     assert common.least_hashed(tied, F.col("h"), 500, 50_000).count() == 50_000
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    real = pii.fit_logistic
+    monkeypatch.setattr(pii, "fit_logistic", lambda x, y: seen.append(x) or real(x, y))
+    rows = [(i, f"write to user{i}@site{i % 7}.org", "en", "s", 0) for i in range(40)]
+    for copies in (1, 6):
+        pii.redact(frame(spark, rows * copies), train_spans=30)
+    assert len(seen[0]) == len(seen[1]) == 30 and (seen[0] == seen[1]).all()
