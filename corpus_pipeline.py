@@ -30,8 +30,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the documents as packed pieces, one row per piece."""
-    return packing.pack_documents(spread(docs), public_tokenizers.path("word_bpe_49k.json"))
+    """Operator 3: the documents as packed pieces, one row per piece, with their token ids."""
+    return packing.pack_documents(spread(docs), public_tokenizers.path("word_bpe_49k.json"),
+                                  with_ids=True)
 
 
 STAGES = [

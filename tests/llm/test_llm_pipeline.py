@@ -70,3 +70,11 @@ def test_dedup_stage_keeps_the_smallest_id(spark):
     group = brute_groups([slow_fingerprint(r.text) for r in rows])
     want = {min(r.doc_id for r, h in zip(rows, group) if h == g) for g in set(group)}
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+
+
+def test_sequences_come_out_with_their_ids(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert got
+    for r in got:
+        assert len(r.ids) == r.length
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
