@@ -57,6 +57,7 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_AT = re.compile(r"(?i)[(\[]at[)\]]")
 _WRITTEN = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[a-z0-9-]{1,63}"
                       r"(?: ?(?:\.|[(\[]dot[)\]]) ?[a-z0-9-]{2,63}){1,4}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9])(?:\([0-9]{2,5}\) ?|[0-9]{3,4}[ .-])[0-9]{3,4}[ .-]"
@@ -201,7 +202,7 @@ def candidates_of(text: str) -> list[Candidate]:
     out = [Candidate(k, a, b) for k in BASE for a, b in found[k]]
     taken = sorted((c.start, c.end) for c in out)
     wide = []
-    if "(at" in text or "[at" in text or "(AT" in text or "[AT" in text:
+    if _AT.search(text):
         wide += [("written_email", m.span()) for m in _WRITTEN.finditer(text)]
     wide += [("number", m.span()) for m in _CARD.finditer(text)
              if m.end() - m.start() >= 13 and 13 <= len(_only_digits(m[0])) <= 19]

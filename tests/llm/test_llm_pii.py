@@ -118,3 +118,10 @@ def test_copies_do_not_fill_the_sample(spark, monkeypatch):
     for copies in (1, 6):
         pii.redact(frame(spark, rows * copies), train_spans=30)
     assert len(seen[0]) == len(seen[1]) == 30 and (seen[0] == seen[1]).all()
+
+
+def test_written_addresses_in_any_case():
+    for at in ("(at)", "[At]", "(aT)", "[AT]"):
+        text = f"write to joe {at} example (dot) com"
+        assert [(c.kind, text[c.start:c.end]) for c in pii.candidates_of(text)] == [
+            ("written_email", f"joe {at} example (dot) com")]
