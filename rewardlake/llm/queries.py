@@ -7,7 +7,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardlake.llm import ann, bpe, langid, packing, pii, quality, secret_scan, sharding, simhash, topk
+from rewardlake.llm import (ann, bpe, langid, packing, pii, quality, secret_scan, sharding, simhash,
+                            token_align, topk)
 from rewardlake.llm.common import F, load
 
 
@@ -84,10 +85,17 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("spans", ",").alias("spans"), "n_added")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in two tokenizers, aligned; links, groups and corpus counts of its id pairs."""
+    return token_align.link_statistics(load(spark, sf_dir, "documents", "doc_id", "text"),
+                                       public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_simhash_bktree, op4_kmeans_tree_ann, op3_best_fit_packing,
                                   op5_language_evidence, op6_secret_ownership, op7_weak_label_quality,
                                   op8_kd_tree_sharding, op9_bpe_prefix_dp,
-                                  op10_pii_weak_supervision, page_language)}
+                                  op10_pii_weak_supervision, page_language, op13_token_alignment)}
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
