@@ -204,28 +204,38 @@ def sum_of_squares(lengths, budget: int, may_open: bool = False) -> tuple[np.nda
 
 def pack(parts: DataFrame, budget: int = SEQUENCE_TOKENS, per_group: int = PIECES_PER_GROUP,
          may_open: bool = False) -> DataFrame:
-    """``parts`` (columns of :func:`pieces`) with ``sequence_id`` and ``offset``."""
+    """``parts`` (columns of :func:`pieces`) with ``sequence_id`` and ``offset``.
+
+    Groups hold numbers only: where ``parts`` has arrays (token ids), a group gets row numbers and
+    lengths, and the places found are joined to the written pieces by row number."""
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()))
     partial = parts.where(F.col("length") < budget)
     groups = n_groups(partial.count(), per_group)
+    wide = any(f.dataType.typeName() in ("array", "binary", "string") for f in parts.schema)
+    own = [f for f in parts.schema if f.name != "_row"]
+    carried = [f for f in parts.schema if f.name in ("_row", "length")] if wide else own
+    out = [f.name for f in own] + ["sequence_id", "offset"]
     # the row number deals the rows of each partition evenly over the groups
-    dealt = partial.withColumn("_group", F.pmod("_row", F.lit(groups)).cast("int"))
-    out = [f for f in parts.schema.names if f != "_row"] + ["sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema
-                       if f.name != "_row") + ", sequence_id long, offset long"
+    dealt = partial.select("_row", *[f.name for f in carried if f.name != "_row"],
+                           F.pmod("_row", F.lit(groups)).cast("int").alias("_group"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + (
+        ", sequence_id long, offset long")
+    names = [f.name for f in carried] + ["sequence_id", "offset"]
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
         seq, at = sum_of_squares(pdf["length"].to_numpy(), budget, may_open)
         # even numbers below belong to the groups, odd ones to the full pieces
         pdf = pdf.assign(sequence_id=(seq * groups + int(key[0])) * 2, offset=at)
-        return pdf[out]
+        return pdf[names]
 
     packed = dealt.groupBy("_group").applyInPandas(one, schema)
+    if wide:
+        packed = partial.join(written(packed.drop("length")), "_row")
     full = (parts.where(F.col("length") >= budget)
             .withColumn("sequence_id", F.col("_row") * 2 + 1)
-            .withColumn("offset", F.lit(0).cast("long")).select(*out))
-    return full.unionByName(packed)
+            .withColumn("offset", F.lit(0).cast("long")))
+    return full.select(*out).unionByName(packed.select(*out))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
