@@ -7,9 +7,11 @@ checksum or value range, gazetteer, context words and token borders. Expectation
 the counts of vote patterns estimates their reliabilities; its posteriors label a bounded sample of
 candidates (``TRAIN_SPANS``, the smallest by hash) that trains the final hashed span classifier.
 Base spans always stay; other candidates that touch none are added if the classifier gives them at
-least ``ADD_AT``.
+least ``ADD_AT``. Of wider candidates that overlap, the kind that comes first in ``FIRST`` stands; within
+a kind matches do not overlap, the leftmost stands.
 
-Texts are scanned whole and in linear time. Null texts count as empty; null ids stay null; repeated
+Texts are scanned whole and in linear time: the matches of a kind and the spans taken so far are
+both in order and swept once per kind. Null texts count as empty; null ids stay null; repeated
 rows are scanned each; an empty table gives an empty result. :func:`redact` keeps all columns.
 """
 from __future__ import annotations
@@ -28,13 +30,15 @@ from rewardlake.llm.weak import LabelModel, fit_logistic, hashed
 BASE = ("email", "ip", "card", "phone")
 MORE = ("written_email", "local_phone", "number", "identity", "iban", "name")
 KINDS = BASE + MORE
+# Which of two overlapping wider candidates stands.
+FIRST = ("written_email", "number", "iban", "identity", "local_phone", "name")
 
 TRAIN_SPANS = 20_000
 BUCKETS = 1024
 ADD_AT = 0.9
 CONTEXT = 32                # characters looked at on either side
 
-# Gazetteers: plain lists, to be extended as parameters.
+# Default gazetteers; every function below takes others of the same form.
 GAZETTEER = {
     "suffix": frozenset("com org net edu gov io info biz de fr es uk us eu ch at it nl be se no dk "
                         "fi pl pt ie ca au nz jp cn in br mx ar".split()),
@@ -149,7 +153,7 @@ class Candidate:
     features: list = field(default_factory=list)
 
 
-def _votes(text: str, c: Candidate) -> tuple:
+def _votes(text: str, c: Candidate, gazetteer: dict) -> tuple:
     """Votes of the five labellers: 1 personal, -1 not, 0 abstains."""
     s = text[c.start:c.end]
     digits = _only_digits(s)
@@ -158,9 +162,9 @@ def _votes(text: str, c: Candidate) -> tuple:
     if c.kind == "email":
         suffix = s.rpartition(".")[2].lower()
         check = 1 if ".." not in s and s[0] not in ".-" else -1
-        gaz = 1 if suffix in GAZETTEER["suffix"] else -1
+        gaz = 1 if suffix in gazetteer["suffix"] else -1
     elif c.kind == "written_email":
-        gaz = 1 if re.split(r"[^a-z0-9]+", s.lower())[-1] in GAZETTEER["suffix"] else -1
+        gaz = 1 if re.split(r"[^a-z0-9]+", s.lower())[-1] in gazetteer["suffix"] else -1
     elif c.kind == "ip":
         check = -1 if s.startswith(("0.", "127.", "255.")) else 1
     elif c.kind in ("card", "number"):
@@ -169,13 +173,13 @@ def _votes(text: str, c: Candidate) -> tuple:
     elif c.kind in ("phone", "local_phone"):
         check = 1 if len(set(digits)) > 3 else -1
         gaz = 0 if c.kind == "local_phone" else (
-            1 if any(digits[:n] in GAZETTEER["country_code"] for n in (1, 2, 3)) else -1)
+            1 if any(digits[:n] in gazetteer["country_code"] for n in (1, 2, 3)) else -1)
     elif c.kind == "identity":
         check = -1 if digits[:3] in ("000", "666") or digits[3:5] == "00" else 1
     elif c.kind == "iban":
         check = 1 if _mod97(s) else -1
     elif c.kind == "name":
-        gaz = 1 if any(w.lower() in GAZETTEER["given_name"] for w in s.split()) else 0
+        gaz = 1 if any(w.lower() in gazetteer["given_name"] for w in s.split()) else 0
     before = text[max(0, c.start - CONTEXT):c.start]
     cue = 1 if CUES.search(before) else (-1 if DECOYS.search(before) else 0)
     prev = text[c.start - 1:c.start]
@@ -196,31 +200,54 @@ def _features(text: str, c: Candidate) -> list[int]:
     return [hashed(n, BUCKETS) for n in names]
 
 
-def candidates_of(text: str) -> list[Candidate]:
+def _wide(text: str) -> dict[str, list[tuple[int, int]]]:
+    """The matches of the wider patterns, each kind in order."""
+    return {
+        "written_email": [m.span() for m in _WRITTEN.finditer(text)] if _AT.search(text) else [],
+        "number": [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13
+                   and 13 <= len(_only_digits(m[0])) <= 19],
+        "iban": [m.span() for m in _IBAN.finditer(text)],
+        "identity": [m.span() for m in _IDENTITY.finditer(text)],
+        "local_phone": [m.span() for m in _LOCAL_PHONE.finditer(text)],
+        "name": [m.span() for m in _NAME.finditer(text)]}
+
+
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the ordered ``spans`` that overlap none of the ordered, disjoint ``taken``."""
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            out.append((a, b))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap joined into one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):              # two or more ordered runs: linear
+        if out and a < out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidates_of(text: str, gazetteer: dict = GAZETTEER) -> list[Candidate]:
     """Base spans and, where they touch none, wider candidates; with votes and features."""
     found = base_spans(text)
     out = [Candidate(k, a, b) for k in BASE for a, b in found[k]]
-    taken = sorted((c.start, c.end) for c in out)
-    wide = []
-    if _AT.search(text):
-        wide += [("written_email", m.span()) for m in _WRITTEN.finditer(text)]
-    wide += [("number", m.span()) for m in _CARD.finditer(text)
-             if m.end() - m.start() >= 13 and 13 <= len(_only_digits(m[0])) <= 19]
-    wide += [("iban", m.span()) for m in _IBAN.finditer(text)]
-    wide += [("identity", m.span()) for m in _IDENTITY.finditer(text)]
-    wide += [("local_phone", m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    wide += [("name", m.span()) for m in _NAME.finditer(text)]
-    ends = [e for _, e in taken]
-    for kind, (a, b) in wide:
-        i = int(np.searchsorted(ends, a, side="right")) if ends else 0
-        if i < len(taken) and taken[i][0] < b:
-            continue
-        at = i
-        taken.insert(at, (a, b))
-        ends.insert(at, b)
-        out.append(Candidate(kind, a, b))
+    taken = _merged([(c.start, c.end) for c in out])
+    wide = _wide(text)
+    for kind in FIRST:
+        free = _free(wide[kind], taken)
+        if free:
+            out += [Candidate(kind, a, b) for a, b in free]
+            taken = _merged(taken + free)
     for c in out:
-        c.votes = _votes(text, c)
+        c.votes = _votes(text, c, gazetteer)
         c.features = _features(text, c)
     return out
 
@@ -241,19 +268,27 @@ class Model:
 _CANDS = ("array<struct<kind:string,start:int,end:int,votes:array<int>,features:array<int>>>")
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_CAND = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+                   ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+
+
+def _column(texts: list, gazetteer: dict) -> pa.Array:
+    """The candidates of each text; null texts have none."""
+    return pa.array([[{"kind": c.kind, "start": c.start, "end": c.end, "votes": list(c.votes),
+                       "features": c.features} for c in candidates_of(t or "", gazetteer)]
+                     for t in texts], pa.list_(_CAND))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               gazetteer: dict = GAZETTEER) -> DataFrame:
     """``doc_id, cands`` of every document; written, without the texts."""
     src = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    struct = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
-                        ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        cands = [[{"kind": c.kind, "start": c.start, "end": c.end, "votes": list(c.votes),
-                   "features": c.features} for c in candidates_of(t)]
-                 for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(cands, pa.list_(struct))], ["doc_id", "cands"])
+            [b.column("doc_id"), _column(b.column("text").to_pylist(), gazetteer)],
+            ["doc_id", "cands"])
 
     return written(run_arrow(src, rows, f"doc_id {kind}, cands {_CANDS}"))
 
@@ -279,10 +314,10 @@ def fit(cands: DataFrame, train_spans: int = TRAIN_SPANS) -> Model:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         train_spans: int = TRAIN_SPANS) -> DataFrame:
+         train_spans: int = TRAIN_SPANS, gazetteer: dict = GAZETTEER) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, n_added, base_spans, spans``; the last two are
     arrays of ``kind:start:end`` by kind as listed, then start."""
-    cands = candidates(docs, id_col, text_col)
+    cands = candidates(docs, id_col, text_col, gazetteer)
     model = fit(cands, train_spans)
     kind = cands.schema["doc_id"].dataType.simpleString()
     order = {k: i for i, k in enumerate(KINDS)}
@@ -306,32 +341,49 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      "n_phone long, n_added long, base_spans array<string>, spans array<string>")
 
 
+def _masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
+    """``text`` with each span replaced by its kind; overlapping spans are replaced as one."""
+    if not text:
+        return text
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if start >= at:
+            out.append(text[at:start] + f"<{kind.upper()}>")
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text_col: str = "text", train_spans: int = TRAIN_SPANS,
-           chars_col: str | None = None) -> DataFrame:
+           chars_col: str | None = None, gazetteer: dict = GAZETTEER) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets; null texts stay null.
-    ``chars_col``, if given, is set to the new length. Overlapping spans are replaced as one."""
-    keyed = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(candidates(keyed), train_spans)
-    schema = docs.schema
+    ``chars_col``, if given, is set to the new length. Overlapping spans are replaced as one.
 
-    def masked(text: str | None) -> str | None:
-        if not text:
-            return text
-        spans = sorted((c.start, -c.end, c.kind) for c in candidates_of(text)
-                       if model.keeps(c.kind, c.features))
-        out, at = [], 0
-        for start, end, kind in spans:
-            end = -end
-            if start >= at:
-                out.append(text[at:start] + f"<{kind.upper()}>")
-            at = max(at, end)
-        return "".join([*out, text[at:]])
-
-    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        i = b.schema.get_field_index(text_col)
-        new = pa.array([masked(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
-        return b.set_column(i, b.schema.field(i), new)
+    Texts are scanned once: the rows are written with their candidates, the model is fitted on
+    these, and the spans that it keeps are cut out of the rows read back."""
+    schema = docs.schema
+    # two columns of our own, named unlike any of the input's
+    name = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    key, cands = f"{name}key", f"{name}cands"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    at = docs.columns.index(text_col)
 
-    out = docs.mapInArrow(lambda it: (rows(b) for b in it), schema)
+    def scanned(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*b.columns, _column(b.column(at).to_pylist(), gazetteer)], [*b.schema.names, cands])
+
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    rows = written(run_arrow(keyed, scanned, f"{kinds}, `{key}` long, `{cands}` {_CANDS}"))
+    model = fit(rows.select(F.col(key).alias("doc_id"), F.col(cands).alias("cands")), train_spans)
+
+    def masked(b: pa.RecordBatch) -> pa.RecordBatch:
+        i = b.schema.get_field_index(cands)
+        texts = [_masked(t, [(c["start"], c["end"], c["kind"]) for c in found
+                             if model.keeps(c["kind"], c["features"])])
+                 for t, found in zip(b.column(at).to_pylist(), b.column(i).to_pylist())]
+        columns = [pa.array(texts, b.schema.field(at).type) if j == at else c
+                   for j, c in enumerate(b.columns[:i])]
+        return pa.RecordBatch.from_arrays(columns, b.schema.names[:i])
+
+    out = run_arrow(rows.drop(key), masked, kinds)
     return out if chars_col is None else out.withColumn(
         chars_col, F.length(text_col).cast(schema[chars_col].dataType))

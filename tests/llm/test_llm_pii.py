@@ -52,6 +52,57 @@ def test_long_runs_take_linear_time():
     assert time.time() - begin < 30
 
 
+def plain_candidates(text):
+    """Wider matches kept one by one if they overlap none of those kept before."""
+    kept = [(k, a, b) for k in pii.BASE for a, b in pii.base_spans(text)[k]]
+    wide = pii._wide(text)
+    for kind in pii.FIRST:
+        for a, b in wide[kind]:
+            if not any(x < b and a < y for _, x, y in kept):
+                kept.append((kind, a, b))
+    return kept
+
+
+def test_many_accepted_spans_take_linear_time():
+    for part in ("Mr John Smith, ", "a@b.co ", "123-45-6789; ", "joe (at) b (dot) com, "):
+        text = part * 50_000
+        begin = time.time()
+        assert len(pii.candidates_of(text)) == 50_000
+        assert time.time() - begin < 5, part
+
+
+def test_overlapping_candidates_equal_plain_choice():
+    rng = random.Random(6)
+    pool = ["Mr John Smith", "123-45-6789", "(030) 555-1234", "a@b.co", "joe (at) b.com", "AB12 3456 7890",
+            "4111 1111 1111 1111", "+49 30 123456", "1.2.3.4", " ", "-", "12", "Dr ", "Anna", "."]
+    for _ in range(4000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))
+        assert [(c.kind, c.start, c.end) for c in pii.candidates_of(t)] == plain_candidates(t), t
+
+
+def test_gazetteer_is_a_parameter():
+    text = "ask Mr Zork"
+    vote = lambda g: pii.candidates_of(text, g)[0].votes[2]         # noqa: E731
+    assert vote(pii.GAZETTEER) == 0
+    assert vote({**pii.GAZETTEER, "given_name": frozenset({"zork"})}) == 1
+
+
+def test_redaction_equals_found_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("_key", F.lit(1)).withColumn("_cands", F.lit("x"))
+    # the same samples for both: the text's hash is the id
+    found = pii.find(docs.withColumn("doc_id", F.xxhash64("text"))).select("doc_id", "spans")
+    spans = {r.doc_id: r.spans for r in found.collect()}
+    text = {r.doc_id: (r.h, r.text) for r in docs.select(
+        "doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        h, t = text[r.doc_id]
+        parts = [s.split(":") for s in spans[h]]
+        assert r.text == pii._masked(t, [(int(a), int(b), k) for k, a, b in parts])
+
+
 def test_find_on_odd_documents(spark):
     rows = odd_docs() + [(70, "mail é a.b@c.de, ip 10.0.0.7", "de", "s", 0),
                          (71, "4111 1111 1111 1111 and +49 30 1234567", None, None, None)]
