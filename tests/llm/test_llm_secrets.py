@@ -58,6 +58,83 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert f[0].n_repos == 2 and f[0].n_owners == 1
 
 
+BARE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+DULL = re.compile("(?i)example|sample|dummy|placeholder|changeme|x{6,}|0123456789|abcdefgh")
+
+
+def plain_scan(rows, max_owners, max_repos):
+    """All candidates of all rows, then the counts, then who stays."""
+    found = []
+    for i, (_, text, owner, repo) in enumerate(rows):
+        spans = [(m.start(), 0, m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+        spans += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text)
+                  if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text)
+                  if len(m[0]) >= 32]
+        for m in BARE.finditer(text):
+            if (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+                    and not any(s < m.end() and m.start() < e for s, _, e, _ in spans[:])):
+                spans.append((m.start(), 3, m.end(), m[0]))
+        base_only = [s for s in spans if s[1] < 3]
+        spans = [s for s in spans if s[1] < 3 or not any(
+            b[0] < s[2] and s[0] < b[2] for b in base_only)]
+        found += [(i, *s) for s in spans]
+    owners, repos = {}, {}
+    for i, _, _, _, v in found:
+        owners.setdefault(v, set()).add(rows[i][2])
+        repos.setdefault(v, set()).add((rows[i][2], rows[i][3]))
+    out = [[] for _ in rows]
+    for i, s, k, e, v in sorted(found, key=lambda f: f[:3]):
+        copied = len(owners[v]) > max_owners or len(repos[v]) > max_repos
+        live = (not copied and len(set(v)) >= 10 and re.search("[0-9]", v)
+                and re.search("[A-Za-z]", v) and not DULL.search(v))
+        if k < 3 or live:
+            out[i].append(f"{('assign', 'access', 'hex', 'live')[k]}:{s}:{e}")
+    return [",".join(o) for o in out]
+
+
+def test_added_spans_equal_plain_scan(spark):
+    rng = random.Random(12)
+    values = ["".join(rng.choice("abXY019+/_") for _ in range(rng.randint(18, 30)))
+              + "Qw7" for _ in range(12)]
+    rows = []
+    for i in range(400):
+        parts = [rng.choice([rng.choice(values[:9]), values[9 + i % 3] if i % 50 == 0 else " ",
+                             "token = '" + rng.choice(values) + "'", "AKIA" + "B7" * 8, "é ",
+                             "deadbeef" * 4, " ", "apikey:", "changeme" * 3 + "1"])
+                 for _ in range(rng.randint(0, 8))]
+        # a third of the rows of one owner
+        rows.append((i, " ".join(parts) if i % 2 else "".join(parts),
+                     "hot" if i % 3 == 0 else f"o{i % 4}", f"r{i % 40}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    for limits in ((2, 20), (1, 3), (50, 400), (5, 9)):
+        got = secret_scan.scan(df, repo_col="repo", max_owners=limits[0], max_repos=limits[1])
+        assert [r.spans for r in sorted(got.collect(), key=lambda r: r.doc_id)] == plain_scan(
+            rows, *limits)
+
+
+def test_repositories_count_besides_owners(spark):
+    value = "Zk9q7Xw2Lm4Vb8Nc1Rt6Yp"
+    for repos, live in ((3, 1), (secret_scan.MAX_REPOS, 1), (secret_scan.MAX_REPOS + 1, 0)):
+        rows = [(i, f"use {value} here", "en", "one owner", 0) for i in range(repos)]
+        got = secret_scan.scan(spark.createDataFrame(rows, DOC_SCHEMA)).collect()
+        assert [r.n_live for r in got] == [live] * repos
+        assert [r.n_copied for r in got] == [1 - live] * repos
+
+
+def test_many_matches_in_one_text(spark):
+    """50,000 spans of one text in the time of a sort."""
+    import time
+    text = "token=abcdefg12 " * 50_000
+    rows = [(1, text, "en", "s", 0), (2, "x1Y2z3w4" * 9 + " " + "AKIAABCDEFGHIJKLMN " * 20_000, "en", "s", 0)]
+    secret_scan.scan(frame(spark)).collect()                    # warm
+    begin = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert time.time() - begin < 15
+    assert got[1].n_assign == 50_000 and got[2].n_access == 20_000
+    assert got[1].base_spans == ",".join(base(text))
+
+
 def test_empty_table_and_query(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
     sf = "/root/testdata/sf0.001"
