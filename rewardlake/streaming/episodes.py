@@ -1,55 +1,66 @@
-"""Streaming episodes (X-01, X-02, F-07 stream form).
-
-X-01 keeps one small state per trajectory ``(run_id, step, g)``: the next
-expected turn, whether the episode is done, and any turns that arrived
-ahead of their predecessor. A scored turn goes in; reward, done and the
-next prompt come out, in turn order. Turns after ``done`` are dropped
-(H-13). When the watermark has passed an episode by the expiry, turns still
-held for a missing predecessor are emitted with ``expired = true``.
-
-X-02 keeps, per GRPO group ``(run_id, step)``, the credited reward of
-each finished trajectory (at most ``G`` values) and emits the group's
-advantages once all ``G`` have finished. A timeout flushes a group that
-never completes, flagged ``complete = false`` (our policy). A complete group
-leaves a mark until the same expiry, so a redelivered trajectory does not
-open it again.
-
-Event times reach the state as epoch milliseconds taken in Spark, so results
-do not depend on the session's time zone.
-
-Both states are bounded by configuration (``max_turns`` turns, ``G``
-rewards), so no key can accumulate an unbounded state.
+"""Streaming episodes (X-01, X-02, F-07 stream form) on typed state.
+
+X-01 keeps, per trajectory ``(run_id, step, g)``, its progress (a value state: next expected turn,
+done, best reward) and the turns that arrived ahead of their predecessor (a map state by turn, so
+that a batch writes the turns that arrived and no others). A scored turn goes in; reward, done and the
+next prompt come out, in turn order. Turns after ``done`` are dropped (H-13). A timer on event time
+ends an episode: when the watermark has passed its last turn by the expiry, turns still held for a
+missing predecessor are emitted with ``expired = true``.
+
+X-02 keeps, per GRPO group ``(run_id, step)``, the credited reward of each finished trajectory (a
+map state, at most ``G`` values) and emits the group's advantages once all ``G`` have finished. A
+timer flushes a group that never completes, flagged ``complete = false`` (our policy). A complete
+group drops its rewards and leaves a mark until the same expiry, so a redelivered trajectory does
+not open it again.
+
+:func:`training_stream` is both as one query: finished episodes go straight into the group
+barrier, the watermark passing through the first operator into the second.
+
+Event times reach the state as epoch milliseconds taken in Spark, so results do not depend on the
+session's time zone. Both states are bounded by configuration (``max_turns`` turns, ``G`` rewards), so
+no key can accumulate an unbounded state; :func:`state_sizes` reports them. They need the RocksDB
+state store. (State TTL exists in processing time only; on event time the timers take its place.)
 """
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rewardlake.functions import text as tx
 from rewardlake.session import ship_package
 
 STEP_OUT = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
             "done boolean, next_prompt string, expired boolean")
-HELD_FIELDS = ("reward", "solved", "action", "feedback", "max_turns", "entry_point", "prompt")
-STEP_STATE = "next_turn int, done boolean, held string, last_ms long"
+# Further columns of a step for what follows it in the same query.
+CHAIN_OUT = STEP_OUT + ", best_reward double, reward_mode string, group_size int, ts timestamp"
+HELD = ("reward double, solved boolean, action string, feedback string, max_turns int, "
+        "entry_point string, prompt string, reward_mode string, group_size int")
+HELD_FIELDS = tuple(c.split()[0] for c in HELD.split(", "))
+PROGRESS = "next_turn int, done boolean, best double, last_ms long, timer_ms long, n_held int"
 
 GROUP_OUT = ("run_id string, step long, g int, reward double, advantage double, "
              "complete boolean")
-GROUP_STATE = "rewards string, last_ms long"
+MARK = "emitted boolean, last_ms long, timer_ms long, n_seen int"
 
 # Held turns, unfinished groups and marks of complete groups expire once the
 # event-time watermark has passed them by this much (default).
 STATE_TIMEOUT_MS = 3_600_000
 WATERMARK = "1 hour"
 
-def _next_prompt(row, done: bool) -> str:
+
+def _next_prompt(row, done: bool) -> str | None:
+    """P-07 / P-08; null where a text it needs is null, as in the batch form."""
     if done:
         return ""
+    if row["entry_point"] is None or row["prompt"] is None or (
+            row["feedback"] and row["action"] is None):
+        return None
     return tx.revision_text(row["entry_point"], row["prompt"], row["action"], row["feedback"])
 
 
@@ -57,54 +68,102 @@ def _max_ms(pdf: pd.DataFrame, last_ms: int) -> int:
     return max(last_ms, int(pdf["event_ms"].max())) if len(pdf) else last_ms
 
 
-def _set_timeout(state, last_ms: int, expire_ms: int) -> None:
-    """Expire the state once the watermark is past the group's latest event
-    time by ``expire_ms``."""
-    state.setTimeoutTimestamp(max(last_ms + expire_ms, state.getCurrentWatermarkMs() + 1))
+def _plain(v):
+    """A numpy scalar as Python's own; a missing value as None."""
+    v = v.item() if hasattr(v, "item") else v
+    return None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else v
 
 
 def _frame(rows, schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
-def _episode_step(expire_ms: int):
-    def step_episode(key, batches, state):
+def _rearmed(handle: StatefulProcessorHandle, old_ms: int, last_ms: int, expire_ms: int,
+             watermark_ms: int) -> int:
+    """Moves the key's only timer to its last event time plus the expiry."""
+    at = max(last_ms + expire_ms, watermark_ms + 1)
+    if at != old_ms:
+        if old_ms:
+            handle.deleteTimer(old_ms)
+        handle.registerTimer(at)
+    return at
+
+
+class EpisodeSteps(StatefulProcessor):
+    """X-01: one trajectory."""
+
+    def __init__(self, expire_ms: int):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", PROGRESS)
+        self.held = handle.getMapState("held", "turn int", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
         run_id, step, g = key
-        if state.exists:
-            next_turn, done, held, last_ms = state.get
-            held = json.loads(held)
-        else:
-            next_turn, done, held, last_ms = 0, False, {}, 0
-        if state.hasTimedOut:
-            state.remove()
-            if held:                    # quarantine: a predecessor never came
-                yield _frame([(run_id, int(step), int(g), int(t), float(r["reward"]),
-                               bool(r["solved"]), False, "", True)
-                              for t, r in sorted(held.items(), key=lambda x: int(x[0]))], STEP_OUT)
-            return
-        for pdf in batches:
+        next_turn, done, best, last_ms, timer_ms, n_held = (
+            self.progress.get() if self.progress.exists() else (0, False, None, 0, 0, 0))
+        new: dict[int, tuple] = {}
+        for pdf in rows:
             last_ms = _max_ms(pdf, last_ms)
             for rec in pdf.to_dict("records"):
-                t = int(rec["turn"])
-                # only turns that can still be stepped are held: state <= max_turns
-                if not done and next_turn <= t < int(rec["max_turns"]) and str(t) not in held:
-                    held[str(t)] = {k: (rec[k].item() if hasattr(rec[k], "item") else rec[k])
-                                    for k in HELD_FIELDS}
+                t, most = _plain(rec["turn"]), _plain(rec["max_turns"])
+                # only turns that can still be stepped are kept: state <= max_turns
+                if t is not None and most is not None and not done and next_turn <= t < most:
+                    new.setdefault(int(t), tuple(_plain(rec[f]) for f in HELD_FIELDS))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        # a step's time is its trajectory's latest, which no watermark has passed yet
+        ts = pd.Timestamp(max(last_ms, watermark), unit="ms", tz="UTC")
         out = []
-        while not done and str(next_turn) in held:
-            rec = held.pop(str(next_turn))
-            d = bool(rec["solved"]) or (next_turn + 1) >= int(rec["max_turns"])
-            out.append((run_id, int(step), int(g), next_turn, float(rec["reward"]),
-                        bool(rec["solved"]), d, _next_prompt(rec, d), False))
+        while not done:
+            held = n_held > 0 and self.held.containsKey((next_turn,))
+            if held:                    # the first delivery counts
+                rec = self.held.getValue((next_turn,))
+                self.held.removeKey((next_turn,))
+                n_held -= 1
+                new.pop(next_turn, None)
+            elif next_turn in new:
+                rec = new.pop(next_turn)
+            else:
+                break
+            r = dict(zip(HELD_FIELDS, rec))
+            reward, solved = r["reward"], bool(r["solved"])
+            done = solved or next_turn + 1 >= int(r["max_turns"])
+            if reward is not None:
+                best = reward if best is None else max(best, reward)
+            out.append((run_id, int(step), int(g), next_turn, reward, solved, done,
+                        _next_prompt(r, done), False, best, r["reward_mode"], r["group_size"], ts))
             next_turn += 1
-            done = d
         if done:
-            held = {}
-        state.update((next_turn, done, json.dumps(held), last_ms))
-        _set_timeout(state, last_ms, expire_ms)
+            if n_held:
+                self.held.clear()
+            n_held = 0
+        else:
+            for t, rec in new.items():
+                if not (n_held and self.held.containsKey((t,))):
+                    self.held.updateValue((t,), rec)
+                    n_held += 1
+        timer_ms = _rearmed(self.handle, timer_ms, last_ms, self.expire_ms, watermark)
+        self.progress.update((next_turn, done, best, last_ms, timer_ms, n_held))
         if out:
-            yield _frame(out, STEP_OUT)
-    return step_episode
+            yield _frame(out, CHAIN_OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run_id, step, g = key
+        held = sorted((int(t), dict(zip(HELD_FIELDS, rec)))
+                      for (t,), rec in self.held.iterator()) if self.held.exists() else []
+        ts = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
+        self.held.clear()
+        self.progress.clear()
+        if held:                        # quarantine: a predecessor never came
+            yield _frame([(run_id, int(step), int(g), t, r["reward"], bool(r["solved"]), False, "",
+                           True, None, r["reward_mode"], r["group_size"], ts)
+                          for t, r in held], CHAIN_OUT)
+
+    def close(self) -> None:
+        pass
 
 
 def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -113,17 +172,24 @@ def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
             .withColumn("event_ms", F.unix_millis(ts)))
 
 
+def _steps(turns: DataFrame, ts: str, delay: str, expire_ms: int) -> DataFrame:
+    """X-01 with the columns of ``CHAIN_OUT``; its event time is ``ts``."""
+    ship_package(turns.sparkSession)
+    optional = {"reward_mode": "string", "group_size": "int"}
+    have = turns.withColumns({c: F.lit(None).cast(t) for c, t in optional.items()
+                              if c not in turns.columns})
+    cols = ["run_id", "step", "g", "turn", *HELD_FIELDS, "event_ms", ts]
+    return (_watermarked(have, ts, delay).select(*cols).groupBy("run_id", "step", "g")
+            .transformWithStateInPandas(EpisodeSteps(expire_ms), CHAIN_OUT, "Append", "EventTime",
+                                        eventTimeColumnName="ts"))
+
+
 def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
                    expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
     """X-01 over a streaming DataFrame of scored turns with ``run_id,
     step, g, turn, reward, solved, action, feedback, max_turns,
     entry_point, prompt`` and an event time ``ts``."""
-    ship_package(turns.sparkSession)
-    cols = ["run_id", "step", "g", "turn", "reward", "solved", "action", "feedback", "max_turns",
-            "entry_point", "prompt", "event_ms", ts]
-    return (_watermarked(turns, ts, delay).select(*cols).groupBy("run_id", "step", "g")
-            .applyInPandasWithState(_episode_step(expire_ms), STEP_OUT, STEP_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return _steps(turns, ts, delay, expire_ms).select(*[c.split()[0] for c in STEP_OUT.split(", ")])
 
 
 def episode_batch_twin(turns: DataFrame) -> DataFrame:
@@ -145,29 +211,57 @@ def _advantages(rows):
     return [(g, x, ((x - mean) / (std + 1e-8)) if ok else 0.0) for g, x in rows]
 
 
-def _group_barrier(expire_ms: int):
-    def barrier(key, batches, state):
-        run_id, step, group_size = key
-        seen, last_ms = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if seen:                    # null marks a group already emitted
-                yield _frame([(run_id, int(step), g, x, a, False) for g, x, a in
-                              _advantages(sorted((int(k), v) for k, v in seen.items()))], GROUP_OUT)
-            return
-        emitted = seen is None
-        for pdf in batches:
+class GroupBarrier(StatefulProcessor):
+    """X-02: one group."""
+
+    def __init__(self, expire_ms: int):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", MARK)
+        self.rewards = handle.getMapState("rewards", "g int", "reward double")
+
+    def _rows(self, key, complete: bool) -> pd.DataFrame:
+        run_id, step, _ = key
+        got = sorted((int(g), math.nan if r is None else float(r))
+                     for (g,), (r,) in self.rewards.iterator())
+        self.rewards.clear()
+        return _frame([(run_id, int(step), g, x, a, complete) for g, x, a in _advantages(got)],
+                      GROUP_OUT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        emitted, last_ms, timer_ms, n_seen = (
+            self.mark.get() if self.mark.exists() else (False, 0, 0, 0))
+        for pdf in rows:
             last_ms = _max_ms(pdf, last_ms)
             if not emitted:
-                for g, rew in zip(pdf["g"], pdf["reward"]):
-                    seen.setdefault(str(int(g)), float(rew))    # the first delivery counts
-        full = not emitted and len(seen) >= int(group_size)
-        state.update((json.dumps(None if full else seen), last_ms))
-        _set_timeout(state, last_ms, expire_ms)
+                for g, reward in zip(pdf["g"], pdf["reward"]):
+                    if not (n_seen and self.rewards.containsKey((int(g),))):
+                        self.rewards.updateValue((int(g),), (_plain(reward),))  # first delivery
+                        n_seen += 1
+        full = not emitted and n_seen >= int(key[2])
+        timer_ms = _rearmed(self.handle, timer_ms, last_ms, self.expire_ms,
+                            timerValues.getCurrentWatermarkInMs())
+        self.mark.update((emitted or full, last_ms, timer_ms, n_seen))
         if full:
-            yield _frame([(run_id, int(step), g, x, a, True) for g, x, a in
-                          _advantages(sorted((int(k), v) for k, v in seen.items()))], GROUP_OUT)
-    return barrier
+            yield self._rows(key, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        open_ = self.mark.exists() and not self.mark.get()[0]
+        self.mark.clear()
+        if open_ and self.rewards.exists():
+            yield self._rows(key, False)
+
+    def close(self) -> None:
+        pass
+
+
+def _barrier(finished: DataFrame, expire_ms: int) -> DataFrame:
+    """X-02 over rows that have a watermark and ``event_ms`` already."""
+    return (finished.groupBy("run_id", "step", "group_size")
+            .transformWithStateInPandas(GroupBarrier(expire_ms), GROUP_OUT, "Append", "EventTime"))
 
 
 def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK,
@@ -177,11 +271,42 @@ def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK,
     finished; a group still open when the watermark passes it by
     ``expire_ms`` is flushed with ``complete = false``."""
     ship_package(finished.sparkSession)
-    return (_watermarked(finished, ts, delay)
-            .select("run_id", "step", "g", "reward", "group_size", "event_ms", ts)
-            .groupBy("run_id", "step", "group_size")
-            .applyInPandasWithState(_group_barrier(expire_ms), GROUP_OUT, GROUP_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return _barrier(_watermarked(finished, ts, delay).select(
+        "run_id", "step", "g", "reward", "group_size", "event_ms", ts), expire_ms)
+
+
+def training_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
+                    expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
+    """X-01 into X-02 as one streaming query: scored turns (with ``reward_mode`` and
+    ``group_size``) in, the advantages of each group out once its last trajectory has finished. The
+    credited reward is the last or the best of the episode's turns (A-06)."""
+    from rewardlake.operators.episodes import credit
+    steps = _steps(turns, ts, delay, expire_ms).where("done and not expired")
+    finished = steps.withColumn("final_reward", F.coalesce("reward", F.lit(0.0))).withColumn(
+        "best_reward", F.coalesce("best_reward", F.lit(0.0)))
+    return _barrier(finished.select("run_id", "step", "g", credit().alias("reward"), "group_size",
+                                    F.unix_millis("ts").alias("event_ms"), "ts"), expire_ms)
+
+
+def training_twin(turns: DataFrame) -> DataFrame:
+    """:func:`training_stream` in batch form, for the trajectories that finished without a gap in
+    their turns: W-08, A-02..A-06, W-01, with ``complete``."""
+    from rewardlake.operators import episodes as ep
+    t = ep.trim_episodes(turns)
+    traj = ep.trajectories(t, (*ep.TRAJ_KEYS, "group_size", "reward_mode"),
+                           (F.bool_or("done").alias("finished"), F.max("turn").alias("last_turn"))
+                           ).where(F.col("finished") & (F.col("n_turns") == F.col("last_turn") + 1))
+    out = group_barrier_twin(traj.withColumn("reward", ep.credit()))
+    return out.select("run_id", "step", "g", "reward", "advantage", "complete")
+
+
+def state_sizes(query: StreamingQuery) -> list[dict]:
+    """Of each stateful operator of ``query``, as of its last batch: the rows in state, the rows
+    changed, and the bytes the state store holds in memory."""
+    last = query.lastProgress
+    return [{"operator": o["operatorName"], "rows": o["numRowsTotal"],
+             "updated": o["numRowsUpdated"], "memory_bytes": o["memoryUsedBytes"]}
+            for o in (last["stateOperators"] if last else [])]
 
 
 def group_barrier_twin(finished: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rewardlake.session import ensure_checkpoint_dir
-from rewardlake.streaming.episodes import STATE_TIMEOUT_MS, WATERMARK, episode_stream, group_barrier
+from rewardlake.streaming.episodes import (STATE_TIMEOUT_MS, WATERMARK, episode_stream,
+                                           group_barrier, training_stream)
 
 TURN_SCHEMA = ("run_id string, step long, g int, turn int, reward double, solved boolean, "
                "action string, feedback string, max_turns int, entry_point string, prompt string, "
@@ -44,3 +45,14 @@ def start_group_barrier(spark: SparkSession, src: str, out_path: str, name: str
     """X-02 from a folder of finished-trajectory parquet files."""
     df = spark.readStream.schema(FINISHED_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
     return _start(spark, group_barrier(df, delay=delay, expire_ms=expire_ms), out_path, name, checkpoint, trigger)
+
+
+def start_training_stream(spark: SparkSession, src: str, out_path: str, name: str = "training",
+                          checkpoint: str | None = None, trigger: str = "available_now",
+                          delay: str = WATERMARK, max_files: int = 100,
+                          expire_ms: int = STATE_TIMEOUT_MS) -> StreamingQuery:
+    """X-01 into X-02 from a folder of scored-turn parquet files that also hold ``reward_mode`` and
+    ``group_size``."""
+    schema = f"{TURN_SCHEMA}, reward_mode string, group_size int"
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    return _start(spark, training_stream(df, delay=delay, expire_ms=expire_ms), out_path, name, checkpoint, trigger)
