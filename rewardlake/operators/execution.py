@@ -2,9 +2,10 @@
 R-07 .. R-09).
 
 Both jobs work on *distinct* inputs: programs are keyed by a SHA-256 of
-their text, deduplicated, spread by that key, evaluated once in Arrow
-batches, written to the shared checkpoint folder (so a retried or reused
-plan never runs code twice, H-7) and joined back.
+their text, spread by that key and deduplicated in one exchange, evaluated once
+in Arrow batches, written to the shared checkpoint folder (so a retried or
+reused plan never runs code twice, H-7) and joined back. With a memo, verdicts
+outlive the job and programs already run are not run again.
 
 X-07 runs stored code on executors. It is opt-in (``allow_exec=True``);
 each program runs in its own isolated interpreter with an empty
@@ -14,13 +15,18 @@ optional. This is not a security boundary.
 """
 from __future__ import annotations
 
+import math
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardlake.functions import text as tx
-from rewardlake.operators.joins import join_dim
+from rewardlake.operators import memo as memos
+from rewardlake.operators import positions
+from rewardlake.operators.joins import bounded_broadcast, join_dim
 from rewardlake.session import cut_lineage, ship_package
 
 EXEC_SCHEMA = T.StructType([
@@ -32,6 +38,12 @@ EXEC_SCHEMA = T.StructType([
     T.StructField("limit_hit", T.StringType()),
 ])
 
+# What a program is taken to cost before any was measured (the start of an interpreter), what a
+# task should cost, and from what cost on a program gets a task of its own.
+DEFAULT_SECONDS = 0.15
+TASK_SECONDS = 30.0
+SLOW_SECONDS = 2.0
+
 # Characters kept of a program's error output (its end); feedback uses the last 400.
 KEEP_ERROR_CHARS = 65_536
 
@@ -184,38 +196,84 @@ def _run_one(prog: str, timeout: float, cpu_s: int | None, mem_mb: int | None,
 
 
 def _run_batch(batches, timeout: float, limits: dict):
+    import time
     for pdf in batches:
-        out = [(pid, *_run_one(prog, timeout, limits.get("cpu_s"), limits.get("mem_mb"),
-                               limits.get("file_mb")))
-               for pid, prog in zip(pdf["program_id"], pdf["program"])]
-        yield pd.DataFrame(out, columns=[f.name for f in EXEC_SCHEMA.fields])
+        out = []
+        for pid, prog, cost_key in zip(pdf["program_id"], pdf["program"], pdf["cost_key"]):
+            begin = time.monotonic()
+            result = _run_one(prog, timeout, limits.get("cpu_s"), limits.get("mem_mb"),
+                              limits.get("file_mb"))
+            out.append((pid, cost_key, *result, time.monotonic() - begin))
+        yield pd.DataFrame(out, columns=["program_id", "cost_key", *memos.VERDICT_FIELDS])
+
+
+def _in_tasks(programs: DataFrame, todo: DataFrame, spread: int | None) -> DataFrame:
+    """The ``programs`` (``program_id, program, cost_key``) named in ``todo`` (``program_id, cost``),
+    each once, cut into tasks by cost: those expected to be slow alone, the others by hash into
+    tasks of about ``TASK_SECONDS``. Their text is shuffled once."""
+    slow = F.col("cost") >= SLOW_SECONDS
+    sums = todo.agg(F.sum(F.when(~slow, F.col("cost"))).alias("cost"), F.count(F.when(~slow, 1))
+                    .alias("fast"), F.count(F.when(slow, 1)).alias("slow")).first()
+    cores = programs.sparkSession.sparkContext.defaultParallelism
+    n = spread or max(1, min(sums["fast"], max(4 * cores, math.ceil((sums["cost"] or 0)
+                                                                    / TASK_SECONDS))))
+    # one exchange: the semi-join and the dedupe keep the partitioning by program
+    fast = (programs.repartition(n, "program_id")
+            .join(todo.where(~slow).select("program_id"), "program_id", "left_semi")
+            .dropDuplicates(["program_id"]))
+    if not sums["slow"]:
+        return fast
+    at = positions.numbered(todo.where(slow).select("program_id"), [F.col("program_id").asc()], "at")
+    alone = (programs.join(bounded_broadcast(at), "program_id").dropDuplicates(["program_id"])
+             .repartitionById(sums["slow"], F.col("at").cast("int")).drop("at"))
+    return fast.unionByName(alone)
 
 
 def run_programs(df: DataFrame, program: str = "program", timeout: float = 5.0,
                  allow_exec: bool = False, limits: dict | None = None,
-                 spread: int | None = None) -> DataFrame:
+                 spread: int | None = None, memo: str | None = None,
+                 cost_key: str | None = None) -> DataFrame:
     """X-07: run every distinct program once and attach ok / returncode /
     stderr / timed_out / limit_hit. Exit code 0 is a pass (H-12); output
     that is no UTF-8 is a failure. A null program is not run.
 
     ``limits`` may hold ``cpu_s``, ``mem_mb`` and ``file_mb``. They are off
     by default, as they can change verdicts; ``limit_hit`` names the one
-    that ended a program ('cpu', 'memory', 'file')."""
+    that ended a program ('cpu', 'memory', 'file').
+
+    ``memo`` names a stored table of verdicts (:mod:`memo`): programs it holds under the same limits
+    are not run again, what is run is added to it, and ``from_memo`` tells the two apart. Its run
+    times cut the tasks: a program whose ``cost_key`` (a column; say its test) has been slow gets a
+    task of its own."""
     if not allow_exec:
         raise PermissionError("test execution is opt-in: pass allow_exec=True")
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     keyed = df.withColumn("program_id", F.sha2(F.col(program), 256))
-    distinct = (keyed.select("program_id", F.col(program).alias("program"))
-                .where(F.col("program").isNotNull()).dropDuplicates(["program_id"]))
-    # Round-robin after the dedupe: AQE may coalesce the (small) dedupe
-    # shuffle into one partition, which would run every program in a
-    # single task; a by-number repartition is kept as asked.
-    n = spread or 4 * df.sparkSession.sparkContext.defaultParallelism
-    distinct = distinct.repartition(n)
+    key = F.col(cost_key).cast("string") if cost_key else F.lit(None).cast("string")
+    programs = keyed.where(F.col(program).isNotNull()).select(
+        "program_id", F.col(program).alias("program"), key.alias("cost_key"))
+    ids = programs.groupBy("program_id").agg(F.min("cost_key").alias("cost_key"))
+    setting, run = memos.setting_of(timeout, limits), uuid.uuid4().hex
+    if memo is None:
+        todo = ids.withColumn("cost", F.lit(DEFAULT_SECONDS))
+    else:
+        before = memos.read(spark, memo)
+        todo = join_dim(memos.unknown(ids, before, setting), memos.costs(before), "cost_key",
+                        "left").withColumn("cost", F.coalesce("cost", F.lit(DEFAULT_SECONDS)))
+    todo = cut_lineage(todo.select("program_id", "cost"))
     given = dict(limits or {})
-    ran = distinct.mapInPandas(lambda it: _run_batch(it, timeout, given), EXEC_SCHEMA)
-    ran = cut_lineage(ran)
-    return keyed.join(ran, "program_id", "left")
+    ran = _in_tasks(programs, todo, spread).mapInPandas(
+        lambda it: _run_batch(it, timeout, given),
+        f"program_id string, cost_key string, {memos.VERDICT}")
+    names = [f.name for f in EXEC_SCHEMA.fields]
+    if memo is None:
+        return keyed.join(cut_lineage(ran).select(*names), "program_id", "left")
+    if not todo.isEmpty():
+        memos.append(ran, memo, setting, run)
+    found = (memos.known(memos.read(spark, memo), setting).dropDuplicates(["program_id"])
+             .select(*names, (F.col("run") != run).alias("from_memo")))
+    return keyed.join(found, "program_id", "left")
 
 
 def prepare(completions: DataFrame, completion: str = "completion", fence: str = "strip",
@@ -229,7 +287,7 @@ def prepare(completions: DataFrame, completion: str = "completion", fence: str =
 
 def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), style: str = "env",
               timeout: float = 5.0, allow_exec: bool = False,
-              limits: dict | None = None) -> DataFrame:
+              limits: dict | None = None, memo: str | None = None) -> DataFrame:
     """Fan out one program per (completion, test) (P-13), run it (X-07),
     and return ``key + test_idx, test, passed, error``.
 
@@ -261,7 +319,9 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
         syntax = None
     else:
         raise ValueError(f"unknown style {style!r}")
-    ran = run_programs(to_run.withColumn("program", prog), "program", timeout, allow_exec, limits)
+    # programs of one test cost alike
+    ran = run_programs(to_run.withColumns({"program": prog, "_test_id": F.md5("test")}), "program",
+                       timeout, allow_exec, limits, memo=memo, cost_key="_test_id")
     ran = ran.select(*key, "test_idx", "ok", "stderr")
     out = per.join(ran, [*key, "test_idx"], "left")
     passed = F.coalesce(F.col("ok"), F.lit(False))
@@ -272,13 +332,14 @@ def test_rows(checked: DataFrame, tasks: DataFrame, key=("completion_id",), styl
 def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
                        completion: str = "completion", style: str = "env", fence: str = "strip",
                        timeout: float = 5.0, allow_exec: bool = False,
-                       messages: bool = False, limits: dict | None = None) -> DataFrame:
+                       messages: bool = False, limits: dict | None = None,
+                       memo: str | None = None) -> DataFrame:
     """R-07 (env style, fences stripped) / R-08 (setup style, first fence
     extracted): verdict per completion with feedback (A-01, P-14). A
     completion whose task has no tests keeps its row with 0 of 0."""
     from rewardlake.operators.verdicts import verdicts, with_feedback
     checked = prepare(completions, completion, fence, messages)
-    per = test_rows(checked, tasks, key, style, timeout, allow_exec, limits)
+    per = test_rows(checked, tasks, key, style, timeout, allow_exec, limits, memo)
     v = verdicts(checked, per, key, "syntax_ok" if style == "env" else None)
     return with_feedback(v)
 
@@ -287,9 +348,10 @@ def execution_verdicts(completions: DataFrame, tasks: DataFrame, key=("completio
 def execution_reward(completions: DataFrame, tasks: DataFrame, key=("completion_id",),
                      completion: str = "completion", timeout: float = 10.0,
                      allow_exec: bool = False, messages: bool = False,
-                     name: str = "execution_reward", limits: dict | None = None) -> DataFrame:
+                     name: str = "execution_reward", limits: dict | None = None,
+                     memo: str | None = None) -> DataFrame:
     """R-09 / X-05: the batch reward of the RFT variant (P-03, P-02, setup
     style, 10 s); the output column is named after the reward."""
     v = execution_verdicts(completions, tasks, key, completion, "setup", "extract", timeout,
-                           allow_exec, messages, limits)
+                           allow_exec, messages, limits, memo)
     return v.withColumnRenamed("fraction_passed", name)
