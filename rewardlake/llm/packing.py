@@ -28,6 +28,10 @@ from rewardlake.llm.common import F, n_groups, run_arrow, text_of, written
 
 SEQUENCE_TOKENS = 2048
 PIECES_PER_GROUP = 16_384
+# Of wide pieces packed inside their task: tokens of a group (bounds memory), and the gap up to
+# which a sequence is left as it is.
+TOKENS_PER_GROUP = 4_000_000
+SMALL_GAP = 16
 # Word-cache entries of a worker and characters tokenised at once (bound memory, not results).
 CACHE_ENTRIES = 600_000
 CHARS_AT_ONCE = 4_000_000
@@ -238,8 +242,67 @@ def pack(parts: DataFrame, budget: int = SEQUENCE_TOKENS, per_group: int = PIECE
     return full.select(*out).unionByName(packed.select(*out))
 
 
+def _placed_in_task(it, budget: int):
+    """Batches of pieces with ``_local`` (the number of the piece's sequence in this task) and
+    ``_at`` (its place there): pieces are gathered into groups and packed. Both are null for the
+    pieces of sequences that are left with a gap above ``SMALL_GAP``."""
+    held, n_pieces, n_tokens, made = [], 0, 0, 0
+
+    def placed():
+        nonlocal made
+        b = pa.Table.from_batches(held).combine_chunks()
+        lengths = b.column("length").to_numpy()
+        seq, at = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        part = lengths < budget
+        seq[part], at[part] = sum_of_squares(lengths[part], budget)
+        n = int(seq[part].max()) + 1 if part.any() else 0
+        seq[~part] = n + np.arange((~part).sum())
+        gap = budget - np.bincount(seq, weights=lengths)
+        left = gap[seq] > SMALL_GAP
+        for name, x in (("_local", seq + made), ("_at", at)):
+            b = b.append_column(name, pa.array(x, pa.int64(), mask=left))
+        made += len(gap)
+        held.clear()
+        return b.to_batches()
+
+    for batch in it:
+        # a batch is cut where a group is full, so that a group is bounded whatever the batches are
+        tokens = batch.column("length").to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            room = np.searchsorted(np.cumsum(tokens[at:]), TOKENS_PER_GROUP - n_tokens) + 1
+            n = int(min(room, PIECES_PER_GROUP - n_pieces, batch.num_rows - at))
+            held.append(batch.slice(at, n))
+            n_pieces, n_tokens = n_pieces + n, n_tokens + int(tokens[at:at + n].sum())
+            at += n
+            if n_pieces >= PIECES_PER_GROUP or n_tokens >= TOKENS_PER_GROUP:
+                yield from placed()
+                n_pieces = n_tokens = 0
+    if held:
+        yield from placed()
+
+
+def pack_in_tasks(parts: DataFrame, budget: int = SEQUENCE_TOKENS) -> DataFrame:
+    """:func:`pack` for wide pieces (with token ids), which hardly any leave their task: each task
+    packs its pieces group by group, and only those whose sequence it cannot fill are packed again
+    together with the other tasks'."""
+    own = [f.name for f in parts.schema]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    placed = parts.mapInArrow(lambda it: _placed_in_task(it, budget),
+                              f"{schema}, _local long, _at long")
+    # numbers of a task's sequences are told apart by its partition; odd here, even below
+    number = (F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.col("_local")) * 2 + 1
+    placed = written(placed.withColumn("sequence_id", number).withColumnRenamed("_at", "offset")
+                     .drop("_local"))
+    rest = pack(placed.where(F.col("offset").isNull()).select(*own), budget)
+    return placed.where(F.col("offset").isNotNull()).unionByName(
+        rest.withColumn("sequence_id", F.col("sequence_id") * 2))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    text_col: str = "text", budget: int = SEQUENCE_TOKENS, eos_id: int = 0,
                    with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece with its place."""
-    return pack(pieces(docs, tokenizer_path, id_col, text_col, budget, eos_id, with_ids), budget)
+    """Tokenise, cut and pack: one row per piece with its place, and with its token ids if
+    ``with_ids``."""
+    parts = pieces(docs, tokenizer_path, id_col, text_col, budget, eos_id, with_ids)
+    return pack_in_tasks(parts, budget) if with_ids else pack(parts, budget)

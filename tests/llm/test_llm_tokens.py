@@ -154,6 +154,27 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame(spark, []), WORD).count() == 0
 
 
+def test_wide_pieces_are_packed_in_their_tasks(spark, monkeypatch):
+    """Same pieces as the narrow form, hardly more sequences, and no wide row in a group."""
+    monkeypatch.setattr(packing, "TOKENS_PER_GROUP", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    wide = packing.pack_documents(docs, WORD, with_ids=True).collect()
+    narrow = packing.pack_documents(docs, WORD).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)        # noqa: E731
+    assert sorted(map(key, wide)) == sorted(map(key, narrow))
+    seqs = collections.defaultdict(list)
+    for r in wide:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= 2048
+    assert len(seqs) <= len({r.sequence_id for r in narrow}) + 2
+
+
 def test_packing_query_is_tight(spark):
     got = queries.op3_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     n = len({r.sequence_id for r in got})
