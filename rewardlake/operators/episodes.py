@@ -69,6 +69,17 @@ def previous_attempt(turns: DataFrame, keys=TRAJ_KEYS, width: int | None = None)
             .withColumn("prev_feedback", F.lag("feedback").over(w)))
 
 
+def attempts(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """W-10 and W-07 for episodes of any length, from one layout: ``turn``, ``prev_action`` and
+    ``prev_feedback`` of attempts laid out in ranges of ``keys`` and ``order``
+    (``positions.laid_out``)."""
+    from rewardlake.operators.positions import scan
+    every = F.lit(True)
+    out = scan(rows, keys, order, counts={"turn": every},
+               previous={f"prev_{c}": (F.col(c), every) for c in ("action", "feedback")})
+    return out.withColumn("turn", F.col("turn").cast("int"))
+
+
 def trajectories(turns: DataFrame, keys=TRAJ_KEYS, extra_aggs=()) -> DataFrame:
     """A-02 .. A-05: final reward (last turn), best reward, solved on any
     turn, turn count. One row per trajectory."""

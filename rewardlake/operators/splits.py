@@ -1,9 +1,8 @@
 """Ordering, splits and draws (T-01 .. T-06, F-01, F-10, U-01).
 
-Positional splits need a global row number. ``row_numbers`` computes it
-without pulling the table into one task: rows go to ``n_buckets``
-buckets of the ordering key, bucket sizes (one row per bucket) give each
-bucket its offset, and a window numbers rows inside a bucket.
+Positional splits need a global row number: ``positions.numbered``, in
+ranges of the ordering key sampled from the data, without pulling the table
+into one task.
 """
 from __future__ import annotations
 
@@ -12,21 +11,7 @@ from pyspark.sql import functions as F
 
 from rewardlake.functions.hashing import uniform
 from rewardlake.operators.joins import null_safe_join
-
-
-def row_numbers(df: DataFrame, bucket: Column, order: list, name: str = "row_idx") -> DataFrame:
-    """0-based global row number in ``(bucket, *order)`` order. ``bucket``
-    must be monotone in the order and keep each bucket bounded (a hash
-    fraction or ``key div width`` for a unique key)."""
-    b = df.withColumn("_b", bucket)
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # One row per bucket: this window is over #buckets rows only.
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_b").orderBy(*order)
-    return (null_safe_join(b, offs.select("_b", "_off"), ["_b"])
-            .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_b", "_off"))
+from rewardlake.operators.positions import numbered
 
 
 def keyed_row_numbers(df: DataFrame, keys: list[str], order: str, width: int = 100_000,
@@ -78,18 +63,15 @@ def seeded_order(key: str, seed: int) -> Column:
     return uniform(F.lit(str(seed)), F.col(key))
 
 
-def shuffled_row_numbers(df: DataFrame, key: str, seed: int, n_buckets: int = 1024,
-                         name: str = "row_idx") -> DataFrame:
-    """T-01 + row number in shuffled order; buckets of the hash are even."""
-    u = seeded_order(key, seed)
-    d = df.withColumn("_u", u)
-    return row_numbers(d, F.floor(F.col("_u") * n_buckets), [F.col("_u"), F.col(key)], name).drop("_u")
+def shuffled_row_numbers(df: DataFrame, key: str, seed: int, name: str = "row_idx") -> DataFrame:
+    """T-01 + row number in shuffled order."""
+    d = df.withColumn("_u", seeded_order(key, seed))
+    return numbered(d, [F.col("_u").asc(), F.col(key).asc()], name).drop("_u")
 
 
-def source_row_numbers(df: DataFrame, order_key: str, width: int = 1_000_000,
-                       name: str = "row_idx") -> DataFrame:
-    """Row number in source order given a unique integer order key."""
-    return row_numbers(df, F.floor(F.col(order_key) / width), [F.col(order_key)], name)
+def source_row_numbers(df: DataFrame, order_key: str, name: str = "row_idx") -> DataFrame:
+    """Row number in source order given a unique order key, sparse or dense, of any type."""
+    return numbered(df, [F.col(order_key).asc()], name)
 
 
 def range_split(df: DataFrame, n_train: int, n_heldout: int, idx: str = "row_idx") -> DataFrame:
@@ -111,14 +93,17 @@ def capped_split(df: DataFrame, n_total: int, want_train: int, n_eval: int,
         F.col("split").isNotNull())
 
 
-def take(df: DataFrame, limit: int | None, idx: str = "row_idx") -> DataFrame:
-    """T-04: first ``limit`` rows of a gapless 0-based row number; None and 0 mean no limit.
-    A filter, so nothing is gathered in one task."""
-    if limit is None or limit == 0:
-        return df
-    if limit < 0:
+def within(limit: int | None, idx: str = "row_idx") -> Column:
+    """T-04 as a condition: the first ``limit`` rows of a gapless 0-based row number; None and 0
+    mean no limit."""
+    if limit is not None and limit < 0:
         raise ValueError("limit must be >= 0")
-    return df.filter(F.col(idx) < limit)
+    return F.col(idx) < limit if limit else F.lit(True)
+
+
+def take(df: DataFrame, limit: int | None, idx: str = "row_idx") -> DataFrame:
+    """T-04. A filter, so nothing is gathered in one task."""
+    return df.filter(within(limit, idx))
 
 
 def named_only(df: DataFrame, name: str = "function_name") -> DataFrame:

@@ -21,12 +21,14 @@ from rewardlake.operators import execution as ex
 from rewardlake.operators import groups as gr
 from rewardlake.operators import metrics as mt
 from rewardlake.operators import objective as ob
+from rewardlake.operators import positions as ps
 from rewardlake.operators import process as pr
 from rewardlake.operators import splits as sp
 from rewardlake.operators import verdicts as vd
 from rewardlake.operators.joins import join_dim
 from rewardlake.operators.layout import spread
 from rewardlake.plans import toy, training
+from rewardlake.session import cut_lineage
 from rewardlake.sources import fixtures as fx
 from rewardlake.sources import tasks as tl
 from rewardlake.sources.config import run_config
@@ -394,27 +396,24 @@ def t03_capped_split(spark, sf_dir):
     s = sp.capped_split(rows, n, 150, 10)
     parts = [(name, s.filter(F.col("split") == name).drop("split")) for name in ("train", "eval")]
     u = sp.concat_splits(*parts)
-    first = sp.take(u, 5).select("task_id", F.lit(True).alias("in_first5"))
-    return (u.join(first, "task_id", "left")
-            .select("task_id", "row_idx", "split", F.coalesce("in_first5", F.lit(False)).alias("in_first5")))
+    return u.select("task_id", "row_idx", "split", sp.within(5).alias("in_first5"))
 
 
 @query("f10_draw")
 def f10_draw(spark, sf_dir):
     """F-10 one task per step, J-05 G copies, J-01 turn rows joined to their
     task, P-07 prompt."""
-    raw = _tasks(spark, sf_dir)
-    tasks = tl.mbpp_sanitized(raw)
-    rows = sp.source_row_numbers(raw.select("task_id"), "task_id").select(
-        F.concat(F.lit("mbpp/"), F.col("task_id").cast("string")).alias("task_id"), "row_idx")
-    tasks = tasks.join(rows, "task_id")
+    tasks = tl.mbpp_sanitized(_tasks(spark, sf_dir)).withColumn(
+        "_no", F.substring_index("task_id", "/", -1).cast("long"))
+    tasks = sp.source_row_numbers(tasks, "_no")
     n = tasks.count()
-    steps = fx.rollouts(spark, sf_dir).select("run_id", "step").distinct()
+    # written once: steps and turns are two readings of it
+    turns = cut_lineage(fx.rollouts(spark, sf_dir).select("run_id", "step", "g", "turn"))
+    steps = turns.select("run_id", "step").distinct()
     drawn = sp.draw_per_step(steps, tasks.select("row_idx", "task_id"), n, seed=42)
     cfg = run_config(spark).select("run_id", "group_size")
     per_traj = ep.copies(join_dim(drawn.select("run_id", "step", "task_id"), cfg, "run_id"),
                          "group_size")                                              # J-05
-    turns = fx.rollouts(spark, sf_dir).select("run_id", "step", "g", "turn")
     j = turns.join(per_traj.select("run_id", "step", "g", "task_id"), ["run_id", "step", "g"])
     j = join_dim(j, tasks.select("task_id", "entry_point", "prompt"), "task_id")
     return j.select("run_id", "step", "g", "turn", "task_id",
@@ -426,17 +425,14 @@ def w07_revision(spark, sf_dir):
     """W-10 turn index, W-07 previous attempt + feedback, P-08 revision prompt:
     assistant messages are attempts, the user message after one is its feedback."""
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    # conversations are not bounded by max_turns: bucketed scans throughout;
-    # the next message is the previous one in reverse turn order
-    cv = sp.keyed_lag(cv.withColumn("neg_turn", -F.col("turn")), ["conv_id"], "neg_turn", ["text"],
-                      prefix="next_")
+    # conversations are not bounded by max_turns: scans over sampled ranges, one layout for all
+    cv = ps.by_part(ps.laid_out(cv, [F.col("conv_id").asc(), F.col("turn").asc()]))
+    cv = ps.scan(cv, ["conv_id"], "turn", following={"next_text": F.col("text")})
     att = (cv.filter(F.col("role") == "assistant")
-           .select(F.col("conv_id").alias("run_id"), F.lit(0).cast("long").alias("step"),
-                   F.lit(0).alias("g"), F.col("turn").alias("seq"),
+           .select("_part", "_place", F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"),
                    F.col("text").alias("action"),
                    F.coalesce("next_text", F.lit("")).alias("feedback")))
-    att = ep.turn_index(att, "seq", width=100_000)
-    att = ep.previous_attempt(att, width=100_000)
+    att = ep.attempts(att, ["run_id"], "seq")
     prompt = tx.revision_prompt(F.lit("f"), F.lit("Return x doubled."), "prev_action", "prev_feedback")
     return att.select(F.col("run_id").alias("conv_id"), "turn", F.length(prompt).alias("prompt_len"),
                       F.md5(prompt).alias("prompt_md5"))

@@ -45,3 +45,30 @@ def test_partitions_follow_the_size(spark, tmp_path):
     assert positions.range_partitions(df) == 1
     big = spark.range(10 ** 9)                                  # 8 GB planned
     assert positions.range_partitions(big) >= 50
+
+
+def test_scans_equal_windows_over_the_whole_key(spark):
+    """Keys inside one range, over several ranges, a hot one, null keys; values null at times."""
+    from pyspark.sql import Window
+    rng = random.Random(2)
+    rows, pos = [], 0
+    for key in ["a", "b", None, "hot", "z"]:
+        for _ in range({"hot": 900, "b": 3}.get(key, 60)):
+            pos += rng.randint(1, 10 ** 9)
+            rows.append((key, pos, rng.choice([None, f"v{pos}"]), rng.random() < .2))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, pos long, v string, ok boolean")
+    laid = positions.laid_out(df, [F.col("k").asc(), F.col("pos").asc()], partitions=12)
+    assert laid.groupBy("_part").count().agg(F.max("count")).first()[0] < 300
+    got = positions.scan(positions.by_part(laid), ["k"], "pos", {"n": F.col("ok")},
+                         {"p": (F.col("v"), F.col("ok"))}, {"f": F.col("v")})
+    w = Window.partitionBy("k").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumns({
+        "n": F.count(F.when(F.col("ok"), 1)).over(before),
+        "p": F.last(F.when(F.col("ok"), F.struct("v")), ignorenulls=True).over(before)["v"],
+        "f": F.lead("v").over(w)})
+    cols = ["k", "pos", "v", "ok", "n", "p", "f"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert positions.scan(positions.laid_out(df.limit(0), [F.col("pos").asc()]), ["k"], "pos",
+                          {"n": F.col("ok")}).count() == 0
