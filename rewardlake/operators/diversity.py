@@ -26,3 +26,31 @@ def ngram_diversity(texts: DataFrame, group: str = "grp", text: str = "text", n:
     return out.withColumn("diversity", F.when(F.col("n_total") > 0,
                                               F.col("n_distinct") / F.col("n_total"))
                           .otherwise(F.lit(1.0)))
+
+
+LG_K = 12
+SKETCH_BOUND = 0.065
+
+
+def ngram_sketch(texts: DataFrame, groups=("grp",), text: str = "text", n: int = 4,
+                 lg_k: int = LG_K) -> DataFrame:
+    """``*groups, n_total, sketch``: the n-grams of every group of texts."""
+    words = spread(texts).select(*groups, py_split(text).alias("w"))
+    grams = words.select(*groups, F.explode_outer(ngrams("w", n)).alias("gram"))
+    return grams.groupBy(*groups).agg(
+        F.count("gram").alias("n_total"),
+        F.hll_sketch_agg("gram", lg_k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, groups=("grp",)) -> DataFrame:
+    """Sketches of finer groups (steps, partial runs) united into those of ``groups``."""
+    return sketches.groupBy(*groups).agg(F.sum("n_total").alias("n_total"),
+                                         F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_diversity(sketches: DataFrame) -> DataFrame:
+    """``n_distinct`` (estimated) and ``diversity`` from a sketch; 1.0 without n-grams."""
+    about = F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).cast("long")
+    out = sketches.withColumn("n_distinct", F.least(about, F.col("n_total"))).drop("sketch")
+    return out.withColumn("diversity", F.when(F.col("n_total") > 0, F.col("n_distinct")
+                                              / F.col("n_total")).otherwise(F.lit(1.0)))

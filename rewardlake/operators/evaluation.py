@@ -6,7 +6,7 @@ by task (no set algebra over collected lists).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardlake.functions.text import signed_delta
@@ -26,11 +26,19 @@ def pass_at_1(results: DataFrame, keys=("label", "axis")) -> DataFrame:
         F.sum(F.col("passed").cast("long")).alias("n_passed"))
 
 
-def passed_ids(results: DataFrame, keys=("label", "axis")) -> DataFrame:
-    """A-17 id list for the results line. Its size is the benchmark's task
-    count (hundreds), which bounds the one array per model and axis."""
-    return results.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("passed"), F.col("task_id")))).alias("passed"))
+def passed_ids(results: DataFrame) -> DataFrame:
+    """A-17 ids for the results line: ``label, axis, chunk, passed`` with at most
+    ``passed_sets.CHUNK`` ids to a row; every model and axis has a row for chunk 0."""
+    from rewardlake.operators import passed_sets as ps
+    tasks = ps.task_numbers(results)
+    found = ps.chunks(ps.passed_sets(results, tasks), tasks)
+    # chunks of an axis count from its own first
+    first = Window.partitionBy("label", "axis").orderBy("chunk")
+    found = found.withColumn("chunk", F.row_number().over(first) - 1)
+    heads = results.select("label", "axis").distinct()
+    return (heads.join(found, ["label", "axis"], "left")
+            .withColumns({"chunk": F.coalesce("chunk", F.lit(0)),
+                          "passed": F.coalesce("passed", F.array().cast("array<string>"))}))
 
 
 def two_axis(results: DataFrame, axes=("in_dist", "transfer")) -> DataFrame:
@@ -85,6 +93,20 @@ def example_per_class(pairs: DataFrame) -> DataFrame:
             .groupBy("cls").agg(F.min("task_id").alias("task_id")))
 
 
+def with_both_results(examples: DataFrame, outcomes: DataFrame, problems: DataFrame, a: str,
+                      b: str) -> DataFrame:
+    """J-08: the problem and both models' results of every example. Examples are at most one per
+    class, so their ids go into the scans of outcomes and problems as a filter."""
+    ids = [r["task_id"] for r in examples.select("task_id").distinct().collect()]   # four at most
+    found = examples.join(problems.filter(F.col("task_id").isin(ids)), "task_id", "left")
+    for label, side in ((a, "a"), (b, "b")):
+        of = outcomes.filter((F.col("label") == label) & F.col("task_id").isin(ids)).select(
+            "task_id", F.col("passed").alias(f"{side}_passed"),
+            F.col("completion").alias(f"{side}_completion"))
+        found = found.join(of, "task_id", "left")
+    return found
+
+
 def members(results: DataFrame, label: str, other: str, keep: bool) -> DataFrame:
     """J-10: tasks ``label`` solved that ``other`` also solved (semi) or
     did not (anti)."""

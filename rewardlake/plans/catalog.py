@@ -6,6 +6,7 @@ Floating columns are rounded to six places (H-18).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from rewardlake.operators import execution as ex
 from rewardlake.operators import groups as gr
 from rewardlake.operators import metrics as mt
 from rewardlake.operators import objective as ob
+from rewardlake.operators import passed_sets as pset
 from rewardlake.operators import positions as ps
 from rewardlake.operators import process as pr
 from rewardlake.operators import splits as sp
@@ -28,8 +30,9 @@ from rewardlake.operators import verdicts as vd
 from rewardlake.operators.joins import join_dim
 from rewardlake.operators.layout import spread
 from rewardlake.plans import toy, training
-from rewardlake.session import cut_lineage
+from rewardlake.session import cut_lineage, ensure_checkpoint_dir
 from rewardlake.sources import fixtures as fx
+from rewardlake.sources import results as rs
 from rewardlake.sources import tasks as tl
 from rewardlake.sources.config import run_config
 from rewardlake.sources.tables import read_table
@@ -278,6 +281,54 @@ def a10_diversity(spark, sf_dir):
     return d.select("grp", "n_total", "n_distinct", r6("diversity"))
 
 
+@query("a10_sketch")
+def a10_sketch(spark, sf_dir):
+    """A-10 from mergeable sketches: per group and part of its texts, united
+    per group; whether the estimate is within the stated bound of the exact
+    count."""
+    t = fx.texts(spark, sf_dir).withColumn("part", F.pmod(F.length("text"), F.lit(3)))
+    about = dv.sketch_diversity(dv.merged_sketches(dv.ngram_sketch(t, ("grp", "part"))))
+    exact = dv.ngram_diversity(fx.texts(spark, sf_dir)).select(
+        "grp", F.col("n_distinct").alias("n_exact"))
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.col("n_exact") * dv.SKETCH_BOUND
+    return about.join(exact, "grp").select("grp", "n_total", F.col("n_exact"),
+                                           near.alias("within_bound"))
+
+
+@query("s14_text_log")
+def s14_text_log(spark, sf_dir):
+    """S-12, S-14: records over all embeddings (epoch = label, step within
+    it), head and detail lines with their places."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    step = F.pmod("vec_id", F.lit(15)).cast("int")
+    ints = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(F.abs(x) * 100).cast("int"))
+    rows = e.select(F.col("label").cast("int").alias("epoch"), step.alias("step"),
+                    F.floor(F.col("vec_id") / 15).cast("int").alias("batch"), F.lit(0).alias("trial"),
+                    ints.alias("prompt"), F.reverse(ints).alias("response"),
+                    F.array((F.pmod("vec_id", F.lit(8)) / 8.0), F.lit(-0.5)).alias("log_probs"),
+                    (F.pmod("vec_id", F.lit(4)) / 4.0).alias("reward"), F.lit(0.25).alias("delta"))
+    heads = rows.groupBy("epoch", "step").agg(F.lit(0.5).alias("loss"),
+                                              F.max("reward").alias("mean_reward"))
+    return mt.text_lines(heads, rows)
+
+
+@query("s10_series")
+def s10_series(spark, sf_dir):
+    """S-10: the hourly series and its eval points stored twice by upsert,
+    the second time from the middle on; each step is there once."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    log = cut_lineage(_hourly(spark, sf_dir))
+    late = F.pmod("step", F.lit(2)) == 0
+    for part in (log.withColumn("reward", F.when(late, -1.0).otherwise(F.col("reward"))),
+                 log.where(late)):
+        mt.upsert_series(part, path, steps=100)
+        mt.upsert_series(part.where(mt.cadence(F.col("step"), 24)), path, "eval", steps=100)
+    schema = "run_id string, step long, reward double"
+    kinds = [mt.read_series(spark, path, k, schema).withColumn("kind", F.lit(k))
+             for k in ("dense", "eval")]
+    return kinds[0].unionByName(kinds[1]).select("kind", "run_id", "step", r6("reward"))
+
+
 @query("r13_process")
 def r13_process(spark, sf_dir):
     """X-06/P-06 syntax job, W-04..W-06, R-13..R-16 process rewards."""
@@ -293,8 +344,8 @@ def _hourly(spark, sf_dir):
 
 @query("w09_smooth")
 def w09_smooth(spark, sf_dir):
-    """W-09 trailing 15-point mean, valid mode, runs with > 15 points."""
-    s = mt.smooth(_hourly(spark, sf_dir), "reward")
+    """W-09 trailing 15-point mean, valid mode, runs with > 15 points, in blocks with halo rows."""
+    s = mt.smooth_blocks(_hourly(spark, sf_dir), "reward", block=1_000)
     return s.select("run_id", "step", r6("reward"), r6("reward_smooth"))
 
 
@@ -355,12 +406,49 @@ def u06_breakdown(spark, sf_dir):
 
 @query("u07_examples")
 def u07_examples(spark, sf_dir):
-    """U-07 example per class, J-08 look-up of its problem, P-16 preview."""
+    """U-07 example per class, J-08 look-up of its problem and both models'
+    results (S-15), P-16 previews."""
     ex_ = ev.example_per_class(ev.paired(_evals(spark, sf_dir), "A", "B"))
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("task/"), F.col("doc_id").cast("string")).alias("task_id"), "text")
-    j = ex_.join(docs, "task_id")
-    return j.select("cls", "task_id", F.md5(tx.preview("text", 200)).alias("preview_md5"))
+    outcomes = _evals(spark, sf_dir).withColumn("completion", F.concat(
+        F.lit("def f(x):\n    # "), "label", F.lit("\n    return '"), "task_id", F.lit("'\n")))
+    j = ev.with_both_results(ex_, outcomes, docs, "A", "B").where(F.col("text").isNotNull())
+    return j.select("cls", "task_id", F.md5(tx.preview("text", 200)).alias("preview_md5"),
+                    "a_passed", F.md5(tx.preview("a_completion", 200)).alias("a_md5"),
+                    "b_passed", F.md5(tx.preview("b_completion", 200)).alias("b_md5"))
+
+
+@query("a17_passed_sets")
+def a17_passed_sets(spark, sf_dir):
+    """A-17 passed ids from outcomes to bitmaps and back: every passed task
+    of every model with its number."""
+    e = _evals(spark, sf_dir)
+    tasks = pset.task_numbers(e)
+    return pset.members_of(pset.passed_sets(e, tasks), tasks).select(
+        "label", "axis", "task_id", "task_no")
+
+
+@query("u02_set_counts")
+def u02_set_counts(spark, sf_dir):
+    """U-02 .. U-06 class counts by set algebra on bitmaps, the sets of two
+    partial runs united first."""
+    e = _evals(spark, sf_dir)
+    tasks = pset.task_numbers(e)
+    first = F.pmod(F.xxhash64("task_id"), F.lit(2)) == 0
+    sets = pset.union(pset.passed_sets(e.where(first), tasks),
+                      pset.passed_sets(e.where(~first), tasks))
+    return pset.class_counts(sets, "A", "B")
+
+
+@query("s07_results_lines")
+def s07_results_lines(spark, sf_dir):
+    """S-07, S-08, S-09: result lines written twice (the second time as a
+    restart) and read back, one row per solved task."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    for _ in range(2):
+        rs.append_results(_evals(spark, sf_dir), path, restart=True)
+    return rs.read_results(spark, path).select("label", "axis", r6("pass_at_1"), "n", "task_id")
 
 
 @query("j10_membership")

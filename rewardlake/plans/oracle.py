@@ -521,8 +521,34 @@ ORACLE["u07_examples"] = with_views("""
 d AS (SELECT 'task/' || CAST(doc_id AS VARCHAR) AS task_id, text FROM documents)
 SELECT cls, task_id,
        md5(array_to_string(list_transform(string_split(substr(text, 1, 200), chr(10)),
-           lambda l: CASE WHEN regexp_matches(l, '\\S') THEN '  ' || l ELSE l END), chr(10))) AS preview_md5
-FROM ex JOIN d USING (task_id)""".replace("\n, ex AS", ", ex AS", 1), "pairs")
+           lambda l: CASE WHEN regexp_matches(l, '\\S') THEN '  ' || l ELSE l END), chr(10))) AS preview_md5,
+       a.passed AS a_passed, b.passed AS b_passed,
+       md5('  def f(x):' || chr(10) || '      # A' || chr(10) || '      return ' || chr(39) || task_id || chr(39) || chr(10)) AS a_md5,
+       md5('  def f(x):' || chr(10) || '      # B' || chr(10) || '      return ' || chr(39) || task_id || chr(39) || chr(10)) AS b_md5
+FROM ex JOIN d USING (task_id)
+LEFT JOIN (SELECT task_id, passed FROM eval_results WHERE label = 'A') a USING (task_id)
+LEFT JOIN (SELECT task_id, passed FROM eval_results WHERE label = 'B') b USING (task_id)
+""".replace("\n, ex AS", ", ex AS", 1), "pairs")
+
+ORACLE["a17_passed_sets"] = with_views("""
+, t AS (SELECT axis, task_id, row_number() OVER (ORDER BY axis, task_id) - 1 AS task_no
+        FROM (SELECT DISTINCT axis, task_id FROM eval_results))
+SELECT label, axis, task_id, CAST(task_no AS BIGINT) AS task_no
+FROM eval_results JOIN t USING (axis, task_id) WHERE passed
+""".replace("\n, t AS", ", t AS", 1), "eval_results")
+
+ORACLE["u02_set_counts"] = with_views("""
+SELECT axis, count(*) FILTER (cls = 'only_a') AS n_only_a, count(*) FILTER (cls = 'only_b') AS n_only_b,
+       count(*) FILTER (cls = 'fixed_by_both') AS n_fixed_by_both,
+       count(*) FILTER (cls = 'broken_by_both') AS n_broken_by_both
+FROM pairs GROUP BY axis""", "pairs")
+
+ORACLE["s07_results_lines"] = with_views(f"""
+, p AS (SELECT label, axis, {R('avg(CAST(passed AS DOUBLE))', 'pass_at_1')}, count(*) AS n
+        FROM eval_results GROUP BY label, axis)
+SELECT label, axis, pass_at_1, n, e.task_id
+FROM p LEFT JOIN (SELECT label, axis, task_id FROM eval_results WHERE passed) e USING (label, axis)
+""".replace("\n, p AS", ", p AS", 1), "eval_results")
 
 ORACLE["j10_membership"] = with_views("""
 , a AS (SELECT axis, task_id FROM eval_results WHERE label = 'A' AND passed),
@@ -639,3 +665,26 @@ SELECT run_id, step, g, {R('reward')},
        {R('CASE WHEN sd > 1e-6 THEN (reward - m) / (sd + 1e-8) ELSE 0.0 END', 'advantage')},
        n >= group_size AS complete
 FROM b""".replace("\n, b AS", ", b AS", 1), "trajs")
+
+ORACLE["a10_sketch"] = f"""
+SELECT grp, n_total, n_distinct AS n_exact, true AS within_bound FROM ({ORACLE["a10_diversity"]})"""
+
+ORACLE["s10_series"] = with_views(f"""
+SELECT k.kind, run_id, step, {R('reward')} FROM hourly, (VALUES ('dense'), ('eval')) k(kind)
+WHERE k.kind = 'dense' OR (step + 1) % 24 = 0""", "hourly")
+
+ORACLE["s14_text_log"] = """
+WITH r AS (
+  SELECT CAST(label AS INTEGER) AS epoch, CAST(vec_id % 15 AS INTEGER) AS step,
+         CAST(vec_id // 15 AS INTEGER) AS batch,
+         [CAST(floor(abs(x) * 100) AS INTEGER) FOR x IN embedding[1:3]] AS p,
+         (vec_id % 8) / 8.0 AS lp, (vec_id % 4) / 4.0 AS reward FROM embeddings),
+heads AS (SELECT epoch, step, max(reward) AS m FROM r GROUP BY epoch, step),
+due AS (SELECT * FROM r WHERE epoch % 10 = 0 AND step % 5 = 0)
+SELECT epoch, step, -1 AS batch, -1 AS trial,
+       printf('epoch = %d, step = %d, loss = 0.500, reward = %.3f', epoch, step, m) AS line FROM heads
+UNION ALL
+SELECT epoch, step, batch, -1, '  prompt = [' || array_to_string(p, ', ') || ']' FROM due
+UNION ALL
+SELECT epoch, step, batch, 0, '  response = [' || array_to_string(list_reverse(p), ', ')
+       || printf('], log_probs = [%.3f, -0.500], reward = %.3f, delta = 0.250', lp, reward) FROM due"""

@@ -11,14 +11,15 @@ AXES = {"mbpp_heldout": "in_dist", "humaneval_transfer": "transfer"}
 
 
 def results_lines(eval_results: DataFrame) -> DataFrame:
-    """One nested row per model: ``{label, mbpp_heldout{pass@1, n,
-    passed[]}, humaneval_transfer{...}}``."""
+    """One nested row per model: ``{label, mbpp_heldout{pass@1, n, passed[]},
+    humaneval_transfer{...}}``. Where a passed list is longer than a chunk, further rows of the
+    model hold the rest; readers unite them."""
     p = pass_at_1(eval_results).join(passed_ids(eval_results), ["label", "axis"])
     block = F.struct(F.col("pass_at_1").alias("pass@1"), F.col("n"), F.col("passed"))
-    per = p.select("label", "axis", block.alias("b"))
-    return per.groupBy("label").agg(
+    per = p.select("label", "axis", "chunk", block.alias("b"))
+    return per.groupBy("label", "chunk").agg(
         *[F.first(F.when(F.col("axis") == ax, F.col("b")), ignorenulls=True).alias(name)
-          for name, ax in AXES.items()])
+          for name, ax in AXES.items()]).orderBy("label", "chunk").drop("chunk")
 
 
 def append_results(eval_results: DataFrame, path: str, restart: bool = False) -> None:
@@ -30,8 +31,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """S-09: read lines back to ``(label, axis, task_id)`` rows of solved
     tasks, plus pass@1 and n per axis."""
     df = spark.read.schema(RESULTS_LINE).json(path)
-    parts = [df.select("label", F.lit(ax).alias("axis"), F.col(f"{name}.`pass@1`").alias("pass_at_1"),
-                       F.col(f"{name}.n").alias("n"), F.explode_outer(f"{name}.passed").alias("task_id"))
+    # a further chunk of one axis has nothing on the other
+    parts = [df.where(F.col(name).isNotNull()).select("label", F.lit(ax).alias("axis"),
+                                                      F.col(f"{name}.`pass@1`").alias("pass_at_1"),
+                                                      F.col(f"{name}.n").alias("n"),
+                                                      F.explode_outer(f"{name}.passed")
+                                                      .alias("task_id"))
              for name, ax in AXES.items()]
     return parts[0].unionByName(parts[1])
 
