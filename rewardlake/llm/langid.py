@@ -22,7 +22,7 @@ Null text, declaration, suffix or host: that evidence says nothing. Repeated row
 An empty table gives an empty result. Where no declared value is a language there is nothing to reject
 by: documents with letters stay, with their declared value if well formed, else "und", and probability
 0. The hosts' table grows with the data and is broadcast only up
-to ``BROADCAST_HOSTS`` rows, else joined by shuffle with skew splitting.
+to ``BROADCAST_BYTES``, else joined by shuffle with skew splitting.
 """
 from __future__ import annotations
 
@@ -43,7 +43,8 @@ KAPPA = 20.0
 MIN_PROB = 0.5
 MIN_TEXTS = 5               # distinct texts and their trigrams that make a declared value a language
 MIN_TRIGRAMS = 500
-BROADCAST_HOSTS = 100_000
+# Host priors up to so many bytes are broadcast; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 UNIT = 1_000                # weighed counts are summed as whole thousandths, in any order alike
 OTHER = "und"
 NO_LANGUAGE = (OTHER, "mul", "mis", "zxx")      # tags that name no single language
@@ -217,6 +218,12 @@ def identify_batches(model: TextModel, overall: np.ndarray, says: dict[str, np.n
     return one
 
 
+def broadcast_hosts(n_lang: int) -> int:
+    """How many hosts' priors over ``n_lang`` languages are within ``BROADCAST_BYTES``, as Python
+    objects (a float takes 32 bytes with its place in a list)."""
+    return max(1, BROADCAST_BYTES // (32 * n_lang + 200))
+
+
 class Fusion:
     """All that is learned from a corpus."""
 
@@ -240,7 +247,7 @@ class Fusion:
 
     def with_prior(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the prior of their host and suffix."""
-        few = self.priors.count() <= BROADCAST_HOSTS
+        few = self.priors.count() <= broadcast_hosts(len(self.languages))
         p = self.priors.withColumnsRenamed({"host": "_h", "suffix": "_s", "prior": "_prior"})
         return rows.join(F.broadcast(p) if few else p,
                          F.col("host").eqNullSafe(F.col("_h"))
@@ -302,22 +309,26 @@ def accepted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     fusion = Fusion(rows, sample_docs)
     one = identify_batches(fusion.text, fusion.overall, fusion.says)
     schema = docs.schema
-    priors = {(r["host"]): r["prior"] for r in fusion.priors.limit(BROADCAST_HOSTS + 1).collect()}
-    if len(priors) <= BROADCAST_HOSTS:
-        with_prior = docs
-    else:
-        keyed = docs.withColumn("_host", F.lower(F.trim(F.col("source").cast("string"))))
-        p = fusion.priors.select(F.col("host").alias("_h"), F.col("prior").alias("_prior"))
-        with_prior = keyed.join(p, F.col("_host").eqNullSafe(F.col("_h")), "left").drop(
-            "_h", "_host")
-    joined = "_prior" in with_prior.columns
+    most = broadcast_hosts(len(fusion.languages))
+    priors = {(r["host"]): r["prior"] for r in fusion.priors.limit(most + 1).collect()}
+    joined = len(priors) > most
+    # columns of our own, named unlike any of the input's
+    name = "_" * (1 + max(len(c) for c in docs.columns))
+    with_prior = docs
+    if joined:
+        keyed = docs.withColumn(f"{name}of", F.lower(F.trim(F.col("source").cast("string"))))
+        p = fusion.priors.select(F.col("host").alias(f"{name}host"),
+                                 F.col("prior").alias(f"{name}prior"))
+        with_prior = keyed.join(p, F.col(f"{name}of").eqNullSafe(F.col(f"{name}host")), "left").drop(
+            f"{name}host", f"{name}of")
+        priors = {}                     # not sent to the tasks besides
 
     def batches(it):
         for b in it:
             at = b.schema.get_field_index
             lang, src = (b.column(at(c)).to_pylist() for c in ("lang", "source"))
             clean = lambda v: None if v is None else str(v).strip().lower()         # noqa: E731
-            prior = (b.column(at("_prior")).to_pylist() if joined
+            prior = (b.column(at(f"{name}prior")).to_pylist() if joined
                      else [priors.get(clean(s)) for s in src])
             got = [one(t, clean(c), p) for t, c, p in
                    zip(b.column(at("text")).to_pylist(), lang, prior)]

@@ -33,7 +33,7 @@ PIECES_PER_GROUP = 16_384
 TOKENS_PER_GROUP = 4_000_000
 SMALL_GAP = 16
 # Word-cache entries of a worker and characters tokenised at once (bound memory, not results).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 CHARS_AT_ONCE = 4_000_000
 
 MARKS = ".,!?;:*$#&%|"
@@ -83,11 +83,15 @@ class WordIds:
         for words in split:
             distinct.update(words or ())
         known, ids, two, letters, other = self.known, {}, {}, set(), set()
+        young = known.new.get               # most words are in the young half
         for w in distinct:
-            got = known.get(w)
+            got = young(w) or known.get(w)
             if got is not None:
                 ids[w] = got
                 continue
+            if w.isalpha() and w.isascii():
+                letters.add(w)
+                continue
             # letters, then marks: two pre-tokens, looked up by themselves
             stem = w.rstrip(MARKS)
             if not stem or not _letters(stem):
@@ -97,14 +101,14 @@ class WordIds:
             if tail:
                 two[w] = stem, tail
                 if tail not in ids:
-                    got = known.get(tail)
+                    got = young(tail) or known.get(tail)
                     if got is None:
                         other.add(tail)
                     else:
                         ids[tail] = got
                 if stem in ids:
                     continue
-                got = known.get(stem)
+                got = young(stem) or known.get(stem)
                 if got is not None:
                     ids[stem] = got
                     continue

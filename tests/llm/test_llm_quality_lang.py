@@ -47,6 +47,31 @@ def test_language_of_documents(spark):
     assert sum(r.lang == r.t and r.accepted for r in got) >= 0.99 * len(got)
 
 
+def test_language_of_documents_with_declarations_held_out(spark):
+    """Every third declaration is taken away before anything is learned: of the texts that no other
+    row shares, the language found must be the one that was declared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = F.pmod("doc_id", F.lit(3)) == 0
+    ev = langid.document_evidence(docs.withColumn("lang", F.when(~hidden, F.col("lang"))))
+    found = langid.identify(ev, "doc_id", langid.Fusion(ev))
+    seen = docs.where(~hidden).select("text")
+    truth = docs.where(hidden).join(seen, "text", "left_anti").select("doc_id", F.col("lang").alias("t"))
+    got = found.join(truth, "doc_id").collect()
+    assert len(got) >= 250
+    assert sum(r.lang == r.t and r.accepted for r in got) >= 0.98 * len(got)
+
+
+def test_clashing_columns_and_joined_priors(spark, monkeypatch):
+    rows = corpus()
+    docs = frame(spark, rows).withColumn("_prior", F.lit("mine")).withColumn("prior", F.lit(1))
+    want = {r.doc_id: r.lang for r in langid.accepted(docs).collect()}
+    assert langid.accepted(docs).columns == docs.columns
+    monkeypatch.setattr(langid, "BROADCAST_BYTES", 1)           # priors by shuffle
+    got = langid.accepted(docs).collect()
+    assert {r.doc_id: r.lang for r in got} == want and len(want) == 200
+    assert all(r._prior == "mine" and r.prior == 1 for r in got)
+
+
 def test_pages_use_address_and_declaration(spark):
     got = queries.page_language(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
