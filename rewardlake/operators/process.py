@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardlake.functions import rewards as rw
+from rewardlake.operators import positions
 from rewardlake.operators.joins import null_safe_join
 
 # Step reward parts.
@@ -21,10 +22,18 @@ BAD_SYNTAX, VALID, DIFF, NEW_TESTS, FINAL = -0.1, 0.1, 0.2, 0.5, 1.0
 
 
 def previous_valid(commits: DataFrame, keys, pos: str, valid: str, value: str,
-                   width: int = 100_000, name: str = "prev_code") -> DataFrame:
+                   width: int | None = None, name: str = "prev_code") -> DataFrame:
     """W-04: ``value`` of the last earlier row with ``valid`` true (null if
-    none), plus ``is_final`` (W-06), by a bucketed segmented scan."""
+    none), plus ``is_final`` (W-06), by a scan over ranges sampled from the
+    data, or with ``width`` over buckets of so many positions."""
     keys = list(keys)
+    if width is None:
+        laid = positions.laid_out(commits, [F.col(k).asc() for k in keys] + [F.col(pos).asc()])
+        out = positions.scan(positions.by_part(laid), keys, pos,
+                             previous={name: (F.col(value), F.col(valid))},
+                             following={"_next": F.col(pos)})
+        return out.withColumn("is_final", F.col("_next").isNull()).drop(
+            "_next", "_part", "_place")
     b = commits.withColumn("_b", F.floor(F.col(pos) / width))
     per_bucket = b.groupBy(*keys, "_b").agg(
         F.max_by(F.col(value), F.when(F.col(valid), F.col(pos))).alias("_blast"),
@@ -42,7 +51,7 @@ def previous_valid(commits: DataFrame, keys, pos: str, valid: str, value: str,
 
 
 def step_rewards(commits: DataFrame, keys=("traj_id",), pos: str = "pos",
-                 syntax_ok: str = "syntax_ok", width: int = 100_000) -> DataFrame:
+                 syntax_ok: str = "syntax_ok", width: int | None = None) -> DataFrame:
     """R-13 per commit. ``syntax_ok`` comes from the syntax job (X-06)."""
     valid = F.col(syntax_ok)
     out = (previous_valid(commits, keys, pos, syntax_ok, "code", width)                 # W-04, W-06

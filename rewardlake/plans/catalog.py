@@ -617,3 +617,38 @@ def x02_group_twin(spark, sf_dir):
     traj = traj.withColumn("reward", ep.credit("reward_mode"))
     out = group_barrier_twin(traj)
     return out.select("run_id", "step", "g", r6("reward"), r6("advantage"), "complete")
+
+
+def _streamed(spark, turns: DataFrame, start, schema: str, **kw) -> DataFrame:
+    """The rows that a stream of ``turns`` leaves in its sink, all input taken."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    turns.write.parquet(f"{base}/in")
+    q = start(spark, f"{base}/in", f"{base}/out", name=None, checkpoint=f"{base}/state",
+              max_files=10_000, **kw)
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("x01_stream")
+def x01_stream(spark, sf_dir):
+    """X-01 as the keyed stream itself, over all scored turns: the same rows
+    as its batch twin."""
+    from rewardlake.streaming import episodes as se
+    from rewardlake.streaming.run import start_episode_stream
+    t = fx.scored_turns(spark, sf_dir, run_config(spark))
+    out = _streamed(spark, t, start_episode_stream, se.STEP_OUT, delay="3650 days")
+    return out.select("run_id", "step", "g", "turn", r6("reward"), "solved", "done",
+                      F.md5("next_prompt").alias("next_prompt_md5"))
+
+
+@query("x02_stream")
+def x02_stream(spark, sf_dir):
+    """X-01 into X-02 as one streaming query: advantages of the groups whose
+    trajectories have all finished."""
+    from rewardlake.streaming import episodes as se
+    from rewardlake.streaming.run import start_training_stream
+    cfg = run_config(spark).select("run_id", "reward_mode", "group_size")
+    t = join_dim(fx.scored_turns(spark, sf_dir, run_config(spark)), cfg, "run_id")
+    out = _streamed(spark, t, start_training_stream, se.GROUP_OUT, delay="3650 days")
+    return out.where("complete").select("run_id", "step", "g", r6("reward"), r6("advantage"),
+                                        "complete")

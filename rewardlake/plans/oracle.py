@@ -666,6 +666,21 @@ SELECT run_id, step, g, {R('reward')},
        n >= group_size AS complete
 FROM b""".replace("\n, b AS", ", b AS", 1), "trajs")
 
+ORACLE["x01_stream"] = ORACLE["x01_episode_twin"]
+
+ORACLE["x02_stream"] = with_views(f"""
+, f AS (
+  SELECT run_id, step, g FROM kept GROUP BY run_id, step, g
+  HAVING bool_or(done) AND count(*) = max(turn) + 1),
+b AS (
+  SELECT run_id, step, g, reward, group_size,
+         avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n
+  FROM trajs JOIN f USING (run_id, step, g) WINDOW w AS (PARTITION BY run_id, step))
+SELECT run_id, step, g, {R('reward')},
+       {R('CASE WHEN sd > 1e-6 THEN (reward - m) / (sd + 1e-8) ELSE 0.0 END', 'advantage')},
+       true AS complete
+FROM b WHERE n >= group_size""".replace("\n, f AS", ", f AS", 1), "trajs")
+
 ORACLE["a10_sketch"] = f"""
 SELECT grp, n_total, n_distinct AS n_exact, true AS within_bound FROM ({ORACLE["a10_diversity"]})"""
 

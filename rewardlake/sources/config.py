@@ -53,5 +53,22 @@ def run_config(spark: SparkSession, rows: list[dict] | None = None) -> DataFrame
 
 def read_run_config(spark: SparkSession, path: str) -> DataFrame:
     """Overrides stored as JSON lines (one object per run). Keys are taken from the file, so
-    unknown ones pass through; the known ones are cast to their declared types."""
+    unknown ones pass through as columns (the one reader here whose columns follow the data); the
+    known ones are cast to their declared types. :func:`read_declared_config` infers nothing."""
     return with_defaults(spark.read.json(path))
+
+
+def read_declared_config(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_run_config` with no schema inferred: each line is read as one VARIANT; known
+    keys are taken from it in their declared types (a value that does not fit counts as missing),
+    and the whole object passes through as ``given``, from which :func:`given_key` takes any other
+    key."""
+    raw = spark.read.option("singleVariantColumn", "given").json(path)
+    known = [F.try_variant_get("given", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+             for f in RUN_CONFIG.fields]
+    return with_defaults(raw.select(*known, "given"))
+
+
+def given_key(key: str, kind: str = "string") -> Column:
+    """A key of the run's own object, in the type asked for; null if it is not there."""
+    return F.try_variant_get("given", f"$['{key}']", kind)

@@ -104,7 +104,7 @@ class EpisodeSteps(StatefulProcessor):
                         ) -> Iterator[pd.DataFrame]:
         run_id, step, g = key
         next_turn, done, best, last_ms, timer_ms, n_held = (
-            self.progress.get() if self.progress.exists() else (0, False, None, 0, 0, 0))
+            self.progress.get() or (0, False, None, 0, 0, 0))
         new: dict[int, tuple] = {}
         for pdf in rows:
             last_ms = _max_ms(pdf, last_ms)
@@ -233,7 +233,7 @@ class GroupBarrier(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
         emitted, last_ms, timer_ms, n_seen = (
-            self.mark.get() if self.mark.exists() else (False, 0, 0, 0))
+            self.mark.get() or (False, 0, 0, 0))
         for pdf in rows:
             last_ms = _max_ms(pdf, last_ms)
             if not emitted:

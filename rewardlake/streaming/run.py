@@ -21,10 +21,28 @@ TURN_SCHEMA = ("run_id string, step long, g int, turn int, reward double, solved
 FINISHED_SCHEMA = "run_id string, step long, g int, reward double, group_size int, ts timestamp"
 
 
+# Typed state needs this store; a query takes the setting with it when it starts.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _start(spark, df, out_path, name, checkpoint, trigger):
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _started(spark, df, out_path, name, checkpoint, trigger)
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def _started(spark, df, out_path, name, checkpoint, trigger):
     chk = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = (df.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", chk).outputMode("append").queryName(name))
+         .option("checkpointLocation", chk).outputMode("append"))
+    w = w.queryName(name) if name else w
     w = w.trigger(availableNow=True) if trigger == "available_now" else w.trigger(processingTime=trigger)
     return w.start()
 
