@@ -112,7 +112,8 @@ def upsert_series(df: DataFrame, path: str, kind: str = "dense", steps: int = SE
 def read_series(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
     """The stored rows of one kind; ``schema`` are the columns without ``kind`` and ``steps``."""
     full = spark.read.schema(f"{schema}, kind string, steps long").parquet(path)
-    return full.where(F.col("kind") == kind).drop("kind", "steps")
+    names = [c.split()[0] for c in schema.split(",")]
+    return full.where(F.col("kind") == kind).select(*names)
 
 
 def text_log(df: DataFrame, epoch: str = "epoch", step: str = "step") -> DataFrame:
