@@ -161,7 +161,6 @@ def neighbours(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
     indexed = index(vectors, tree)
     queries = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     visits, _ = calibrate(indexed, queries, tree, k, target)
-    n_queries = queries.count()
     # leaves next to each other share a block until it is full; a large leaf has several
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     first, parts, block, fill = {}, {}, 0, 0
@@ -186,15 +185,15 @@ def neighbours(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
                                     + F.element_at(spans, (i + 1).cast("int")) - 1)
         return q.withColumn("blocks", F.array_distinct(F.flatten(F.transform("leaves", each))))
 
-    found = search_blocks(cands, wanted(visited(queries, tree, visits)), n_queries,
-                          _leaf_kernel(k), schema)
+    # queries with the same nearest leaf want much the same blocks
+    found = search_blocks(cands, wanted(visited(queries, tree, visits)), _leaf_kernel(k), schema, 1)
     found = written(best_of(found, k))
     short = found.groupBy("query_id").count().where(F.col("count") >= k)
     again = queries.join(short, "query_id", "left_anti")
     if visits >= tree.n_leaves or not again.take(1):
         return found
-    more = search_blocks(cands, wanted(visited(again, tree, tree.n_leaves)), n_queries,
-                         _leaf_kernel(k), schema)
+    more = search_blocks(cands, wanted(visited(again, tree, tree.n_leaves)), _leaf_kernel(k),
+                         schema, 1)
     return found.join(short, "query_id", "left_semi").unionByName(best_of(more, k))
 
 

@@ -144,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``vectors`` and ``queries`` come from :func:`packed`; queries need not be among the vectors."""
     hits_schema = "query_id long, vec_id long, score double"
     vectors = written(vectors.select("vec_id", "v"))
-    rows, n_queries = vectors.count(), queries.count()
+    rows = vectors.count()
     first = vectors.select(F.length("v").alias("n")).limit(1).collect()
     dim = first[0]["n"] // 8 if first else 1
     blocked = norm_blocks(vectors, rows)
@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     seeds = written(search_blocks(
         blocked.where(F.col("block") == 0),
         queries.withColumn("floor", F.lit(float("-inf"))).withColumn("blocks", F.array(F.lit(0))),
-        n_queries, kernel, hits_schema))
+        kernel, hits_schema, 1))
     floors = seeds.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
     # blocks whose greatest length may still reach the query's floor
@@ -172,8 +172,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         wanted = wanted.withColumn("blocks", F.transform(
             F.filter(later, lambda s: s["top"] * F.col("norm") * (1 + 1e-9) + 1e-9
                      >= F.col("floor")), lambda s: s["block"])).drop("norm")
+        # queries that reach equally far down the lengths want the same blocks
         rest = seeds.unionByName(search_blocks(blocked.where(F.col("block") > 0), wanted,
-                                               n_queries, kernel, hits_schema))
+                                               kernel, hits_schema, -1))
     return best_of(rest, k)
 
 

@@ -6,7 +6,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 
-from rewardlake.llm.common import F, n_groups, run_arrow
+from rewardlake.llm.common import F, run_arrow, written
+from rewardlake.operators.joins import bounded_broadcast
+from rewardlake.operators.positions import prefix_sums
 
 CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 4096
@@ -54,23 +56,32 @@ def matrix(packed_rows) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
 
 
-def search_blocks(cands: DataFrame, queries: DataFrame, n_queries: int, kernel, schema: str
+def search_blocks(cands: DataFrame, queries: DataFrame, kernel, schema: str, home: int
                   ) -> DataFrame:
-    """``kernel(candidates, queries)`` for each block of candidates and block of queries that has
-    any. ``cands`` has ``block``; ``queries`` has ``query_id`` and ``blocks``, the candidate blocks
-    it wants. Both sides of a task are bounded by the block sizes."""
-    q_blocks = n_groups(n_queries, QUERIES_PER_BLOCK)
-    left = cands.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = (queries.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))
-                                .cast("int"))
-             .withColumn("block", F.explode("blocks")).drop("blocks"))
+    """``kernel(candidates, queries)`` for each block of candidates and block of queries that wants
+    it. ``cands`` has ``block``; ``queries`` has ``query_id`` and ``blocks``, the candidate blocks
+    it wants, of which the one at place ``home`` says which queries are alike: queries are put into
+    blocks of about ``QUERIES_PER_BLOCK`` in order of it, so that a block of queries wants few blocks of
+    candidates, and a block of candidates is sent to those that want it and to no others. Both
+    sides of a task are bounded by the block sizes."""
+    queries = written(queries.where(F.size("blocks") > 0)
+                      .withColumn("home", F.element_at("blocks", home).cast("long")))
+    sizes = queries.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    before = written(prefix_sums(sizes, "home", "n", "before").join(sizes, "home"))
+    place = F.col("before") + F.pmod(F.xxhash64("query_id"), F.col("n"))
+    placed = (queries.join(bounded_broadcast(before), "home")
+              .withColumn("q_block", F.floor(place / QUERIES_PER_BLOCK))
+              .drop("home", "before", "n").withColumn("block", F.explode("blocks")).drop("blocks"))
+    wanted = placed.select("block", "q_block").distinct()
+    left = cands.join(wanted, "block")
 
     def one(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return kernel(c, q) if len(c) and len(q) else empty
 
     empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64),
                           "score": np.zeros(0)})
-    return (left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block"))
+    right = placed.withColumnsRenamed({"block": "of_block", "q_block": "of_q_block"})
+    return (left.groupBy("block", "q_block").cogroup(right.groupBy("of_block", "of_q_block"))
             .applyInPandas(one, schema))
 
 

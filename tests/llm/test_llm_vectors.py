@@ -117,3 +117,24 @@ def test_recall_on_the_test_table(spark):
 def test_repeated_ids_count_once(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], None, 0)] * 5 + [(2, [2.0, 1.0], None, 0)], SCHEMA)
     assert vectors.packed(df).count() == 2
+
+
+def test_candidate_blocks_go_to_the_query_blocks_that_want_them(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 10)
+    cands = spark.range(60).select(F.col("id").alias("vec_id"), F.lit(b"x").alias("v"),
+                                   F.floor(F.col("id") / 10).cast("int").alias("block"))
+    # a query wants the block of its own tens and the next one
+    tens = F.floor(F.col("id") / 20).cast("int")
+    qs = spark.range(100).select(F.col("id").alias("query_id"), F.array(tens, tens + 1).alias("blocks"))
+    sent = []
+
+    def kernel(c, q):
+        import pandas as pd
+        return pd.DataFrame({"query_id": [len(q)], "vec_id": [len(c)], "score": [0.0]})
+
+    got = vectors.search_blocks(cands, qs, kernel, "query_id long, vec_id long, score double", 1)
+    sent = got.collect()
+    # every wanted pair once: five homes of twenty queries, two blocks of ten candidates each
+    assert sum(r.query_id for r in sent) == 200
+    assert all(r.vec_id == 10 and r.query_id <= 20 for r in sent)
+    assert len(sent) <= 2 * 5 * 3           # not 6 blocks x 10 query blocks
