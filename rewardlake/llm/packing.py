@@ -30,11 +30,14 @@ SEQUENCE_TOKENS = 2048
 PIECES_PER_GROUP = 16_384
 # Of wide pieces packed inside their task: tokens of a group (bounds memory), and the gap up to
 # which a sequence is left as it is.
-TOKENS_PER_GROUP = 4_000_000
+TOKENS_PER_GROUP = 1_000_000
 SMALL_GAP = 16
 # Word-cache entries of a worker and characters tokenised at once (bound memory, not results).
 CACHE_ENTRIES = 900_000
 CHARS_AT_ONCE = 4_000_000
+# The same where token ids come out too and share a worker's memory.
+WIDE_CACHE_ENTRIES = 150_000
+WIDE_CHARS_AT_ONCE = 1_000_000
 
 MARKS = ".,!?;:*$#&%|"
 # Separators of str.split that the tokenizers' white-space class lacks.
@@ -53,13 +56,13 @@ class WordIds:
     A text is therefore encoded stretch by stretch between white space, each distinct stretch
     once per batch; the library encodes the ones not met before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known = Recent(CACHE_ENTRIES)
+        self.known = Recent(entries)
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)      # tokens that end a word
         for t, i in vocab.items():
@@ -124,13 +127,13 @@ class WordIds:
                 for t, words in zip(texts, split)]
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+def word_ids(path: str, entries: int = CACHE_ENTRIES) -> WordIds:
+    if (path, entries) not in _LOADED:
+        _LOADED[path, entries] = WordIds(path, entries)
+    return _LOADED[path, entries]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -142,15 +145,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = (f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
               + (", ids array<int>" if with_ids else ""))
     close = np.array([eos_id], dtype="<u4").tobytes()
+    entries, most = ((WIDE_CACHE_ENTRIES, WIDE_CHARS_AT_ONCE) if with_ids
+                     else (CACHE_ENTRIES, CHARS_AT_ONCE))
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        encode = word_ids(tokenizer_path)
+        encode = word_ids(tokenizer_path, entries)
         row, piece, start, length, crc, ids = [], [], [], [], [], []
         texts = b.column("text").to_pylist()
         i = 0
         while i < len(texts):
             j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) <= CHARS_AT_ONCE):
+            while j < len(texts) and (j == i or chars + len(texts[j]) <= most):
                 chars += len(texts[j])
                 j += 1
             for at, packed in enumerate(encode(texts[i:j]), i):
