@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rewardlake.llm.bpe import Recent
-from rewardlake.llm.common import F, n_groups, run_arrow, text_of, written
+from rewardlake.llm.common import F, n_groups, prepared, run_arrow, text_of, written
 
 SEQUENCE_TOKENS = 2048
 PIECES_PER_GROUP = 16_384
@@ -136,9 +136,9 @@ def word_ids(path: str, entries: int = CACHE_ENTRIES) -> WordIds:
     return _LOADED[path, entries]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           budget: int = SEQUENCE_TOKENS, eos_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids]``: the pieces of every whole text."""
+def _cutting(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, budget: int,
+             eos_id: int, with_ids: bool):
+    """Ids and texts, the function from a batch of them to their pieces, and its schema."""
     src = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -177,7 +177,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             cols.append(pa.array(ids, pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return run_arrow(src, rows, schema)
+    return src, rows, schema
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+           budget: int = SEQUENCE_TOKENS, eos_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32[, ids]``: the pieces of every whole text."""
+    return run_arrow(*_cutting(docs, tokenizer_path, id_col, text_col, budget, eos_id, with_ids))
 
 
 def sum_of_squares(lengths, budget: int, may_open: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -291,19 +297,22 @@ def _placed_in_task(it, budget: int):
         yield from placed()
 
 
-def pack_in_tasks(parts: DataFrame, budget: int = SEQUENCE_TOKENS) -> DataFrame:
-    """:func:`pack` for wide pieces (with token ids), which hardly any leave their task: each task
-    packs its pieces group by group, and only those whose sequence it cannot fill are packed again
-    together with the other tasks'."""
-    own = [f.name for f in parts.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    placed = parts.mapInArrow(lambda it: _placed_in_task(it, budget),
-                              f"{schema}, _local long, _at long")
+def pack_in_tasks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
+                  text_col: str = "text", budget: int = SEQUENCE_TOKENS, eos_id: int = 0
+                  ) -> DataFrame:
+    """Pieces with their token ids, which hardly any leave their task: each task tokenises and packs
+    its pieces group by group in one Python stage, and only those whose sequence it cannot fill
+    are packed again together with the other tasks'."""
+    src, rows, schema = _cutting(docs, tokenizer_path, id_col, text_col, budget, eos_id, True)
+    prepared(docs.sparkSession)
+    placed = src.mapInArrow(
+        lambda it: _placed_in_task((rows(b) for b in it if b.num_rows), budget),
+        f"{schema}, _local long, _at long")
     # numbers of a task's sequences are told apart by its partition; odd here, even below
     number = (F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.col("_local")) * 2 + 1
     placed = written(placed.withColumn("sequence_id", number).withColumnRenamed("_at", "offset")
                      .drop("_local"))
-    rest = pack(placed.where(F.col("offset").isNull()).select(*own), budget)
+    rest = pack(placed.where(F.col("offset").isNull()).drop("sequence_id", "offset"), budget)
     return placed.where(F.col("offset").isNotNull()).unionByName(
         rest.withColumn("sequence_id", F.col("sequence_id") * 2))
 
@@ -313,5 +322,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its place, and with its token ids if
     ``with_ids``."""
-    parts = pieces(docs, tokenizer_path, id_col, text_col, budget, eos_id, with_ids)
-    return pack_in_tasks(parts, budget) if with_ids else pack(parts, budget)
+    if with_ids:
+        return pack_in_tasks(docs, tokenizer_path, id_col, text_col, budget, eos_id)
+    return pack(pieces(docs, tokenizer_path, id_col, text_col, budget, eos_id), budget)
