@@ -1,15 +1,18 @@
 """Streaming episodes (X-01, X-02, F-07 stream form) on typed state.
 
-X-01 keeps, per trajectory ``(run_id, step, g)``, its progress (a value state: next expected turn,
-done, best reward) and the turns that arrived ahead of their predecessor (a map state by turn, so
-that a batch writes the turns that arrived and no others). A scored turn goes in; reward, done and the
+X-01 is keyed by GRPO group ``(run_id, step)``, so that a call, its state and its output serve all
+trajectories of a group at once. It keeps, per trajectory ``g``, its progress (all of a group's in one
+value state: next expected turn, done, best reward) and the turns that arrived ahead of their
+predecessor (a map state by trajectory and turn, so that a batch writes the turns that arrived and no
+others). A scored turn goes in; reward, done and the
 next prompt come out, in turn order. Turns after ``done`` are dropped (H-13). A timer on event time
 ends an episode: when the watermark has passed its last turn by the expiry, turns still held for a
-missing predecessor are emitted with ``expired = true``.
+missing predecessor are emitted with ``expired = true``. A group has one timer, set for the
+trajectory that expires first.
 
 X-02 keeps, per GRPO group ``(run_id, step)``, the credited reward of each finished trajectory (a
-map state, at most ``G`` values) and emits the group's advantages once all ``G`` have finished. A
-timer flushes a group that never completes, flagged ``complete = false`` (our policy). A complete
+map state, at most ``G`` values) and emits the group's advantages once all ``G`` have finished;
+rewards of a group that a batch completes are not written first. A timer flushes a group that never completes, flagged ``complete = false`` (our policy). A complete
 group drops its rewards and leaves a mark until the same expiry, so a redelivered trajectory does
 not open it again.
 
@@ -17,7 +20,7 @@ not open it again.
 barrier, the watermark passing through the first operator into the second.
 
 Event times reach the state as epoch milliseconds taken in Spark, so results do not depend on the
-session's time zone. Both states are bounded by configuration (``max_turns`` turns, ``G`` rewards), so
+session's time zone. Both states are bounded by configuration (``G`` trajectories of ``max_turns`` turns, ``G`` rewards), so
 no key can accumulate an unbounded state; :func:`state_sizes` reports them. They need the RocksDB
 state store. (State TTL exists in processing time only; on event time the timers take its place.)
 """
@@ -25,9 +28,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -42,7 +46,12 @@ CHAIN_OUT = STEP_OUT + ", best_reward double, reward_mode string, group_size int
 HELD = ("reward double, solved boolean, action string, feedback string, max_turns int, "
         "entry_point string, prompt string, reward_mode string, group_size int")
 HELD_FIELDS = tuple(c.split()[0] for c in HELD.split(", "))
-PROGRESS = "next_turn int, done boolean, best double, last_ms long, timer_ms long, n_held int"
+# Of a group: its timer and its open trajectories.
+PROGRESS = ("timer_ms long, episodes array<struct<g: int, next_turn: int, done: boolean, "
+            "best: double, last_ms: long, at_ms: long, n_held: int>>")
+NOT_BEGUN = (0, False, None, 0, 0, 0)
+LAST_MS, AT_MS, N_HELD = 3, 4, 5        # places in a trajectory's state without g
+REWARD, MAX_TURNS = HELD_FIELDS.index("reward"), HELD_FIELDS.index("max_turns")
 
 GROUP_OUT = ("run_id string, step long, g int, reward double, advantage double, "
              "complete boolean")
@@ -64,18 +73,25 @@ def _next_prompt(row, done: bool) -> str | None:
     return tx.revision_text(row["entry_point"], row["prompt"], row["action"], row["feedback"])
 
 
-def _max_ms(pdf: pd.DataFrame, last_ms: int) -> int:
-    return max(last_ms, int(pdf["event_ms"].max())) if len(pdf) else last_ms
+def _time(ms: int) -> datetime:
+    return datetime.fromtimestamp(ms // 1000, timezone.utc) + timedelta(milliseconds=ms % 1000)
 
 
-def _plain(v):
-    """A numpy scalar as Python's own; a missing value as None."""
-    v = v.item() if hasattr(v, "item") else v
-    return None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else v
+def _row(schema: str) -> Row:
+    return Row(*[c.split()[0] for c in schema.split(", ")])
 
 
-def _frame(rows, schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+def _taker(row: Row, names):
+    """Takes the named columns of rows like ``row``."""
+    return itemgetter(*[row.__fields__.index(n) for n in names])
+
+
+def _plain(v: float | None) -> float | None:
+    """A number; not-a-number as null."""
+    return None if v is None or math.isnan(v) else v
+
+
+CHAIN_ROW, GROUP_ROW = _row(CHAIN_OUT), _row(GROUP_OUT)
 
 
 def _rearmed(handle: StatefulProcessorHandle, old_ms: int, last_ms: int, expire_ms: int,
@@ -90,7 +106,7 @@ def _rearmed(handle: StatefulProcessorHandle, old_ms: int, last_ms: int, expire_
 
 
 class EpisodeSteps(StatefulProcessor):
-    """X-01: one trajectory."""
+    """X-01: the trajectories of one group, each by itself."""
 
     def __init__(self, expire_ms: int):
         self.expire_ms = expire_ms
@@ -98,30 +114,64 @@ class EpisodeSteps(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.progress = handle.getValueState("progress", PROGRESS)
-        self.held = handle.getMapState("held", "turn int", HELD)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        run_id, step, g = key
-        next_turn, done, best, last_ms, timer_ms, n_held = (
-            self.progress.get() or (0, False, None, 0, 0, 0))
-        new: dict[int, tuple] = {}
-        for pdf in rows:
-            last_ms = _max_ms(pdf, last_ms)
-            for rec in pdf.to_dict("records"):
-                t, most = _plain(rec["turn"]), _plain(rec["max_turns"])
-                # only turns that can still be stepped are kept: state <= max_turns
-                if t is not None and most is not None and not done and next_turn <= t < most:
-                    new.setdefault(int(t), tuple(_plain(rec[f]) for f in HELD_FIELDS))
+        self.held = handle.getMapState("held", "g int, turn int", HELD)
+
+    def _saved(self) -> tuple[int, dict]:
+        """The group's timer and its open trajectories by ``g``."""
+        timer_ms, episodes = self.progress.get() or (0, ())
+        return timer_ms, {g: rest for g, *rest in episodes}
+
+    def _save(self, timer_ms: int, episodes: dict) -> None:
+        """Arms the group's only timer for the trajectory that expires first."""
+        at = min(e[AT_MS] for e in episodes.values()) if episodes else 0
+        if at != timer_ms:
+            if timer_ms:
+                self.handle.deleteTimer(timer_ms)
+            if at:
+                self.handle.registerTimer(at)
+        if episodes:
+            self.progress.update((at, [(g, *rest) for g, rest in episodes.items()]))
+        else:
+            self.progress.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        timer_ms, episodes = self._saved()
+        new: dict[int, dict[int, tuple]] = {}
+        last: dict[int, int] = {}
+        take = None
+        for row in rows:
+            if take is None:
+                take = _taker(row, ("g", "turn", "event_ms", *HELD_FIELDS))
+            g, t, ms, *rec = take(row)
+            last[g] = max(last.get(g, 0), ms or 0)
+            turns = new.setdefault(g, {})
+            next_turn, done = episodes[g][:2] if g in episodes else (0, False)
+            most = rec[MAX_TURNS]
+            # only turns that can still be stepped are kept: state <= max_turns
+            if t is not None and most is not None and not done and next_turn <= t < most:
+                if t not in turns:
+                    rec[REWARD] = _plain(rec[REWARD])
+                    turns[t] = tuple(rec)
         watermark = timerValues.getCurrentWatermarkInMs()
-        # a step's time is its trajectory's latest, which no watermark has passed yet
-        ts = pd.Timestamp(max(last_ms, watermark), unit="ms", tz="UTC")
         out = []
+        for g, turns in new.items():
+            before = episodes.get(g, NOT_BEGUN)
+            episodes[g] = self._stepped(key, g, turns, before, max(last[g], before[LAST_MS]),
+                                        watermark, out)
+        self._save(timer_ms, episodes)
+        yield from out
+
+    def _stepped(self, key, g: int, new: dict, before, last_ms: int, watermark: int, out: list
+                 ) -> list:
+        """The trajectory's state after the turns of a batch; rows of turns stepped go to ``out``."""
+        next_turn, done, best, _, _, n_held = before
+        # a step's time is its trajectory's latest, which no watermark has passed yet
+        ts = _time(max(last_ms, watermark))
         while not done:
-            held = n_held > 0 and self.held.containsKey((next_turn,))
+            held = n_held > 0 and self.held.containsKey((g, next_turn))
             if held:                    # the first delivery counts
-                rec = self.held.getValue((next_turn,))
-                self.held.removeKey((next_turn,))
+                rec = self.held.getValue((g, next_turn))
+                self.held.removeKey((g, next_turn))
                 n_held -= 1
                 new.pop(next_turn, None)
             elif next_turn in new:
@@ -133,34 +183,41 @@ class EpisodeSteps(StatefulProcessor):
             done = solved or next_turn + 1 >= int(r["max_turns"])
             if reward is not None:
                 best = reward if best is None else max(best, reward)
-            out.append((run_id, int(step), int(g), next_turn, reward, solved, done,
-                        _next_prompt(r, done), False, best, r["reward_mode"], r["group_size"], ts))
+            out.append(CHAIN_ROW(*key, g, next_turn, reward, solved, done, _next_prompt(r, done),
+                                 False, best, r["reward_mode"], r["group_size"], ts))
             next_turn += 1
         if done:
             if n_held:
-                self.held.clear()
+                self._drop_held(g)
             n_held = 0
         else:
             for t, rec in new.items():
-                if not (n_held and self.held.containsKey((t,))):
-                    self.held.updateValue((t,), rec)
+                if not (n_held and self.held.containsKey((g, t))):
+                    self.held.updateValue((g, t), rec)
                     n_held += 1
-        timer_ms = _rearmed(self.handle, timer_ms, last_ms, self.expire_ms, watermark)
-        self.progress.update((next_turn, done, best, last_ms, timer_ms, n_held))
-        if out:
-            yield _frame(out, CHAIN_OUT)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        run_id, step, g = key
-        held = sorted((int(t), dict(zip(HELD_FIELDS, rec)))
-                      for (t,), rec in self.held.iterator()) if self.held.exists() else []
-        ts = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
-        self.held.clear()
-        self.progress.clear()
-        if held:                        # quarantine: a predecessor never came
-            yield _frame([(run_id, int(step), int(g), t, r["reward"], bool(r["solved"]), False, "",
-                           True, None, r["reward_mode"], r["group_size"], ts)
-                          for t, r in held], CHAIN_OUT)
+        return [next_turn, done, best, last_ms, max(last_ms + self.expire_ms, watermark + 1), n_held]
+
+    def _drop_held(self, g: int) -> list:
+        """Removes and returns the held turns of a trajectory, in turn order."""
+        found = sorted(((t, rec) for (of, t), rec in self.held.iterator() if of == g),
+                       key=lambda x: x[0])
+        for t, _ in found:
+            self.held.removeKey((g, t))
+        return found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ts = _time(watermark)
+        _, episodes = self._saved()
+        out = []
+        for g in [g for g, e in episodes.items() if e[AT_MS] <= watermark]:
+            if episodes.pop(g)[N_HELD]:     # quarantine: a predecessor never came
+                for t, rec in self._drop_held(g):
+                    r = dict(zip(HELD_FIELDS, rec))
+                    out.append(CHAIN_ROW(*key, g, t, r["reward"], bool(r["solved"]), False, "",
+                                         True, None, r["reward_mode"], r["group_size"], ts))
+        self._save(0, episodes)             # the timer that fired is gone by itself
+        yield from out
 
     def close(self) -> None:
         pass
@@ -179,9 +236,9 @@ def _steps(turns: DataFrame, ts: str, delay: str, expire_ms: int) -> DataFrame:
     have = turns.withColumns({c: F.lit(None).cast(t) for c, t in optional.items()
                               if c not in turns.columns})
     cols = ["run_id", "step", "g", "turn", *HELD_FIELDS, "event_ms", ts]
-    return (_watermarked(have, ts, delay).select(*cols).groupBy("run_id", "step", "g")
-            .transformWithStateInPandas(EpisodeSteps(expire_ms), CHAIN_OUT, "Append", "EventTime",
-                                        eventTimeColumnName="ts"))
+    return (_watermarked(have, ts, delay).select(*cols).groupBy("run_id", "step")
+            .transformWithState(EpisodeSteps(expire_ms), CHAIN_OUT, "Append", "EventTime",
+                                eventTimeColumnName="ts"))
 
 
 def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
@@ -222,37 +279,46 @@ class GroupBarrier(StatefulProcessor):
         self.mark = handle.getValueState("mark", MARK)
         self.rewards = handle.getMapState("rewards", "g int", "reward double")
 
-    def _rows(self, key, complete: bool) -> pd.DataFrame:
+    def _rows(self, key, got: dict, complete: bool) -> list[Row]:
         run_id, step, _ = key
-        got = sorted((int(g), math.nan if r is None else float(r))
-                     for (g,), (r,) in self.rewards.iterator())
+        rows = sorted((int(g), math.nan if r is None else float(r)) for g, r in got.items())
+        return [GROUP_ROW(run_id, step, g, _plain(x), _plain(a), complete)
+                for g, x, a in _advantages(rows)]
+
+    def _taken(self) -> dict:
+        """The rewards in state by ``g``, which are removed."""
+        got = {g: r for (g,), (r,) in self.rewards.iterator()}
         self.rewards.clear()
-        return _frame([(run_id, int(step), g, x, a, complete) for g, x, a in _advantages(got)],
-                      GROUP_OUT)
+        return got
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         emitted, last_ms, timer_ms, n_seen = (
             self.mark.get() or (False, 0, 0, 0))
-        for pdf in rows:
-            last_ms = _max_ms(pdf, last_ms)
-            if not emitted:
-                for g, reward in zip(pdf["g"], pdf["reward"]):
-                    if not (n_seen and self.rewards.containsKey((int(g),))):
-                        self.rewards.updateValue((int(g),), (_plain(reward),))  # first delivery
-                        n_seen += 1
-        full = not emitted and n_seen >= int(key[2])
+        new, take = {}, None
+        for row in rows:
+            if take is None:
+                take = _taker(row, ("g", "reward", "event_ms"))
+            g, reward, ms = take(row)
+            last_ms = max(last_ms, ms or 0)
+            if not emitted and g not in new and not (
+                    n_seen and self.rewards.containsKey((g,))):
+                new[g] = _plain(reward)                             # first delivery
+        full = not emitted and n_seen + len(new) >= int(key[2])
+        # a group that is full with this batch never enters the state
+        got = {**(self._taken() if n_seen else {}), **new} if full else {}
+        if not full:
+            for g, reward in new.items():
+                self.rewards.updateValue((g,), (reward,))
         timer_ms = _rearmed(self.handle, timer_ms, last_ms, self.expire_ms,
                             timerValues.getCurrentWatermarkInMs())
-        self.mark.update((emitted or full, last_ms, timer_ms, n_seen))
-        if full:
-            yield self._rows(key, True)
+        self.mark.update((emitted or full, last_ms, timer_ms, n_seen + len(new)))
+        yield from self._rows(key, got, True) if full else ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         open_ = self.mark.exists() and not self.mark.get()[0]
         self.mark.clear()
         if open_ and self.rewards.exists():
-            yield self._rows(key, False)
+            yield from self._rows(key, self._taken(), False)
 
     def close(self) -> None:
         pass
@@ -261,7 +327,7 @@ class GroupBarrier(StatefulProcessor):
 def _barrier(finished: DataFrame, expire_ms: int) -> DataFrame:
     """X-02 over rows that have a watermark and ``event_ms`` already."""
     return (finished.groupBy("run_id", "step", "group_size")
-            .transformWithStateInPandas(GroupBarrier(expire_ms), GROUP_OUT, "Append", "EventTime"))
+            .transformWithState(GroupBarrier(expire_ms), GROUP_OUT, "Append", "EventTime"))
 
 
 def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK,

@@ -106,3 +106,16 @@ def test_held_turns_are_map_entries(spark, tmp_path):
     assert not any(r.expired for r in got)
 
 
+
+
+def test_state_has_one_row_per_group_not_per_trajectory(spark, tmp_path):
+    """X-01 keeps its progress by group; trajectories of one group still expire one by one."""
+    data = [("a", step, g, t, 0.5, False, "x", "fb", 2, "f", "p", T0 + t, "final", 4)
+            for step in range(5) for g in range(4) for t in range(2)]
+    src = str(tmp_path / "src")
+    frame(spark, data).coalesce(1).write.parquet(src)
+    q = start_training_stream(spark, src, str(tmp_path / "out"), "rows_test", str(tmp_path / "chk"))
+    q.awaitTermination(300)
+    assert [s["rows"] for s in st.state_sizes(q)] == [5, 5]
+    got = spark.read.schema(st.GROUP_OUT).parquet(str(tmp_path / "out"))
+    assert got.where("complete").count() == 20
