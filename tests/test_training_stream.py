@@ -119,3 +119,20 @@ def test_state_has_one_row_per_group_not_per_trajectory(spark, tmp_path):
     assert [s["rows"] for s in st.state_sizes(q)] == [5, 5]
     got = spark.read.schema(st.GROUP_OUT).parquet(str(tmp_path / "out"))
     assert got.where("complete").count() == 20
+
+
+def test_a_group_full_within_a_batch_writes_no_rewards(spark, tmp_path):
+    """X-02 writes the rewards of groups that wait for more, and of a group that a batch fills only
+    its mark."""
+    data = [("a", step, g, 0, g / 4, True, "x", "", 1, "f", "p", T0, "final", 4)
+            for step, n in ((0, 4), (1, 3)) for g in range(n)]
+    src = str(tmp_path / "src")
+    frame(spark, data).coalesce(1).write.parquet(src)
+    q = start_training_stream(spark, src, str(tmp_path / "out"), "full_test", str(tmp_path / "chk"))
+    q.awaitTermination(300)
+    updated = [[o["numRowsUpdated"] for o in p["stateOperators"]] for p in q.recentProgress
+               if p["numInputRows"]]
+    # X-02 first: two marks and three waiting rewards; X-01: two groups
+    assert updated == [[5, 2]]
+    got = spark.read.schema(st.GROUP_OUT).parquet(str(tmp_path / "out")).collect()
+    assert rounded(got) == complete_twin(spark, data)
