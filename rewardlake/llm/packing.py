@@ -23,7 +23,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rewardlake.llm.bpe import Recent
 from rewardlake.llm.common import F, n_groups, prepared, run_arrow, text_of, written
 
 SEQUENCE_TOKENS = 2048
@@ -35,6 +34,8 @@ SMALL_GAP = 16
 # Word-cache entries of a worker and characters tokenised at once (bound memory, not results).
 CACHE_ENTRIES = 900_000
 CHARS_AT_ONCE = 4_000_000
+# Longer words are not kept for further batches.
+KEPT_CHARS = 64
 # The same where token ids come out too and share a worker's memory.
 WIDE_CACHE_ENTRIES = 150_000
 WIDE_CHARS_AT_ONCE = 1_000_000
@@ -54,7 +55,9 @@ class WordIds:
     """Token ids of whole texts for a tokenizer that drops white space and never joins over it.
 
     A text is therefore encoded stretch by stretch between white space, each distinct stretch
-    once per batch; the library encodes the ones not met before."""
+    once per batch; the library encodes the ones not met before. The ids of whole stretches are kept
+    in two halves of bounded size, so that a batch goes one by one only through the stretches that
+    the young half lacks."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +65,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known = Recent(entries)
+        self.half, self.young, self.old = entries // 2, {}, {}
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)      # tokens that end a word
         for t, i in vocab.items():
@@ -80,17 +83,15 @@ class WordIds:
         cuts = (4 * (np.flatnonzero(self.last[np.frombuffer(flat, "<u4")]) + 1)).tolist()
         return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPLIT.search(t) else t.split() for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words or ())
-        known, ids, two, letters, other = self.known, {}, {}, set(), set()
-        young = known.new.get               # most words are in the young half
-        for w in distinct:
-            got = young(w) or known.get(w)
+    def _learn(self, fresh: set[str]) -> list[str]:
+        """Puts the ids of words that are not among the young ones there; returns those that are
+        too long to stay."""
+        young, old = self.young, self.old
+        two, letters, other = {}, set(), set()
+        for w in fresh:
+            got = old.get(w)
             if got is not None:
-                ids[w] = got
+                young[w] = got
                 continue
             if w.isalpha() and w.isascii():
                 letters.add(w)
@@ -101,30 +102,40 @@ class WordIds:
                 other.add(w)
                 continue
             tail = w[len(stem):]
-            if tail:
-                two[w] = stem, tail
-                if tail not in ids:
-                    got = young(tail) or known.get(tail)
+            if not tail:
+                letters.add(w)
+                continue
+            two[w] = stem, tail
+            for part, unknown in ((stem, letters), (tail, other)):
+                if part not in young:
+                    got = old.get(part)
                     if got is None:
-                        other.add(tail)
+                        unknown.add(part)
                     else:
-                        ids[tail] = got
-                if stem in ids:
-                    continue
-                got = young(stem) or known.get(stem)
-                if got is not None:
-                    ids[stem] = got
-                    continue
-            letters.add(stem)
-        for fresh, encode in ((list(letters), self._encode_words), (list(other), self._encode)):
-            for w, got in zip(fresh, encode(fresh), strict=True):
-                ids[w] = got
-                if len(w) <= 64:
-                    known.put(w, got)
+                        young[part] = got
+        for words, encode in ((list(letters), self._encode_words), (list(other), self._encode)):
+            young.update(zip(words, encode(words), strict=True))
         for w, (stem, tail) in two.items():
-            ids[w] = ids[stem] + ids[tail]
-        return [self._encode([t])[0] if words is None else b"".join(map(ids.__getitem__, words))
-                for t, words in zip(texts, split)]
+            young[w] = young[stem] + young[tail]
+        return [w for words in (letters, other, two) for w in words if len(w) > KEPT_CHARS]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD_SPLIT.search(t) else t.split() for t in texts]
+        distinct: set[str] = set()
+        for words in split:
+            distinct.update(words or ())
+        fresh = distinct.difference(self.young)
+        if len(self.young) + len(fresh) > self.half and self.young:
+            # the young half is full: it becomes the old one, and what is met again moves back
+            self.young, self.old = {}, self.young
+            fresh = distinct
+        long = self._learn(fresh)
+        ids = self.young.__getitem__
+        out = [self._encode([t])[0] if words is None else b"".join(map(ids, words))
+               for t, words in zip(texts, split)]
+        for w in long:
+            del self.young[w]
+        return out
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}

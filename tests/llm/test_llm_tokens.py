@@ -88,6 +88,24 @@ def test_word_ids_equal_library():
         assert np.frombuffer(got, "<u4").tolist() == want.ids, t[:80]
 
 
+def test_word_ids_learn_each_word_once():
+    """A batch goes word by word only through what it brings new, words with marks included; what is
+    kept stays bounded, long words are not kept."""
+    enc, lib = packing.WordIds(WORD, 600), library(WORD)
+    sizes, learn = [], enc._learn
+    enc._learn = lambda fresh: sizes.append(len(fresh)) or learn(fresh)
+    texts = ["One, two. three! four", "naïve, two. " + "q" * 300 + "! " + "r" * 300]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc(texts)] == want
+    assert sizes == [7, 2] and max(map(len, enc.young)) <= packing.KEPT_CHARS
+    for i in range(20):
+        batch = [" ".join(f"w{j}." for j in range(100 * i, 100 * i + 150))]
+        assert np.frombuffer(enc(batch)[0], "<u4").tolist() == lib.encode(
+            batch[0], add_special_tokens=False).ids
+        assert len(enc.young) + len(enc.old) <= 1200
+
+
 def brute_places(lengths, budget):
     """The restricted rule written out: longest first, all open sequences compared."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
