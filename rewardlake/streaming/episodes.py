@@ -1,35 +1,42 @@
 """Streaming episodes (X-01, X-02, F-07 stream form) on typed state.
 
-X-01 is keyed by GRPO group ``(run_id, step)``, so that a call, its state and its output serve all
-trajectories of a group at once. It keeps, per trajectory ``g``, its progress (all of a group's in one
-value state: next expected turn, done, best reward) and the turns that arrived ahead of their
+Both operators work on GRPO groups ``(run_id, step)`` and are keyed by a bucket of groups, a hash of
+the two columns, so that a call, its state, its timer and its output serve all groups of a bucket at
+once: each of these is a message between Spark and its Python worker, whatever it holds.
+
+X-01 keeps, per trajectory ``(run_id, step, g)``, its progress (all of a bucket's in one value state:
+next expected turn, done, best reward, the turns held) and the turns that arrived ahead of their
 predecessor (a map state by trajectory and turn, so that a batch writes the turns that arrived and no
 others). A scored turn goes in; reward, done and the
 next prompt come out, in turn order. Turns after ``done`` are dropped (H-13). A timer on event time
 ends an episode: when the watermark has passed its last turn by the expiry, turns still held for a
-missing predecessor are emitted with ``expired = true``. A group has one timer, set for the
+missing predecessor are emitted with ``expired = true``. A bucket has one timer, set for the
 trajectory that expires first.
 
-X-02 keeps, per GRPO group ``(run_id, step)``, the credited reward of each finished trajectory (a
-map state, at most ``G`` values) and emits the group's advantages once all ``G`` have finished;
+X-02 keeps a mark per GRPO group ``(run_id, step, group_size)`` (all of a bucket's in one value
+state) and the credited reward of each finished trajectory (a list state of the bucket, at most
+``G`` values a group) and emits the group's advantages once all ``G`` have finished;
 rewards of a group that a batch completes are not written first. A timer flushes a group that never completes, flagged ``complete = false`` (our policy). A complete
-group drops its rewards and leaves a mark until the same expiry, so a redelivered trajectory does
+group drops its rewards and leaves its mark until the same expiry, so a redelivered trajectory does
 not open it again.
 
 :func:`training_stream` is both as one query: finished episodes go straight into the group
 barrier, the watermark passing through the first operator into the second.
 
 Event times reach the state as epoch milliseconds taken in Spark, so results do not depend on the
-session's time zone. Both states are bounded by configuration (``G`` trajectories of ``max_turns`` turns, ``G`` rewards), so
-no key can accumulate an unbounded state; :func:`state_sizes` reports them. They need the RocksDB
+session's time zone. A group's state is bounded by configuration (``G`` trajectories of ``max_turns`` turns, ``G`` rewards), so
+no group can accumulate an unbounded state; a bucket's value holds its share of the groups that have
+not expired, and a batch rewrites the values of the buckets it touches. ``buckets`` (one number for
+the life of a checkpoint) should be some times the shuffle partitions and keep that share in the
+hundreds; :func:`state_sizes` reports the sizes. They need the RocksDB
 state store. (State TTL exists in processing time only; on event time the timers take its place.)
 """
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
-from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -46,16 +53,22 @@ CHAIN_OUT = STEP_OUT + ", best_reward double, reward_mode string, group_size int
 HELD = ("reward double, solved boolean, action string, feedback string, max_turns int, "
         "entry_point string, prompt string, reward_mode string, group_size int")
 HELD_FIELDS = tuple(c.split()[0] for c in HELD.split(", "))
-# Of a group: its timer and its open trajectories.
-PROGRESS = ("timer_ms long, episodes array<struct<g: int, next_turn: int, done: boolean, "
-            "best: double, last_ms: long, at_ms: long, n_held: int>>")
-NOT_BEGUN = (0, False, None, 0, 0, 0)
-LAST_MS, AT_MS, N_HELD = 3, 4, 5        # places in a trajectory's state without g
+# Of a bucket: its timer and its trajectories; of a trajectory, after its name, when it expires.
+PROGRESS = ("timer_ms long, entries array<struct<run_id: string, step: long, g: int, at_ms: long, "
+            "last_ms: long, next_turn: int, done: boolean, best: double, held: array<int>>>")
+NOT_BEGUN = (0, 0, 0, False, None, ())
 REWARD, MAX_TURNS = HELD_FIELDS.index("reward"), HELD_FIELDS.index("max_turns")
 
 GROUP_OUT = ("run_id string, step long, g int, reward double, advantage double, "
              "complete boolean")
-MARK = "emitted boolean, last_ms long, timer_ms long, n_seen int"
+# Of a bucket: its timer and its groups; of a group, after its name, when it expires.
+MARKS = ("timer_ms long, entries array<struct<run_id: string, step: long, group_size: int, "
+         "at_ms: long, last_ms: long, emitted: boolean, waiting: array<int>>>")
+NOT_SEEN = (0, 0, False, ())
+REWARDS = "run_id string, step long, group_size int, g int, reward double"
+
+# Buckets of groups that each operator's state is keyed by (default).
+BUCKETS = 4096
 
 # Held turns, unfinished groups and marks of complete groups expire once the
 # event-time watermark has passed them by this much (default).
@@ -81,71 +94,83 @@ def _row(schema: str) -> Row:
     return Row(*[c.split()[0] for c in schema.split(", ")])
 
 
-def _taker(row: Row, names):
-    """Takes the named columns of rows like ``row``."""
-    return itemgetter(*[row.__fields__.index(n) for n in names])
-
-
-def _plain(v: float | None) -> float | None:
-    """A number; not-a-number as null."""
-    return None if v is None or math.isnan(v) else v
+def _plain(v: float | str | None) -> float | None:
+    """A number, as it stands in JSON if infinite; not-a-number as null."""
+    return None if v is None or math.isnan(v := float(v)) else v
 
 
 CHAIN_ROW, GROUP_ROW = _row(CHAIN_OUT), _row(GROUP_OUT)
 
 
-def _rearmed(handle: StatefulProcessorHandle, old_ms: int, last_ms: int, expire_ms: int,
-             watermark_ms: int) -> int:
-    """Moves the key's only timer to its last event time plus the expiry."""
-    at = max(last_ms + expire_ms, watermark_ms + 1)
-    if at != old_ms:
-        if old_ms:
-            handle.deleteTimer(old_ms)
-        handle.registerTimer(at)
-    return at
-
+class BucketProcessor(StatefulProcessor):
+    """A bucket of groups: its entries (trajectories or groups) by name, all in one value state, and
+    one timer for the entry that expires first."""
 
-class EpisodeSteps(StatefulProcessor):
-    """X-01: the trajectories of one group, each by itself."""
+    ENTRIES: str
 
     def __init__(self, expire_ms: int):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", PROGRESS)
-        self.held = handle.getMapState("held", "g int, turn int", HELD)
+        self.entries = handle.getValueState("entries", self.ENTRIES)
 
     def _saved(self) -> tuple[int, dict]:
-        """The group's timer and its open trajectories by ``g``."""
-        timer_ms, episodes = self.progress.get() or (0, ())
-        return timer_ms, {g: rest for g, *rest in episodes}
+        """The bucket's timer and its entries: name to (expiry, rest)."""
+        timer_ms, entries = self.entries.get() or (0, ())
+        return timer_ms, {(run_id, step, n): rest for run_id, step, n, *rest in entries}
 
-    def _save(self, timer_ms: int, episodes: dict) -> None:
-        """Arms the group's only timer for the trajectory that expires first."""
-        at = min(e[AT_MS] for e in episodes.values()) if episodes else 0
+    def _save(self, timer_ms: int, entries: dict) -> None:
+        """Arms the bucket's only timer for the entry that expires first."""
+        at = min((e[0] for e in entries.values()), default=0)
         if at != timer_ms:
             if timer_ms:
                 self.handle.deleteTimer(timer_ms)
             if at:
                 self.handle.registerTimer(at)
-        if episodes:
-            self.progress.update((at, [(g, *rest) for g, rest in episodes.items()]))
+        if entries:
+            self.entries.update((at, [(*name, *rest) for name, rest in entries.items()]))
         else:
-            self.progress.clear()
+            self.entries.clear()
+
+    def _expiry(self, last_ms: int, watermark: int) -> int:
+        return max(last_ms + self.expire_ms, watermark + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        _, entries = self._saved()
+        gone = {name: e for name, e in entries.items() if e[0] <= watermark}
+        out = self._expired(gone, watermark)
+        # the timer that fired is gone by itself
+        self._save(0, {name: e for name, e in entries.items() if name not in gone})
+        yield from out
+
+    def _expired(self, gone: dict, watermark: int) -> list[Row]:
+        """Removes what else the state holds of entries that expired; the rows they leave."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class EpisodeSteps(BucketProcessor):
+    """X-01: the trajectories of a bucket, each by itself."""
+
+    ENTRIES = PROGRESS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getMapState("held", "run_id string, step long, g int, turn int", HELD)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         timer_ms, episodes = self._saved()
-        new: dict[int, dict[int, tuple]] = {}
-        last: dict[int, int] = {}
-        take = None
-        for row in rows:
-            if take is None:
-                take = _taker(row, ("g", "turn", "event_ms", *HELD_FIELDS))
-            g, t, ms, *rec = take(row)
-            last[g] = max(last.get(g, 0), ms or 0)
-            turns = new.setdefault(g, {})
-            next_turn, done = episodes[g][:2] if g in episodes else (0, False)
+        new: dict[tuple, dict[int, tuple]] = {}
+        last: dict[tuple, int] = {}
+        for run_id, step, g, t, ms, *rec in _packed(rows):
+            name = (run_id, step, g)
+            last[name] = max(last.get(name, 0), ms or 0)
+            turns = new.setdefault(name, {})
+            _, _, next_turn, done, _, _ = episodes.get(name, NOT_BEGUN)
             most = rec[MAX_TURNS]
             # only turns that can still be stepped are kept: state <= max_turns
             if t is not None and most is not None and not done and next_turn <= t < most:
@@ -153,26 +178,25 @@ class EpisodeSteps(StatefulProcessor):
                     rec[REWARD] = _plain(rec[REWARD])
                     turns[t] = tuple(rec)
         watermark = timerValues.getCurrentWatermarkInMs()
-        out = []
-        for g, turns in new.items():
-            before = episodes.get(g, NOT_BEGUN)
-            episodes[g] = self._stepped(key, g, turns, before, max(last[g], before[LAST_MS]),
-                                        watermark, out)
+        out: list[Row] = []
+        for name, turns in new.items():
+            episodes[name] = self._stepped(name, turns, episodes.get(name, NOT_BEGUN), last[name],
+                                           watermark, out)
         self._save(timer_ms, episodes)
         yield from out
 
-    def _stepped(self, key, g: int, new: dict, before, last_ms: int, watermark: int, out: list
+    def _stepped(self, name: tuple, new: dict, before, last_ms: int, watermark: int, out: list
                  ) -> list:
         """The trajectory's state after the turns of a batch; rows of turns stepped go to ``out``."""
-        next_turn, done, best, _, _, n_held = before
+        _, before_ms, next_turn, done, best, held = before
+        held = list(held)
+        last_ms = max(last_ms, before_ms)
         # a step's time is its trajectory's latest, which no watermark has passed yet
         ts = _time(max(last_ms, watermark))
         while not done:
-            held = n_held > 0 and self.held.containsKey((g, next_turn))
-            if held:                    # the first delivery counts
-                rec = self.held.getValue((g, next_turn))
-                self.held.removeKey((g, next_turn))
-                n_held -= 1
+            if next_turn in held:       # the first delivery counts
+                rec = self._release(name, next_turn)
+                held.remove(next_turn)
                 new.pop(next_turn, None)
             elif next_turn in new:
                 rec = new.pop(next_turn)
@@ -183,44 +207,48 @@ class EpisodeSteps(StatefulProcessor):
             done = solved or next_turn + 1 >= int(r["max_turns"])
             if reward is not None:
                 best = reward if best is None else max(best, reward)
-            out.append(CHAIN_ROW(*key, g, next_turn, reward, solved, done, _next_prompt(r, done),
+            out.append(CHAIN_ROW(*name, next_turn, reward, solved, done, _next_prompt(r, done),
                                  False, best, r["reward_mode"], r["group_size"], ts))
             next_turn += 1
         if done:
-            if n_held:
-                self._drop_held(g)
-            n_held = 0
+            for t in held:
+                self.held.removeKey((*name, t))
+            held = []
         else:
             for t, rec in new.items():
-                if not (n_held and self.held.containsKey((g, t))):
-                    self.held.updateValue((g, t), rec)
-                    n_held += 1
-        return [next_turn, done, best, last_ms, max(last_ms + self.expire_ms, watermark + 1), n_held]
-
-    def _drop_held(self, g: int) -> list:
-        """Removes and returns the held turns of a trajectory, in turn order."""
-        found = sorted(((t, rec) for (of, t), rec in self.held.iterator() if of == g),
-                       key=lambda x: x[0])
-        for t, _ in found:
-            self.held.removeKey((g, t))
-        return found
+                if t not in held:
+                    self.held.updateValue((*name, t), rec)
+                    held.append(t)
+        return [self._expiry(last_ms, watermark), last_ms, next_turn, done, best, held]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        ts = _time(watermark)
-        _, episodes = self._saved()
-        out = []
-        for g in [g for g, e in episodes.items() if e[AT_MS] <= watermark]:
-            if episodes.pop(g)[N_HELD]:     # quarantine: a predecessor never came
-                for t, rec in self._drop_held(g):
-                    r = dict(zip(HELD_FIELDS, rec))
-                    out.append(CHAIN_ROW(*key, g, t, r["reward"], bool(r["solved"]), False, "",
-                                         True, None, r["reward_mode"], r["group_size"], ts))
-        self._save(0, episodes)             # the timer that fired is gone by itself
-        yield from out
+    def _release(self, name: tuple, turn: int) -> tuple:
+        """Removes and returns a held turn."""
+        rec = self.held.getValue((*name, turn))
+        self.held.removeKey((*name, turn))
+        return rec
 
-    def close(self) -> None:
-        pass
+    def _expired(self, gone: dict, watermark: int) -> list[Row]:
+        ts, out = _time(watermark), []
+        for name, (*_, held) in gone.items():
+            for t in sorted(held):          # quarantine: a predecessor never came
+                r = dict(zip(HELD_FIELDS, self._release(name, t)))
+                out.append(CHAIN_ROW(*name, t, r["reward"], bool(r["solved"]), False, "", True,
+                                     None, r["reward_mode"], r["group_size"], ts))
+        return out
+
+
+def _bucketed(df: DataFrame, cols, ts: str, buckets: int):
+    """The rows keyed by their group's bucket, their ``cols`` as one text: a state operator takes its
+    rows value by value, which costs more than reading them from JSON."""
+    bucket = F.pmod(F.xxhash64("run_id", "step"), F.lit(buckets)).cast("int")
+    packed = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return df.select(bucket.alias("bucket"), packed.alias("packed"), ts).groupBy("bucket")
+
+
+def _packed(rows: Iterator[Row]) -> Iterator[list]:
+    """The columns of rows that :func:`_bucketed` packed."""
+    for row in rows:
+        yield list(json.loads(row["packed"]).values())
 
 
 def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -229,24 +257,25 @@ def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
             .withColumn("event_ms", F.unix_millis(ts)))
 
 
-def _steps(turns: DataFrame, ts: str, delay: str, expire_ms: int) -> DataFrame:
+def _steps(turns: DataFrame, ts: str, delay: str, expire_ms: int, buckets: int) -> DataFrame:
     """X-01 with the columns of ``CHAIN_OUT``; its event time is ``ts``."""
     ship_package(turns.sparkSession)
     optional = {"reward_mode": "string", "group_size": "int"}
     have = turns.withColumns({c: F.lit(None).cast(t) for c, t in optional.items()
                               if c not in turns.columns})
-    cols = ["run_id", "step", "g", "turn", *HELD_FIELDS, "event_ms", ts]
-    return (_watermarked(have, ts, delay).select(*cols).groupBy("run_id", "step")
+    cols = ["run_id", "step", "g", "turn", "event_ms", *HELD_FIELDS]
+    return (_bucketed(_watermarked(have, ts, delay), cols, ts, buckets)
             .transformWithState(EpisodeSteps(expire_ms), CHAIN_OUT, "Append", "EventTime",
                                 eventTimeColumnName="ts"))
 
 
 def episode_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
-                   expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
+                   expire_ms: int = STATE_TIMEOUT_MS, buckets: int = BUCKETS) -> DataFrame:
     """X-01 over a streaming DataFrame of scored turns with ``run_id,
     step, g, turn, reward, solved, action, feedback, max_turns,
     entry_point, prompt`` and an event time ``ts``."""
-    return _steps(turns, ts, delay, expire_ms).select(*[c.split()[0] for c in STEP_OUT.split(", ")])
+    return _steps(turns, ts, delay, expire_ms, buckets).select(
+        *[c.split()[0] for c in STEP_OUT.split(", ")])
 
 
 def episode_batch_twin(turns: DataFrame) -> DataFrame:
@@ -268,90 +297,106 @@ def _advantages(rows):
     return [(g, x, ((x - mean) / (std + 1e-8)) if ok else 0.0) for g, x in rows]
 
 
-class GroupBarrier(StatefulProcessor):
-    """X-02: one group."""
+class GroupBarrier(BucketProcessor):
+    """X-02: the groups of a bucket, each by itself."""
 
-    def __init__(self, expire_ms: int):
-        self.expire_ms = expire_ms
+    ENTRIES = MARKS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.mark = handle.getValueState("mark", MARK)
-        self.rewards = handle.getMapState("rewards", "g int", "reward double")
+        super().init(handle)
+        self.rewards = handle.getListState("rewards", REWARDS)
 
-    def _rows(self, key, got: dict, complete: bool) -> list[Row]:
-        run_id, step, _ = key
+    def _rows(self, name: tuple, got: dict, complete: bool) -> list[Row]:
+        run_id, step, _ = name
         rows = sorted((int(g), math.nan if r is None else float(r)) for g, r in got.items())
         return [GROUP_ROW(run_id, step, g, _plain(x), _plain(a), complete)
                 for g, x, a in _advantages(rows)]
 
-    def _taken(self) -> dict:
-        """The rewards in state by ``g``, which are removed."""
-        got = {g: r for (g,), (r,) in self.rewards.iterator()}
-        self.rewards.clear()
-        return got
+    def _taken(self, names: set) -> dict[tuple, dict]:
+        """The waiting rewards of the named groups by ``g``, which are removed."""
+        taken, rest = {name: {} for name in names}, []
+        for *name, g, reward in self.rewards.get() if names else ():
+            if tuple(name) in taken:
+                taken[tuple(name)][g] = reward
+            else:
+                rest.append((*name, g, reward))
+        if rest:
+            self.rewards.put(rest)
+        elif names:
+            self.rewards.clear()
+        return taken
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        emitted, last_ms, timer_ms, n_seen = (
-            self.mark.get() or (False, 0, 0, 0))
-        new, take = {}, None
-        for row in rows:
-            if take is None:
-                take = _taker(row, ("g", "reward", "event_ms"))
-            g, reward, ms = take(row)
-            last_ms = max(last_ms, ms or 0)
-            if not emitted and g not in new and not (
-                    n_seen and self.rewards.containsKey((g,))):
-                new[g] = _plain(reward)                             # first delivery
-        full = not emitted and n_seen + len(new) >= int(key[2])
-        # a group that is full with this batch never enters the state
-        got = {**(self._taken() if n_seen else {}), **new} if full else {}
-        if not full:
-            for g, reward in new.items():
-                self.rewards.updateValue((g,), (reward,))
-        timer_ms = _rearmed(self.handle, timer_ms, last_ms, self.expire_ms,
-                            timerValues.getCurrentWatermarkInMs())
-        self.mark.update((emitted or full, last_ms, timer_ms, n_seen + len(new)))
-        yield from self._rows(key, got, True) if full else ()
+        timer_ms, groups = self._saved()
+        new: dict[tuple, dict[int, float | None]] = {}
+        last: dict[tuple, int] = {}
+        for run_id, step, size, g, reward, ms in _packed(rows):
+            name = (run_id, step, size)
+            last[name] = max(last.get(name, 0), ms or 0)
+            got = new.setdefault(name, {})
+            _, _, emitted, waiting = groups.get(name, NOT_SEEN)
+            if not emitted and g not in got and g not in waiting:   # first delivery
+                got[g] = _plain(reward)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        full = {name for name, got in new.items() if self._fills(name, got, groups)}
+        # rewards of a group that is full with this batch never enter the state
+        taken = self._taken({name for name in full if groups.get(name, NOT_SEEN)[-1]})
+        out: list[Row] = []
+        added: list[tuple] = []
+        for name, got in new.items():
+            _, before_ms, emitted, waiting = groups.get(name, NOT_SEEN)
+            last_ms = max(last[name], before_ms)
+            if name in full:
+                out.extend(self._rows(name, {**taken.get(name, {}), **got}, True))
+                emitted, waiting = True, ()
+            else:
+                added.extend((*name, g, reward) for g, reward in got.items())
+            groups[name] = [self._expiry(last_ms, watermark), last_ms, emitted,
+                            [] if emitted else [*waiting, *got]]
+        if added:
+            self.rewards.appendList(added)
+        self._save(timer_ms, groups)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        open_ = self.mark.exists() and not self.mark.get()[0]
-        self.mark.clear()
-        if open_ and self.rewards.exists():
-            yield from self._rows(key, self._taken(), False)
+    @staticmethod
+    def _fills(name: tuple, got: dict, groups: dict) -> bool:
+        _, _, emitted, waiting = groups.get(name, NOT_SEEN)
+        return not emitted and len(waiting) + len(got) >= int(name[2])
 
-    def close(self) -> None:
-        pass
+    def _expired(self, gone: dict, watermark: int) -> list[Row]:
+        taken = self._taken({name for name, (*_, waiting) in gone.items() if waiting})
+        return [row for name, got in taken.items() for row in self._rows(name, got, False)]
 
 
-def _barrier(finished: DataFrame, expire_ms: int) -> DataFrame:
+def _barrier(finished: DataFrame, ts: str, expire_ms: int, buckets: int) -> DataFrame:
     """X-02 over rows that have a watermark and ``event_ms`` already."""
-    return (finished.groupBy("run_id", "step", "group_size")
+    cols = ["run_id", "step", "group_size", "g", "reward", "event_ms"]
+    return (_bucketed(finished, cols, ts, buckets)
             .transformWithState(GroupBarrier(expire_ms), GROUP_OUT, "Append", "EventTime"))
 
 
 def group_barrier(finished: DataFrame, ts: str = "ts", delay: str = WATERMARK,
-                  expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
+                  expire_ms: int = STATE_TIMEOUT_MS, buckets: int = BUCKETS) -> DataFrame:
     """X-02 over finished trajectories ``run_id, step, g, reward,
     group_size, ts``: advantages once all G trajectories of a group
     finished; a group still open when the watermark passes it by
     ``expire_ms`` is flushed with ``complete = false``."""
     ship_package(finished.sparkSession)
-    return _barrier(_watermarked(finished, ts, delay).select(
-        "run_id", "step", "g", "reward", "group_size", "event_ms", ts), expire_ms)
+    return _barrier(_watermarked(finished, ts, delay), ts, expire_ms, buckets)
 
 
 def training_stream(turns: DataFrame, ts: str = "ts", delay: str = WATERMARK,
-                    expire_ms: int = STATE_TIMEOUT_MS) -> DataFrame:
+                    expire_ms: int = STATE_TIMEOUT_MS, buckets: int = BUCKETS) -> DataFrame:
     """X-01 into X-02 as one streaming query: scored turns (with ``reward_mode`` and
     ``group_size``) in, the advantages of each group out once its last trajectory has finished. The
     credited reward is the last or the best of the episode's turns (A-06)."""
     from rewardlake.operators.episodes import credit
-    steps = _steps(turns, ts, delay, expire_ms).where("done and not expired")
+    steps = _steps(turns, ts, delay, expire_ms, buckets).where("done and not expired")
     finished = steps.withColumn("final_reward", F.coalesce("reward", F.lit(0.0))).withColumn(
         "best_reward", F.coalesce("best_reward", F.lit(0.0)))
     return _barrier(finished.select("run_id", "step", "g", credit().alias("reward"), "group_size",
-                                    F.unix_millis("ts").alias("event_ms"), "ts"), expire_ms)
+                                    F.unix_millis("ts").alias("event_ms"), "ts"),
+                    "ts", expire_ms, buckets)
 
 
 def training_twin(turns: DataFrame) -> DataFrame:
